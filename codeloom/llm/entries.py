@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, licenses, warc
+from . import chat, decontaminate, exact_dedup, licenses, packing, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontaminate": op3_decontaminate,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op7_chat_format": op7_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
