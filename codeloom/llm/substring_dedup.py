@@ -40,9 +40,9 @@ DEPTH = 2
 MAX_WIDTH = 1 << 28
 SEGMENT = 1 << 22
 #: Windows of a flush; bounds a task's memory at about 60 bytes each.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Windows of an exact group's bucket, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 _ROW_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _LAST = np.iinfo(np.int64).max
 
