@@ -14,9 +14,10 @@ only the arrivals before the time by which all registers of its set are hit.
    similarity for the known set sizes; pairs far below the threshold go.
 4. The others are verified on full sets, each document's likeliest pair first; then the pairs
    that still join different components.
-5. Large buckets whose members are still in different components are compared whole, in blocks
-   of sketches, and likely pairs between components are verified too.  So no pair that shares a
-   band goes unexamined unless its ends are already connected.
+5. Large buckets whose members are still in different components are compared whole, in blocks:
+   sketches propose pairs between components, full sets verify them on the spot, and only links
+   that join two components leave the block.  So no pair that shares a band goes unexamined
+   unless its ends are already connected.
 
 A pair at similarity 0.85 shares no band of the 48 with probability 3e-7.
 
@@ -324,15 +325,15 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select(*pairs.columns)
 
 
-def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) between components in large buckets, all members compared in blocks of sketches."""
+def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components in large buckets, all members compared in blocks."""
     own = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
     tagged = members.join(own, F.col("id") == F.col("n"), "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
     per = tagged.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     split = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("size")).filter("parts > 1").select(F.col("bucket").alias("k"), F.col("most.c").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks"))
-    open_ = tagged.join(split, F.col("bucket") == F.col("k")).join(reps.select(F.col("id").alias("i"), F.col("n").alias("size"), "sketch"), F.col("id") == F.col("i"))
+    open_ = tagged.join(split, F.col("bucket") == F.col("k")).join(reps.select(F.col("id").alias("i"), F.col("n").alias("size"), "sketch"), F.col("id") == F.col("i")).join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    keep = ["bucket", "id", "c", "size", "sketch"]
+    keep = ["bucket", "id", "c", "size", "sketch", "shingles"]
     # Every block of members outside the main component meets every block of all members.
     rest = open_.filter("c <> main").select(*keep, deal(1, "rest_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"))
     all_ = open_.select(*keep, F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("x"), deal(2, "all_blocks").alias("y"), F.lit(1).alias("side"))
@@ -345,21 +346,32 @@ def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame) -> Da
             (i, ci, ni, si), (j, cj, nj, sj) = (
                 (np.array([r[0] for r in h], dtype=np.int64), np.array([r[1] for r in h], dtype=np.int64), np.array([r[2] for r in h], dtype=float), np.frombuffer(b"".join(r[3] for r in h), dtype=np.uint8).reshape(-1, REGISTERS)) for h in held
             )
-            out = ([], [])
+            sets_i, sets_j = ([np.frombuffer(r[4], dtype=np.uint64) for r in h] for h in held)
+            up: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (d := up.get(c, c)) != c:
+                    up[c] = c = up.get(d, d)
+                return c
+
+            out: tuple[list, list] = ([], [])
             for r in range(len(i)):
                 far = np.flatnonzero((cj != ci[r]) & (np.minimum(nj, ni[r]) * 100 >= PERCENT * np.maximum(nj, ni[r])))
-                if len(far):
-                    # Equal registers alone bound the estimate closely enough to skip most.
-                    far = far[(sj[far] == si[r]).sum(axis=1) >= (_cut() - 0.05) * REGISTERS]
-                if len(far):
-                    est = estimate(np.broadcast_to(si[r], (len(far), REGISTERS)), sj[far], np.full(len(far), ni[r]), nj[far])
-                    for x in j[far[est >= _cut()]]:
-                        out[0].append(min(i[r], x))
-                        out[1].append(max(i[r], x))
+                # Equal registers alone bound the estimate closely enough to skip most.
+                far = far[(sj[far] == si[r]).sum(axis=1) >= (_cut() - 0.05) * REGISTERS]
+                if not len(far):
+                    continue
+                est = estimate(np.broadcast_to(si[r], (len(far), REGISTERS)), sj[far], np.full(len(far), ni[r]), nj[far])
+                for k in far[np.argsort(-est, kind="stable")][: int((est >= _cut()).sum())]:
+                    one, other = root(int(ci[r])), root(int(cj[k]))
+                    if one != other and _linked(sets_i[r], sets_j[k]):
+                        up[max(one, other)] = min(one, other)
+                        out[0].append(i[r])
+                        out[1].append(j[k])
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], schema=schema)
 
         for batch in batches:
-            for bucket, x, y, side, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "x", "y", "side", "id", "c", "size", "sketch")), strict=True):
+            for bucket, x, y, side, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "x", "y", "side", "id", "c", "size", "sketch", "shingles")), strict=True):
                 if at != (bucket, x, y):
                     if at is not None and held[0] and held[1]:
                         yield done()
@@ -398,9 +410,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = checkpointed(contract(_verified(best, sets)))
     rest = checkpointed(_apart(likely.select("a", "b"), labels).join(best, ["a", "b"], "left_anti"))
     labels = contract(_verified(rest, sets), labels)
-    tried = best.unionByName(rest)
-    whole = checkpointed(_whole_buckets(members, labels, reps).join(tried, ["a", "b"], "left_anti"))
-    labels = contract(_verified(whole, sets), labels)
+    labels = contract(_whole_buckets(members, labels, reps, sets), labels)
 
     final = classes.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rows", F.coalesce("component", "rep").alias("component"))
     # Classes that share a document belong together.
