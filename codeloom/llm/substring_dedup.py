@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .words import SPACED, Words, split_words
+from .words import SPACED, Words, mix, split_words
 
 WINDOW = 13
 DEPTH = 2
@@ -168,19 +168,29 @@ def _maybe_repeated(h: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
     return at
 
 
-_ROUTE = "bucket int, n int, m int, payload binary, doc_id long, print int, positions binary"
-_ROUTE_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("print", pa.int32()), ("positions", pa.binary())])
+_ROUTE = "bucket int, n int, m int, payload binary, dest int, removed binary"
+_ROUTE_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("payload", pa.binary()), ("dest", pa.int32()), ("removed", pa.binary())])
 
 
-def _by_document(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, prints: np.ndarray, buckets: int) -> list[dict]:
-    """Removed positions, a row for each document."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    cuts = np.flatnonzero(np.diff(doc, prepend=-1))
-    return [
-        {"bucket": int(ids[doc[a]] % buckets), "n": 0, "m": 0, "payload": None, "doc_id": int(ids[doc[a]]), "print": int(prints[doc[a]]), "positions": pos[a:b].astype("<i4").tobytes()}
-        for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=False)
-    ]
+def _packed_removals(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray, dests: int) -> Iterator[tuple[int, int, bytes]]:
+    """(dest, n, data): removed windows, packed by the part of the documents that they belong to.
+
+    A few rows for each part instead of one for each document keep this linear in the tasks.
+    """
+    dest = (mix(ids.view(np.uint64)) % np.uint64(dests)).astype(np.int32)
+    order = np.lexsort((pos, prints, ids, dest))
+    ids, prints, pos, dest = ids[order], prints[order], pos[order].astype("<i4"), dest[order]
+    cuts = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1], [True]])) if len(dest) else np.zeros(1, dtype=int)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        parts = [_pack(np.diff(ids[lo:hi], prepend=0)), _pack(prints[lo:hi].astype("<i4")), _pack(np.diff(pos[lo:hi], prepend=np.int32(0)))]
+        yield int(dest[lo]), int(hi - lo), np.array([len(x) for x in parts], dtype="<i4").tobytes() + b"".join(parts)
+
+
+def _open_removals(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.frombuffer(data[:12], dtype="<i4")
+    ends = 12 + np.cumsum(sizes)
+    ids, prints, pos = (_unpack(data[e - s : e], n, kind) for s, e, kind in zip(sizes, ends, ("<i8", "<i4", "<i4"), strict=True))
+    return np.cumsum(ids), prints, np.cumsum(pos, dtype=np.int32)
 
 
 def _candidates(rows: DataFrame, sketch: Broadcast, bits: int, k: int, buckets: int) -> DataFrame:
@@ -198,7 +208,7 @@ def _candidates(rows: DataFrame, sketch: Broadcast, bits: int, k: int, buckets:
             own = f["ids"][doc]
             smallest = own == own[first]
             settled = ~smallest
-            out = _by_document(doc[settled], pos[settled], f["ids"], f["prints"], buckets)
+            out = [{"bucket": d, "n": n, "m": 0, "payload": None, "dest": d, "removed": data} for d, n, data in _packed_removals(own[settled], f["prints"][doc[settled]], pos[settled], buckets)]
             h, h2, doc, pos = h[smallest], h2[smallest], doc[smallest], pos[smallest]
             bucket = (h >> np.uint64(40)).astype(np.int64) * buckets >> 24
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -209,7 +219,7 @@ def _candidates(rows: DataFrame, sketch: Broadcast, bits: int, k: int, buckets:
                 used, local = np.unique(doc[lo:hi], return_inverse=True)
                 parts = [_pack(step), _pack(h2[lo:hi]), _pack(local.astype("<i4")), _pack(pos[lo:hi]), _pack(f["ids"][used]), _pack(f["prints"][used].astype("<i4"))]
                 head = np.array([len(p) for p in parts], dtype="<i4").tobytes()
-                out.append({"bucket": int(b), "n": int(hi - lo), "m": len(used), "payload": head + b"".join(parts), "doc_id": None, "print": None, "positions": None})
+                out.append({"bucket": int(b), "n": int(hi - lo), "m": len(used), "payload": head + b"".join(parts), "dest": None, "removed": None})
             for lo in range(0, len(out), 5000):
                 yield pa.RecordBatch.from_pylist(out[lo : lo + 5000], schema=_ROUTE_ARROW)
 
@@ -226,14 +236,15 @@ def _open(payload: bytes, n: int, m: int) -> tuple[np.ndarray, ...]:
 
 
 def _exact_groups(routed: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, print, positions): removed windows, several rows for a document."""
+    """(dest, n, removed): packed removed windows."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        current = None
-        schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int32()), ("positions", pa.binary())])
+        current, pieces = None, []
+        held: list[tuple] = []
+        waiting = 0
+        schema = pa.schema([("dest", pa.int32()), ("n", pa.int32()), ("removed", pa.binary())])
 
-        def settle(pieces: list) -> pa.RecordBatch:
+        def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             many, docs = [], 0
             for payload, n, m in pieces:
                 h, h2, local, pos, ids, prints = _open(payload, n, m)
@@ -247,7 +258,12 @@ def _exact_groups(routed: DataFrame, buckets: int) -> DataFrame:
             new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             gone = own > own[first]
-            return pa.RecordBatch.from_pylist([{c: r[c] for c in schema.names} for r in _by_document(doc[gone], pos[gone], ids, prints, buckets)], schema=schema)
+            return own[gone], prints[doc[gone]], pos[gone]
+
+        def out() -> pa.RecordBatch:
+            found = list(_packed_removals(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], schema=schema)
 
         for batch in batches:
             settled = batch.filter(batch["payload"].is_null())
@@ -256,14 +272,48 @@ def _exact_groups(routed: DataFrame, buckets: int) -> DataFrame:
             for b, n, m, payload in zip(*(batch[c].to_pylist() for c in ("bucket", "n", "m", "payload")), strict=True):
                 if payload is None:
                     continue
-                if b != current and current is not None:
-                    yield settle(held.pop(current))
+                if b != current and pieces:
+                    held.append(settle())
+                    waiting += len(held[-1][0])
+                    pieces = []
+                    if waiting >= FLUSH:
+                        yield out()
+                        waiting = 0
                 current = b
-                held.setdefault(b, []).append((payload, n, m))
-        if current is not None:
-            yield settle(held.pop(current))
+                pieces.append((payload, n, m))
+        if pieces:
+            held.append(settle())
+        yield out()
+
+    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(group, "dest int, n int, removed binary")
+
+
+def _by_document(removed: DataFrame) -> DataFrame:
+    """(doc_id, print, positions): one row for each document that loses windows."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pieces = None, []
+
+        def documents() -> pa.RecordBatch:
+            ids, prints, pos = (np.concatenate(x) for x in zip(*(_open_removals(data, n) for data, n in pieces), strict=True))
+            order = np.lexsort((pos, prints, ids))
+            ids, prints, pos = ids[order], prints[order], pos[order]
+            cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])]))
+            offsets = (np.append(cuts, len(ids)) * 4).astype(np.int32)
+            positions = pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pos.astype("<i4")).view(np.uint8))])
+            return pa.RecordBatch.from_arrays([pa.array(ids[cuts]), pa.array(prints[cuts].astype(np.int32)), positions], names=["doc_id", "print", "positions"])
+
+        for batch in batches:
+            for dest, n, data in zip(*(batch[c].to_pylist() for c in ("dest", "n", "removed")), strict=True):
+                if dest != current and pieces:
+                    yield documents()
+                    pieces = []
+                current = dest
+                pieces.append((data, n))
+        if pieces:
+            yield documents()
 
-    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(group, "doc_id long, print int, positions binary")
+    return removed.repartition("dest").sortWithinPartitions("dest").mapInArrow(collect, "doc_id long, print int, positions binary")
 
 
 def _kept(w: Words, removed: np.ndarray) -> Iterator[bytes]:
@@ -299,7 +349,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(8, windows // BUCKET)
     sketch = spark.sparkContext.broadcast(count_min_bits(rows, bits, window, depth))
     routed = _candidates(rows, sketch, bits, window, buckets)
-    removed = _exact_groups(routed, buckets).groupBy("doc_id", "print").agg(F.collect_list("positions").alias("positions"))
+    removed = _by_document(_exact_groups(routed, buckets))
     removed = removed.select(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print"), "positions")
     joined = rows.join(removed, (F.coalesce("id", F.lit(_LAST)) == F.col("gone_id")) & (F.col("print") == F.col("gone_print")), "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
@@ -311,7 +361,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 cover = np.zeros(len(w.hash) + 1, dtype=np.int64)
                 for r in range(w.rows):
                     if gone[w.first_row + r]:
-                        at = np.unique(np.frombuffer(b"".join(gone[w.first_row + r]), dtype="<i4")).astype(np.int64) + w.first[r]
+                        at = np.unique(np.frombuffer(gone[w.first_row + r], dtype="<i4")).astype(np.int64) + w.first[r]
                         cover[at] += 1
                         cover[at + window] -= 1
                 out = np.cumsum(cover)[:-1] > 0
