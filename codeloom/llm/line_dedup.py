@@ -7,9 +7,9 @@ one, at a place that its number, the lengths and TAU bound.  So every line posts
 each length from its own down to TAU less.  Candidates are verified with a banded bit-parallel
 edit distance over full lines.
 
-A key that many lines share is not expanded into pairs.  Where the segment is cut out of
-both lines, the rests must still match, so the join runs again on the rests inside that key, and
-again, until few lines share a key or the rests are so short that all of them match.
+A key that many lines share is not expanded into pairs.  Its lines meet in blocks, where character
+counts sort out most pairs and the others are verified on the spot; at most one earlier match
+for each line and block leaves it.
 
 A line is removed when an equal or matching line stands earlier in the table, by identifier and
 line number; lines are judged on the input, not on what is left.
@@ -30,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, left_join_groups, shared_dir, stored, union_all
+from .common import checkpointed, left_join_groups, shared_dir, stored
 from .words import mix, powers
 
 TAU = 2
 MIN_CHARS = 20
 #: A key gives pairs up to so many for each of its lines.
 PAIRS_PER_LINE = 16
+#: Lines of a block.
+BLOCK = 512
 _CHARS = 1 << 19
 _MULTIPLIER = 0x9FB21C651E98DF25
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -159,22 +161,6 @@ def _line_keys(rows: DataFrame, tau: int, min_chars: int) -> DataFrame:
     return rows.mapInArrow(read, "key long, tagged long")
 
 
-def _rest_keys(strings: DataFrame, tau: int) -> DataFrame:
-    """As :func:`_line_keys`, for strings that only match inside their salt, each in one role."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tagged = batch["tagged"].to_numpy(zero_copy_only=False)
-            salt = batch["salt"].to_numpy(zero_copy_only=False).view(np.uint64)
-            t = Text(batch["text"].to_pylist())
-            for tag in (0, 1):
-                mine = np.flatnonzero((tagged & 1) == tag)
-                for which, key, _, _ in (_postings if tag == 0 else _probes)(t, t.starts[:-1][mine], t.starts[1:][mine], salt[mine], tau):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tagged[mine][which])], names=["key", "tagged"])
-
-    return strings.mapInArrow(read, "key long, tagged long")
-
-
 def _matched(keys: DataFrame, per_line: int) -> DataFrame:
     """(kind, a, b): kind 0 pair of lines; kind 1 tagged line b of key a, which too many lines share."""
 
@@ -304,19 +290,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = checkpointed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(in_crowds).distinct())
     texts = _texts_of(rows, wanted, wanted.count())
     firsts = distinct.select(F.col("id").alias("i"), "first")
-    # Crowded keys: the rests inside each key are joined like lines, until no key is crowded.
-    strings = texts.select(F.explode(F.array("id", F.col("id").bitwiseOR(F.lit(1)))).alias("tagged"), F.col("line").alias("text"), F.lit(0).cast("long").alias("salt"))
-    tiny = []
-    while not crowded.isEmpty():
-        rests = _cut_out(crowded, strings, tau)
-        tiny.append(_tiny(rests, firsts, tau))
-        strings = rests.filter(F.length("rest") > 2 * tau).select("tagged", F.col("rest").alias("text"), F.xxhash64("key").alias("salt"))
-        level = _matched(_rest_keys(strings, tau), PAIRS_PER_LINE)
-        pairs = pairs.unionByName(level.filter("kind = 0").select("a", "b"))
-        crowded = level.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("tagged"))
     links = checkpointed(_verified(pairs.distinct(), texts, tau))
     near = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    earlier = union_all([near.join(firsts, F.col("y") == F.col("i")).select("x", "first"), *tiny])
+    earlier = near.join(firsts, F.col("y") == F.col("i")).select("x", "first").unionByName(_crowds(crowded, texts, firsts, tau))
     earlier = earlier.groupBy("x").agg(F.min("first").alias("near_first"))
     judged = distinct.join(earlier, F.col("id") == F.col("x"), "left").select("id", "n", "first", "near_first")
     # Lines without a copy or a near line stay anyway.
@@ -333,73 +309,68 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _cut_out(crowded: DataFrame, strings: DataFrame, tau: int) -> DataFrame:
-    """(key, tagged, rest): the crowded strings without the segment whose key they share.
+def _crowds(crowded: DataFrame, texts: DataFrame, firsts: DataFrame, tau: int) -> DataFrame:
+    """(x, first): an earlier match of a line among the lines that share a crowded key with it.
 
-    The places of a key are found again from the string, so keys need not carry them.
+    Blocks of probes meet blocks of postings; no pair leaves a block, only one earlier match for each
+    probe.  Counts of hashed characters, which an edit changes by two at most, sort out most pairs.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
-            tagged = batch["tagged"].to_numpy(zero_copy_only=False)
-            texts = batch["text"].to_pylist()
-            salt = batch["salt"].to_numpy(zero_copy_only=False).view(np.uint64)
-            t = Text(texts)
-            rows, rests = [], []
-            for tag in (0, 1):
-                mine = np.flatnonzero((tagged & 1) == tag)
-                for which, key, at, size in (_postings if tag == 0 else _probes)(t, t.starts[:-1][mine], t.starts[1:][mine], salt[mine], tau):
-                    for k in np.flatnonzero(key == wanted[mine][which]):
-                        row = mine[which[k]]
-                        rows.append(row)
-                        rests.append(texts[row][: at[k]] + texts[row][at[k] + size[k] :])
-            rows = np.array(rows, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[rows].view(np.int64)), pa.array(tagged[rows]), pa.array(rests, pa.string())], names=["key", "tagged", "rest"])
-
-    joined = crowded.join(strings.withColumnRenamed("tagged", "t"), F.col("tagged") == F.col("t")).select("key", "tagged", "text", "salt")
-    return stored(joined.mapInArrow(cut, "key long, tagged long, rest string").distinct(), "line-rests")
-
-
-def _tiny(rests: DataFrame, firsts: DataFrame, tau: int) -> DataFrame:
-    """(x, first): for lines whose rests are of 3 tau code points at most, the earliest match in their group.
-
-    Rests that match have a string in common after deleting up to tau characters from each.
-    """
-
-    def fewer(text: str) -> set[str]:
-        found = now = {text}
-        for _ in range(tau):
-            now = {x[:i] + x[i + 1 :] for x in now for i in range(len(x))}
-            found = found | now
+    sizes = crowded.groupBy("key").agg(*[F.ceil(F.count_if(F.col("tagged").bitwiseAND(1) == tag) / BLOCK).cast("int").alias(name) for tag, name in ((0, "posted"), (1, "probed"))])
+    lines = texts.join(firsts, F.col("id") == F.col("i")).select("id", "line", F.col("first.doc").alias("doc"), F.col("first.line").alias("number"))
+    rows = crowded.join(sizes.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).withColumn("own", F.expr("tagged & -2L")).join(lines, F.col("own") == F.col("id"))
+    probe = F.col("tagged").bitwiseAND(1) == 1
+    deal = F.pmod(F.xxhash64("id"), F.when(probe, F.col("probed")).otherwise(F.col("posted"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(probe, F.col("posted")).otherwise(F.col("probed")) - 1))
+    meets = rows.select("key", probe.alias("probe"), deal.alias("mine"), others.alias("theirs"), "id", "line", "doc", "number")
+    x, y = F.when(F.col("probe"), F.col("mine")).otherwise(F.col("theirs")), F.when(F.col("probe"), F.col("theirs")).otherwise(F.col("mine"))
+    blocks = meets.select("key", x.alias("x"), y.alias("y"), "probe", "id", "line", "doc", "number").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def settle(postings: list[tuple], probes: list[tuple]) -> list[tuple]:
+        def counts(rows: list[tuple]) -> np.ndarray:
+            out = np.zeros((len(rows), 32), dtype=np.int32)
+            for r, row in enumerate(rows):
+                np.add.at(out[r], np.frombuffer(row[1].encode("utf-32-le", "surrogatepass"), dtype="<u4") % 31, 1)
+                out[r, 31] = len(row[1])
+            return out
+
+        postings.sort(key=lambda r: r[2:])
+        have, want, found = counts(postings), counts(probes), []
+        for p, (own, line, *first) in zip(want, probes, strict=True):
+            near = np.flatnonzero((np.abs(have[:, 31] - p[31]) <= tau) & (np.abs(have[:, :31] - p[:31]).sum(axis=1) <= 2 * tau))
+            for k in near:
+                other = postings[k]
+                if other[2:] >= tuple(first):
+                    break
+                if other[0] != own and within(other[1], line, tau):
+                    found.append((own, *other[2:]))
+                    break
+            # The later of two lines may be the shorter, which only posts: look from its side too.
+            for k in near[::-1]:
+                other = postings[k]
+                if other[2:] <= tuple(first):
+                    break
+                if other[0] != own and within(other[1], line, tau):
+                    found.append((other[0], *first))
         return found
 
-    def settle(rows: list[tuple]) -> list[tuple]:
-        least: dict[str, tuple] = {}
-        for _, rest, doc, line in rows:
-            least[rest] = min(least.get(rest, (doc, line)), (doc, line))
-        share: dict[str, list[str]] = {}
-        for rest in sorted(least, key=least.__getitem__):
-            for x in fewer(rest):
-                share.setdefault(x, []).append(rest)
-        best = {rest: min(least[next(y for y in share[x] if within(rest, y, tau))] for x in fewer(rest)) for rest in least}
-        return [(i, *best[rest]) for i, rest, _, _ in rows]
-
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], []
+        at, held, out = None, ([], []), []
         for batch in batches:
-            for key, *row in zip(*(batch[c].to_pylist() for c in ("key", "id", "rest", "doc", "line")), strict=True):
-                if key != at:
-                    out += settle(held)
-                    at, held = key, []
-                held.append(tuple(row))
-        out += settle(held)
-        x, doc, line = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, doc, line)], names=["x", "doc", "line"])
-
-    own = rests.filter(F.length("rest") <= 3 * tau).select("key", F.expr("tagged & -2L").alias("id"), "rest").distinct()
-    rows = own.join(firsts, F.col("id") == F.col("i")).select("key", "id", "rest", "first.doc", "first.line").repartition("key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(match, "x long, doc long, line long").select("x", F.struct("doc", "line").alias("first"))
+            for key, x, y, probe, *row in zip(*(batch[c].to_pylist() for c in ("key", "x", "y", "probe", "id", "line", "doc", "number")), strict=True):
+                if (key, x, y) != at:
+                    out += settle(*held)
+                    at, held = (key, x, y), ([], [])
+                held[probe].append(tuple(row))
+            if len(out) > 5000:
+                yield _found(out)
+                out = []
+        yield _found(out + settle(*held))
+
+    def _found(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*set(out), strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["x", "doc", "line"])
+
+    return blocks.mapInArrow(match, "x long, doc long, line long").select("x", F.struct("doc", "line").alias("first"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
