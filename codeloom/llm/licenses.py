@@ -10,6 +10,7 @@ matches must hold a word of the template's prefix (its first ``size - need + 1``
 order), must have ``need`` words at least, and from its first prefix match on, both sides must
 have words enough left; whatever passes is verified on full sets.  Documents that lack the words
 for any template are left out beforehand, which is exact, as a block's words are its document's.
+The texts are read once; what the join needs of them is stored.
 
 Templates are a parameter of the caller and not data, so their words and prefixes are broadcast.
 
@@ -25,6 +26,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
+
 #: Label and phrase of the base search.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
@@ -69,35 +72,63 @@ def _templates(templates: tuple[tuple[str, str], ...]) -> list[tuple[int, str, l
     return [(n, label, sorted(set(_WORD.findall(text.lower())))) for n, (label, text) in enumerate(templates)]
 
 
-def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, key, label, containment) of every block of every document that meets a template.
+def _base_columns(phrases: tuple[tuple[str, str], ...]) -> list[Column]:
+    """n_words, n_base, first_word, last_word and base labels, from the column ``spaced``."""
+    inner = F.col("spaced")
+    n_words = F.when(inner == "  ", F.lit(0)).otherwise(_count(inner, " ") - 1).cast("long")
+    counts, firsts, lasts, labels = [], [], [], []
+    for label, phrase in phrases:
+        spaced = f" {phrase} "
+        found = F.contains(inner, F.lit(spaced))
+        counts.append(F.when(found, F.regexp_count(inner, F.lit(f"(?<= ){re.escape(phrase)}(?= )"))).otherwise(0))
+        firsts.append(F.when(found, _count(F.substring(inner, F.lit(1), F.instr(inner, spaced) - 1), " ")))
+        back = F.reverse(inner)
+        after = _count(F.substring(back, F.lit(1), F.instr(back, spaced[::-1]) - 1), " ")
+        lasts.append(F.when(found, n_words - after - len(phrase.split())))
+        labels.append(F.when(found, F.lit(label)))
+    least = F.least(*firsts) if len(firsts) > 1 else firsts[0]
+    most = F.greatest(*lasts) if len(lasts) > 1 else lasts[0]
+    return [
+        n_words.alias("n_words"),
+        sum(counts[1:], counts[0]).cast("long").alias("n_base"),
+        least.cast("long").alias("first_word"),
+        most.cast("long").alias("last_word"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"),
+    ]
+
 
-    ``docs`` has id, key and text; key tells rows of one id apart.
-    """
-    known = _templates(templates)
+def _scanned(docs: DataFrame, known: list[tuple[int, str, list[str]]], phrases: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
+    """One pass over the texts: base columns, the template words held, and the blocks of documents that hold enough."""
     vocabulary = sorted({w for _, _, words in known for w in words})
+    texts = docs.select("id", "key", "text", spaced_words(F.col("text")).alias("spaced"))
     held = F.array_intersect(F.split(F.col("spaced"), " "), F.array(*map(F.lit, vocabulary)))
-    with_words = docs.select("id", "key", "text", spaced_words(F.col("text")).alias("spaced")).select("id", "key", "text", held.alias("held"))
-    counts = with_words.select(F.explode("held").alias("word")).groupBy("word").count()
+    with_words = texts.select("id", "key", "text", *_base_columns(phrases), held.alias("held"))
+    least = min(_need(len(words), threshold) for _, _, words in known)
+    some = F.lit(False)
+    for _, _, words in known:
+        some = some | (F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= _need(len(words), threshold))
+    enough = F.when(F.size("held") >= least, some).otherwise(F.lit(False))
+    blocks = F.when(enough, F.array_distinct(F.split("text", r"\n+")))
+    return stored(with_words.withColumn("blocks", blocks).drop("text"), "license-scan")
+
+
+def template_matches(scanned: DataFrame, known: list[tuple[int, str, list[str]]], threshold: float = THRESHOLD) -> DataFrame:
+    """(id, key, label, containment) of every block of every document that meets a template."""
+    counts = scanned.select(F.explode("held").alias("word")).groupBy("word").count()
     rank = {r["word"]: r["count"] for r in counts.collect()}  # at most one row per template word
+    vocabulary = {w for _, _, words in known for w in words}
     order = {w: n for n, w in enumerate(sorted(vocabulary, key=lambda w: (rank.get(w, 0), w)))}
     plans = [(n, label, sorted(words, key=order.__getitem__), _need(len(words), threshold)) for n, label, words in known]
-
-    enough = [F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= need for _, _, words, need in plans]
-    some = enough[0]
-    for e in enough[1:]:
-        some = some | e
-    blocks = with_words.filter(some).select("id", "key", F.explode(F.array_distinct(F.split("text", r"\n+"))).alias("block"))
+    blocks = scanned.filter(F.col("blocks").isNotNull()).select("id", "key", F.explode("blocks").alias("block"))
     ranks = F.create_map(*[x for w, n in order.items() for x in (F.lit(w), F.lit(n))])
     words = F.array_distinct(F.filter(F.split(spaced_words(F.col("block")), " "), lambda w: w != ""))
     blocks = blocks.select("id", "key", words.alias("words")).select("id", "key", F.size("words").alias("size"), F.array_sort(F.filter(F.transform("words", lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())).alias("ranks"))
-    spark = docs.sparkSession
-    index = spark.createDataFrame(
+    index = scanned.sparkSession.createDataFrame(
         [(order[w], i, n, label, [order[x] for x in words], need) for n, label, words, need in plans for i, w in enumerate(words[: len(words) - need + 1])],
         "word int, at int, template int, label string, template_ranks array<int>, need int",
     )
     probes = blocks.select("id", "key", "size", "ranks", F.posexplode("ranks").alias("position", "word"))
-    both = probes.join(F.broadcast(index), "word")
+    both = probes.join(F.broadcast(index), "word")  # the prefixes of the templates
     left = F.lit(1) + F.least(F.size("template_ranks") - F.col("at") - 1, F.size("ranks") - F.col("position") - 1)
     seen = F.size(F.array_intersect(F.slice("ranks", F.lit(1), F.col("position")), F.slice("template_ranks", F.lit(1), F.col("at"))))
     candidates = both.filter((F.col("size") >= F.col("need")) & (seen == 0) & (left >= F.col("need")))
@@ -109,30 +140,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: phrase places, their first and last word, labels of both searches, score."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    base = rows.select("id", "key", spaced_words(F.col("text")).alias("spaced"))
-    n_words = F.when(F.col("spaced") == "  ", F.lit(0)).otherwise(_count(F.col("spaced"), " ") - 1).cast("long")
-    counts, firsts, lasts, labels = [], [], [], []
-    for label, phrase in phrases:
-        inner, spaced = F.col("spaced"), f" {phrase} "
-        found = F.contains(inner, F.lit(spaced))
-        counts.append(F.when(found, F.regexp_count(inner, F.lit(f"(?<= ){re.escape(phrase)}(?= )"))).otherwise(0))
-        firsts.append(F.when(found, _count(F.substring(inner, F.lit(1), F.instr(inner, spaced) - 1), " ")))
-        back = F.reverse(inner)
-        after = _count(F.substring(back, F.lit(1), F.instr(back, spaced[::-1]) - 1), " ")
-        lasts.append(F.when(found, n_words - after - len(phrase.split())))
-        labels.append(F.when(found, F.lit(label)))
-    least = (lambda c: F.least(*c) if len(c) > 1 else c[0])
-    most = (lambda c: F.greatest(*c) if len(c) > 1 else c[0])
-    base = base.select(
-        "id",
-        "key",
-        n_words.alias("n_words"),
-        sum(counts[1:], counts[0]).cast("long").alias("n_base"),
-        least(firsts).cast("long").alias("first_word"),
-        most(lasts).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"),
-    )
-    more = template_matches(rows, templates, threshold).groupBy("id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")).withColumnsRenamed({"id": "more_id", "key": "more_key"})
+    known = _templates(templates)
+    base = _scanned(rows, known, phrases, threshold)
+    more = template_matches(base, known, threshold).groupBy("id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")).withColumnsRenamed({"id": "more_id", "key": "more_key"})
     both = base.join(more, F.col("id").eqNullSafe(F.col("more_id")) & (F.col("key") == F.col("more_key")), "left")
     return both.select(
         F.col("id").alias("doc_id"),
