@@ -306,16 +306,15 @@ def _(g):
 
 @query(
     "J9_name_bindings",
-    """with u as (select id as unit_id, file_path, regexp_replace(lower(replace(name, 'unit', 'part')), '[^a-z0-9]+', '', 'g') as key from fx_units), f as (
+    """with u as (select concat('u:', id) as unit_id, file_path, regexp_replace(lower(case when start_line % 20 = 0 then name else qualified_name end), '[^a-z0-9]+', '', 'g') as key from fx_parts), f as (
       select id as function_id, file_path, 0 as r, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') as key from fx_parts union all
       select id, file_path, 1, regexp_replace(lower(qualified_name), '[^a-z0-9]+', '', 'g') from fx_parts union all
       select id, file_path, 2, regexp_replace(lower(list_filter(regexp_split_to_array(qualified_name, '[.#:/\\\\]+'), lambda x: x <> '')[-1]), '[^a-z0-9]+', '', 'g') from fx_parts)
     select unit_id, function_id, case min(r) when 0 then 'name' when 1 then 'qualifiedName' else 'segment' end as evidence from u join f on u.file_path = f.file_path and u.key = f.key and u.key <> '' where r < 2 or length(f.key) >= 3 group by 1, 2""",
-    "fx_units",
     "fx_parts",
 )
 def _(g):
-    units = g["fx_units"].withColumn("name", F.replace(F.col("name"), F.lit("unit"), F.lit("part")))
+    units = g["fx_parts"].select(F.concat(F.lit("u:"), "id").alias("id"), "file_path", F.when(F.col("start_line") % 20 == 0, F.col("name")).otherwise(F.col("qualified_name")).alias("name"))
     return binding.name_bindings(units, g["fx_parts"])
 
 
