@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .traverse import _kept
+from .lineage import kept
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -12,7 +12,7 @@ def _trim(edges: DataFrame) -> DataFrame:
     count = edges.count()
     while True:
         entered, left = edges.select(F.col("dst").alias("n")).distinct(), edges.select(F.col("src").alias("n")).distinct()
-        edges = _kept(edges.join(entered, F.col("src") == F.col("n"), "left_semi").join(left, F.col("dst") == F.col("n"), "left_semi"))
+        edges = kept(edges.join(entered, F.col("src") == F.col("n"), "left_semi").join(left, F.col("dst") == F.col("n"), "left_semi"))
         now = edges.count()
         if now == count:
             return edges
@@ -23,7 +23,7 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The smallest label that reaches each node along the edges (src -> dst), to its fixpoint."""
     while True:
         sent = edges.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("got"))
-        new = _kept(labels.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "got").alias("label"), (F.least("label", "got") < F.col("label")).alias("moved")))
+        new = kept(labels.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "got").alias("label"), (F.least("label", "got") < F.col("label")).alias("moved")))
         if new.filter("moved").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -35,7 +35,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     ``edges`` has src and dst.  Nodes are coloured with the smallest node that reaches them; inside a
     colour, the nodes that reach the colour's own node are its component.  What is left goes another round.
     """
-    edges = _kept(edges.select("src", "dst").filter("src <> dst").distinct())
+    edges = kept(edges.select("src", "dst").filter("src <> dst").distinct())
     parts = []
     while True:
         edges = _trim(edges)
@@ -47,11 +47,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         same = edges.join(one, F.col("src") == F.col("a")).join(other, F.col("dst") == F.col("b")).filter("la = lb")
         # Backwards inside a colour: 0 spreads from the colour's own node.
         back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        marks = _spread(colours.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label")), _kept(back))
-        found = _kept(colours.join(marks.filter("label = 0").select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi").select("node", F.col("label").alias("component")))
+        marks = _spread(colours.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label")), kept(back))
+        found = kept(colours.join(marks.filter("label = 0").select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi").select("node", F.col("label").alias("component")))
         parts.append(found)
         gone = found.select(F.col("node").alias("g"))
-        edges = _kept(edges.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"))
+        edges = kept(edges.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"))
     if not parts:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     out = parts[0]
@@ -63,12 +63,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def longest_path_ranks(edges: DataFrame) -> DataFrame:
     """(node, rank) of an acyclic graph: 0 without predecessors, else one more than the highest of them."""
-    edges = _kept(edges.select("src", "dst").filter("src <> dst").distinct())
+    edges = kept(edges.select("src", "dst").filter("src <> dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    ranks = _kept(nodes.select("node", F.lit(0).alias("rank")))
+    ranks = kept(nodes.select("node", F.lit(0).alias("rank")))
     while True:
         pushed = edges.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg((F.max("rank") + 1).alias("least"))
-        new = _kept(ranks.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("rank", "least").alias("rank"), (F.coalesce("least", F.lit(0)) > F.col("rank")).alias("moved")))
+        new = kept(ranks.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("rank", "least").alias("rank"), (F.coalesce("least", F.lit(0)) > F.col("rank")).alias("moved")))
         if new.filter("moved").isEmpty():
             return new.select("node", "rank")
         ranks = new.select("node", "rank")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import confidence_name, confidence_rank
+from .lineage import kept
 
 
 def _adjacency(edges: DataFrame, direction: str) -> DataFrame:
@@ -26,7 +27,7 @@ def ordered_bfs(starts: DataFrame, edges: DataFrame, direction: str = "out", max
     others are reached but end there.  ``max_steps`` counts reached nodes of a start, the start itself
     not.  The confidence is the weakest on the path.
     """
-    adjacency = _adjacency(edges, direction).cache()
+    adjacency = kept(_adjacency(edges, direction))
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("position"), F.array("start").alias("path"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("parent"))
     levels = [frontier]
     visited = frontier.select("start", "node")
@@ -50,9 +51,9 @@ def ordered_bfs(starts: DataFrame, edges: DataFrame, direction: str = "out", max
         )
         if max_steps is not None:
             level = level.filter(F.col("position") <= max_steps)
-        frontier = _kept(level)
+        frontier = kept(level)
         levels.append(frontier)
-        visited = _kept(visited.unionByName(frontier.select("start", "node")))
+        visited = kept(visited.unionByName(frontier.select("start", "node")))
         counts = frontier.groupBy("start").agg(F.max("position").alias("top"))
         taken = taken.join(counts, "start", "left").select("start", F.coalesce("top", "so_far").alias("so_far"))
     out = levels[0]
@@ -61,13 +62,6 @@ def ordered_bfs(starts: DataFrame, edges: DataFrame, direction: str = "out", max
     return out.select("start", "node", "depth", "position", "path", confidence_name(F.col("rank")).alias("confidence"), "parent")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder where one is set, and keeps the rows in memory else."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
-        return df.checkpoint(eager=True)
-    return df.persist()
-
-
 def change_impact(targets: DataFrame, edges: DataFrame, max_depth: int = 4, max_steps: int = 100) -> DataFrame:
     """I4: all callers of each target, nearest first, with the path to it and its weakest confidence."""
     calls = edges.filter(F.col("kind") == "calls")

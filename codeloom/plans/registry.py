@@ -537,3 +537,194 @@ def _(g):
 def _(g):
     j = g["customer"].join(g["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(g["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     return j.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+# --- more scalars, limits and extensions -----------------------------------------------------------
+
+
+@query("F4_segments", "select id, list_filter(regexp_split_to_array(qualified_name, '[.#:/\\\\]+'), lambda x: x <> '')[-1] as last, len(list_filter(regexp_split_to_array(qualified_name, '[.#:/\\\\]+'), lambda x: x <> '')) as n from fx_parts", "fx_parts")
+def _(g):
+    parts = S.name_segments(F.col("qualified_name"))
+    return g["fx_parts"].select("id", F.element_at(parts, -1).alias("last"), F.size(parts).alias("n"))
+
+
+@query("F7_source_areas", "select case when len(p) > 1 then p[1] end as area, count(*) as files from (select string_split(substr(file_path, 5), '/') as p from (select distinct file_path from fx_parts) t) u group by 1", "fx_parts")
+def _(g):
+    files = g["fx_parts"].select(F.substr("file_path", F.lit(5)).alias("path")).distinct()
+    return files.groupBy(S.source_area(F.col("path")).alias("area")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("F10_weaker_confidence", f"select target_id, count(*) as n, ['exact', 'resolved', 'inferred', 'unresolved'][max({_RANK}) + 1] as confidence from fx_call_edges group by 1", "fx_call_edges")
+def _(g):
+    return g.edges.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), S.confidence_name(F.max(S.confidence_rank(F.col("confidence")))).alias("confidence"))
+
+
+@query("F12_safe_labels", "select conv_id, turn, count(*) as n, max(length(coalesce(nullif(trim(regexp_replace(text, '[\\x00-\\x1F\\x7F]+', ' ', 'g'), ' '), ''), 'unnamed'))) as chars from conversations group by 1, 2")
+def _(g):
+    return g["conversations"].groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(S.safe_label(F.col("text"), "unnamed"))).alias("chars"))
+
+
+@query("F14_utf16", "select doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) as units from documents")
+def _(g):
+    return g["documents"].select("doc_id", S.utf16_length(F.col("text")).alias("units"))
+
+
+@query("F15_graphql", "select event_id, case when split_part(event_type, '.', 1) in ('query', 'mutation', 'subscription') then split_part(event_type, '.', 1) else 'other' end as operation from events")
+def _(g):
+    return g["events"].select("event_id", S.graphql_operation(F.col("event_type")).alias("operation"))
+
+
+@query("F8_uri_component", "select page_id, length(url_encode(url)) as chars from pages")
+def _(g):
+    return g["pages"].select("page_id", F.length(F.replace(F.replace(F.replace(F.replace(F.replace(S.encode_uri_component(F.col("url")), F.lit("!"), F.lit("%21")), F.lit("'"), F.lit("%27")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")), F.lit("*"), F.lit("%2A"))).alias("chars"))
+
+
+@query("P3_unresolved_edges", "select e.id from fx_call_edges e left join fx_nodes n on n.id = e.target_id where e.confidence = 'unresolved' or n.id is null", *NE)
+def _(g):
+    return _calls(g).filter("is_unresolved").select("id")
+
+
+@query("P5_missing_labels", _CALLS + " select id, coalesce(nullif(trim(split_part(target_id, ':', 2)), ''), target_id, 'unknown') as label from calls where is_unresolved", *NE)
+def _(g):
+    label = F.coalesce(F.nullif(F.trim(F.split_part("target_id", F.lit(":"), F.lit(2))), F.lit("")), F.col("target_id"), F.lit("unknown"))
+    return _calls(g).filter("is_unresolved").select("id", label.alias("label"))
+
+
+@query("P8_completeness_filters", _CALLS + " select id from calls where not is_external and not is_unresolved", *NE)
+def _(g):
+    return _calls(g).filter("NOT is_external AND NOT is_unresolved").select("id")
+
+
+@query("P9_file_view", "select distinct file_path as id, count(*) as callables from fx_parts group by 1", "fx_parts")
+def _(g):
+    return index.callables(g.nodes).groupBy(F.col("file_path").alias("id")).agg(F.count(F.lit(1)).alias("callables"))
+
+
+@query("P12_drop_weak_relations", _RELATED + " select source_module, target_module, evidence from related where exact + resolved > 0", *MOD)
+def _(g):
+    return ownership.relations(_located(g)).filter("exact + resolved > 0").select("source_module", "target_module", "evidence")
+
+
+@query("P15_non_application_paths", "select id from fx_parts where regexp_matches(file_path, '(^|/)(promo|test|tests|vendor)(/|$)')", "fx_parts")
+def _(g):
+    return g["fx_parts"].filter(F.col("file_path").rlike("(^|/)(promo|test|tests|vendor)(/|$)")).select("id")
+
+
+@query("P17_mapped_flows", _BOUND + " select id from fx_units u where exists (select 1 from bound b where b.unit_id = u.id)", "fx_units", "fx_parts")
+def _(g):
+    return g["fx_units"].join(_bound(g).select("unit_id"), F.col("id") == F.col("unit_id"), "left_semi").select("id")
+
+
+@query("A13_flow_summary", _BOUND + ", n as (select u.id, count(distinct function_id) as c from fx_units u left join (select * from bound where evidence = 'contains') b on b.unit_id = u.id where u.kind in ('route', 'operation') group by 1) select count(*) as entrypoints, count(*) filter (where c = 1) as mapped, count(*) filter (where c > 1) as ambiguous, count(*) filter (where c = 0) as gaps from n", "fx_units", "fx_parts")
+def _(g):
+    contains = _bound(g).filter("evidence = 'contains'")
+    per = g["fx_units"].filter(F.col("kind").isin("route", "operation")).join(contains.select("unit_id", "function_id"), F.col("id") == F.col("unit_id"), "left").groupBy("id").agg(F.count_distinct("function_id").alias("c"))
+    return per.agg(F.count(F.lit(1)).alias("entrypoints"), F.count_if(F.col("c") == 1).alias("mapped"), F.count_if(F.col("c") > 1).alias("ambiguous"), F.count_if(F.col("c") == 0).alias("gaps"))
+
+
+@query("A20_accumulators", "select regexp_replace(file_path, '/[^/]*$', '') as root, framework, count(*) as units, string_agg(distinct kind, ',' order by kind) as evidence from fx_units group by 1, 2", "fx_units")
+def _(g):
+    return g["fx_units"].groupBy(S.parent_path(F.col("file_path")).alias("root"), "framework").agg(F.count(F.lit(1)).alias("units"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("evidence"))
+
+
+@query("A24_coverage_counters", "select count(*) as files, count(*) filter (where file_path like '/ws/promo/%') as promo, count(distinct regexp_replace(file_path, '/[^/]*$', '')) as dirs from (select distinct file_path from fx_parts) t", "fx_parts")
+def _(g):
+    files = g["fx_parts"].select("file_path").distinct()
+    return files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.startswith("file_path", F.lit("/ws/promo/"))).alias("promo"), F.count_distinct(S.parent_path(F.col("file_path"))).alias("dirs"))
+
+
+@query("A26_unresolved_by_source", "select source_id, count(*) as n from (select source_id, target_id, min(id) as id from fx_call_edges where confidence = 'unresolved' group by 1, 2) t group by 1", "fx_call_edges")
+def _(g):
+    return g.edges.filter("confidence = 'unresolved'").select("source_id", "target_id").distinct().groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A29_execution_counts", "select framework, count(*) filter (where kind = 'route') as route, count(*) filter (where kind = 'operation') as operation, count(*) filter (where kind = 'controller') as controller from fx_units group by 1", "fx_units")
+def _(g):
+    return g["fx_units"].groupBy("framework").pivot("kind", ["route", "operation", "controller"]).count().na.fill(0)
+
+
+@query("A30_area_counts", "select split_part(file_path, '/', 3) as area, count(distinct file_path) as files, count(*) as callables, array_to_string(list_slice(list_sort(list_distinct(list(name))), 1, 3), ',') as representatives from fx_parts group by 1", "fx_parts")
+def _(g):
+    return g["fx_parts"].groupBy(F.split_part("file_path", F.lit("/"), F.lit(3)).alias("area")).agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("callables"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 3), ",").alias("representatives"))
+
+
+@query("A34_drill_targets", _CALLS + f" select source_id, related_id, count(*) as callsites, min({_RANK}) as strongest from calls group by 1, 2", *NE)
+def _(g):
+    return _calls(g).groupBy("source_id", "related_id").agg(F.count(F.lit(1)).alias("callsites"), F.min(S.confidence_rank(F.col("confidence"))).alias("strongest"))
+
+
+@query("A35_barycentre", "select target_id, avg(start_line) as centre from fx_call_edges group by 1", "fx_call_edges")
+def _(g):
+    return g.edges.groupBy("target_id").agg(F.avg("start_line").alias("centre"))
+
+
+@query("K1_function_order", "select id, file_path, start_line from fx_parts order by file_path, start_line, name, id limit 250", "fx_parts")
+def _(g):
+    return g["fx_parts"].orderBy("file_path", "start_line", "name", "id").select("id", "file_path", "start_line").limit(250)
+
+
+@query("K2_relation_order", _CALLS + " select source_id, related_id, r from (select source_id, related_id, row_number() over (partition by source_id order by related_id) as r from (select distinct source_id, related_id from calls) d) t where r <= 3", *NE)
+def _(g):
+    from ..operators.selection import top_per_group
+
+    pairs = _calls(g).select("source_id", "related_id").distinct()
+    from pyspark.sql import Window
+
+    return top_per_group(pairs.withColumn("r", F.row_number().over(Window.partitionBy("source_id").orderBy("related_id"))), "source_id", [F.asc("r")], 3)
+
+
+@query("K14_edge_order", _RELATED + " select source_module, target_module, evidence from related order by evidence desc, source_module, target_module limit 160", *MOD)
+def _(g):
+    return ownership.relations(_located(g)).orderBy(F.desc("evidence"), "source_module", "target_module").select("source_module", "target_module", "evidence").limit(160)
+
+
+@query("K20_entry_files", "select file_path, max(case when regexp_matches(file_path, '/p0\\.py$') then 130 when regexp_matches(file_path, '/p1\\.py$') then 120 else 98 end) as score from fx_parts group by 1 order by score desc, file_path limit 24", "fx_parts")
+def _(g):
+    score = F.when(F.col("file_path").rlike(r"/p0\.py$"), 130).when(F.col("file_path").rlike(r"/p1\.py$"), 120).otherwise(98)
+    return g["fx_parts"].groupBy("file_path").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "file_path").limit(24)
+
+
+@query("K21_bounded_labels", "select source_id, array_to_string(case when len(t) > 3 then list_concat(list_slice(t, 1, 2), [concat(len(t) - 2, ' additional')]) else t end, ',') as labels from (select source_id, list_sort(list_distinct(list(target_id))) as t from fx_call_edges group by 1) u", "fx_call_edges")
+def _(g):
+    from ..operators.selection import bounded_labels
+
+    return g.edges.groupBy("source_id").agg(F.array_sort(F.collect_set("target_id")).alias("t")).select("source_id", F.array_join(bounded_labels(F.col("t"), 3), ",").alias("labels"))
+
+
+@query("G8_lineage", _REACH.format(here="source_id", there="target_id", depth=2) + ", up(start, node, depth) as (select id, id, 0 from seeds union select w.start, e.source_id, w.depth + 1 from up w join fx_call_edges e on e.target_id = w.node where w.depth < 2) select start, node from walk union select start, node from up", "fx_call_edges", "fx_parts")
+def _(g):
+    down = traverse.ordered_bfs(_seeds(g), g.edges, "out", 2).select("start", "node")
+    return down.unionByName(traverse.ordered_bfs(_seeds(g), g.edges, "in", 2).select("start", "node")).distinct()
+
+
+@query("S12_cache_retention", "select cache_key from (select *, sum(bytes) over (order by saved_at desc, scope, cache_key rows unbounded preceding) as running from (select *, row_number() over (partition by scope order by saved_at desc, cache_key) as n from (select event_type as scope, event_id as cache_key, ts as saved_at, cast(event_id % 97 as bigint) as bytes from events) e) t where n <= 8) u where running <= 1000")
+def _(g):
+    from ..sources.workspace import retained
+
+    shots = g["events"].select(F.col("event_type").alias("scope"), F.col("event_id").alias("cache_key"), F.col("ts").alias("saved_at"), (F.col("event_id") % 97).cast("long").alias("bytes"))
+    scopes = {r["scope"]: 8 for r in shots.select("scope").distinct().limit(100).collect()}
+    return retained(shots, scopes, 1000).select("cache_key")
+
+
+@query("S15_supplement", "select event_id as id, event_type from events where event_id % 3 = 0 union all select event_id, 'supplement' from events where event_id % 2 = 0 and event_id % 3 <> 0")
+def _(g):
+    from ..sources.workspace import merge_supplement
+
+    e = g["events"]
+    base = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("id"), "event_type")
+    return merge_supplement(base, e.filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit("supplement").alias("event_type")))
+
+
+@query("X_documents_as_sources")
+def _(g):
+    """X9-X11 over every document taken for a Python file: each becomes facts or a diagnostic."""
+    from ..operators.extract import extract
+
+    files = g["documents"].select(F.concat(F.lit("/ws/"), F.col("doc_id"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.col("text").alias("content"))
+    return extract(files).groupBy("fact", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ST_sessions", "with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as before, event_id from events), s as (select *, sum(case when before is null or ts - before >= interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_id) as k from e) select user_id, min(ts) as start_ts, count(*) as n from s group by user_id, k")
+def _(g):
+    grouped = g["events"].groupBy(F.session_window("ts", "30 minutes").alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select("user_id", F.col("s.start").alias("start_ts"), "n")
