@@ -107,4 +107,76 @@ with c as (
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": _OP7, "op6_exact_dedup": _OP6, "op9_warc": _OP9}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+_OP2 = f"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') as ws from documents
+), win as (
+  select doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13) t
+), least_doc as (
+  select s, min(doc_id) as m from win group by s
+), hit as (
+  select distinct doc_id, i + k as pos from win join least_doc using (s), (select unnest(range(13)) as k) r where m < doc_id
+), word as (
+  select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w
+), kept as (
+  select word.doc_id, string_agg(word, ' ' order by pos) as text from word anti join hit using (doc_id, pos) group by 1
+), removed as (select doc_id, count(*) as n from hit group by 1)
+select w.doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join kept on kept.doc_id = w.doc_id left join removed on removed.doc_id = w.doc_id
+"""
+
+_OP4 = f"""
+with w as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all({_LOWER}, '{_ALNUM}') as ws from documents
+), phrase(label, p) as (
+  values {", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in licenses.PHRASES)}
+), place as (
+  select doc_id, label, i - 1 as word_at from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w) t, phrase where ws[i] = p[1] and list_slice(ws, i, i + len(p) - 1) = p
+), base as (
+  select doc_id, count(*) as n, min(word_at) as first_word, max(word_at) as last_word, string_agg(distinct label, ',' order by label) as labels from place group by 1
+), template(label, tw) as (
+  values {", ".join(f"('{label}', {words!r})" for _, label, words in licenses._templates(licenses.TEMPLATES))}
+), block as (
+  select doc_id, unnest(regexp_split_to_array({_LOWER}, '\\n+')) as b from w
+), share as (
+  select doc_id, label, len(list_intersect(list_distinct(regexp_extract_all(b, '{_ALNUM}')), tw)) / len(tw) as c from block, template
+), more as (
+  select doc_id, label, max(c) as c from share where c >= {licenses.THRESHOLD} - 1e-9 group by 1, 2
+), label as (
+  select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from place union all select doc_id, label from more) t group by 1
+), best as (select doc_id, max(c) as c from more group by 1)
+select w.doc_id, len(ws) as n_words, coalesce(n, 0) as n_base, first_word, last_word, coalesce(base.labels, '') as base_labels, coalesce(label.labels, '') as labels,
+  case when n > 0 then 1.0 else coalesce(best.c, 0.0) end as score
+from w left join base on base.doc_id = w.doc_id left join label on label.doc_id = w.doc_id left join best on best.doc_id = w.doc_id
+"""
+
+_OP10 = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') as ws from documents
+), shingle as (
+  select distinct doc_id, s from (
+    select doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5) t
+    union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4) u
+), size as (select doc_id, count(*) as n from shingle group by 1
+), common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select x, y from common join size p on p.doc_id = x join size q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+), reach(doc_id, r) as (
+  select doc_id, doc_id from documents union select reach.doc_id, link.y from reach join link on link.x = reach.r
+), component as (select doc_id, min(r) as component_id from reach group by 1)
+select c.doc_id, coalesce(n, 0) as n_shingles, component_id, c.doc_id = component_id as kept from component c left join size on size.doc_id = c.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": _OP2,
+    "op4_license_scan": _OP4,
+    "op6_exact_dedup": _OP6,
+    "op7_chat_format": _OP7,
+    "op9_warc": _OP9,
+    "op10_minhash_near_dedup": _OP10,
+}
