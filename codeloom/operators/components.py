@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .lineage import kept
 
+#: Up to so many edges left after trimming, one task finishes the components; larger graphs go by rounds.
+SMALL_EDGES = 500_000
+
 
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges without nodes that nothing enters or leaves, which are components by themselves."""
@@ -29,7 +33,47 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _small_components(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of two or more nodes of a graph of checked size, by two depth-first passes."""
+    out: dict = {}
+    into: dict = {}
+    for s, d in zip(pdf["src"], pdf["dst"], strict=True):
+        out.setdefault(s, []).append(d)
+        into.setdefault(d, []).append(s)
+    seen, finished = set(), []
+    for start in sorted(out):
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(out.get(start, ())))]
+        while stack:
+            node, rest = stack[-1]
+            for to in rest:
+                if to not in seen:
+                    seen.add(to)
+                    stack.append((to, iter(out.get(to, ()))))
+                    break
+            else:
+                finished.append(node)
+                stack.pop()
+    taken, rows = set(), []
+    for start in reversed(finished):
+        if start in taken:
+            continue
+        taken.add(start)
+        members, at = [start], 0
+        while at < len(members):
+            for to in into.get(members[at], ()):
+                if to not in taken:
+                    taken.add(to)
+                    members.append(to)
+            at += 1
+        if len(members) > 1:
+            rows += [(m, min(members)) for m in members]
+    return pd.DataFrame(rows, columns=["node", "component"])
+
+
+def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(node, component) of all nodes in a strongly connected component of two or more; component is the smallest member.
 
     ``edges`` has src and dst.  Nodes are coloured with the smallest node that reaches them; inside a
@@ -39,7 +83,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     parts = []
     while True:
         edges = _trim(edges)
-        if edges.isEmpty():
+        left = edges.count()
+        if not left:
+            break
+        if left <= small_edges:
+            kind = dict(edges.dtypes)["src"]
+            parts.append(edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_small_components, f"node {kind}, component {kind}"))
             break
         nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
         colours = _spread(nodes.select("node", F.col("node").alias("label")), edges)

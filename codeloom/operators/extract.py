@@ -19,7 +19,7 @@ def python_facts(path: str, content: str) -> Iterator[tuple]:
     """(path, fact, kind, name, scope, line, end_line, detail); facts are symbol, import, call and diagnostic."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         yield path, "diagnostic", "analysis.fileFailed", type(e).__name__, "", getattr(e, "lineno", None) or 0, 0, str(e)[:200]
         return
     stack: list[tuple[ast.AST, str, bool]] = [(tree, "", False)]

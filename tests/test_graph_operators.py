@@ -113,7 +113,8 @@ def test_change_impact(spark):
 
 def test_strong_components_and_ranks(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 8), (8, 9), (7, 9)], "src long, dst long")
-    assert rows(components.strong_components(edges), "node", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    for small in (0, 100):
+        assert rows(components.strong_components(edges, small), "node", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
     assert rows(components.longest_path_ranks(edges.filter("src >= 6")), "node", "rank") == [(7, 0), (8, 1), (9, 2)]
 
 
