@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
-from ..operators import binding, components, dataflow, index, ownership, search, traverse
+from ..operators import binding, components, dataflow, index, ownership, search, traverse, views
 from .fixtures import Graph, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -728,3 +728,113 @@ def _(g):
 def _(g):
     grouped = g["events"].groupBy(F.session_window("ts", "30 minutes").alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return grouped.select("user_id", F.col("s.start").alias("start_ts"), "n")
+
+
+@query("J16_without_orphans", "select id, kind from fx_nodes n where kind <> 'external' or exists (select 1 from fx_call_edges e where e.target_id = n.id)", *NE)
+def _(g):
+    return views.without_orphans(g.nodes, g.edges).select("id", "kind")
+
+
+@query("J21_at_cursor", "select id from fx_parts where file_path = '/ws/promo/brand1/p1.py' and start_line <= 1000 and end_line >= 1000 order by start_line <> 1000, end_line - start_line, id limit 1", "fx_parts")
+def _(g):
+    return views.at_cursor(g["fx_parts"], "/ws/promo/brand1/p1.py", 1000).select("id")
+
+
+@query("J22_origins", _BOUND + " select distinct unit_id from bound where function_id in (select source_id from fx_call_edges)", "fx_units", "fx_parts", "fx_call_edges")
+def _(g):
+    return _bound(g).join(g.edges.select("source_id"), F.col("function_id") == F.col("source_id"), "left_semi").select("unit_id").distinct()
+
+
+@query("K15_boundary_functions", _LOCATED + " select source_module, source_id, count(*) as degree from located where source_module is not null and coalesce(target_module <> source_module, true) group by 1, 2", *MOD)
+def _(g):
+    return views.boundary_functions(_located(g))
+
+
+@query("G10_call_tree", _CALLS + """, o as (select source_id as id, count(distinct related_id) as n_out, array_to_string(list_slice(list_sort(list_distinct(list(related_id))), 1, 3), ',') as callees from calls group by 1),
+    i as (select related_id as id, count(distinct source_id) as n_in, array_to_string(list_slice(list_sort(list_distinct(list(source_id))), 1, 3), ',') as callers from calls group by 1)
+    select coalesce(o.id, i.id) as id, coalesce(n_out, 0) as n_out, coalesce(callees, '') as callees, coalesce(n_in, 0) as n_in, coalesce(callers, '') as callers from o full join i on o.id = i.id""", *NE)
+def _(g):
+    return views.call_tree(_calls(g))
+
+
+@query("D15_drill_targets", _CALLS + ", per as (select source_id, related_id, count(*) as callsites from calls where source_id <> related_id group by 1, 2), r as (select *, row_number() over (partition by source_id order by callsites desc, related_id) as position, count(*) over (partition by source_id) as total from per) select source_id, related_id, callsites, position, greatest(total - 2, 0) as omitted from r where position <= 2", *NE)
+def _(g):
+    return views.direct_callees(_calls(g), 2)
+
+
+@query("F20_constraints", "select event_id, value > 50 as gt, value is not null and value <> 0 as truthy, user_id = 7 as eq from events where value is not null and user_id is not null")
+def _(g):
+    e = g["events"].filter("value IS NOT NULL AND user_id IS NOT NULL")
+    return e.select("event_id", views.constraint("gt", F.col("value"), F.lit(50)).alias("gt"), views.constraint("truthy", F.col("value"), F.lit(None)).alias("truthy"), views.constraint("eq", F.col("user_id"), F.lit(7)).alias("eq"))
+
+
+@query("U6_canonical_edges", "select source_id, id, target_id from (select *, row_number() over (partition by source_id order by target_id, id) as n from fx_call_edges) t where n = 1", "fx_call_edges")
+def _(g):
+    return views.canonical(g.edges.select("source_id", "id", "target_id"), "source_id", [F.asc("target_id"), F.asc("id")])
+
+
+@query("U3_distinct_sorted", "select confidence, array_to_string(list_sort(list_distinct(list(kind))), ',') as kinds, count(distinct source_id) as sources from fx_call_edges group by 1", "fx_call_edges")
+def _(g):
+    return g.edges.groupBy("confidence").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count_distinct("source_id").alias("sources"))
+
+
+@query("W6_first_values", "select distinct file_path, first_value(name) over (partition by file_path order by start_line, id) as first_name from fx_parts", "fx_parts")
+def _(g):
+    return g["fx_parts"].groupBy("file_path").agg(F.min_by("name", F.struct("start_line", "id")).alias("first_name"))
+
+
+@query("D5_nearest_uses", "select function_id, binding, block_id as \"read\", nearest from (select *, lag(block_id) over (partition by function_id, binding order by block_id) as nearest from fx_blocks) t where access = 'read' and nearest is not null", "fx_blocks")
+def _(g):
+    return views.nearest_uses(g["fx_blocks"])
+
+
+@query("D3_flows_of_a_binding", "select function_id, block_id from fx_blocks b where binding = 1 and access = 'define' and exists (select 1 from fx_block_edges e where e.function_id = b.function_id and e.src = b.block_id and e.kind not in ('defines', 'deferred'))", "fx_blocks", "fx_block_edges")
+def _(g):
+    run = dataflow.runtime_edges(g["fx_block_edges"]).select(F.col("function_id").alias("f"), "src")
+    b = g["fx_blocks"].filter("binding = 1 AND access = 'define'")
+    return b.join(run, (F.col("function_id") == F.col("f")) & (F.col("block_id") == F.col("src")), "left_semi").select("function_id", "block_id")
+
+
+@query("G3_subgraph_counts", "select n.kind, count(*) as nodes, count(distinct file_path) as files from fx_nodes n where n.id in (select source_id from fx_call_edges union select target_id from fx_call_edges) group by 1", *NE)
+def _(g):
+    ids = g.edges.select(F.col("source_id").alias("n")).union(g.edges.select("target_id")).distinct()
+    return g.nodes.join(ids, F.col("id") == F.col("n"), "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("file_path").alias("files"))
+
+
+@query("G6_symbol_flow", _REACH.format(here="source_id", there="target_id", depth=3) + ", best as (select start, node, min(depth) as depth from walk group by 1, 2) select start, count(*) as nodes, max(depth) as depth from best group by 1", "fx_call_edges", "fx_parts")
+def _(g):
+    return traverse.ordered_bfs(_seeds(g), g.edges, "out", 3).groupBy("start").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
+
+
+@query("F13_host_paths", "select conv_id, turn, count(*) as n, count(*) filter (where regexp_matches(text, '/(home|Users|root)/')) as leaks from conversations group by 1, 2")
+def _(g):
+    return g["conversations"].groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").rlike("/(home|Users|root)/")).alias("leaks"))
+
+
+@query("F16_range_spans", "select id, (end_line - start_line) * 1000000 as span from fx_parts", "fx_parts")
+def _(g):
+    zero = F.lit(0)
+    return g["fx_parts"].select("id", S.range_span(F.col("start_line"), zero, F.col("end_line"), zero).alias("span"))
+
+
+@query("F1_F2_normalise", "select id, lower(trim(name)) as name, replace(file_path, '/', '/') as path from fx_parts", "fx_parts")
+def _(g):
+    return g["fx_parts"].select("id", S.normalise_text(F.col("name")).alias("name"), S.forward_slashes(F.replace(F.col("file_path"), F.lit("/"), F.lit("\\"))).alias("path"))
+
+
+@query("A31_layer_summary", "select count(*) filter (where layer <> 'unclassified') as classified, count(*) as n from (select case when file_path like '/ws/economy/%' then 'adapters' else 'unclassified' end as layer from fx_parts) t", "fx_parts")
+def _(g):
+    from ..operators.layers import path_layer
+
+    layered = g["fx_parts"].select(path_layer(F.col("file_path"), (("adapters", ("economy",)),)).alias("layer"))
+    return layered.agg(F.count_if(F.col("layer") != "unclassified").alias("classified"), F.count(F.lit(1)).alias("n"))
+
+
+@query("K18_primary_path", "select framework, id, score from (select framework, id, end_line - start_line as score from fx_units order by score desc, framework, id limit 1) t", "fx_units")
+def _(g):
+    return g["fx_units"].select("framework", "id", (F.col("end_line") - F.col("start_line")).alias("score")).orderBy(F.desc("score"), "framework", "id").limit(1)
+
+
+@query("K19_scope_order", "select framework, count(*) as n from fx_units group by 1 order by n desc, framework limit 3", "fx_units")
+def _(g):
+    return g["fx_units"].groupBy("framework").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "framework").limit(3)
