@@ -43,7 +43,6 @@ def lines_by_hand(docs, tau=line_dedup.TAU, least=line_dedup.MIN_CHARS):
     out = []
     for i, t in docs:
         key = float("inf") if i is None else i
-        mine = [(n, line) for (d, n), line in at if d == key]
         mine = [(n, line) for n, line in enumerate((t or "").split("\n")) if line.strip(" \t\n\r\x0b\x0c")]
         gone = [n for n, line in mine if first[line] < (key, n) or close.get(line)]
         out.append((str(i), len(mine), gone))
@@ -56,7 +55,7 @@ def test_line_dedup(spark, per_line, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
     rnd = random.Random(4)
     pool = ["Subscribe to our newsletter number {} today and every day", "A rather short line {}", "…öäü naïve café line with accents {}"]
-    docs = [(None, "the line of a document without a name"), (50, None), (51, ""), (52, "\n \n"), (53, "x\nx\nx"), (54, "y" * 20_000 + "\n" + "y" * 19_999 + "z")]
+    docs = [(None, "the line of a document without a name"), (950, None), (951, ""), (952, "\n \n"), (953, "x\nx\nx"), (954, "y" * 20_000 + "\n" + "y" * 19_999 + "z")]
     for i in range(60):
         lines = [rnd.choice(pool).format(rnd.randint(0, 300)) for _ in range(rnd.randint(1, 3))]
         lines.append("".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(18, 40))))
@@ -70,7 +69,7 @@ def test_line_dedup(spark, per_line, monkeypatch):
     got = sorted((str(r["doc_id"]), r["n_lines"], list(r["removed_lines"])) for r in line_dedup.line_dedup(df).collect())
     assert got == lines_by_hand(docs)
     kept = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(df, line_dedup.line_dedup(df)).collect()}
-    assert kept[53] == "x" and kept[50] is None and kept[54] == "y" * 20_000
+    assert kept[953] == "x" and kept[950] is None and kept[954] == "y" * 20_000
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
