@@ -41,6 +41,7 @@ MAX_FEATURES = 5_000
 MIN_ROWS = 6
 MIN_CHI = 40.0
 STEPS = 100
+PARTS = 8
 RIDGE = 1e-3
 #: 0: each labelled document weighs alike; 1: each grade does.
 BALANCE = 0.5
@@ -197,8 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             own = np.concatenate([[0], np.cumsum(hit)])[cuts - cuts[0]]
             yield pa.RecordBatch.from_arrays([batch["g"], pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(at[hit].astype(np.int32)))], names=["g", "x"])
 
-    kept = stored(train.mapInArrow(narrow, "g int, x array<int>"), "design")
-    weights, step = np.zeros(d), None
+    # A few parts: the sample is bounded, and each step collects one gradient of d + 2 numbers from each.
+    kept = stored(train.mapInArrow(narrow, "g int, x array<int>").coalesce(PARTS), "design")
+    weights = np.zeros(d)
     # Adagrad on the full-sample gradient; rare grades weigh more than their number, so that they count.
     balance = np.where(totals > 0, (n / (GRADES * np.maximum(totals, 1))) ** BALANCE, 0)
     state = np.zeros(d + GRADES - 1)
@@ -223,13 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
                 total[:d] += np.bincount(x, weights=((dhi - dlo) / p * size)[row], minlength=d)[:d]
                 for k in range(GRADES - 1):
                     total[d + k] += (size * (np.where(g == k, -dhi, 0) + np.where(g == k + 1, dlo, 0)) / p).sum()
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        summed = kept.mapInArrow(gradient, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # d + 2 rows at most
-        step = np.zeros(d + GRADES - 1)
-        step[[r["i"] for r in summed]] = [r["v"] for r in summed]
-        step /= n
+        step = sum((np.frombuffer(r["sums"]) for r in kept.mapInArrow(gradient, "sums binary").collect()), np.zeros(d + GRADES - 1)) / n
         step[:d] += RIDGE * weights
         state += step**2
         move = 0.5 * step / np.sqrt(state + 1e-12)
