@@ -735,9 +735,9 @@ def _(g):
     return views.without_orphans(g.nodes, g.edges).select("id", "kind")
 
 
-@query("J21_at_cursor", "select id from fx_parts where file_path = '/ws/promo/brand1/p1.py' and start_line <= 1000 and end_line >= 1000 order by start_line <> 1000, end_line - start_line, id limit 1", "fx_parts")
+@query("J21_at_cursor", "select id from fx_parts where file_path = '/ws/economy/brand2/p0.py' and start_line <= 3 and end_line >= 3 order by start_line <> 3, end_line - start_line, id limit 1", "fx_parts")
 def _(g):
-    return views.at_cursor(g["fx_parts"], "/ws/promo/brand1/p1.py", 1000).select("id")
+    return views.at_cursor(g["fx_parts"], "/ws/economy/brand2/p0.py", 3).select("id")
 
 
 @query("J22_origins", _BOUND + " select distinct unit_id from bound where function_id in (select source_id from fx_call_edges)", "fx_units", "fx_parts", "fx_call_edges")
