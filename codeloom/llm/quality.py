@@ -122,6 +122,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def _ordered(t: np.ndarray) -> np.ndarray:
+    """The nearest ascending thresholds: neighbours out of order take their mean."""
+    pools: list[list[float]] = []
+    for x in t:
+        pools.append([x, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            b, n = pools.pop()
+            a, m = pools.pop()
+            pools.append([(a * m + b * n) / (m + n), m + n])
+    return np.array([x for x, n in pools for _ in range(int(n))])
+
+
 class Model:
     """Weights of the chosen buckets and ordered thresholds; small enough to broadcast."""
 
@@ -232,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         state += step**2
         move = 0.5 * step / np.sqrt(state + 1e-12)
         weights = weights - move[:d]
-        thresholds = np.maximum.accumulate(thresholds - move[d:])
+        thresholds = _ordered(thresholds - move[d:])
         now.unpersist()
     return Model(chosen, weights, thresholds)
 
