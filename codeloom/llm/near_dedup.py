@@ -7,7 +7,7 @@ element are the arrivals of a Poisson process dealt to random registers, so an e
 only the arrivals before the time by which all registers of its set are hit.
 
 1. Documents with equal sets form a class; only a class's smallest document goes on.
-2. Bands of 8 registers are sorted by value; equal bands are buckets.  A bucket of up to 8 gives
+2. Bands of registers, 8 at 85 percent, are sorted by value; equal bands are buckets.  A bucket of up to 8 gives
    all pairs; a larger one gives each member's neighbours in the order of the next band and its
    link to the smallest member, so pairs stay linear in the rows.  A bucket may span range partitions.
 3. The counts of registers that are larger, smaller and equal give the likelihood of the Jaccard
@@ -19,7 +19,9 @@ only the arrivals before the time by which all registers of its set are hit.
    that join two components leave the block.  So no pair that shares a band goes unexamined
    unless its ends are already connected.
 
-A pair at similarity 0.85 shares no band of the 48 with probability 3e-7.
+The least similarity of a link is a parameter; the cut of estimates, the size filters and the width
+of bands follow from it.  A pair at similarity 0.85 shares no band of the 48 with probability 3e-7;
+at 0.8 bands are 6 wide, and a pair shares none of the 64 with probability 4e-9.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text of fewer
 than 5 words is one shingle; a null identifier cannot be named, so such a row is linked with nothing and kept;
@@ -41,10 +43,11 @@ from .components import contract
 from .words import SPACED, Words, mix, split_words
 
 SHINGLE = 5
-#: A link: 100 * |A and B| >= PERCENT * |A or B|.
+#: A link: 100 * |A and B| >= percent * |A or B|; this is the percentage unless a caller gives another.
 PERCENT = 85
-BANDS, BAND = 48, 8
-REGISTERS = BANDS * BAND
+REGISTERS = 384
+#: Bands are as wide as this probability of sharing none lets them be, for a pair at the percentage.
+MISS = 1e-6
 BASE, RATE = 1.08, 20.0
 #: Up to this size a bucket gives all its pairs.
 SMALL_BUCKET = 8
@@ -129,8 +132,14 @@ def likelihood(more: np.ndarray, less: np.ndarray, m: int, na: np.ndarray, nb: n
     return np.take_along_axis(grid, score.argmax(axis=-1)[..., None], axis=-1)[..., 0]
 
 
-def _cut() -> float:
-    j = PERCENT / 100
+def _band(percent: int) -> int:
+    """Registers in a band: a divisor of REGISTERS, 8 at most."""
+    missed = lambda width: (1 - (percent / 100) ** width) ** (REGISTERS // width)
+    return next((width for width in (8, 6, 4, 3, 2) if missed(width) <= MISS), 1)
+
+
+def _cut(percent: int) -> float:
+    j = percent / 100
     return j - SLACK * float(np.sqrt(j * (1 - j) / REGISTERS))
 
 
@@ -160,17 +169,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
 
 
-def _bands(reps: DataFrame) -> DataFrame:
+def _bands(reps: DataFrame, width: int) -> DataFrame:
     """(band, follow, id): a row for each band; follow orders a bucket by the next band."""
+    n = REGISTERS // width
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.ascontiguousarray(_matrix(batch["sketch"])).view("<u8").reshape(-1, BANDS)
-            band = mix(values + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _GAP)
+            padded = np.zeros((batch.num_rows, n, 8), dtype=np.uint8)
+            padded[..., :width] = _matrix(batch["sketch"]).reshape(-1, n, width)
+            values = padded.view("<u8")[..., 0]
+            band = mix(values + (np.arange(n, dtype=np.uint64) + np.uint64(1)) * _GAP)
             follow = np.roll(values.byteswap(), -1, axis=1)
-            ids = np.repeat(batch["id"].to_numpy(zero_copy_only=False), BANDS)
+            ids = np.repeat(batch["id"].to_numpy(zero_copy_only=False), n)
             yield pa.RecordBatch.from_arrays([pa.array(band.reshape(-1).view(np.int64)), pa.array(np.ascontiguousarray(follow).reshape(-1).view(np.int64)), pa.array(ids)], names=["band", "follow", "id"])
 
     return reps.select("id", "sketch").mapInArrow(bands, "band long, follow long, id long")
@@ -236,10 +248,11 @@ def _pairs(bands: DataFrame) -> DataFrame:
     return ordered.select("band", "id").mapInArrow(pairs, "kind int, a long, b long")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b, j) of the pairs whose likeliest similarity is not far below the threshold."""
     one, other = (reps.select(F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "12")
     both = pairs.join(one, F.col("a") == F.col("i1")).join(other, F.col("b") == F.col("i2")).select("a", "b", "n1", "n2", "s1", "s2")
+    cut = _cut(percent)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +260,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 2048)
                 n1, n2 = (part[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n1", "n2"))
                 j = estimate(_matrix(part["s1"]), _matrix(part["s2"]), n1, n2)
-                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(j)], names=["a", "b", "j"]).filter(pa.array(j >= _cut()))
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(j)], names=["a", "b", "j"]).filter(pa.array(j >= cut))
 
     return both.mapInArrow(judge, "a long, b long, j double")
 
@@ -278,7 +291,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     return stored(own.join(wanted.withColumnRenamed("id", "w"), F.col("id") == F.col("w"), "left_semi"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, by their full sets.
 
     A set travels once for each pair as b and once for each 512 pairs as a.
@@ -299,7 +312,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     if at != (hub, part):
                         at, own = (hub, part), []
                     own.append(s.copy())
-                elif at == (hub, part) and any(_linked(s, o) for o in own):
+                elif at == (hub, part) and any(_linked(s, o, percent) for o in own):
                     out[0].append(hub)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], schema=schema)
@@ -308,14 +321,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(rows.mapInArrow(verify, "a long, b long").distinct())
 
 
-def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     least, most = min(len(x), len(y)), max(len(x), len(y))
-    if 100 * least < PERCENT * most or not least:
+    if 100 * least < percent * most or not least:
         return False
     at = np.searchsorted(x, y)
     at[at == len(x)] = 0
     common = int((x[at] == y).sum())
-    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,7 +338,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select(*pairs.columns)
 
 
-def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components in large buckets, all members compared in blocks."""
     own = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
     tagged = members.join(own, F.col("id") == F.col("n"), "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
@@ -338,6 +351,7 @@ def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets:
     rest = open_.filter("c <> main").select(*keep, deal(1, "rest_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"))
     all_ = open_.select(*keep, F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("x"), deal(2, "all_blocks").alias("y"), F.lit(1).alias("side"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    cut = _cut(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [])
@@ -356,15 +370,15 @@ def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets:
 
             out: tuple[list, list] = ([], [])
             for r in range(len(i)):
-                far = np.flatnonzero((cj != ci[r]) & (np.minimum(nj, ni[r]) * 100 >= PERCENT * np.maximum(nj, ni[r])))
+                far = np.flatnonzero((cj != ci[r]) & (np.minimum(nj, ni[r]) * 100 >= percent * np.maximum(nj, ni[r])))
                 # Equal registers alone bound the estimate closely enough to skip most.
-                far = far[(sj[far] == si[r]).sum(axis=1) >= (_cut() - 0.05) * REGISTERS]
+                far = far[(sj[far] == si[r]).sum(axis=1) >= (cut - 0.05) * REGISTERS]
                 if not len(far):
                     continue
                 est = estimate(np.broadcast_to(si[r], (len(far), REGISTERS)), sj[far], np.full(len(far), ni[r]), nj[far])
-                for k in far[np.argsort(-est, kind="stable")][: int((est >= _cut()).sum())]:
+                for k in far[np.argsort(-est, kind="stable")][: int((est >= cut).sum())]:
                     one, other = root(int(ci[r])), root(int(cj[k]))
-                    if one != other and _linked(sets_i[r], sets_j[k]):
+                    if one != other and _linked(sets_i[r], sets_j[k], percent):
                         up[max(one, other)] = min(one, other)
                         out[0].append(i[r])
                         out[1].append(j[k])
@@ -384,33 +398,38 @@ def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets:
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_shingles, component_id, and whether it is its component's smallest."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: n_shingles, component_id, and whether it is its component's smallest.
+
+    Documents of ``percent`` (1 to 99) of common shingles or more are linked.
+    """
+    if not 1 <= percent <= 99:
+        raise ValueError(f"percent must be from 1 to 99, not {percent}")
     shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     drawn = stored(sketches(texts), "sketches")
     known = drawn.filter("key IS NOT NULL AND id IS NOT NULL")
     classes = checkpointed(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
-    # A set of fewer than 7 links with equal sets only.
-    fewest = next(n for n in range(1, 200) if 100 * n >= PERCENT * (n + 1))
+    # A smaller set (fewer than 6 at 85 percent) links with equal sets only.
+    fewest = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
     mine = classes.select(F.col("key").alias("k"), "rep")
     reps = stored(known.filter(F.col("n") >= fewest).join(mine, (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "key"]).select("id", "n", "sketch"), "reps")
-    made = stored(_pairs(_bands(reps)), "pairs")
+    made = stored(_pairs(_bands(reps, _band(percent))), "pairs")
 
     heads = made.filter("kind = 2").groupBy(F.col("a").alias("bucket")).agg(F.min("b").alias("least"))
     joints = made.filter("kind = 2").join(heads, F.col("a") == F.col("bucket")).select(F.col("least").alias("x"), F.col("b").alias("y"))
     raw = made.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(joints)
     pairs = raw.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    likely = checkpointed(_estimated(pairs, reps))
+    likely = checkpointed(_estimated(pairs, reps, percent))
     members = made.filter("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id")).distinct()
 
     wanted = checkpointed(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct())
     sets = _sets_of(texts, wanted, wanted.count())
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("j", (-F.col("a")).alias("o"))).alias("a")).select("a", "b")
-    labels = checkpointed(contract(_verified(best, sets)))
+    labels = checkpointed(contract(_verified(best, sets, percent)))
     rest = checkpointed(_apart(likely.select("a", "b"), labels).join(best, ["a", "b"], "left_anti"))
-    labels = contract(_verified(rest, sets), labels)
-    labels = contract(_whole_buckets(members, labels, reps, sets), labels)
+    labels = contract(_verified(rest, sets, percent), labels)
+    labels = contract(_whole_buckets(members, labels, reps, sets, percent), labels)
 
     final = classes.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rows", F.coalesce("component", "rep").alias("component"))
     # Classes that share a document belong together.
@@ -419,7 +438,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return by_key.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that :func:`near_duplicates` drops; columns stay as they are."""
-    dropped = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
+    dropped = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(dropped, F.col(id_col) == F.col("_drop"), "left_anti")

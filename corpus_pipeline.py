@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from codeloom.llm.common import stored, table
 
+#: Percentage of common five-word shingles from which the pipeline takes documents for near copies.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the labelled sample, does not reject."""
@@ -24,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
-    return near_dedup.keep_one_of_each_group(docs)
+    return near_dedup.keep_one_of_each_group(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

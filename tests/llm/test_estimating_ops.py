@@ -140,6 +140,39 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    docs = []
+    for g in range(40):
+        base = [word() for _ in range(100)]
+        # Common shingles of 96: 87 (similarity 0.83), 86 (0.81), 85 (0.79).
+        for k, places in enumerate(((), ((50, 3), (50, 70), (20, 50, 99))[g % 3])):
+            copy = list(base)
+            for x in places:
+                copy[x] = f"new{x}"
+            docs.append((2 * g + k, copy))
+    sets = [shingles(t) for _, t in docs]
+    links = lambda percent: {k + 1 for k in range(0, 80, 2) if 100 * len(sets[k] & sets[k + 1]) >= percent * len(sets[k] | sets[k + 1])}
+    assert len(links(80)) == 27 and not links(85)
+    docs += [(100, "a b c d e f g h".split()), (101, "a b c d e f g h i".split())]  # 4 of 5 shingles
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string").repartition(3)
+    left = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, "").collect()}
+    assert left == {i for i, _ in docs} - links(80) - {101}
+    assert near_dedup.near_duplicates(df).filter("NOT kept").count() == 0
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(df, percent=100)
+
+
+def test_bands_follow_the_percentage():
+    assert (near_dedup._band(85), near_dedup._band(80)) == (8, 6)
+    for percent in (50, 70, 80, 85, 95):
+        width = near_dedup._band(percent)
+        assert near_dedup.REGISTERS % width == 0 and (1 - (percent / 100) ** width) ** (near_dedup.REGISTERS // width) <= near_dedup.MISS
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     for n, common in ((40, 30), (600, 540), (600, 300)):
