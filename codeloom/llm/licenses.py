@@ -3,13 +3,16 @@
 Base: the places where a license phrase's words stand consecutively.  They are found in the
 text of lower-cased words joined by single spaces, by byte search.
 
-Method: an exact set-similarity join between license templates and text blocks (lines).  A block
+Method: an exact set-similarity join between license templates and text blocks.  Blocks are the
+lines and, as statements are wrapped, windows across line breaks: for a template of n words, all
+windows of 2n words at steps of n/2, so n words and up to n/2 between them lie whole in one.  A block
 matches a template when it holds at least ``threshold`` of the template's distinct words.  The
 words of all templates are ordered by how many documents hold them, rarest first.  A block that
 matches must hold a word of the template's prefix (its first ``size - need + 1`` words in that
 order), must have ``need`` words at least, and from its first prefix match on, both sides must
 have words enough left; whatever passes is verified on full sets.  Documents that lack the words
-for any template are left out beforehand, which is exact, as a block's words are its document's.
+for any template are left out beforehand, which is exact, as a block's words are its document's;
+a document has windows for those templates only whose words it holds.
 The texts are read once; what the join needs of them is stored.
 
 Templates are a parameter of the caller and not data, so their words and prefixes are broadcast.
@@ -72,6 +75,10 @@ def _templates(templates: tuple[tuple[str, str], ...]) -> list[tuple[int, str, l
     return [(n, label, sorted(set(_WORD.findall(text.lower())))) for n, (label, text) in enumerate(templates)]
 
 
+def _lengths(templates: tuple[tuple[str, str], ...]) -> list[int]:
+    return [max(1, len(_WORD.findall(text.lower()))) for _, text in templates]
+
+
 def _base_columns(phrases: tuple[tuple[str, str], ...]) -> list[Column]:
     """n_words, n_base, first_word, last_word and base labels, from the column ``spaced``."""
     inner = F.col("spaced")
@@ -98,21 +105,31 @@ def _base_columns(phrases: tuple[tuple[str, str], ...]) -> list[Column]:
 
 
 def _scanned(docs: DataFrame, known: list[tuple[int, str, list[str]]], phrases: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
-    """One pass over the texts: base columns, the template words held, and the blocks of documents that hold enough."""
+    """One pass over the texts: base columns, the template words held, and of documents that hold enough for some templates these, the lines, and the words if there are several lines."""
     vocabulary = sorted({w for _, _, words in known for w in words})
     texts = docs.select("id", "key", "text", spaced_words(F.col("text")).alias("spaced"))
     held = F.array_intersect(F.split(F.col("spaced"), " "), F.array(*map(F.lit, vocabulary)))
-    with_words = texts.select("id", "key", "text", *_base_columns(phrases), held.alias("held"))
+    with_words = texts.select("id", "key", "text", "spaced", *_base_columns(phrases), held.alias("held"))
     least = min(_need(len(words), threshold) for _, _, words in known)
-    some = F.lit(False)
-    for _, _, words in known:
-        some = some | (F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= _need(len(words), threshold))
-    enough = F.when(F.size("held") >= least, some).otherwise(F.lit(False))
-    blocks = F.when(enough, F.array_distinct(F.split("text", r"\n+")))
-    return stored(with_words.withColumn("blocks", blocks).drop("text"), "license-scan")
+    enough = [F.when(F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= _need(len(words), threshold), F.lit(n)) for n, _, words in known]
+    with_met = with_words.withColumn("met", F.when(F.size("held") >= least, F.array_compact(F.array(*enough))))
+    some = F.coalesce(F.size("met") > 0, F.lit(False))
+    blocks = F.when(some, F.array_distinct(F.split("text", r"\n+")))
+    words = F.when(some & F.contains("text", F.lit("\n")), F.split(F.trim("spaced"), " "))
+    return stored(with_met.withColumns({"blocks": blocks, "words": words}).drop("text", "spaced"), "license-scan")
+
+
+def _windows(scanned: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, key, only, words): the windows of texts of several lines, each for the template ``only``."""
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("only") + 1)
+    width, step = of([2 * n for n in lengths]), of([max(1, n // 2) for n in lengths])
+    each = scanned.filter(F.col("words").isNotNull()).select("id", "key", F.explode("met").alias("only"), "words")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - width + step), step)
+    windows = F.transform(starts, lambda at: F.slice("words", at, width))
+    return each.select("id", "key", "only", F.explode(windows).alias("words"))
 
 
-def template_matches(scanned: DataFrame, known: list[tuple[int, str, list[str]]], threshold: float = THRESHOLD) -> DataFrame:
+def template_matches(scanned: DataFrame, known: list[tuple[int, str, list[str]]], lengths: list[int], threshold: float = THRESHOLD) -> DataFrame:
     """(id, key, label, containment) of every block of every document that meets a template."""
     counts = scanned.select(F.explode("held").alias("word")).groupBy("word").count()
     rank = {r["word"]: r["count"] for r in counts.collect()}  # at most one row per template word
@@ -122,13 +139,14 @@ def template_matches(scanned: DataFrame, known: list[tuple[int, str, list[str]]]
     blocks = scanned.filter(F.col("blocks").isNotNull()).select("id", "key", F.explode("blocks").alias("block"))
     ranks = F.create_map(*[x for w, n in order.items() for x in (F.lit(w), F.lit(n))])
     words = F.array_distinct(F.filter(F.split(spaced_words(F.col("block")), " "), lambda w: w != ""))
-    blocks = blocks.select("id", "key", words.alias("words")).select("id", "key", F.size("words").alias("size"), F.array_sort(F.filter(F.transform("words", lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())).alias("ranks"))
+    lines = blocks.select("id", "key", F.lit(None).cast("int").alias("only"), words.alias("words"))
+    blocks = lines.unionByName(_windows(scanned, lengths).withColumn("words", F.array_distinct("words"))).select("id", "key", "only", F.size("words").alias("size"), F.array_sort(F.filter(F.transform("words", lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())).alias("ranks"))
     index = scanned.sparkSession.createDataFrame(
         [(order[w], i, n, label, [order[x] for x in words], need) for n, label, words, need in plans for i, w in enumerate(words[: len(words) - need + 1])],
         "word int, at int, template int, label string, template_ranks array<int>, need int",
     )
-    probes = blocks.select("id", "key", "size", "ranks", F.posexplode("ranks").alias("position", "word"))
-    both = probes.join(F.broadcast(index), "word")  # the prefixes of the templates
+    probes = blocks.select("id", "key", "only", "size", "ranks", F.posexplode("ranks").alias("position", "word"))
+    both = probes.join(F.broadcast(index), "word").filter("only IS NULL OR only = template")  # the prefixes of the templates
     left = F.lit(1) + F.least(F.size("template_ranks") - F.col("at") - 1, F.size("ranks") - F.col("position") - 1)
     seen = F.size(F.array_intersect(F.slice("ranks", F.lit(1), F.col("position")), F.slice("template_ranks", F.lit(1), F.col("at"))))
     candidates = both.filter((F.col("size") >= F.col("need")) & (seen == 0) & (left >= F.col("need")))
@@ -142,7 +160,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     known = _templates(templates)
     base = _scanned(rows, known, phrases, threshold)
-    more = template_matches(base, known, threshold).groupBy("id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")).withColumnsRenamed({"id": "more_id", "key": "more_key"})
+    more = template_matches(base, known, _lengths(templates), threshold).groupBy("id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")).withColumnsRenamed({"id": "more_id", "key": "more_key"})
     both = base.join(more, F.col("id").eqNullSafe(F.col("more_id")) & (F.col("key") == F.col("more_key")), "left")
     return both.select(
         F.col("id").alias("doc_id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -159,6 +160,21 @@ def test_license_templates_by_containment(spark):
     assert got == [(1, "gpl-3", round(11 / 12, 4)), (2, "", 0.0), (2, "gpl-3", 1.0)]
 
 
+def test_wrapped_license_statements(spark):
+    texts = {n: (label, text) for n, (label, text) in enumerate(licenses.TEMPLATES)}
+    wrapped = lambda text, width, lead: "\n".join(lead + line for line in textwrap.wrap(text, width))
+    rows = [(n, f"{words(70, n)}\n{wrapped(text, 76 if len(text) > 76 else 20, '# ')}.\n{words(90 + n, 50 + n)}") for n, (_, text) in texts.items()]
+    rows += [(100 + n, wrapped(text, 40, "dnl ")) for n, (_, text) in texts.items() if len(text) > 76]
+    scattered = licenses.TEMPLATES[1][1].split(" ")
+    rows += [(200, "\n".join(f"{w} {words(30, k)}" for k, w in enumerate(scattered)))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, _ in rows[:-1]:
+        label = texts[n % 100][0]
+        assert label in got[n][0].split(",") and got[n][1] == 1.0, (n, got[n])
+    assert {"mit", "gpl-3", "bsd", "isc"} <= {texts[n - 100][0] for n in got if 100 <= n < 200}
+    assert got[200] == ("", 0.0)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
