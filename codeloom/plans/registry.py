@@ -498,6 +498,13 @@ def _(g):
     return p.select("page_id", F.length(key).alias("path_chars"), S.path_depth(key).alias("depth"))
 
 
+# Every page, those that F5_F6_paths and its SQL leave out included; no SQL for empty and dot segments.
+@query("F5_F6_all_paths")
+def _(g):
+    key = S.path_key(F.regexp_replace("url", "^[a-z]+://", "/"))
+    return g["pages"].select("page_id", F.length(key).alias("path_chars"), S.path_depth(key).alias("depth"))
+
+
 @query("F9_sha256", "select doc_id, sha256(text) as digest from documents")
 def _(g):
     return g["documents"].select("doc_id", F.sha2("text", 256).alias("digest"))

@@ -223,3 +223,22 @@ def test_extract_and_resolve(spark):
         ("main", "main.inner", "resolved"),
         ("main", "external::/ws/a.py::os.getcwd", "unresolved"),
     }
+
+
+def test_all_paths_keeps_every_page(spark, tmp_path):
+    from codeloom.plans.registry import QUERIES
+
+    urls = ["https://h.org/a/b", "https://h.org/a//b", "https://h.org/./a", "https://h.org/a/../b/", "https://h.org/", "http://h.org/../../x", "https://h.org/.hidden/..", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def by_hand(url):
+        done = []
+        for part in url.split("://")[1].split("/"):
+            if part == "..":
+                done = done[:-1]
+            elif part not in ("", "."):
+                done.append(part)
+        return len("/" + "/".join(done)), len(done)
+
+    want = [(i, *(by_hand(u) if u else (None, None))) for i, u in enumerate(urls)]
+    assert rows(QUERIES["F5_F6_all_paths"](spark, str(tmp_path)), "page_id", "path_chars", "depth") == want
