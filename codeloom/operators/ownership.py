@@ -97,17 +97,15 @@ def drop_shadowed_parents(roots: DataFrame) -> DataFrame:
 def ancestor_closed_top(modules: DataFrame, limit: int) -> DataFrame:
     """Modules by score, each only with its whole missing chain of ancestors, skipped if that exceeds the budget.
 
-    A greedy choice that depends on all before it.  ``modules`` (module, parent, score) is one scene; it
-    is cut beforehand to the rows that can matter: the ``limit`` best and the chains above them.
+    A greedy choice that depends on all before it.  ``modules`` (module, parent, score) is one scene; the
+    choice is made among its best rows, with the chains above them, and again among four times as many
+    while the budget is not full and rows are left.
     """
-    best = modules.orderBy(F.desc("score"), "module").limit(limit * 4).select("module")
-    chains = best.select("module", F.inline(path_prefixes(F.col("module")))).select(F.col("root").alias("module")).distinct()
-    rows = modules.join(F.broadcast(chains), "module", "left_semi")
 
     def choose(pdf):
         parent = dict(zip(pdf["module"], pdf["parent"], strict=True))
         chosen: list[str] = []
-        for module in pdf.sort_values(["score", "module"], ascending=[False, True])["module"]:
+        for module in pdf[pdf["ranked"]].sort_values(["score", "module"], ascending=[False, True])["module"]:
             chain, at = [], module
             while at is not None and at in parent and at not in chosen:
                 chain.append(at)
@@ -118,7 +116,15 @@ def ancestor_closed_top(modules: DataFrame, limit: int) -> DataFrame:
         out["position"] = [chosen.index(m) + 1 for m in out["module"]]
         return out[["module", "position"]]
 
-    return rows.withColumn("scene", F.lit(1)).groupBy("scene").applyInPandas(choose, "module string, position int")
+    total, size = modules.count(), limit * 4
+    while True:
+        best = modules.orderBy(F.desc("score"), "module").limit(size).select("module")
+        chains = best.select("module", F.inline(path_prefixes(F.col("module")))).groupBy(F.col("root").alias("module")).agg(F.max(F.col("root") == F.col("module")).alias("ranked"))
+        rows = modules.join(chains, "module")
+        chosen = rows.withColumn("scene", F.lit(1)).groupBy("scene").applyInPandas(choose, "module string, position int")
+        if size >= total or chosen.count() >= limit:
+            return chosen
+        size *= 4
 
 
 def confidence_window(edges: DataFrame) -> DataFrame:

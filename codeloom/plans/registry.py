@@ -709,8 +709,7 @@ def _(g):
     from ..sources.workspace import retained
 
     shots = g["events"].select(F.col("event_type").alias("scope"), F.col("event_id").alias("cache_key"), F.col("ts").alias("saved_at"), (F.col("event_id") % 97).cast("long").alias("bytes"))
-    scopes = {r["scope"]: 8 for r in shots.select("scope").distinct().limit(100).collect()}
-    return retained(shots, scopes, 1000).select("cache_key")
+    return retained(shots, 8, 1000).select("cache_key")
 
 
 @query("S15_supplement", "select event_id as id, event_type from events where event_id % 3 = 0 union all select event_id, 'supplement' from events where event_id % 2 = 0 and event_id % 3 <> 0")

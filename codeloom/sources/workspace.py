@@ -102,9 +102,12 @@ def read_graph(spark: SparkSession, path: str, node_schema: str, edge_schema: st
     return read("nodes", node_schema), read("edges", edge_schema)
 
 
-def retained(snapshots: DataFrame, caps: dict[str, int], byte_budget: int) -> DataFrame:
-    """Which cached snapshots stay: the latest of each scope up to its cap, then within the byte budget."""
-    cap = F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("scope"))
+def retained(snapshots: DataFrame, caps: dict[str, int] | int, byte_budget: int) -> DataFrame:
+    """Which cached snapshots stay: the latest of each scope up to its cap, then within the byte budget.
+
+    One number as ``caps`` holds for every scope; of a dict, scopes without a cap keep nothing.
+    """
+    cap = F.lit(caps) if isinstance(caps, int) else F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("scope"))
     latest = Window.partitionBy("scope").orderBy(F.desc("saved_at"), "cache_key")
     kept = snapshots.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= cap)
     # The catalogue has a handful of rows for each scope after the caps.

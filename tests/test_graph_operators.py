@@ -242,3 +242,19 @@ def test_all_paths_keeps_every_page(spark, tmp_path):
 
     want = [(i, *(by_hand(u) if u else (None, None))) for i, u in enumerate(urls)]
     assert rows(QUERIES["F5_F6_all_paths"](spark, str(tmp_path)), "page_id", "path_chars", "depth") == want
+
+
+def test_ancestor_closed_top_goes_on_past_long_chains(spark):
+    deep = ["/w" + "".join(f"/d{k}" for k in range(n)) for n in range(1, 31)]
+    modules = [("/w", None, 1), ("/z", None, 2)] + [(m, m.rsplit("/", 1)[0], 100 + n) for n, m in enumerate(deep)]
+    df = spark.createDataFrame(modules, "module string, parent string, score long")
+    # The best 28 have chains of more than 3 modules.
+    assert rows(ownership.ancestor_closed_top(df, 3), "module", "position") == [("/w", 1), ("/w/d0", 2), ("/w/d0/d1", 3)]
+    assert rows(ownership.ancestor_closed_top(df, 1), "module", "position") == [("/z", 1)]
+
+
+def test_retention_holds_for_any_number_of_scopes(spark, tmp_path):
+    from codeloom.plans.registry import QUERIES
+
+    spark.range(250).selectExpr("id * 97 AS event_id", "concat('t', id) AS event_type", "timestamp_seconds(id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["S12_cache_retention"](spark, str(tmp_path)).count() == 250
