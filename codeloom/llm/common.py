@@ -9,12 +9,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Bytes of an Arrow batch between Spark and Python at most, unless the session says less.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches by bytes: rows may be whole texts, and each task holds a few batches off the heap."""
+    if int(str(spark.conf.get(_BATCH, str(1 << 30))).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset, on one machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -22,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -18,8 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at once; bounds the temporaries (about 60 bytes per text byte).
-CHUNK_BYTES = 1 << 20
+#: Bytes of text hashed at once; bounds the temporaries (about 60 bytes per text byte) and keeps them in the cache.
+CHUNK_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BYTE_MULTIPLIER = 0x9E3779B97F4A7C15

@@ -55,9 +55,12 @@ def lines_by_hand(docs, tau=line_dedup.TAU, least=line_dedup.MIN_CHARS):
     return sorted(out)
 
 
-@pytest.mark.parametrize("per_line", [16, 1])
-def test_line_dedup(spark, per_line, monkeypatch):
+@pytest.mark.parametrize(("per_line", "crowded_chunk", "crowd"), [(16, 256, 50_000), (1, 256, 50_000), (16, 8, 50_000), (16, 256, 3)])
+def test_line_dedup(spark, per_line, crowded_chunk, crowd, monkeypatch):
+    """Pairs and blocks; keys that a chunk finds crowded, and such that a task gives up for crowded."""
     monkeypatch.setattr(line_dedup, "PAIRS_PER_LINE", per_line)
+    monkeypatch.setattr(line_dedup, "CROWDED_CHUNK", crowded_chunk)
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
     rnd = random.Random(4)
     pool = ["Subscribe to our newsletter number {} today and every day", "A rather short line {}", "…öäü naïve café line with accents {}"]
@@ -77,6 +80,8 @@ def test_line_dedup(spark, per_line, monkeypatch):
     kept = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(df, line_dedup.line_dedup(df)).collect()}
     assert kept[953] == "x" and kept[950] is None and kept[954] == "y" * 20_000
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+    clashing = df.withColumnsRenamed({"line": "of0", "key": "removed_lines"})
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_lines(clashing, line_dedup.line_dedup(clashing)).collect()} == kept
 
 
 def test_components(spark):
