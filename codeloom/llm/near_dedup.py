@@ -53,6 +53,8 @@ BASE, RATE = 1.08, 20.0
 SMALL_BUCKET = 8
 #: Members of a block when a large bucket is compared whole.
 BLOCK = 256
+#: Sets are drawn so many at once at most, and about so many elements of them.
+SETS_ROWS, SETS_ELEMENTS = 8192, 400_000
 #: Standard errors of the estimate below the threshold at which a pair is let go.
 SLACK = 4.5
 _GAP = np.uint64(0x9E3779B97F4A7C15)
@@ -83,11 +85,11 @@ def shingle_sets(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(row, np.arange(w.rows + 1))
 
 
-def registers(h: np.ndarray, cuts: np.ndarray, m: int = REGISTERS) -> np.ndarray:
-    """The sketches (rows x m, uint8) of the sets h[cuts[r]:cuts[r+1]]; empty sets have registers 0."""
+def registers(h: np.ndarray, cuts: np.ndarray, m: int = REGISTERS, fewest: int = 1) -> np.ndarray:
+    """The sketches (rows x m, uint8) of the sets h[cuts[r]:cuts[r+1]]; those of fewer than ``fewest`` elements have registers 0."""
     sizes = np.diff(cuts)
     least = np.full((len(sizes), m), np.inf)
-    pending, reach = np.flatnonzero(sizes), np.log(m) + 5.0
+    pending, reach = np.flatnonzero(sizes >= fewest), np.log(m) + 5.0
     while len(pending):
         _arrivals(h, cuts, sizes, pending, reach, least, m)
         pending, reach = pending[np.isinf(least[pending]).any(axis=1)], reach * 2
@@ -148,19 +150,36 @@ def _cut(percent: int) -> float:
 _SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(id, n, key, sketch) of every row; key is a digest of the set, null for an empty one."""
+def sketches(docs: DataFrame, fewest: int = 1) -> DataFrame:
+    """(id, n, key, sketch) of every row; key is a digest of the set, null for an empty one.
+
+    Sets of fewer than ``fewest`` elements, which can only be equal to others, have registers 0.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        elements = rows = 0
+
+        def drawn() -> pa.RecordBatch:
+            ids, h, sizes = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            held.clear()
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            data = pa.py_buffer(np.ascontiguousarray(registers(h, cuts, fewest=fewest)).reshape(-1))
+            own = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.arange(0, (len(sizes) + 1) * REGISTERS, REGISTERS, dtype=np.int32)), data])
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), own], schema=_SKETCH)
+
         for batch in batches:
             for w in split_words(batch["text"], SPACED, lower=True):
                 h, cuts = shingle_sets(w)
-                k = registers(h, cuts)
-                sizes = np.diff(cuts)
-                keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                data = pa.py_buffer(np.ascontiguousarray(k).reshape(-1))
-                own = pa.BinaryArray.from_buffers(pa.binary(), w.rows, [None, pa.py_buffer(np.arange(0, (w.rows + 1) * REGISTERS, REGISTERS, dtype=np.int32)), data])
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(w.first_row, w.rows), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), own], schema=_SKETCH)
+                held.append((batch["id"].slice(w.first_row, w.rows), h, np.diff(cuts)))
+                elements, rows = elements + len(h), rows + w.rows
+                # Drawing goes by steps that all sets take together, so some thousand sets go at once.
+                if elements >= SETS_ELEMENTS or rows >= SETS_ROWS:
+                    yield drawn()
+                    elements = rows = 0
+        if held:
+            yield drawn()
 
     return docs.mapInArrow(sketch, "id long, n long, key binary, sketch binary")
 
@@ -407,11 +426,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"percent must be from 1 to 99, not {percent}")
     shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    drawn = stored(sketches(texts), "sketches")
-    known = drawn.filter("key IS NOT NULL AND id IS NOT NULL")
-    classes = checkpointed(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
     # A smaller set (fewer than 6 at 85 percent) links with equal sets only.
     fewest = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
+    drawn = stored(sketches(texts, fewest), "sketches")
+    known = drawn.filter("key IS NOT NULL AND id IS NOT NULL")
+    classes = checkpointed(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
     mine = classes.select(F.col("key").alias("k"), "rep")
     reps = stored(known.filter(F.col("n") >= fewest).join(mine, (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "key"]).select("id", "n", "sketch"), "reps")
     made = stored(_pairs(_bands(reps, _band(percent))), "pairs")
