@@ -40,9 +40,9 @@ DEPTH = 2
 MAX_WIDTH = 1 << 28
 SEGMENT = 1 << 22
 #: Windows of a flush; bounds a task's memory at about 60 bytes each.
-FLUSH = 1_000_000
-#: Windows of an exact group's bucket, about.
-BUCKET = 1_000_000
+FLUSH = 500_000
+#: Windows of an exact group's bucket, about; settling one takes about 100 bytes each.
+BUCKET = 500_000
 _ROW_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _LAST = np.iinfo(np.int64).max
 
@@ -75,7 +75,11 @@ def _flushes(batches: Iterator[pa.RecordBatch], k: int, second: bool) -> Iterato
 
     def out() -> dict[str, np.ndarray]:
         h, h2, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        return {"h": h, "h2": h2, "doc": doc, "pos": pos, "ids": np.concatenate(ids), "prints": np.concatenate(prints)}
+        whole = {"h": h, "h2": h2, "doc": doc, "pos": pos, "ids": np.concatenate(ids), "prints": np.concatenate(prints)}
+        # The pieces go before the flush is used.
+        for pieces in (held, ids, prints):
+            pieces.clear()
+        return whole
 
     for batch in batches:
         own = batch["id"].fill_null(_LAST).to_numpy(zero_copy_only=False)
@@ -91,8 +95,8 @@ def _flushes(batches: Iterator[pa.RecordBatch], k: int, second: bool) -> Iterato
             docs += w.rows
             windows += len(h)
             if windows >= FLUSH:
+                windows = docs = 0
                 yield out()
-                held, ids, prints, windows, docs = [], [], [], 0, 0
     if windows:
         yield out()
 
