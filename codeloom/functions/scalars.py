@@ -117,9 +117,17 @@ def safe_label(text: Column, fallback: str) -> Column:
     return F.coalesce(F.nullif(shown, F.lit("")), F.lit(fallback))
 
 
+# Absolute paths inside a text: POSIX, drive letter, network share.
+HOST_PATHS = (r"(?:^|[:=(\s])/(?:[^/\s:]+/)+[^/\s:]*", r"(?:^|[:=(\s])[a-z]:/(?:[^/\s:]+/)*[^/\s:]*", r"(?i)(?:^|[:=(\s])//[a-z0-9._-]+/[a-z0-9._-]+")
+
+
 def leaks_host_path(text: Column) -> Column:
-    """Whether a text shows an absolute path of the host."""
-    return text.rlike(r"(^|[\s\"'(=])(/(home|Users|root|var|tmp|mnt|opt)/|[A-Za-z]:[\\/]|\\\\)")
+    """whether a text, lower-cased and with forward slashes, shows an absolute path of the host."""
+    t = forward_slashes(normalise_text(text))
+    out = F.lit(False)
+    for pattern in HOST_PATHS:
+        out = out | t.rlike(pattern)
+    return out
 
 
 def utf16_length(text: Column) -> Column:

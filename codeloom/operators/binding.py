@@ -8,6 +8,13 @@ from ..functions.scalars import name_segments, normalise_identifier, range_conta
 
 #: Shortest name that may match a segment alone.
 LEAST_SEGMENT = 3
+# Segments too common to tell a unit's name.
+COMMON_SEGMENTS = (
+    "app", "apps", "module", "modules", "url", "urls", "route", "routes", "view", "views", "model", "models",
+    "serializer", "serializers", "schema", "schemas", "service", "services", "repository", "repositories",
+    "config", "configuration", "settings", "index", "main", "default", "handler", "command", "commands",
+    "middleware", "provider", "providers", "dependency", "dependencies",
+)
 
 
 def place_bindings(units: DataFrame, functions: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def name_bindings(units: DataFrame, functions: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("rank"), normalise_identifier(F.col("qualified_name")).alias("key")),
         F.struct(F.lit(2).alias("rank"), normalise_identifier(F.element_at(name_segments(F.col("qualified_name")), -1)).alias("key")),
     )
-    f = functions.select(F.col("id").alias("function_id"), F.col("file_path").alias("function_path"), F.inline(names)).filter((F.col("rank") < 2) | (F.length("key") >= LEAST_SEGMENT)).withColumnRenamed("key", "name_key")
+    f = functions.select(F.col("id").alias("function_id"), F.col("file_path").alias("function_path"), F.inline(names)).filter((F.col("rank") < 2) | ((F.length("key") >= LEAST_SEGMENT) & ~F.col("key").isin(*COMMON_SEGMENTS))).withColumnRenamed("key", "name_key")
     joined = u.join(f, (F.col("unit_path") == F.col("function_path")) & (F.col("key") == F.col("name_key")) & (F.col("key") != ""))
     kinds = F.array(F.lit("name"), F.lit("qualifiedName"), F.lit("segment"))
     return joined.groupBy("unit_id", "function_id").agg(F.element_at(kinds, F.min("rank") + 1).alias("evidence"))

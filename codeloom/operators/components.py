@@ -1,94 +1,55 @@
-"""Strongly connected components and longest-path ranks of large graphs, by rounds of joins."""
+"""Strongly connected components, their condensation and its ranks, by rounds of joins.
+
+Every round runs ``HOPS`` steps in one job before it cuts the lineage, so a round costs one job
+however many rows it moves.  Rounds follow the longest shortest way inside a component, or the
+longest path of the condensation, and always end: labels only fall, and a condensation has no cycle.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .lineage import kept
 
-#: Up to so many edges left after trimming, one task finishes the components; larger graphs go by rounds.
-SMALL_EDGES = 500_000
+#: Steps along edges in one job.
+HOPS = 4
+#: Rounds that peel off nodes without an edge in or out before each colouring; the colouring ends whatever they leave.
+TRIMS = 3
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Edges without nodes that nothing enters or leaves, which are components by themselves."""
-    count = edges.count()
-    while True:
+    """Edges without some of the nodes that nothing enters or leaves, which are components by themselves."""
+    for _ in range(TRIMS):
         entered, left = edges.select(F.col("dst").alias("n")).distinct(), edges.select(F.col("src").alias("n")).distinct()
-        edges = kept(edges.join(entered, F.col("src") == F.col("n"), "left_semi").join(left, F.col("dst") == F.col("n"), "left_semi"))
-        now = edges.count()
-        if now == count:
-            return edges
-        count = now
+        edges = edges.join(entered, F.col("src") == F.col("n"), "left_semi").join(left, F.col("dst") == F.col("n"), "left_semi")
+    return kept(edges)
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The smallest label that reaches each node along the edges (src -> dst), to its fixpoint."""
     while True:
-        sent = edges.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("got"))
-        new = kept(labels.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "got").alias("label"), (F.least("label", "got") < F.col("label")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
-
-
-def _small_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Components of two or more nodes of a graph of checked size, by two depth-first passes."""
-    out: dict = {}
-    into: dict = {}
-    for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-        out.setdefault(s, []).append(d)
-        into.setdefault(d, []).append(s)
-    seen, finished = set(), []
-    for start in sorted(out):
-        if start in seen:
-            continue
-        seen.add(start)
-        stack = [(start, iter(out.get(start, ())))]
-        while stack:
-            node, rest = stack[-1]
-            for to in rest:
-                if to not in seen:
-                    seen.add(to)
-                    stack.append((to, iter(out.get(to, ()))))
-                    break
-            else:
-                finished.append(node)
-                stack.pop()
-    taken, rows = set(), []
-    for start in reversed(finished):
-        if start in taken:
-            continue
-        taken.add(start)
-        members, at = [start], 0
-        while at < len(members):
-            for to in into.get(members[at], ()):
-                if to not in taken:
-                    taken.add(to)
-                    members.append(to)
-            at += 1
-        if len(members) > 1:
-            rows += [(m, min(members)) for m in members]
-    return pd.DataFrame(rows, columns=["node", "component"])
-
-
-def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+        now = labels.select("node", "label", F.col("label").alias("was"))
+        for _ in range(HOPS):
+            sent = edges.join(now, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("got"))
+            now = now.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "got").alias("label"), "was")
+        now = kept(now)
+        labels = now.select("node", "label")
+        if now.filter("label < was").isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes in a strongly connected component of two or more; component is the smallest member.
 
-    ``edges`` has src and dst.  Nodes are coloured with the smallest node that reaches them; inside a
-    colour, the nodes that reach the colour's own node are its component.  What is left goes another round.
+    ``edges`` has src and dst; repeated edges and self-loops change nothing.  Nodes are coloured with
+    the smallest node that reaches them; inside a colour, the nodes that reach the colour's own node are
+    its component.  What is left goes another round.
     """
     edges = kept(edges.select("src", "dst").filter("src <> dst").distinct())
     parts = []
     while True:
         edges = _trim(edges)
-        left = edges.count()
-        if not left:
-            break
-        if left <= small_edges:
-            kind = dict(edges.dtypes)["src"]
-            parts.append(edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_small_components, f"node {kind}, component {kind}"))
+        if edges.isEmpty():
             break
         nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
         colours = _spread(nodes.select("node", F.col("node").alias("label")), edges)
@@ -100,24 +61,111 @@ def strong_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataF
         found = kept(colours.join(marks.filter("label = 0").select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi").select("node", F.col("label").alias("component")))
         parts.append(found)
         gone = found.select(F.col("node").alias("g"))
-        edges = kept(edges.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"))
+        edges = edges.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti")
     if not parts:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1").select(F.col("component").alias("c"), "least")
-    return out.join(sizes, F.col("component") == F.col("c")).select("node", F.col("least").alias("component"))
+    many = out.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component").alias("c"))
+    return out.join(many, F.col("component") == F.col("c"), "left_semi")
 
 
-def longest_path_ranks(edges: DataFrame) -> DataFrame:
-    """(node, rank) of an acyclic graph: 0 without predecessors, else one more than the highest of them."""
-    edges = kept(edges.select("src", "dst").filter("src <> dst").distinct())
+def condensation(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component, size, cyclic) of every node, and the distinct edges (src, dst) between components.
+
+    A component is cyclic when it has several nodes or a self-loop.
+    """
+    edges = kept(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    ranks = kept(nodes.select("node", F.lit(0).alias("rank")))
+    strong = kept(strong_components(edges))
+    loops = edges.filter("src = dst").select(F.col("src").alias("l"))
+    labelled = nodes.join(strong.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").join(loops, F.col("node") == F.col("l"), "left")
+    members = labelled.select("node", F.coalesce("component", "node").alias("component"), F.col("l").isNotNull().alias("loop"))
+    sizes = members.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("size"), F.max("loop").alias("loop"))
+    members = kept(members.drop("loop").join(sizes, F.col("component") == F.col("c")).select("node", "component", "size", ((F.col("size") > 1) | F.col("loop")).alias("cyclic")))
+    one, other = (members.select(F.col("node").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in "12")
+    between = edges.join(one, F.col("src") == F.col("n1")).join(other, F.col("dst") == F.col("n2")).filter("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst")).distinct()
+    return members, kept(between)
+
+
+def _ranks(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...], most: int | None = None) -> DataFrame:
+    """(keys, node, rank, open): longest-path ranks of acyclic edges (keys, src, dst).
+
+    ``most`` bounds the rounds where edges may have cycles; nodes that still rise then are open.
+    """
+    ranks = kept(nodes.select(*keys, "node", F.lit(0).alias("rank")))
+    rounds = 0
     while True:
-        pushed = edges.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg((F.max("rank") + 1).alias("least"))
-        new = kept(ranks.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("rank", "least").alias("rank"), (F.coalesce("least", F.lit(0)) > F.col("rank")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.select("node", "rank")
-        ranks = new.select("node", "rank")
+        now = ranks.select(*keys, "node", "rank", F.col("rank").alias("was"))
+        for _ in range(HOPS):
+            pushed = edges.join(now.select(*keys, F.col("node").alias("src"), "rank"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg((F.max("rank") + 1).alias("least"))
+            now = now.join(pushed, [*keys, "node"], "left").select(*keys, "node", F.greatest("rank", "least").alias("rank"), "was")
+        now = kept(now)
+        ranks, rounds = now.select(*keys, "node", "rank"), rounds + 1
+        still = now.filter("rank > was").isEmpty()
+        if still or (most is not None and rounds * HOPS > most):
+            return now.select(*keys, "node", "rank", (F.col("rank") > F.col("was")).alias("open"))
+
+
+def longest_path_ranks(edges: DataFrame) -> DataFrame:
+    """(node, component, rank): 0 for components that none precedes, else one more than the highest before.
+
+    Cycles count as one component each, so every graph has ranks and the rounds end.
+    """
+    members, between = condensation(edges)
+    components = members.select(F.col("component").alias("node")).distinct()
+    ranks = _ranks(components, between, ()).select(F.col("node").alias("r"), "rank")
+    return members.join(ranks, F.col("component") == F.col("r")).select("node", "component", "rank")
+
+
+def forward_ranks(blocks: DataFrame, edges: DataFrame, back_kinds: tuple[str, ...] = ("repeat",)) -> DataFrame:
+    """C4: (function_id, block_id, rank) of the blocks of all functions at once, edges backwards left out.
+
+    A block that is still in a forward cycle comes after all others of its function, in source order.
+    """
+    forward = kept(edges.filter(~F.col("kind").isin(*back_kinds) & (F.col("src") != F.col("dst"))).select("function_id", "src", "dst").distinct())
+    nodes = blocks.select("function_id", F.col("block_id").alias("node")).distinct()
+    largest = nodes.groupBy("function_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # Blocks that cannot be settled: of a cycle or behind one; what is left of the edges after peeling.
+    rest, size = forward, -1
+    for _ in range(0, largest + 1, HOPS):
+        for _ in range(HOPS):
+            entered = rest.select("function_id", F.col("dst").alias("src")).distinct()
+            rest = rest.join(entered, ["function_id", "src"], "left_semi")
+        rest = kept(rest)
+        if (now := rest.count()) in (0, size):
+            break
+        size = now
+    open_ = rest.select("function_id", F.col("dst").alias("node")).distinct()
+    settled = forward.join(open_.select("function_id", F.col("node").alias("dst"), F.lit(True).alias("cut")), ["function_id", "dst"], "left").filter("cut IS NULL").select("function_id", "src", "dst")
+    ranks = _ranks(nodes, settled, ("function_id",)).join(open_.withColumn("late", F.lit(True)), ["function_id", "node"], "left")
+    own = Window.partitionBy("function_id")
+    top = F.coalesce(F.max(F.when(F.col("late").isNull(), F.col("rank"))).over(own), F.lit(0))
+    late = F.sum(F.when(F.col("late"), 1).otherwise(0)).over(own.orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    return ranks.select("function_id", F.col("node").alias("block_id"), F.when(F.col("late"), top + late).otherwise(F.col("rank")).cast("int").alias("rank"))
+
+
+def rank_order(ranks: DataFrame, edges: DataFrame, scene: str = "scene") -> DataFrame:
+    """(scene, node, rank, position): the order of drawing in each scene.
+
+    Ranks are placed one after the other, inside a rank by the mean position of the predecessors, those
+    without any last, then by name.  A scene is a bounded view (some hundred nodes), so it is ordered in a window.
+    """
+    ranks = kept(ranks.select(scene, "node", "rank"))
+    last = ranks.agg(F.max("rank")).first()[0]
+    own = Window.partitionBy(scene)
+    placed = None
+    for r in range((-1 if last is None else last) + 1):
+        here = ranks.filter(F.col("rank") == r)
+        if placed is None:
+            centred, before = here.withColumn("centre", F.lit(None).cast("double")), None
+        else:
+            at = placed.select(scene, F.col("node").alias("src"), "position")
+            centre = edges.join(at, [scene, "src"]).groupBy(scene, F.col("dst").alias("node")).agg(F.avg("position").alias("centre"))
+            centred, before = here.join(centre, [scene, "node"], "left"), placed.groupBy(scene).agg(F.count(F.lit(1)).alias("before"))
+        numbered = centred.withColumn("n", F.row_number().over(own.orderBy(F.asc_nulls_last("centre"), "node")))
+        shifted = numbered.withColumn("before", F.lit(0)) if before is None else numbered.join(before, scene, "left")
+        level = shifted.select(scene, "node", "rank", (F.col("n") - 1 + F.coalesce("before", F.lit(0))).cast("long").alias("position"))
+        placed = kept(level if placed is None else placed.unionByName(level))
+    return ranks.withColumn("position", F.lit(None).cast("long")) if placed is None else placed

@@ -66,6 +66,64 @@ def described(fanned: DataFrame) -> DataFrame:
     return fanned.select("*", role(F.col("kind"), F.col("callers"), F.col("callees")).alias("role"), tags(F.col("external_calls"), F.col("unresolved_calls"), F.col("callers"), F.col("callees")).alias("tags"))
 
 
+def missing_label(call_name: Column, call_expression: Column, target_id: Column) -> Column:
+    """P5: what a call without a target is called: its name, else its expression, else the target's id."""
+    told = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(told(call_name), told(call_expression), F.nullif(target_id, F.lit("")), F.lit("unresolved call"))
+
+
+def records(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """One record per callable, external target and missing target: (id, kind, name, qualified_name, role, confidence).
+
+    Empty texts count as missing.  ``calls`` comes from :func:`resolved_calls`, with call_name and call_expression.
+    """
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    own = callables(nodes).select("id", "kind", "name", F.coalesce(some("qualified_name"), F.col("name")).alias("qualified_name"), F.lit("unknown").alias("role"), F.lit("exact").alias("confidence"))
+    used = calls.filter("is_external").select(F.col("related_id").alias("u")).distinct()
+    outside = nodes.join(used, F.col("id") == F.col("u"), "left_semi").select(
+        "id",
+        F.lit("external").alias("kind"),
+        F.coalesce(some("name"), some("qualified_name"), F.lit("external")).alias("name"),
+        F.coalesce(some("qualified_name"), some("name"), F.lit("external")).alias("qualified_name"),
+        F.lit("external").alias("role"),
+        F.lit("resolved").alias("confidence"),
+    )
+    # Of several edges to a missing target the first by id names it.
+    label = F.coalesce(some("target_name"), missing_label(F.col("call_name"), F.col("call_expression"), F.col("target_id")))
+    lost = calls.filter("is_unresolved").groupBy("related_id").agg(F.min_by(label, "id").alias("name"))
+    lost = lost.select(F.col("related_id").alias("id"), F.lit("unresolved").alias("kind"), "name", F.concat(F.lit("unresolved:"), "name").alias("qualified_name"), F.lit("unresolved").alias("role"), F.lit("unresolved").alias("confidence"))
+    return own.unionByName(outside).unionByName(lost)
+
+
+def is_parser_failure(code: Column, message: Column) -> Column:
+    """P13."""
+    c, m = F.lower(code), F.lower(message)
+    return F.contains(c, F.lit("parse")) | F.contains(c, F.lit("syntax")) | F.contains(m, F.lit("parse"))
+
+
+def is_excluded_file(code: Column, message: Column) -> Column:
+    """P13."""
+    c, m = F.lower(code), F.lower(message)
+    return F.contains(c, F.lit("exclude")) | F.contains(c, F.lit("skip")) | F.contains(m, F.lit("excluded"))
+
+
+def full_summary(nodes: DataFrame, calls: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """A3: the eleven counters of the index, one row; ``diagnostics`` has code and message."""
+    fanned = fan(nodes, calls)
+    edges = calls.agg(
+        F.count(F.lit(1)).alias("call_edges"),
+        F.count_distinct(F.when(F.col("is_external"), F.col("related_id"))).alias("external_callables"),
+        F.count_distinct(F.when(F.col("is_unresolved"), F.col("related_id"))).alias("unresolved_callables"),
+        F.count_if("is_external").alias("external_call_edges"),
+        F.count_if("is_unresolved").alias("unresolved_call_edges"),
+        F.count_if(F.col("confidence") == "inferred").alias("inferred_call_edges"),
+    )
+    own = fanned.agg(F.count(F.lit(1)).alias("concrete"), F.count_if((F.col("callers") == 0) & (F.col("callees") > 0)).alias("visible"))
+    told = diagnostics.agg(F.count_if(is_parser_failure(F.col("code"), F.col("message"))).alias("parser_failures"), F.count_if(is_excluded_file(F.col("code"), F.col("message"))).alias("excluded_files"))
+    all_ = F.col("concrete") + F.col("external_callables") + F.col("unresolved_callables")
+    return edges.crossJoin(own).crossJoin(told).select(*edges.columns, all_.alias("callables"), "visible", F.greatest(all_ - F.col("visible"), F.lit(0)).alias("hidden"), "parser_failures", "excluded_files")  # one row each
+
+
 def summary(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """A3: the counters of the whole index, one row."""
     made = callables(nodes).agg(F.count(F.lit(1)).alias("callables"))

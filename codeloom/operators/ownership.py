@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalars import confidence_rank, path_key, path_prefixes
+from ..functions.scalars import confidence_name, confidence_rank, path_key, path_prefixes
+from .selection import smallest_values
 
 #: Evidence rows kept for a relation.
 REPRESENTATIVES = 5
@@ -37,17 +38,22 @@ def module_edges(nodes: DataFrame, edges: DataFrame, owner: DataFrame) -> DataFr
 def relations(located: DataFrame) -> DataFrame:
     """Cross-module relations with evidence count, confidence histogram, first evidence and what is omitted."""
     cross = located.filter("source_module IS NOT NULL AND target_module IS NOT NULL AND source_module <> target_module")
-    once = cross.dropDuplicates(["id", "kind"])
+    # A repeated id counts once, by its smallest signature.
+    signature = F.struct("kind", "source_module", "target_module", "start_line", "confidence")
+    once = cross.groupBy("id").agg(F.min(signature).alias("s")).select("id", "s.*")
     names = ("exact", "resolved", "inferred", "unresolved")
-    return once.groupBy("source_module", "target_module", "kind").agg(
-        F.count(F.lit(1)).alias("evidence"),
-        *[F.count_if(F.col("confidence") == c).alias(c) for c in names],
-        F.array_join(F.slice(F.array_sort(F.collect_set("id")), 1, REPRESENTATIVES), ",").alias("representatives"),
-        F.greatest(F.count(F.lit(1)) - REPRESENTATIVES, F.lit(0)).alias("omitted"),
-    )
+    groups = ["source_module", "target_module", "kind"]
+    counted = once.groupBy(*groups).agg(F.count(F.lit(1)).alias("evidence"), *[F.count_if(F.col("confidence") == c).alias(c) for c in names])
+    first = smallest_values(once, groups, "id", REPRESENTATIVES, "first").drop("n")
+    omitted = F.greatest(F.col("evidence") - REPRESENTATIVES, F.lit(0))
+    return counted.join(first, groups).select(*counted.columns, F.array_join("first", ",").alias("representatives"), omitted.alias("omitted"))
+
 
+# The kinds of relations that are counted inside a module.
+INTERNAL_KINDS = ("calls", "imports", "exports", "routesTo", "usesModel", "renders", "injects", "extends", "configures")
 
-def internal_counts(located: DataFrame, kinds: tuple[str, ...] = ("calls", "imports", "extends")) -> DataFrame:
+
+def internal_counts(located: DataFrame, kinds: tuple[str, ...] = INTERNAL_KINDS) -> DataFrame:
     """Relations inside each module, a column for each kind."""
     inside = located.filter("source_module = target_module")
     return inside.groupBy(F.col("source_module").alias("module")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
@@ -88,6 +94,43 @@ def boundary_merge(boundaries: DataFrame, order: tuple[str, ...] = ("workspacePa
     return boundaries.groupBy("root_key").agg(F.min_by("basis", rank).alias("basis"), F.array_join(F.array_sort(F.collect_set("basis")), ",").alias("bases"))
 
 
+def merged_evidence(found: DataFrame) -> DataFrame:
+    """One row per (root, ecosystem, name): strongest confidence, smallest path, all evidence once, sorted.
+
+    ``found`` has root, ecosystem, name, confidence, path and evidence; evidence kinds are a fixed handful.
+    """
+    merged = found.groupBy("root", "ecosystem", "name").agg(F.min(confidence_rank(F.col("confidence"))).alias("rank"), F.min("path").alias("path"), F.array_join(F.array_sort(F.collect_set("evidence")), ",").alias("evidence"))
+    return merged.select("root", "ecosystem", "name", confidence_name(F.col("rank")).alias("confidence"), "path", "evidence")
+
+
+def preferred_roots(found: DataFrame) -> DataFrame:
+    """Each framework's root to show: strongest confidence, then the shallowest path, then the smallest."""
+    depth = F.size(F.filter(F.split("root", "/"), lambda x: x != ""))
+    return found.groupBy("name").agg(F.min_by("root", F.struct(confidence_rank(F.col("confidence")), depth, F.col("root"))).alias("root"), F.count(F.lit(1)).alias("roots"))
+
+
+# What a module's kind of boundary adds to its score.
+BASIS_SCORES = {"workspacePackage": 10_000, "frameworkRoot": 8_000, "sourceArea": 6_000, "workspaceRoot": 4_000}
+
+
+def module_scores(boundaries: DataFrame, rolled: DataFrame, located: DataFrame, units: DataFrame) -> DataFrame:
+    """(module, score): basis, 100 an entry point, evidence in and out, callables of all descendants.
+
+    ``boundaries`` has one basis for each root, ``units`` (module, kind).
+    """
+    cross = located.filter("source_module <> target_module")
+    out = cross.groupBy(F.col("source_module").alias("o")).agg(F.count(F.lit(1)).alias("n_out"))
+    into = cross.groupBy(F.col("target_module").alias("i")).agg(F.count(F.lit(1)).alias("n_in"))
+    entry = units.filter(F.col("kind").isin("route", "operation")).groupBy(F.col("module").alias("e")).agg(F.count(F.lit(1)).alias("n_entry"))
+    basis = F.lit(0)
+    for name, value in BASIS_SCORES.items():
+        basis = F.when(F.col("basis") == name, value).otherwise(basis)
+    zero = F.lit(0).cast("long")
+    joined = rolled.join(boundaries.select(F.col("root_key").alias("b"), basis.alias("base")), F.col("module") == F.col("b")).join(out, F.col("module") == F.col("o"), "left").join(into, F.col("module") == F.col("i"), "left").join(entry, F.col("module") == F.col("e"), "left")
+    score = F.col("base") + F.coalesce("n_entry", zero) * 100 + F.coalesce("n_in", zero) + F.coalesce("n_out", zero) + F.col("all_callables")
+    return joined.select("module", score.cast("long").alias("score"))
+
+
 def drop_shadowed_parents(roots: DataFrame) -> DataFrame:
     """Roots that no other root lies below."""
     inner = roots.select(F.col("root_key").alias("child")).select("child", F.inline(path_prefixes(F.col("child")))).filter("root <> child").select(F.col("root").alias("parent")).distinct()

@@ -21,6 +21,18 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], limit: int)
     return rows.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= limit).drop("_n")
 
 
+def smallest_values(rows: DataFrame, groups: list[str], value: str, limit: int, name: str) -> DataFrame:
+    """(groups, name, n): each group's smallest distinct values, ``limit`` at most, and how many there are.
+
+    Values are numbered before they are gathered, so no row holds more than ``limit`` of them.
+    """
+    distinct = rows.select(*groups, value).filter(F.col(value).isNotNull()).distinct()
+    own = Window.partitionBy(*groups).orderBy(value)
+    first = distinct.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= limit).groupBy(*groups).agg(F.array_sort(F.collect_list(value)).alias(name))
+    counts = distinct.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(first, groups)
+
+
 def one_per_category(rows: DataFrame, limit: int) -> DataFrame:
     """The best row of every category first, the rest by rank.  ``rows`` has id, category and score."""
     own = Window.partitionBy("category").orderBy(F.desc("score"), "id")
@@ -37,10 +49,17 @@ def catalog(rows: DataFrame, text: str, limit: int = 24, most: int = 50) -> Data
     return page.crossJoin(F.broadcast(total)).select(*rows.columns, F.greatest(F.col("total") - limit, F.lit(0)).alias("omitted"))
 
 
-def bounded_labels(labels: Column, limit: int) -> Column:
-    """The first labels, the last replaced by how many more there are."""
-    more = F.concat((F.size(labels) - (limit - 1)).cast("string"), F.lit(" additional"))
-    return F.when(F.size(labels) > limit, F.concat(F.slice(labels, 1, limit - 1), F.array(more))).otherwise(labels)
+def bounded_labels(labels: Column, limit: int, total: Column | None = None) -> Column:
+    """The first labels, the last replaced by how many more there are; of ``total``, where ``labels`` has only the first."""
+    total = F.size(labels) if total is None else total
+    more = F.concat((total - (limit - 1)).cast("string"), F.lit(" additional"))
+    return F.when(total > limit, F.concat(F.slice(labels, 1, limit - 1), F.array(more))).otherwise(labels)
+
+
+def boundary_edges(containment: DataFrame, concrete: DataFrame, limit: int) -> DataFrame:
+    """Edges of an expanded module: all of containment first, then calls, each by evidence and id."""
+    both = containment.withColumn("_p", F.lit(0)).unionByName(concrete.withColumn("_p", F.lit(1)))
+    return both.orderBy("_p", F.desc("evidence"), "id").limit(limit).drop("_p")
 
 
 def clamp_limit(value: float | int | None, default: int, most: int) -> int:

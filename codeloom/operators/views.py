@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .selection import smallest_values
+
 
 def without_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes without the external placeholders that no edge refers to."""
-    used = edges.select(F.col("target_id").alias("u"))
+    """Nodes without the external placeholders that no edge refers to, at either end."""
+    used = edges.select(F.col("target_id").alias("u")).unionByName(edges.select(F.col("source_id").alias("u")))
     kept = nodes.filter("kind = 'external'").join(used, F.col("id") == F.col("u"), "left_semi")
     return nodes.filter("kind <> 'external'").unionByName(kept)
 
@@ -26,10 +28,10 @@ def boundary_functions(located: DataFrame) -> DataFrame:
 
 def call_tree(calls: DataFrame, limit: int = 3) -> DataFrame:
     """Each function's first callees and callers, and how many there are."""
-    out = calls.groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("related_id").alias("n_out"), F.array_join(F.slice(F.array_sort(F.collect_set("related_id")), 1, limit), ",").alias("callees"))
-    into = calls.groupBy(F.col("related_id").alias("id")).agg(F.count_distinct("source_id").alias("n_in"), F.array_join(F.slice(F.array_sort(F.collect_set("source_id")), 1, limit), ",").alias("callers"))
+    out = smallest_values(calls.select(F.col("source_id").alias("id"), "related_id"), ["id"], "related_id", limit, "callees").withColumnRenamed("n", "n_out")
+    into = smallest_values(calls.select(F.col("related_id").alias("id"), "source_id"), ["id"], "source_id", limit, "callers").withColumnRenamed("n", "n_in")
     zero, none = F.lit(0).cast("long"), F.lit("")
-    return out.join(into, "id", "full_outer").select("id", F.coalesce("n_out", zero).alias("n_out"), F.coalesce("callees", none).alias("callees"), F.coalesce("n_in", zero).alias("n_in"), F.coalesce("callers", none).alias("callers"))
+    return out.join(into, "id", "full_outer").select("id", F.coalesce("n_out", zero).alias("n_out"), F.coalesce(F.array_join("callees", ","), none).alias("callees"), F.coalesce("n_in", zero).alias("n_in"), F.coalesce(F.array_join("callers", ","), none).alias("callers"))
 
 
 def direct_callees(calls: DataFrame, limit: int = 24) -> DataFrame:
@@ -68,12 +70,3 @@ def nearest_uses(blocks: DataFrame) -> DataFrame:
     """For every read, the nearest earlier access of the same binding in its function."""
     own = Window.partitionBy("function_id", "binding").orderBy("block_id")
     return blocks.withColumn("nearest", F.lag("block_id").over(own)).filter("access = 'read' AND nearest IS NOT NULL").select("function_id", "binding", F.col("block_id").alias("read"), "nearest")
-
-
-def entry_rank(path: Column) -> Column:
-    """How likely a file is an entry point, by its name."""
-    tiers = ((130, r"(^|/)(main|index)\.[a-z]+$"), (120, r"(^|/)(app|server)\.[a-z]+$"), (110, r"(^|/)(cli|bin|run)\.[a-z]+$"))
-    out = F.lit(98)
-    for score, pattern in reversed(tiers):
-        out = F.when(path.rlike(pattern), score).otherwise(out)
-    return out

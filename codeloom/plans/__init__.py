@@ -1,0 +1,5 @@
+"""Registered queries; importing the package registers them all."""
+
+from . import insights, registry
+
+__all__ = ["insights", "registry"]

@@ -10,16 +10,28 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shapes of source paths; @ is the part's number.
+PATHS = (
+    "manage.py", "apps/a@/src/main.ts", "tools/t@/src/index.tsx", "main.py", "web/w@/src/server.ts", "site/s@/src/pages/_app.tsx", "site/s@/src/app/layout.tsx", "packages/p@/index.js",
+    "stories/b@.ts", "tests/t@.py", "lib/x@.test.ts", "src/pages/p@.tsx", "src/app/a@/page.tsx", "src/user-page/u@.js", "node_modules/m@/i.js", "generated/g@.ts", "domain/ports/p@.py", "domain/d@.py",
+    "svc/adapters/in/a@.py", "svc/adapters/out/o@.py", "application/u@.py", "persistence/r@.mts", "infra/repositories/r@.py", "config/c@.fsx", "middleware/m@.rb", "controllers/c@.kts", "core/c@.go", "lib/util_test.py", "core/spec.x@.php", "docs/d@.txt",
+)
+
 RELATIONS: dict[str, str] = {
     "fx_lines": """
         select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as ord
         from {lineitem}""",
-    "fx_call_edges": """
-        select concat('e:', l_orderkey, ':', ord) as id, 'calls' as kind, concat('part:', src) as source_id,
+    "fx_edges": """
+        select concat('e:', l_orderkey, ':', ord) as id,
+          case when l_quantity >= 48 then 'calls' when l_quantity >= 44 then 'imports' when l_quantity >= 40 then 'exports' when l_quantity >= 34 then 'routesTo' when l_quantity >= 28 then 'usesModel'
+            when l_quantity >= 22 then 'renders' when l_quantity >= 16 then 'injects' when l_quantity >= 10 then 'extends' else 'configures' end as kind,
+          concat('part:', src) as source_id,
           case when l_tax >= 0.08 then concat('missing:', l_partkey) when l_discount >= 0.10 then concat('ext:', l_suppkey) else concat('part:', l_partkey) end as target_id,
           case when l_tax >= 0.08 then 'unresolved' when l_returnflag = 'A' then 'exact' when l_returnflag = 'N' then 'resolved' when l_linestatus = 'F' then 'inferred' else 'unresolved' end as confidence,
-          cast(l_orderkey % 1000 as int) as start_line
-        from (select *, lag(l_partkey) over (partition by l_orderkey order by ord) as src from {fx_lines}) t where src is not null and l_quantity >= 48""",
+          cast(l_orderkey % 1000 as int) as start_line,
+          case when ord % 3 = 0 then concat(' call', l_partkey, ' ') else '  ' end as call_name, case when ord % 3 = 1 then concat('x.', l_suppkey) end as call_expression
+        from (select *, lag(l_partkey) over (partition by l_orderkey order by ord) as src from {fx_lines}) t where src is not null""",
+    "fx_call_edges": "select * from {fx_edges} where kind = 'calls'",
     "fx_parts": """
         select concat('part:', p_partkey) as id, case p_size % 3 when 0 then 'function' when 1 then 'method' else 'constructor' end as kind, p_name as name, concat(p_brand, '.', p_name) as qualified_name,
           concat('/ws/', lower(p_type), '/', replace(lower(p_brand), '#', ''), '/p', p_partkey % 17, '.py') as file_path, cast(p_partkey % 400 as int) * 10 as start_line, cast(p_partkey % 400 as int) * 10 + 8 as end_line
@@ -32,7 +44,7 @@ RELATIONS: dict[str, str] = {
         select concat('unit:', c_custkey) as id, case c_custkey % 3 when 0 then 'FastAPI' when 1 then 'Django' else 'Express' end as framework,
           case c_custkey % 6 when 0 then 'route' when 1 then 'operation' when 2 then 'controller' when 3 then 'service' when 4 then 'repository' else 'model' end as kind,
           concat('unit ', c_custkey) as name, p.file_path, p.start_line as start_line, p.start_line + 8 + cast(c_custkey % 3 as int) * 10 as end_line
-        from {customer} join {fx_parts} p on p.id = concat('part:', c_custkey - 1)""",
+        from {customer} join {fx_parts} p on p.id = concat('part:', c_custkey)""",
     "fx_boundaries": """
         select distinct concat('/ws/', lower(p_type)) as root_key, 'frameworkRoot' as basis from {part}
         union all select distinct concat('/ws/', lower(p_type), '/', replace(lower(p_brand), '#', '')), 'workspacePackage' from {part} where length(p_brand) = 8
@@ -42,6 +54,20 @@ RELATIONS: dict[str, str] = {
     "fx_block_edges": """
         select function_id, block_id as src, block_id + 1 as dst, 'next' as kind from {fx_blocks} b where exists (select 1 from {fx_blocks} c where c.function_id = b.function_id and c.block_id = b.block_id + 1)
         union all select l_orderkey, ord, 1, 'repeat' from {fx_lines} where ord > 1 and l_returnflag = 'R'""",
+    "fx_unit_edges": """
+        select concat('ue:', c_custkey, ':', k) as id, 'routesTo' as kind, concat('unit:', c_custkey) as source_id, concat('unit:', c_custkey + k) as target_id,
+          split_part('exact;resolved;inferred;unresolved', ';', cast((c_custkey + k) % 4 as int) + 1) as confidence
+        from {customer}, (select 3 as k union all select 4 union all select 9) t where c_custkey % 6 < 2 and c_custkey % 5 <> 1""",
+    "fx_part_files": f"""
+        select concat('part:', p_partkey) as id, replace(split_part('{";".join(PATHS)}', ';', cast(p_partkey % {len(PATHS)} as int) + 1), '@', cast(p_partkey as string)) as path from {{part}}""",
+    "fx_files": "select distinct path from {fx_part_files}",
+    "fx_imports": """
+        select s.path as source, coalesce(t.path, e.target_id) as target
+        from {fx_edges} e join {fx_part_files} s on s.id = e.source_id left join {fx_part_files} t on t.id = e.target_id where e.kind in ('imports', 'exports') and s.path <> coalesce(t.path, '')""",
+    "fx_diagnostics": """
+        select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
+          split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path
+        from {events}""",
 }
 _NAME = re.compile(r"\{(\w+)\}")
 

@@ -84,11 +84,6 @@ def _(g):
     return index.callables(g.nodes).join(g.edges.select("target_id"), F.col("id") == F.col("target_id"), "left_anti").select("id")
 
 
-@query("J6_roots", "select distinct source_id as id from fx_call_edges where source_id not in (select target_id from fx_call_edges)", "fx_call_edges")
-def _(g):
-    return g.edges.select(F.col("source_id").alias("id")).distinct().join(g.edges.select("target_id"), F.col("id") == F.col("target_id"), "left_anti")
-
-
 @query("A1_call_relations", _CALLS + " select source_id, related_id, count(*) as call_count, string_agg(id, ',' order by id) as edge_ids, string_agg(distinct confidence, ',' order by confidence) as confidences from calls group by 1, 2", *NE)
 def _(g):
     return index.call_relations(_calls(g)).select("source_id", "related_id", "call_count", F.array_join("edge_ids", ",").alias("edge_ids"), F.array_join("confidences", ",").alias("confidences"))
@@ -99,16 +94,6 @@ def _(g):
     return _fan(g).select("id", "callers", "callees", "unresolved_calls", "external_calls")
 
 
-@query(
-    "A3_summary",
-    _CALLS + """ select (select count(*) from fx_nodes where kind in ('function', 'method', 'constructor')) as callables, count(*) as call_edges, count(*) filter (where is_external) as external_calls, count(*) filter (where is_unresolved) as unresolved_calls,
-    count(*) filter (where confidence = 'inferred') as inferred_edges, count(distinct case when is_external then related_id end) as external_targets, count(distinct case when is_unresolved then related_id end) as unresolved_targets from calls""",
-    *NE,
-)
-def _(g):
-    return index.summary(g.nodes, _calls(g))
-
-
 @query("A4_issues", _CALLS + " select case when is_unresolved then 'unresolved' else 'external' end as issue, source_id, related_id, count(*) as n, string_agg(distinct confidence, ',' order by confidence) as confidences from calls where is_unresolved or is_external group by 1, 2, 3", *NE)
 def _(g):
     return index.issues(_calls(g))
@@ -160,11 +145,6 @@ def _(g):
     return g.edges.groupBy("source_id").agg(F.min(r).alias("strongest"), F.max(r).alias("weakest"))
 
 
-@query("A27_distinct_smallest", "select source_id, array_to_string(list_slice(list_sort(list_distinct(list(target_id))), 1, 8), ',') as targets, count(distinct target_id) as n from fx_call_edges group by 1", "fx_call_edges")
-def _(g):
-    return g.edges.groupBy("source_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("target_id")), 1, 8), ",").alias("targets"), F.count_distinct("target_id").alias("n"))
-
-
 @query("A28_first_location", "select target_id, min(start_line) as line, count(*) as n from fx_call_edges group by 1", "fx_call_edges")
 def _(g):
     return g.edges.groupBy("target_id").agg(F.min("start_line").alias("line"), F.count(F.lit(1)).alias("n"))
@@ -241,16 +221,6 @@ def _(g):
     return _located(g).select("id", "source_module", "target_module")
 
 
-@query("A14_module_relations", _RELATED + " select * from related", *MOD)
-def _(g):
-    return ownership.relations(_located(g))
-
-
-@query("A15_internal_relations", _LOCATED + " select source_module as module, count(*) filter (where kind = 'calls') as calls, count(*) filter (where kind = 'imports') as imports, count(*) filter (where kind = 'extends') as extends from located where source_module = target_module group by 1", *MOD)
-def _(g):
-    return ownership.internal_counts(_located(g))
-
-
 @query("A16_relation_coverage", _LOCATED + " select count(*) filter (where source_module <> target_module) as cross_module, count(*) filter (where source_module = target_module) as internal, count(*) filter (where target_module is null and source_module is not null) as \"external\", count(*) filter (where source_module is null) as unowned from located", *MOD)
 def _(g):
     return ownership.coverage(_located(g))
@@ -283,13 +253,6 @@ def _(g):
     return ownership.drop_shadowed_parents(g["fx_boundaries"]).distinct()
 
 
-@query("K13_ancestor_closed_top")
-def _(g):
-    owner = _owner(g)
-    counts = ownership.rollup(g.nodes, owner, g["fx_boundaries"])
-    return ownership.ancestor_closed_top(counts.select("module", S.parent_path(F.col("module")).alias("parent"), F.col("all_callables").alias("score")), 10)
-
-
 # --- units and flows ---------------------------------------------------------------------------
 
 _BOUND = "with bound as (select u.id as unit_id, u.framework, u.kind as unit_kind, p.id as function_id, case when u.start_line <= p.start_line and u.end_line >= p.end_line then 'contains' else 'overlaps' end as evidence from fx_units u join fx_parts p on u.file_path = p.file_path and u.start_line <= p.end_line and p.start_line <= u.end_line)"
@@ -318,19 +281,6 @@ def _(g):
     return binding.name_bindings(units, g["fx_parts"])
 
 
-@query(
-    "J12_J13_I3_entrypoint_flows",
-    _BOUND + """, ranked as (select *, case evidence when 'contains' then 0 else 1 end as r from bound), best as (select unit_id, min(r) as r from ranked group by 1),
-    per as (select unit_id, min(function_id) as handler_id, count(distinct function_id) as candidates from ranked join best using (unit_id, r) group by 1)
-    select u.id as entry_id, u.framework as entry_framework, case when handler_id is null then 'handlerNotMapped' when candidates > 1 then 'ambiguous' else 'mapped' end as status, case when candidates = 1 then handler_id end as handler_id
-    from fx_units u left join per on per.unit_id = u.id where u.kind in ('route', 'operation')""",
-    "fx_units",
-    "fx_parts",
-)
-def _(g):
-    return binding.entrypoint_flows(_bound(g), g["fx_units"])
-
-
 @query("J19_nearest_edge", """select callsite_id, min_by(id, (d, id)) as edge_id, min(d) as distance from (select c.id as callsite_id, e.id, abs(c.start_line + 3 - e.start_line) as d from fx_call_edges c join fx_call_edges e on c.source_id = e.source_id) t group by 1""", "fx_call_edges")
 def _(g):
     sites = g.edges.select(F.col("id").alias("callsite_id"), F.col("source_id").alias("function_id"), (F.col("start_line") + 3).alias("line"))
@@ -348,18 +298,6 @@ def _(g):
     return g["fx_units"].groupBy("framework", "kind").agg(F.count(F.lit(1)).alias("entrypoints"), F.count_distinct("file_path").alias("files"))
 
 
-@query(
-    "A25_entrypoint_coverage",
-    _BOUND + " select u.framework, count(*) as entrypoints, count(*) filter (where exists (select 1 from bound b where b.unit_id = u.id and evidence = 'contains')) as mapped from fx_units u where kind in ('route', 'operation') group by 1",
-    "fx_units",
-    "fx_parts",
-)
-def _(g):
-    mapped = _bound(g).filter("evidence = 'contains'").select("unit_id").distinct()
-    entry = g["fx_units"].filter(F.col("kind").isin("route", "operation")).join(mapped, F.col("id") == F.col("unit_id"), "left")
-    return entry.groupBy("framework").agg(F.count(F.lit(1)).alias("entrypoints"), F.count("unit_id").alias("mapped"))
-
-
 @query(
     "K12_one_per_category",
     """with ranked as (select id, kind as category, end_line - start_line as score, row_number() over (partition by kind order by end_line - start_line desc, id) as r from fx_units), placed as (select *, row_number() over (order by case when r = 1 then 0 else 1 end, score desc, category, id) as position from ranked)
@@ -388,20 +326,6 @@ def _(g):
     return catalog(g["fx_units"].select("id", "framework", "kind", "name"), "1", 24)
 
 
-@query(
-    "I6_layers",
-    """with parts as (select id, string_split(lower(file_path), '/') as p from fx_parts), hit as (select id,
-      case when list_contains(p, 'test') or list_contains(p, 'tests') then 'test' when list_contains(p, 'economy') then 'adapters' when list_contains(p, 'standard') then 'domain' when list_contains(p, 'promo') then 'application' when list_contains(p, 'small') then 'data' end as layer from parts)
-    select id, coalesce(layer, 'unclassified') as layer from hit""",
-    "fx_parts",
-)
-def _(g):
-    from ..operators.layers import path_layer
-
-    rules = (("test", ("test", "tests")), ("adapters", ("economy",)), ("domain", ("standard",)), ("application", ("promo",)), ("data", ("small",)))
-    return g["fx_parts"].select("id", path_layer(F.col("file_path"), rules).alias("layer"))
-
-
 # --- traversal ---------------------------------------------------------------------------------
 
 _SEEDS = "seeds as (select id from fx_parts where cast(substr(id, 6) as bigint) % 50 = 0)"
@@ -445,13 +369,6 @@ def _(g):
     return components.strong_components(edges)
 
 
-@query("C2_longest_path_ranks", "with recursive e as (select distinct source_id as s, target_id as t from fx_call_edges where starts_with(target_id, 'part:') and cast(substr(source_id, 6) as bigint) < cast(substr(target_id, 6) as bigint)), walk(node, r) as (select s, 0 from e union select e.t, w.r + 1 from walk w join e on w.node = e.s) select node, max(r) as \"rank\" from walk group by 1", "fx_call_edges")
-def _(g):
-    number = lambda c: F.substr(c, F.lit(6)).try_cast("long")
-    edges = g.edges.filter(F.startswith("target_id", F.lit("part:")) & (number(F.col("source_id")) < number(F.col("target_id")))).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    return components.longest_path_ranks(edges)
-
-
 # --- control and data flow -----------------------------------------------------------------------
 
 
@@ -491,20 +408,6 @@ def _(g):
     return g["fx_parts"].select("id", S.normalise_identifier(F.col("qualified_name")).alias("identifier"))
 
 
-@query("F5_F6_paths", "select page_id, length(path) as path_chars, len(list_filter(string_split(path, '/'), lambda x: x <> '')) as depth from (select page_id, regexp_replace(url, '^[a-z]+://', '/') as path from pages) t where not contains(path, '//') and not contains(path, '/.') and not ends_with(path, '/')")
-def _(g):
-    p = g["pages"].select("page_id", F.regexp_replace("url", "^[a-z]+://", "/").alias("path")).filter(~F.contains("path", F.lit("//")) & ~F.contains("path", F.lit("/.")) & ~F.endswith("path", F.lit("/")))
-    key = S.path_key(F.col("path"))
-    return p.select("page_id", F.length(key).alias("path_chars"), S.path_depth(key).alias("depth"))
-
-
-# Every page, those that F5_F6_paths and its SQL leave out included; no SQL for empty and dot segments.
-@query("F5_F6_all_paths")
-def _(g):
-    key = S.path_key(F.regexp_replace("url", "^[a-z]+://", "/"))
-    return g["pages"].select("page_id", F.length(key).alias("path_chars"), S.path_depth(key).alias("depth"))
-
-
 @query("F9_sha256", "select doc_id, sha256(text) as digest from documents")
 def _(g):
     return g["documents"].select("doc_id", F.sha2("text", 256).alias("digest"))
@@ -520,13 +423,6 @@ def _(g):
     return g["events"].select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("S13_fingerprint", "select user_id % 100 as grp, sha256(string_agg(event_id || ':' || event_type, ',' order by event_id)) as fingerprint from events group by 1")
-def _(g):
-    each = F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("event_type"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", each.alias("e")))), lambda x: x["e"])
-    return g["events"].groupBy((F.col("user_id") % 100).alias("grp")).agg(F.sha2(F.array_join(ordered, ","), 256).alias("fingerprint"))
-
-
 @query("P11_relation_modes", "select confidence, count(*) as n from fx_call_edges where kind in ('calls', 'routesTo', 'usesModel', 'renders', 'injects', 'configures') group by 1", "fx_call_edges")
 def _(g):
     from ..operators.selection import relation_mode
@@ -534,12 +430,6 @@ def _(g):
     return g.edges.filter(relation_mode(F.col("kind"), "execution")).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A32_import_summary", "select regexp_replace(file_path, '/[^/]*$', '') as dir, count(*) as files from fx_parts group by 1 order by files desc, dir limit 12", "fx_parts")
-def _(g):
-    dirs = g["fx_parts"].groupBy(S.parent_path(F.col("file_path")).alias("dir")).agg(F.count(F.lit(1)).alias("files"))
-    return dirs.orderBy(F.desc("files"), "dir").limit(12)
-
-
 @query("A18_cube", "select r_name, n_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
 def _(g):
     j = g["customer"].join(g["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(g["region"], F.col("n_regionkey") == F.col("r_regionkey"))
@@ -576,27 +466,11 @@ def _(g):
     return g["documents"].select("doc_id", S.utf16_length(F.col("text")).alias("units"))
 
 
-@query("F15_graphql", "select event_id, case when split_part(event_type, '.', 1) in ('query', 'mutation', 'subscription') then split_part(event_type, '.', 1) else 'other' end as operation from events")
-def _(g):
-    return g["events"].select("event_id", S.graphql_operation(F.col("event_type")).alias("operation"))
-
-
-@query("F8_uri_component", "select page_id, length(url_encode(url)) as chars from pages")
-def _(g):
-    return g["pages"].select("page_id", F.length(F.replace(F.replace(F.replace(F.replace(F.replace(S.encode_uri_component(F.col("url")), F.lit("!"), F.lit("%21")), F.lit("'"), F.lit("%27")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")), F.lit("*"), F.lit("%2A"))).alias("chars"))
-
-
 @query("P3_unresolved_edges", "select e.id from fx_call_edges e left join fx_nodes n on n.id = e.target_id where e.confidence = 'unresolved' or n.id is null", *NE)
 def _(g):
     return _calls(g).filter("is_unresolved").select("id")
 
 
-@query("P5_missing_labels", _CALLS + " select id, coalesce(nullif(trim(split_part(target_id, ':', 2)), ''), target_id, 'unknown') as label from calls where is_unresolved", *NE)
-def _(g):
-    label = F.coalesce(F.nullif(F.trim(F.split_part("target_id", F.lit(":"), F.lit(2))), F.lit("")), F.col("target_id"), F.lit("unknown"))
-    return _calls(g).filter("is_unresolved").select("id", label.alias("label"))
-
-
 @query("P8_completeness_filters", _CALLS + " select id from calls where not is_external and not is_unresolved", *NE)
 def _(g):
     return _calls(g).filter("NOT is_external AND NOT is_unresolved").select("id")
@@ -612,49 +486,22 @@ def _(g):
     return ownership.relations(_located(g)).filter("exact + resolved > 0").select("source_module", "target_module", "evidence")
 
 
-@query("P15_non_application_paths", "select id from fx_parts where regexp_matches(file_path, '(^|/)(promo|test|tests|vendor)(/|$)')", "fx_parts")
-def _(g):
-    return g["fx_parts"].filter(F.col("file_path").rlike("(^|/)(promo|test|tests|vendor)(/|$)")).select("id")
-
-
 @query("P17_mapped_flows", _BOUND + " select id from fx_units u where exists (select 1 from bound b where b.unit_id = u.id)", "fx_units", "fx_parts")
 def _(g):
     return g["fx_units"].join(_bound(g).select("unit_id"), F.col("id") == F.col("unit_id"), "left_semi").select("id")
 
 
-@query("A13_flow_summary", _BOUND + ", n as (select u.id, count(distinct function_id) as c from fx_units u left join (select * from bound where evidence = 'contains') b on b.unit_id = u.id where u.kind in ('route', 'operation') group by 1) select count(*) as entrypoints, count(*) filter (where c = 1) as mapped, count(*) filter (where c > 1) as ambiguous, count(*) filter (where c = 0) as gaps from n", "fx_units", "fx_parts")
-def _(g):
-    contains = _bound(g).filter("evidence = 'contains'")
-    per = g["fx_units"].filter(F.col("kind").isin("route", "operation")).join(contains.select("unit_id", "function_id"), F.col("id") == F.col("unit_id"), "left").groupBy("id").agg(F.count_distinct("function_id").alias("c"))
-    return per.agg(F.count(F.lit(1)).alias("entrypoints"), F.count_if(F.col("c") == 1).alias("mapped"), F.count_if(F.col("c") > 1).alias("ambiguous"), F.count_if(F.col("c") == 0).alias("gaps"))
-
-
-@query("A20_accumulators", "select regexp_replace(file_path, '/[^/]*$', '') as root, framework, count(*) as units, string_agg(distinct kind, ',' order by kind) as evidence from fx_units group by 1, 2", "fx_units")
-def _(g):
-    return g["fx_units"].groupBy(S.parent_path(F.col("file_path")).alias("root"), "framework").agg(F.count(F.lit(1)).alias("units"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("evidence"))
-
-
 @query("A24_coverage_counters", "select count(*) as files, count(*) filter (where file_path like '/ws/promo/%') as promo, count(distinct regexp_replace(file_path, '/[^/]*$', '')) as dirs from (select distinct file_path from fx_parts) t", "fx_parts")
 def _(g):
     files = g["fx_parts"].select("file_path").distinct()
     return files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.startswith("file_path", F.lit("/ws/promo/"))).alias("promo"), F.count_distinct(S.parent_path(F.col("file_path"))).alias("dirs"))
 
 
-@query("A26_unresolved_by_source", "select source_id, count(*) as n from (select source_id, target_id, min(id) as id from fx_call_edges where confidence = 'unresolved' group by 1, 2) t group by 1", "fx_call_edges")
-def _(g):
-    return g.edges.filter("confidence = 'unresolved'").select("source_id", "target_id").distinct().groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("A29_execution_counts", "select framework, count(*) filter (where kind = 'route') as route, count(*) filter (where kind = 'operation') as operation, count(*) filter (where kind = 'controller') as controller from fx_units group by 1", "fx_units")
 def _(g):
     return g["fx_units"].groupBy("framework").pivot("kind", ["route", "operation", "controller"]).count().na.fill(0)
 
 
-@query("A30_area_counts", "select split_part(file_path, '/', 3) as area, count(distinct file_path) as files, count(*) as callables, array_to_string(list_slice(list_sort(list_distinct(list(name))), 1, 3), ',') as representatives from fx_parts group by 1", "fx_parts")
-def _(g):
-    return g["fx_parts"].groupBy(F.split_part("file_path", F.lit("/"), F.lit(3)).alias("area")).agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("callables"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 3), ",").alias("representatives"))
-
-
 @query("A34_drill_targets", _CALLS + f" select source_id, related_id, count(*) as callsites, min({_RANK}) as strongest from calls group by 1, 2", *NE)
 def _(g):
     return _calls(g).groupBy("source_id", "related_id").agg(F.count(F.lit(1)).alias("callsites"), F.min(S.confidence_rank(F.col("confidence"))).alias("strongest"))
@@ -685,19 +532,6 @@ def _(g):
     return ownership.relations(_located(g)).orderBy(F.desc("evidence"), "source_module", "target_module").select("source_module", "target_module", "evidence").limit(160)
 
 
-@query("K20_entry_files", "select file_path, max(case when regexp_matches(file_path, '/p0\\.py$') then 130 when regexp_matches(file_path, '/p1\\.py$') then 120 else 98 end) as score from fx_parts group by 1 order by score desc, file_path limit 24", "fx_parts")
-def _(g):
-    score = F.when(F.col("file_path").rlike(r"/p0\.py$"), 130).when(F.col("file_path").rlike(r"/p1\.py$"), 120).otherwise(98)
-    return g["fx_parts"].groupBy("file_path").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "file_path").limit(24)
-
-
-@query("K21_bounded_labels", "select source_id, array_to_string(case when len(t) > 3 then list_concat(list_slice(t, 1, 2), [concat(len(t) - 2, ' additional')]) else t end, ',') as labels from (select source_id, list_sort(list_distinct(list(target_id))) as t from fx_call_edges group by 1) u", "fx_call_edges")
-def _(g):
-    from ..operators.selection import bounded_labels
-
-    return g.edges.groupBy("source_id").agg(F.array_sort(F.collect_set("target_id")).alias("t")).select("source_id", F.array_join(bounded_labels(F.col("t"), 3), ",").alias("labels"))
-
-
 @query("G8_lineage", _REACH.format(here="source_id", there="target_id", depth=2) + ", up(start, node, depth) as (select id, id, 0 from seeds union select w.start, e.source_id, w.depth + 1 from up w join fx_call_edges e on e.target_id = w.node where w.depth < 2) select start, node from walk union select start, node from up", "fx_call_edges", "fx_parts")
 def _(g):
     down = traverse.ordered_bfs(_seeds(g), g.edges, "out", 2).select("start", "node")
@@ -712,15 +546,6 @@ def _(g):
     return retained(shots, 8, 1000).select("cache_key")
 
 
-@query("S15_supplement", "select event_id as id, event_type from events where event_id % 3 = 0 union all select event_id, 'supplement' from events where event_id % 2 = 0 and event_id % 3 <> 0")
-def _(g):
-    from ..sources.workspace import merge_supplement
-
-    e = g["events"]
-    base = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("id"), "event_type")
-    return merge_supplement(base, e.filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit("supplement").alias("event_type")))
-
-
 @query("X_documents_as_sources")
 def _(g):
     """X9-X11 over every document taken for a Python file: each becomes facts or a diagnostic."""
@@ -736,7 +561,7 @@ def _(g):
     return grouped.select("user_id", F.col("s.start").alias("start_ts"), "n")
 
 
-@query("J16_without_orphans", "select id, kind from fx_nodes n where kind <> 'external' or exists (select 1 from fx_call_edges e where e.target_id = n.id)", *NE)
+@query("J16_without_orphans", "select id, kind from fx_nodes n where kind <> 'external' or exists (select 1 from fx_call_edges e where e.target_id = n.id or e.source_id = n.id)", *NE)
 def _(g):
     return views.without_orphans(g.nodes, g.edges).select("id", "kind")
 
@@ -768,12 +593,6 @@ def _(g):
     return views.direct_callees(_calls(g), 2)
 
 
-@query("F20_constraints", "select event_id, value > 50 as gt, value is not null and value <> 0 as truthy, user_id = 7 as eq from events where value is not null and user_id is not null")
-def _(g):
-    e = g["events"].filter("value IS NOT NULL AND user_id IS NOT NULL")
-    return e.select("event_id", views.constraint("gt", F.col("value"), F.lit(50)).alias("gt"), views.constraint("truthy", F.col("value"), F.lit(None)).alias("truthy"), views.constraint("eq", F.col("user_id"), F.lit(7)).alias("eq"))
-
-
 @query("U6_canonical_edges", "select source_id, id, target_id from (select *, row_number() over (partition by source_id order by target_id, id) as n from fx_call_edges) t where n = 1", "fx_call_edges")
 def _(g):
     return views.canonical(g.edges.select("source_id", "id", "target_id"), "source_id", [F.asc("target_id"), F.asc("id")])
@@ -812,11 +631,6 @@ def _(g):
     return traverse.ordered_bfs(_seeds(g), g.edges, "out", 3).groupBy("start").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
 
 
-@query("F13_host_paths", "select conv_id, turn, count(*) as n, count(*) filter (where regexp_matches(text, '/(home|Users|root)/')) as leaks from conversations group by 1, 2")
-def _(g):
-    return g["conversations"].groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").rlike("/(home|Users|root)/")).alias("leaks"))
-
-
 @query("F16_range_spans", "select id, (end_line - start_line) * 1000000 as span from fx_parts", "fx_parts")
 def _(g):
     zero = F.lit(0)
@@ -828,14 +642,6 @@ def _(g):
     return g["fx_parts"].select("id", S.normalise_text(F.col("name")).alias("name"), S.forward_slashes(F.replace(F.col("file_path"), F.lit("/"), F.lit("\\"))).alias("path"))
 
 
-@query("A31_layer_summary", "select count(*) filter (where layer <> 'unclassified') as classified, count(*) as n from (select case when file_path like '/ws/economy/%' then 'adapters' else 'unclassified' end as layer from fx_parts) t", "fx_parts")
-def _(g):
-    from ..operators.layers import path_layer
-
-    layered = g["fx_parts"].select(path_layer(F.col("file_path"), (("adapters", ("economy",)),)).alias("layer"))
-    return layered.agg(F.count_if(F.col("layer") != "unclassified").alias("classified"), F.count(F.lit(1)).alias("n"))
-
-
 @query("K18_primary_path", "select framework, id, score from (select framework, id, end_line - start_line as score from fx_units order by score desc, framework, id limit 1) t", "fx_units")
 def _(g):
     return g["fx_units"].select("framework", "id", (F.col("end_line") - F.col("start_line")).alias("score")).orderBy(F.desc("score"), "framework", "id").limit(1)

@@ -4,27 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Directories never scanned.
-EXCLUDED_DIRECTORIES = (".git", ".hg", ".svn", "node_modules", "dist", "build", "out", "target", ".venv", "venv", "__pycache__", "coverage")
-
-#: S3: extension -> language.
+# Fixed values.  S2: directories never scanned, besides the tool's own cache folder.
+EXCLUDED_DIRECTORIES = (".git", ".vscode", "node_modules", "dist", "build", "coverage", ".venv", "venv", "__pycache__", "target", "out")
+# S3: language of each extension.
 LANGUAGES = {
-    "ts": "typescript",
-    "tsx": "typescriptreact",
-    "js": "javascript",
-    "jsx": "javascriptreact",
-    "mjs": "javascript",
-    "cjs": "javascript",
-    "py": "python",
-    "java": "java",
-    "rs": "rust",
-    "fs": "fsharp",
-    "ml": "ocaml",
-    "ex": "elixir",
-    "exs": "elixir",
-    "vue": "vue",
-    "svelte": "svelte",
-}
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "vue": "vue", "svelte": "svelte", "py": "python", "rs": "rust", "go": "go", "java": "java",
+    "fs": "fsharp", "fsx": "fsharp", "ml": "ocaml", "mli": "ocaml", "ex": "elixir", "exs": "elixir",
+    "kt": "kotlin", "kts": "kotlin", "php": "php", "rb": "ruby",
+}
 DEFAULT_SIZE_CAP = 1024 * 1024
 
 #: Manifest file name -> ecosystem.
@@ -47,9 +36,11 @@ def language_of(path: Column) -> Column:
     return F.element_at(table, F.lower(F.substring_index(path, ".", -1)))
 
 
-def excluded(path: Column) -> Column:
-    """Whether a directory of the path is on the exclusion list."""
-    return F.arrays_overlap(F.split(F.translate(path, "\\", "/"), "/"), F.array(*map(F.lit, EXCLUDED_DIRECTORIES)))
+def excluded(path: Column, cache_folder: str | None = None) -> Column:
+    """Whether a directory of the path is on the exclusion list, or the tool's own cache folder."""
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    names = [*EXCLUDED_DIRECTORIES, *([cache_folder] if cache_folder else [])]
+    return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, names)))
 
 
 def scan_workspace(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_CAP) -> DataFrame:
@@ -59,7 +50,35 @@ def scan_workspace(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     known = files.filter((F.col("length") <= size_cap) & language_of(F.col("path")).isNotNull() & ~excluded(F.col("path")))
-    return known.select("path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
+    return known.select("path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash")).orderBy("path")
+
+
+def matches_glob(path: Column, pattern: str) -> Column:
+    """Whether a path relative to the workspace fits a glob with ``**``, ``*``, ``?`` and ``{a,b}``."""
+    import re
+
+    out, depth = "", 0
+    for part in re.findall(r"\*\*/?|\*|\?|\{|\}|,|[^*?{},]+", pattern):
+        if part.startswith("**"):
+            out += "(?:.*/)?" if part.endswith("/") else ".*"
+        elif part in "*?":
+            out += "[^/]*" if part == "*" else "[^/]"
+        elif part in "{}" or (part == "," and depth):
+            depth += {"{": 1, "}": -1}.get(part, 0)
+            out += {"{": "(?:", "}": ")", ",": "|"}[part]
+        else:
+            out += re.escape(part)
+    return path.rlike(f"^{out}$")
+
+
+#: Source files that a search gives at most.
+FILE_LIMIT = 10_000
+
+
+def find_source_files(files: DataFrame, include: str, exclude: str | None = None, limit: int = FILE_LIMIT) -> DataFrame:
+    """Files that fit the globs, the first by path up to the limit of a workspace."""
+    found = files.filter(matches_glob(F.col("path"), include) & (F.lit(True) if exclude is None else ~matches_glob(F.col("path"), exclude)))
+    return found.orderBy("path").limit(limit)
 
 
 def with_overlay(disk: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -80,14 +99,16 @@ def package_roots(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, config: str = "") -> DataFrame:
-    """One digest of a workspace: its configuration and every file's path, size and content hash.
+    """One digest of a workspace: its configuration and every file's path, size, time and dirty content hash.
 
-    Files are digested in 1,024 parts by the hash of their path, so no row gathers the whole workspace.
+    Files are digested in 256 parts by the digest of their path, so no row gathers the whole workspace.
+    ``files`` has path, size, mtime and dirty_hash, which is null for saved files.
     """
-    part = F.pmod(F.xxhash64("path"), F.lit(1024)).alias("part")
-    parts = files.groupBy(part).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "size", "content_hash")))), 256).alias("digest"))
-    joined = F.to_json(F.array_sort(F.collect_list(F.struct("part", "digest"))))
-    return parts.agg(F.sha2(F.concat(F.lit(config), F.lit("\n"), joined), 256).alias("fingerprint"))
+    line = F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mtime").cast("string"), F.coalesce("dirty_hash", F.lit("")))
+    part = F.left(F.sha2("path", 256), F.lit(2)).alias("part")
+    parts = files.groupBy(part).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("digest"))
+    joined = F.array_join(F.array_sort(F.collect_list(F.concat("part", "digest"))), ",")
+    return parts.agg(F.sha2(F.concat(F.lit(config), F.lit(","), joined), 256).alias("fingerprint"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -119,3 +140,10 @@ def merge_supplement(base: DataFrame, supplement: DataFrame, key: str = "id") ->
     """Rows of both, the base's where both have a key."""
     keys = base.select(F.col(key).alias("_k"))
     return base.unionByName(supplement.join(keys, F.col(key) == F.col("_k"), "left_anti"))
+
+
+def merge_supplement_edges(base: DataFrame, supplement: DataFrame, supplement_nodes: DataFrame) -> DataFrame:
+    """The base's edges, and those of the supplement that are new and have both ends in it."""
+    ids = supplement_nodes.select(F.col("id").alias("_n"))
+    own = supplement.join(ids, F.col("source_id") == F.col("_n"), "left_semi").join(ids, F.col("target_id") == F.col("_n"), "left_semi")
+    return merge_supplement(base, own)
