@@ -40,10 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def few_parts(df: DataFrame) -> DataFrame:
+    """The rows in four parts a core at most: a narrow table needs no more files than all cores can write at once."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that a lost executor loses nothing."""
+    """The rows of a narrow table (ids, counts, digests), computed once and kept in the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return few_parts(df).checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:

@@ -21,7 +21,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +129,27 @@ select w.doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed, sha256(coalesc
 from w left join kept on kept.doc_id = w.doc_id left join removed on removed.doc_id = w.doc_id
 """
 
+_OP3 = f"""
+with w as (
+  select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') as ws from documents
+), item as (
+  select cast(item_id as varchar) as item, ws, least(len(ws), 13) as k from (select item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') as ws from benchmark) b where len(ws) > 0
+), win as (
+  select item, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') as s from (select item, ws, k, unnest(range(1, len(ws) - k + 2)) as i from item) t
+), place as (
+  select doc_id, i, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') as s from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (select distinct k from win) l where len(ws) >= k) t
+), found as (
+  select doc_id, i, place.k, item from place join win on place.s = win.s and place.k = win.k
+), hit as (
+  select doc_id, count(distinct i + j) as n from found, (select unnest(range(13)) as j) r where j < k group by 1
+), named as (
+  select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as items from found group by 1
+)
+select w.doc_id, len(ws) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(ws) as contaminated
+from w left join hit on hit.doc_id = w.doc_id left join named on named.doc_id = w.doc_id
+"""
+
 _OP4 = f"""
 with w as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all({_LOWER}, '{_ALNUM}') as ws from documents
@@ -174,6 +195,7 @@ select c.doc_id, coalesce(n, 0) as n_shingles, component_id, c.doc_id = componen
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": _OP2,
+    "op3_decontaminate": _OP3,
     "op4_license_scan": _OP4,
     "op6_exact_dedup": _OP6,
     "op7_chat_format": _OP7,

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, shared_dir, stored
+from .common import checkpointed, few_parts, shared_dir, stored
 from .words import mix, powers
 
 TAU = 2
@@ -272,7 +272,7 @@ def _matched(keys: DataFrame, per_line: int) -> DataFrame:
 
     by_line = (F.col("tagged").bitwiseAND(int(_DEALT)) != 0) & (F.col("tagged") != int(_MARK))
     rows = keys.select("key", "tagged").repartition(F.when(by_line, F.xxhash64("key", "tagged")).otherwise(F.col("key"))).sortWithinPartitions("key", "tagged")
-    return stored(rows.mapInArrow(match, "kind int, a long, b long"), "line-pairs")
+    return stored(few_parts(rows.mapInArrow(match, "kind int, a long, b long")), "line-pairs")
 
 
 def _texts_of(lines: DataFrame, wanted: DataFrame, count: int) -> DataFrame:

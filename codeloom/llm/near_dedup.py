@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, left_join_groups, shared_dir, stored
+from .common import checkpointed, few_parts, left_join_groups, shared_dir, stored
 from .components import contract
 from .words import SPACED, Words, mix, split_words
 
@@ -432,8 +432,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = drawn.filter("key IS NOT NULL AND id IS NOT NULL")
     classes = checkpointed(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
     mine = classes.select(F.col("key").alias("k"), "rep")
-    reps = stored(known.filter(F.col("n") >= fewest).join(mine, (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "key"]).select("id", "n", "sketch"), "reps")
-    made = stored(_pairs(_bands(reps, _band(percent))), "pairs")
+    reps = stored(few_parts(known.filter(F.col("n") >= fewest).join(mine, (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "key"]).select("id", "n", "sketch")), "reps")
+    made = stored(few_parts(_pairs(_bands(reps, _band(percent)))), "pairs")
 
     heads = made.filter("kind = 2").groupBy(F.col("a").alias("bucket")).agg(F.min("b").alias("least"))
     joints = made.filter("kind = 2").join(heads, F.col("a") == F.col("bucket")).select(F.col("least").alias("x"), F.col("b").alias("y"))

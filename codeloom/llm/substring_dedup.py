@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from .packed import pack as _pack, unpack as _unpack
 from .words import SPACED, Words, mix, split_words
 
 WINDOW = 13
@@ -47,21 +48,6 @@ _ROW_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _LAST = np.iinfo(np.int64).max
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Compressed by byte planes, so that small values and differences take little."""
-    raw = np.ascontiguousarray(values)
-    planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
-    return pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-
-
-def _unpack(data: bytes, n: int, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    if not n:
-        return np.zeros(0, dtype=dtype)
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).reshape(n)
-
-
 def _buckets(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h * np.uint64(_ROW_MULTIPLIERS[row])) >> np.uint64(64 - bits)).astype(np.uint32)
 

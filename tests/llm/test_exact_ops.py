@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,10 +139,54 @@ def test_decontaminate(spark, docs):
 
 
 def test_decontaminate_in_blocks(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(i, r["text"][:300]) for i, r in enumerate(docs.collect()) if r["text"]], "item_id long, text string")
-    whole = collected(decontaminate.decontaminate(docs, bench), "doc_id", "n_hit")
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 40)
-    assert collected(decontaminate.decontaminate(docs, bench), "doc_id", "n_hit") == whole
+    """Blocks, spans and segments of few words, and items with equal texts, give what large ones give."""
+    bench = spark.createDataFrame([(i, r["text"][:300]) for i, r in enumerate(docs.collect() * 2) if r["text"]], "item_id long, text string")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+    whole = collected(decontaminate.decontaminate(docs, bench), *columns)
+    assert any(r["n_hit"] for r in whole)
+    for name, value in (("BLOCK_TOKENS", 2000), ("SPAN", 7), ("SEGMENT_TOKENS", 100)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert collected(decontaminate.decontaminate(docs, bench), *columns) == whole
+
+
+def test_one_index_answers_several_benchmarks(spark):
+    texts = [(1, words(40, 1)), (2, words(20, 2) + " " + words(40, 1)), (3, None)]
+    index = decontaminate.build_index(spark.createDataFrame(texts, "id long, text string"))
+    ask = lambda text: collected(decontaminate.ask_index(index, spark.createDataFrame([(1, text)], "item_id long, text string")).select("doc_id", "n_hit"), "doc_id")
+    said = lambda *hits: [{"doc_id": i + 1, "n_hit": n} for i, n in enumerate(hits)]
+    assert ask(" ".join(words(40, 1).split(" ")[10:30])) == said(20, 20, 0)
+    assert ask(words(20, 2)) == said(0, 20, 0)
+    assert ask(None) == said(0, 0, 0)
+
+
+def test_proximity_by_hand(spark):
+    """Items with words exchanged: near where 80 percent of the words about the rarest one of a window stand about it."""
+    rnd = random.Random(5)
+    pool = [f"w{k}" for k in range(60)]
+    items = [(k, [rnd.choice(pool) for _ in range(rnd.randint(13, 40))]) for k in range(6)]
+    docs = []
+    for n in range(40):
+        w = list(rnd.choice(items)[1])
+        for _ in range(rnd.randint(0, 8)):
+            i, j = rnd.randrange(len(w)), rnd.randrange(len(w))
+            w[i], w[j] = w[j], w[i]
+        docs.append((n, [rnd.choice(pool) for _ in range(rnd.randint(0, 9))] + w[: rnd.randint(5, len(w))] + [rnd.choice(pool) for _ in range(rnd.randint(0, 9))]))
+    frequency = Counter(x for _, w in docs for x in w)
+    want = []
+    for n, w in docs:
+        near = set()
+        for item, v in items:
+            exact = any(w[p : p + 13] == v[j : j + 13] for j in range(len(v) - 12) for p in range(len(w) - 12))
+            for j in range(len(v) - 12):
+                o = min(range(j, j + 13), key=lambda x: (frequency[v[x]], x))
+                around = v[max(0, o - 12) : o + 13]
+                for p in range(len(w)):
+                    if w[p] == v[o] and sum(x in w[max(0, p - 12) : p + 13] for x in around) >= -(-len(around) * 8 // 10) and not exact:
+                        near.add(item)
+        want.append((n, len(near)))
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    got = collected(decontaminate.decontaminate(frame(docs, "doc_id"), frame(items, "item_id")), "doc_id", "n_near")
+    assert [(r["doc_id"], r["n_near"]) for r in got] == want and any(n for _, n in want)
 
 
 def test_licenses(docs):
