@@ -44,13 +44,13 @@ def excluded(path: Column, cache_folder: str | None = None) -> Column:
 
 
 def scan_workspace(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_CAP) -> DataFrame:
-    """(path, language, size, content, content_hash) of all source files below ``root``.
+    """(path, language, size, mtime, content, content_hash, dirty_hash) of all source files below ``root``, by path.
 
     Sizes and paths are filtered before contents are read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     known = files.filter((F.col("length") <= size_cap) & language_of(F.col("path")).isNotNull() & ~excluded(F.col("path")))
-    return known.select("path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash")).orderBy("path")
+    return known.select("path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("string").alias("dirty_hash")).orderBy("path")
 
 
 def matches_glob(path: Column, pattern: str) -> Column:
@@ -86,7 +86,7 @@ def with_overlay(disk: DataFrame, overlay: DataFrame) -> DataFrame:
     edited = overlay.select(F.col("path").alias("edited_path"), F.col("content").alias("edited"))
     joined = disk.join(edited, F.col("path") == F.col("edited_path"), "left")
     text = F.coalesce("edited", "content")
-    return joined.select("path", "language", F.octet_length(text).cast("long").alias("size"), text.alias("content"), F.sha2(text, 256).alias("content_hash"))
+    return joined.select("path", "language", F.octet_length(text).cast("long").alias("size"), "mtime", text.alias("content"), F.sha2(text, 256).alias("content_hash"), F.sha2("edited", 256).alias("dirty_hash"))
 
 
 def package_roots(spark: SparkSession, root: str) -> DataFrame:

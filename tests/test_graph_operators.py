@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as S
-from codeloom.operators import binding, components, dataflow, extract, index, layers, ownership, search, selection, traverse
+from codeloom.operators import binding, components, dataflow, extract, files, flows, index, layers, ownership, search, selection, traverse
 
 
 def rows(df, *columns):
@@ -113,9 +113,41 @@ def test_change_impact(spark):
 
 def test_strong_components_and_ranks(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 8), (8, 9), (7, 9)], "src long, dst long")
-    for small in (0, 100):
-        assert rows(components.strong_components(edges, small), "node", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
-    assert rows(components.longest_path_ranks(edges.filter("src >= 6")), "node", "rank") == [(7, 0), (8, 1), (9, 2)]
+    assert rows(components.strong_components(edges), "node", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert rows(components.longest_path_ranks(edges.filter("src >= 6")), "node", "rank") == [(6, 0), (7, 0), (8, 1), (9, 2)]
+    members, between = components.condensation(edges)
+    assert rows(members.filter("cyclic"), "node", "component", "size") == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 2), (5, 4, 2), (6, 6, 1)]
+    assert rows(between, "src", "dst") == [(1, 4), (7, 8), (7, 9), (8, 9)]
+
+
+def test_ranks_of_cycles_end(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "e")], "src string, dst string")
+    assert rows(components.longest_path_ranks(edges), "node", "component", "rank") == [("a", "a", 0), ("b", "a", 0), ("c", "c", 1), ("d", "c", 1), ("e", "e", 0)]
+    assert components.longest_path_ranks(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_strong_components_by_reach(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(20)]
+    reach = {a: {a} for p in pairs for a in p}
+    for _ in range(len(reach)):
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    want = sorted((a, min(b for b in reach[a] if a in reach[b])) for a in reach if any(b != a and a in reach[b] for b in reach[a]))
+    assert rows(components.strong_components(spark.createDataFrame(pairs, "src long, dst long")), "node", "component") == want
+
+
+def test_forward_ranks_and_order(spark):
+    blocks = spark.createDataFrame([(f, b) for f in (1, 2) for b in range(1, 6)], "function_id long, block_id long")
+    edges = spark.createDataFrame([(1, 1, 2, "next"), (1, 1, 3, "true"), (1, 2, 4, "next"), (1, 3, 4, "next"), (1, 4, 1, "repeat"), (1, 1, 4, "next"), (2, 1, 2, "next"), (2, 2, 3, "next"), (2, 3, 2, "next"), (2, 3, 4, "next")], "function_id long, src long, dst long, kind string")
+    ranks = components.forward_ranks(blocks, edges)
+    # Of function 2, blocks 2 and 3 are a cycle that 4 waits for; 5 stands alone.
+    assert rows(ranks, "function_id", "block_id", "rank") == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 0), (2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, 3), (2, 5, 0)]
+    scene = spark.createDataFrame([("s", "a", 0), ("s", "b", 0), ("s", "x", 1), ("s", "y", 1), ("s", "z", 1), ("t", "a", 0)], "scene string, node string, rank int")
+    links = spark.createDataFrame([("s", "b", "x"), ("s", "a", "y"), ("s", "b", "y")], "scene string, src string, dst string")
+    # y has its mean before x; z, which nothing precedes, comes last.
+    assert rows(components.rank_order(scene, links), "scene", "position", "node") == [("s", 0, "a"), ("s", 1, "b"), ("s", 2, "y"), ("s", 3, "x"), ("s", 4, "z"), ("t", 0, "a")]
 
 
 def test_reaching_definitions(spark):
@@ -180,9 +212,90 @@ def test_binding(spark):
     assert rows(binding.entrypoint_flows(binding.place_bindings(units, functions), units), "status", "handler_id") == [("mapped", "f")]
 
 
-def test_layers(spark):
-    df = spark.createDataFrame([("/x/tests/domain/a.py",), ("/x/domain/a.py",), ("/x/y.py",)], "p string")
-    assert [r[0] for r in df.select(layers.path_layer(F.col("p"))).collect()] == ["test", "domain", "unclassified"]
+@pytest.mark.parametrize(
+    ("path", "layer"),
+    [
+        ("/x/tests/domain/a.py", "test"), ("src/a.test.ts", "test"), ("src/test_a.py", "test"), ("/x/domain/a.py", "domain"), ("/x/y.py", "unclassified"), ("svc/adapters/in/a.py", "interface"), ("svc/adapters/out/a.py", "infrastructure"),
+        ("svc/adapters/a.py", "unclassified"), ("a/usecases/b.py", "application"), ("a/orm/b.py", "dataAccess"), ("a/controllers/b.py", "interface"), ("a/logging/b.py", "crossCutting"), ("a/clients/b.py", "infrastructure"),
+        ("infra/repositories/b.py", "dataAccess"), ("services/b.py", "unclassified"), ("adapters/in/adapters/out/x.py", "infrastructure"), ("", "unclassified"),
+    ],
+)
+def test_layers(spark, path, layer):
+    assert spark.createDataFrame([(path,)], "p string").select(layers.path_layer(F.col("p"))).first()[0] == layer
+
+
+def test_assessed_layers(spark):
+    functions = spark.createDataFrame([("a", "domain/x.py"), ("b", "domain/ports/x.py"), ("c", "x.py"), ("d", "domain/x.py"), ("e", "tests/x.py"), ("f", "application/x.py")], "id string, file_path string")
+    bindings = spark.createDataFrame([("c", "service"), ("c", "schema"), ("d", "route"), ("e", "route")], "function_id string, unit_kind string")
+    got = layers.assess(functions, bindings)
+    assert rows(got, "id", "layer", "conflicted", "business") == [
+        ("a", "domain", False, "domainRuleCandidate"), ("b", "domain", False, "notBusinessLogic"), ("c", "application", False, "applicationWorkflowCandidate"),
+        ("d", "unclassified", True, None), ("e", "test", False, None), ("f", "application", False, "applicationWorkflowCandidate"),
+    ]
+    assert tuple(layers.layer_summary(got).first()) == (6, 5, 3, 1)
+
+
+UNIT = "id string, framework string, kind string, file_path string, start_line int"
+
+
+def test_semantic_flows(spark):
+    """A direct handler wins over a routed one, a routed one serves where there is none, ties are ambiguous."""
+    units = spark.createDataFrame([(u, "F", k, f"/{u}", 1) for u, k in (("r1", "route"), ("r2", "route"), ("r3", "route"), ("r4", "route"), ("o1", "operation"), ("s1", "service"), ("s2", "service"))], UNIT)
+    bindings = spark.createDataFrame([("r1", "f1", "contains"), ("s1", "f2", "contains"), ("s2", "f3", "overlaps"), ("s2", "f4", "overlaps"), ("o1", "f5", "overlaps"), ("o1", "f6", "contains")], "unit_id string, function_id string, evidence string")
+    edges = spark.createDataFrame([("r1", "s1", "exact"), ("r2", "s1", "inferred"), ("r2", "s1", "resolved"), ("r3", "s2", "exact"), ("r4", "missing", "exact"), ("o1", "s1", "exact")], "source_id string, target_id string, confidence string").withColumn("kind", F.lit("routesTo"))
+    flow = flows.semantic_flows(units, bindings, edges)
+    assert rows(flow, "entry_id", "status", "handler_id", "candidates", "target_units", "rank") == [
+        ("o1", "mapped", "f6", 1, 0, 0), ("r1", "mapped", "f1", 1, 1, 0), ("r2", "mapped", "f2", 1, 1, 1), ("r3", "ambiguous", None, 2, 1, 2), ("r4", "handlerNotMapped", None, 0, 0, None),
+    ]
+    assert tuple(flows.flow_summary(flow).first()) == (5, 4, 1, 3, 1, 1, 0, 1)
+
+
+def test_risk_radar(spark):
+    nodes = spark.createDataFrame([(n, "function") for n in ("f1", "f2", "f3", "f4", "f5")] + [("x", "external")], "id string, kind string")
+    calls = [("e1", "f1", "f2", "exact"), ("e2", "f2", "f3", "exact"), ("e3", "f3", "f4", "exact"), ("e4", "f4", "f5", "exact"), ("e5", "f1", "gone", "unresolved"), ("e6", "f1", "x", "resolved"), ("e7", "f2", "lost", "unresolved")]
+    edges = spark.createDataFrame([(i, "calls", s, t, c, 1) for i, s, t, c in calls], "id string, kind string, source_id string, target_id string, confidence string, start_line int")
+    flow = spark.createDataFrame([("u1", "route", "A", "/a", 1, "mapped", "f1", 0), ("u2", "route", "A", "/b", 2, "mapped", "f1", 0), ("u3", "route", "B", "/c", 3, "ambiguous", None, 2), ("u4", "operation", "B", "/c", 2, "handlerNotMapped", None, None)], "entry_id string, entry_kind string, framework string, entry_path string, entry_line int, status string, handler_id string, rank int")
+    steps, gaps = flows.flow_steps(flow, nodes, edges, 3, 25)
+    assert rows(steps.filter("entry_id = 'u1'"), "position", "target_id", "depth", "resolution") == [(1, "f2", 1, "concrete"), (2, "x", 1, "external"), (3, "gone", 1, "unresolved"), (4, "f3", 2, "concrete"), (5, "lost", 2, "unresolved"), (6, "f4", 3, "concrete")]
+    assert rows(gaps, "entry_id", "steps", "omitted", "step_gap", "depth_gap") == [("u1", 6, 0, False, True), ("u2", 6, 0, False, True)]
+    cut, short = flows.flow_steps(flow, nodes, edges, 3, 4)
+    assert cut.count() == 8 and rows(short, "entry_id", "steps", "omitted", "step_gap", "depth_gap") == [("u1", 4, 2, True, False), ("u2", 4, 2, True, False)]
+    unresolved = flows.unresolved_risks(steps)
+    assert rows(unresolved, "source_id", "evidence", "affected", "confidence") == [("f1", 1, 2, "unresolved"), ("f2", 1, 2, "unresolved")]
+    roots = spark.createDataFrame([("/c", "/")], "path string, root string")
+    by_entry = flows.entrypoint_risks(flow, roots)
+    assert rows(by_entry, "framework", "root", "ambiguous", "not_mapped", "evidence", "affected", "confidence", "location", "line") == [("B", "/", 1, 1, 2, 2, "inferred", "/c", 2)]
+    told = spark.createDataFrame([("error", "/z"), ("warning", ""), ("information", "/a")], "severity string, file_path string")
+    analysis = flows.analysis_risk(told, gaps)
+    assert rows(analysis, "evidence", "affected", "location") == [(4, 2, "/z")]
+    radar = flows.risk_radar(analysis, by_entry, unresolved, 3).collect()
+    assert [(r["kind"], r["id"], r["omitted"]) for r in radar] == [("analysisCoverage", "analysis-coverage", 1), ("entrypointCoverage", "B:/", 1), ("unresolvedExecution", "f1", 1)]
+
+
+def test_import_roots_and_entries(spark):
+    frame = lambda pairs: spark.createDataFrame(pairs, "source string, target string")
+    own = spark.createDataFrame([(p,) for p in ("a.ts", "b.ts", "src/main.ts", "tests/t.ts")], "path string")
+    assert rows(files.import_roots(own, frame([("a.ts", "b.ts"), ("src/main.ts", "ext")])), "path") == [("a.ts",), ("src/main.ts",)]
+    assert rows(files.import_roots(own, frame([("a.ts", "b.ts"), ("b.ts", "a.ts")])), "path") == [("a.ts",), ("b.ts",)]
+    assert len(rows(files.import_roots(own, frame([("a.ts", "b.ts")]).limit(0)), "path")) == 4
+    assert rows(files.application_entries(own, frame([("a.ts", "b.ts")])), "path", "score") == [("src/main.ts", 122)]
+    # The entry point is imported: the roots with most imports serve, tests left out.
+    assert rows(files.application_entries(own, frame([("a.ts", "src/main.ts"), ("tests/t.ts", "a.ts"), ("b.ts", "src/main.ts")])), "path") == [("b.ts",)]
+
+
+def test_import_resolution(spark):
+    own = spark.createDataFrame([(p,) for p in ("src/a.ts", "src/b/index.ts", "lib/c.js", "pkg/mod/x.py", "pkg/other/x.py", "pkg/__init__.py")], "path string")
+    asked = [("src/a.ts", "./b"), ("src/a.ts", "../lib/c"), ("src/b/index.ts", "@/a"), ("src/a.ts", "react"), ("pkg/mod/x.py", "other.x"), ("pkg/mod/x.py", "x"), ("pkg/mod/x.py", "pkg")]
+    got = files.resolve_imports(spark.createDataFrame(asked, "source string, specifier string"), own, {"@/*": "src/*"})
+    assert {(r["source"], r["specifier"]): r["target"] for r in got.collect()} == {
+        ("src/a.ts", "./b"): "src/b/index.ts", ("src/a.ts", "../lib/c"): "lib/c.js", ("src/b/index.ts", "@/a"): "src/a.ts", ("src/a.ts", "react"): None,
+        ("pkg/mod/x.py", "other.x"): "pkg/other/x.py", ("pkg/mod/x.py", "x"): None, ("pkg/mod/x.py", "pkg"): "pkg/__init__.py",
+    }
+
+
+def test_bounded_values(spark):
+    df = spark.createDataFrame([("a", x) for x in "dcbaabcd"] + [("b", "z"), ("b", None)], "g string, v string")
+    assert rows(selection.smallest_values(df, ["g"], "v", 3, "first"), "g", "first", "n") == [("a", ["a", "b", "c"], 4), ("b", ["z"], 1)]
 
 
 def test_selection(spark):
@@ -211,8 +324,8 @@ def main():
 
 
 def test_extract_and_resolve(spark):
-    files = spark.createDataFrame([("/ws/a.py", "python", SOURCE), ("/ws/pkg/helpers.py", "python", "def tool(x):\n    return x\n"), ("/ws/bad.py", "python", "def ("), ("/ws/x.ts", "typescript", "")], "path string, language string, content string")
-    facts = extract.extract(files).cache()
+    sources = spark.createDataFrame([("/ws/a.py", "python", SOURCE), ("/ws/pkg/helpers.py", "python", "def tool(x):\n    return x\n"), ("/ws/bad.py", "python", "def ("), ("/ws/x.ts", "typescript", "")], "path string, language string, content string")
+    facts = extract.extract(sources).cache()
     assert rows(facts.filter("fact = 'diagnostic'"), "path", "kind") == [("/ws/bad.py", "analysis.fileFailed")]
     names = dict(rows(extract.symbols(facts), "id", "qualified_name"))
     got = {(names[r["source_id"]], names.get(r["target_id"], r["target_id"]), r["confidence"]) for r in extract.resolve_calls(facts).collect()}
@@ -238,10 +351,10 @@ def test_all_paths_keeps_every_page(spark, tmp_path):
                 done = done[:-1]
             elif part not in ("", "."):
                 done.append(part)
-        return len("/" + "/".join(done)), len(done)
+        return "/" + "/".join(done), len(done)
 
     want = [(i, *(by_hand(u) if u else (None, None))) for i, u in enumerate(urls)]
-    assert rows(QUERIES["F5_F6_all_paths"](spark, str(tmp_path)), "page_id", "path_chars", "depth") == want
+    assert rows(QUERIES["F5_F6_paths"](spark, str(tmp_path)), "page_id", "path", "depth") == want
 
 
 def test_ancestor_closed_top_goes_on_past_long_chains(spark):

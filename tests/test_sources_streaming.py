@@ -36,15 +36,32 @@ def test_graph_round_trip(spark, tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    records = [("/a.py", "python", "h1", "é" * 3), ("/b.py", "python", "h2", "z" * 90)]
-    data = b"".join(manifest.encode_record(*r) for r in records)
-    assert [r[0] for r in manifest.decode_records(data, 50)] == ["/a.py"]
-    with pytest.raises(ValueError, match="inside a record"):
-        list(manifest.decode_records(data + b"\x00", 500))
+    files = [("/b.py", "python", "z" * 90), ("/a.tsx", "typescriptreact", "é" * 3)]
+    data = manifest.encode_manifest(files)
+    assert data.startswith(f"{manifest.VERSION}\n2\n6\n10\n6\n/a.tsxtypescript".encode())
+    assert [r[0] for r in manifest.decode_manifest(data, 50)] == ["/a.tsx"]
+    for bad, why in ((data + b"\x00", "trailing"), (data[:-1], "inside a record"), (data.replace(b"-v1", b"-v9"), "version"), (b"", "no line end"), (f"{manifest.VERSION}\n10001\n".encode(), "over 10000"), (f"{manifest.VERSION}\n1\n0\n1\n0\nx".encode(), "empty path")):
+        with pytest.raises(ValueError, match=why):
+            list(manifest.decode_manifest(bad, 500))
     (tmp_path / "m.bin").write_bytes(data)
     spark.dataSource.register(manifest.ManifestDataSource)
-    got = spark.read.format("code_manifest").option("path", str(tmp_path / "*.bin")).load().collect()
-    assert [(r["path"], r["size"], r["content"]) for r in got] == [("/a.py", 6, "ééé"), ("/b.py", 90, "z" * 90)]
+    want = [("/a.tsx", 6, "ééé"), ("/b.py", 90, "z" * 90)]
+    for got in (spark.read.format("code_manifest").option("path", str(tmp_path / "*.bin")).load(), manifest.read_manifests(spark, str(tmp_path / "*.bin"))):
+        assert [(r["path"], r["size"], r["content"]) for r in got.collect()] == want
+    frame = spark.createDataFrame([(p, manifest.WRITTEN_AS.get(x, x), c) for p, x, c in files], "path string, language string, content string")
+    assert manifest.size_in_bytes(frame).first()[0] == len(data)
+    manifest.write_manifest(frame, str(tmp_path / "written"))
+    written = b"".join(p.read_bytes() for p in (tmp_path / "written").glob("part-*"))
+    assert written.removesuffix(b"\x00") == data
+
+
+def test_globs(spark):
+    paths = ["a.py", "src/b.ts", "src/deep/c.py", "node_modules/d.py", "src/e.txt"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = lambda *a, **k: [r["path"] for r in workspace.find_source_files(files, *a, **k).collect()]
+    assert found("**/*.{py,ts}", "node_modules/**") == ["a.py", "src/b.ts", "src/deep/c.py"]
+    assert found("*.py") == ["a.py"] and found("src/?.*") == ["src/b.ts", "src/e.txt"]
+    assert found("**/*.py", limit=2) == ["a.py", "node_modules/d.py"]
 
 
 def test_streams(spark, tmp_path):
