@@ -11,6 +11,10 @@ counts only if its gzip header and its deflate stream decode.  A magic inside a
 member in two; a task joins the pieces again, and pieces cut apart by the edge of a byte range
 are stitched by file.
 
+Damage stops nothing: a member that does not decode or is cut short, a record without a WARC header or with a bad
+or too large length, and a payload that does not fit its SHA-1 digest come back as rows with ``damage``, on
+request; without the request they are left out.
+
 Defined results: null payloads are empty, null URLs leave the header out, null identifiers are
 written as such and read back as null; repeated rows give repeated records, and every row with
 the largest identifier of a group of equal payloads is a response; line breaks in a URL are
@@ -19,6 +23,7 @@ percent-encoded; an empty table gives an empty archive.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -79,29 +84,40 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 # --- reading -----------------------------------------------------------------------------------
 
-_READ_SCHEMA = "file string, block long, seq long, part binary, record_id string, record_type string, url string, digest string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+_READ_SCHEMA = "file string, block long, seq long, part binary, damage string, record_id string, record_type string, url string, digest string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
 
 def _parse(record: bytes) -> dict | None:
+    """The fields of a record; None for an empty member, which only fills the writer's line."""
+    if not record:
+        return None
     head, sep, rest = record.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not sep or not lines[0].startswith(b"WARC/"):
-        return None
+        return {"damage": "no WARC header", "payload_bytes": len(record)}
     fields = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
-    length = int(fields.get(b"content-length", "0"))
-    block = rest[:length]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    length, damage = fields.get(b"content-length", ""), None
+    if not (length.isascii() and length.isdigit()):
+        damage, block = "bad content length", rest
+    else:
+        block = rest[: int(length)]
+        if len(block) < int(length):
+            damage = "short record"
     kind = fields.get(b"warc-type")
-    digest = fields.get(b"warc-payload-digest", "").rpartition(":")[2]
+    http, _, payload = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
+    algorithm, _, digest = fields.get(b"warc-payload-digest", "").rpartition(":")
     if kind == "revisit":
-        said = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        size, found, payload = int(said[0]) if said else None, digest, None
+        said = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        size, found, payload = int(said[0]) if said and said[0].isdigit() else None, digest, None
     else:
-        size, found = len(payload), hashlib.sha1(payload).hexdigest()
+        hashed = hashlib.sha1(payload)
+        size, found = len(payload), hashed.hexdigest()
+        if damage is None and algorithm.lower() == "sha1" and digest.lower() not in (found, base64.b32encode(hashed.digest()).decode().lower()):
+            damage = "payload digest"
     url = fields.get(b"warc-target-uri")
     if url is not None:
         url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-    return {"record_id": fields.get(b"warc-record-id"), "record_type": kind, "url": url, "digest": digest, "refers_to": fields.get(b"warc-refers-to"), "payload_bytes": size, "payload_digest": found, "payload": payload}
+    return {"damage": damage, "record_id": fields.get(b"warc-record-id"), "record_type": kind, "url": url, "digest": digest, "refers_to": fields.get(b"warc-refers-to"), "payload_bytes": size, "payload_digest": found, "payload": payload}
 
 
 class _Joiner:
@@ -144,13 +160,13 @@ class _Joiner:
 
 
 def _rows(file: str, block: int, seq: int, records: list[bytes], pieces: list[bytes]) -> list[dict]:
-    blank = {"part": None, "record_id": None, "record_type": None, "url": None, "digest": None, "refers_to": None, "payload_bytes": None, "payload_digest": None, "payload": None}
+    blank = {"part": None, "damage": None, "record_id": None, "record_type": None, "url": None, "digest": None, "refers_to": None, "payload_bytes": None, "payload_digest": None, "payload": None}
     out = [blank | {"file": file, "block": block, "seq": seq, "part": p} for p in pieces if p]
     return out + [blank | {"file": file, "block": block, "seq": seq} | r for r in map(_parse, records) if r]
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("part", pa.binary()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("part", pa.binary()), ("damage", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
     at, seq, joiner, rest = None, 0, _Joiner(), []
     for batch in batches:
         out = rest
@@ -173,20 +189,32 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stitch(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Members of one file that the edges of byte ranges cut apart."""
+    """Members of one file that the edges of byte ranges cut apart; what joins to no member is damage."""
     joiner, out, columns = _Joiner(), [], list(pieces.columns)
+
+    def add(row, records: list[bytes], lost: list[bytes]) -> None:
+        out.extend(_rows(row.file, row.block, row.seq, records, []))
+        out.extend(_rows(row.file, row.block, row.seq, [], lost))
+
+    row = None
     for row in pieces.sort_values(["block", "seq"], kind="stable").itertuples():
-        out += [r for r in _rows(row.file, row.block, row.seq, joiner.feed(row.part)[0], [])]
+        add(row, *joiner.feed(row.part))
+    if row is not None:
+        add(row, [], joiner.end())
+    for r in out:
+        if r["part"] is not None:
+            r |= {"damage": "member does not decode", "payload_bytes": len(r["part"]), "part": None}
     return pd.DataFrame(out, columns=columns)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below ``path``, read in byte ranges."""
+def read_archives(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
+    """The records of all archives below ``path``, read in byte ranges; with ``damaged``, what is not whole comes along."""
     raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     parsed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")).mapInArrow(_unpack, _READ_SCHEMA)
     whole = parsed.filter(F.col("part").isNull())
     cut = parsed.filter(F.col("part").isNotNull()).groupBy("file").applyInPandas(_stitch, _READ_SCHEMA)
-    return whole.unionByName(cut).drop("part", "seq", "block")
+    rows = whole.unionByName(cut).drop("part", "seq", "block")
+    return rows if damaged else rows.filter("damage IS NULL").drop("damage")
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

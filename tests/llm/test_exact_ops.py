@@ -340,6 +340,30 @@ def test_warc(spark, tmp_path):
     assert kinds["<urn:page:5>", "u"][1] == "response"
 
 
+def test_warc_damage_is_told(spark, tmp_path):
+    good = lambda n: warc._member(warc._record(n, None, b"x" * 50, hashlib.sha1(b"x" * 50).hexdigest(), "response", 50, None))
+    record = lambda head, block: warc._member(b"WARC/1.1\r\nWARC-Type: response\r\n" + head + b"\r\n\r\n" + block)
+    broken = bytearray(good(2))
+    broken[20] ^= 0xFF
+    parts = [good(1), bytes(broken), good(3), record(b"Content-Length: x1", b"a\r\n\r\nb"), record(b"Content-Length: 999", b"a\r\n\r\nb"), warc._member(b"nothing"), record(b"WARC-Payload-Digest: sha1:00\r\nContent-Length: 6", b"a\r\n\r\nbc"), good(4), good(5)[:40]]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-0.gz.bin").write_bytes(b"".join(parts))
+    (tmp_path / "a" / "part-1.bin").write_bytes(b"")
+    for size in ("128m", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            told = warc.read_archives(spark, str(tmp_path / "a"), damaged=True).collect()
+            whole = warc.read_archives(spark, str(tmp_path / "a")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(r["record_id"] for r in whole) == [f"<urn:page:{n}>" for n in (1, 3, 4)]
+        assert {r["damage"] for r in told} == {None, "member does not decode", "bad content length", "short record", "no WARC header", "payload digest"}
+
+
+def test_warc_of_no_pages(spark):
+    assert warc.archived_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_warc_joins_members_cut_by_a_false_magic():
     record = warc._record(1, "u", warc.MAGIC * 50 + bytes(range(256)), "d", "response", 406, None)
     stored = zlib.compressobj(0, zlib.DEFLATED, 31)
