@@ -14,7 +14,7 @@ from .lineage import kept
 #: Steps along edges in one job.
 HOPS = 4
 #: Rounds that peel off nodes without an edge in or out before each colouring; the colouring ends whatever they leave.
-TRIMS = 3
+TRIMS = 4
 
 
 def _trim(edges: DataFrame) -> DataFrame:

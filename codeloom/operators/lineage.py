@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; one of our own only where it is unset, on one machine."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        if not configured and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+    return (configured or sc.getCheckpointDir()).rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the folder of ``spark.checkpoint.dir``, which all executors share.
+    """The rows, computed once and kept as Parquet in the shared folder.
 
-    Only where no folder is set (a local session) one of our own serves.
+    Other than a checkpoint, the files tell their size, so what follows broadcasts a small table and
+    shuffles a large one, and reads only the columns it needs.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

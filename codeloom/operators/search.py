@@ -6,9 +6,10 @@ import base64
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import forward_slashes, normalise_text
+from .selection import running_total
 
 PAGE_LIMIT = 100
 
@@ -37,9 +38,9 @@ def scored(functions: DataFrame, query: str) -> DataFrame:
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """K6: matches in their total order, numbered from 1; the order is partitioned nowhere, so only small columns go in."""
-    order = Window.orderBy(F.desc("score"), F.desc("relevance"), "name", "qualified_name", "file_path", "start_line", "id")
-    return found.withColumn("position", F.row_number().over(order))
+    """K6: matches in their total order, numbered from 1."""
+    order = [F.desc("score"), F.desc("relevance"), *[F.asc(c) for c in ("name", "qualified_name", "file_path", "start_line", "id")]]
+    return running_total(found, order, F.lit(1), "position")
 
 
 def top(found: DataFrame, limit: int = PAGE_LIMIT, offset: int = 0) -> DataFrame:

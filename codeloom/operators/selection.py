@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import kept
+
 #: Kinds of edges by relation mode; ``boundary`` takes all.
 EXECUTION = ("calls", "routesTo", "usesModel", "renders", "injects", "configures")
 DEPENDENCY = ("imports", "exports", "extends")
@@ -21,6 +23,30 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], limit: int)
     return rows.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= limit).drop("_n")
 
 
+def running_total(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Rows with the sum of ``value`` over all rows up to each in a total order.
+
+    The rows are sorted into ranges; a window runs inside each range, and only the ranges' sums, one row each,
+    are added up in one place.
+    """
+    ranges = kept(rows.repartitionByRange(*order).withColumns({"_range": F.spark_partition_id(), "_value": value}))
+    sums = ranges.groupBy(F.col("_range").alias("_r")).agg(F.sum("_value").alias("_sum"))
+    before = F.sum("_sum").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.sum("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = ranges.withColumn("_own", own).join(F.broadcast(sums.select("_r", F.coalesce(before, F.lit(0)).alias("_before"))), F.col("_range") == F.col("_r"))
+    return joined.select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
+def retained_scene(expansions: DataFrame, most: int = 500) -> DataFrame:
+    """(scene, expansion, nodes): the latest expansions of each scene whose nodes together fit the budget.
+
+    ``expansions`` has scene, expansion, seen_at and nodes; the newest stays even where it alone is over.
+    """
+    own = Window.partitionBy("scene").orderBy(F.desc("seen_at"), "expansion")
+    total = F.sum("nodes").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return expansions.withColumns({"_n": F.row_number().over(own), "_total": total}).filter((F.col("_n") == 1) | (F.col("_total") <= most)).select("scene", "expansion", "nodes")
+
+
 def smallest_values(rows: DataFrame, groups: list[str], value: str, limit: int, name: str) -> DataFrame:
     """(groups, name, n): each group's smallest distinct values, ``limit`` at most, and how many there are.
 

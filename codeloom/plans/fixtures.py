@@ -64,6 +64,11 @@ RELATIONS: dict[str, str] = {
     "fx_imports": """
         select s.path as source, coalesce(t.path, e.target_id) as target
         from {fx_edges} e join {fx_part_files} s on s.id = e.source_id left join {fx_part_files} t on t.id = e.target_id where e.kind in ('imports', 'exports') and s.path <> coalesce(t.path, '')""",
+    "fx_conditions": """
+        select l_orderkey as function_id, l_orderkey % 7 as group_id, ord as block_id, ord - 1 as member_index, l_returnflag as flag, count(*) over (partition by l_orderkey) as n from {fx_lines}""",
+    "fx_condition_edges": """
+        select function_id, block_id * 2 as edge_id, block_id as src, case when block_id < n then block_id + 1 else 100 end as dst, 'true' as kind from {fx_conditions}
+        union all select function_id, block_id * 2 + 1, block_id, case when flag <> 'A' and block_id < n then block_id + 1 else 200 end, 'false' from {fx_conditions}""",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path

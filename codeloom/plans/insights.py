@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import binding, components, files, flows, index, layers, ownership, selection, traverse, views
+from ..operators import components, dataflow, files, flows, index, layers, ownership, selection, traverse, views
 from ..sources import workspace
 from .fixtures import Graph
-from .registry import _BOUND, _CALLS, _FAN, _LOCATED, _OWN, _RANK, MOD, NE, QUERIES, _bound, _calls, _located, _owner, _seeds, query
+from .registry import _BOUND, _CALLS, _FAN, _LOCATED, _OWN, _RANK, MOD, NE, _bound, _calls, _located, _owner, _seeds, query
 
-_REPLACED_RANK = "case {0} when 'exact' then 0 when 'resolved' then 1 when 'inferred' then 2 else 3 end"
 _NAMES = "['exact', 'resolved', 'inferred', 'unresolved']"
 
 
@@ -281,10 +280,6 @@ def _(g):
     return flows.flow_steps(_flows(g), g.nodes, g.edges, 3, 8)[1]
 
 
-_UNRESOLVED = """, prior as (select c.start, c.node, c.depth, e.source_id, e.id, e.confidence, e.start_line, row_number() over (partition by c.start, e.source_id, c.node order by """ + _REPLACED_RANK.format("e.confidence") + """, e.start_line, e.id) as k
-    from reached c join reached p on p.start = c.start and p.depth = c.depth - 1 join fx_call_edges e on e.source_id = p.node and e.target_id = c.node where c.depth = 1 or p.node in (select id from concrete)),"""
-
-
 @query("A25_entrypoint_coverage", _FLOWS + "," + _OWN[5:] + f""" select framework, coalesce(module, '') as root, count(*) filter (where status = 'ambiguous') as ambiguous, count(*) filter (where status = 'handlerNotMapped') as not_mapped, count(*) as evidence, count(distinct entry_id) as affected, {_NAMES}[max(r) + 1] as confidence,
     min((entry_path, entry_line))[1] as location, min((entry_path, entry_line))[2] as line from flow left join owner on entry_path = path where status <> 'mapped' group by 1, 2""", *_FLOW_TABLES, *MOD)
 def _(g):
@@ -430,9 +425,6 @@ def _(g):
     return workspace.fingerprint(pages, "config")
 
 
-_SUPPLEMENT = "select id, name from fx_nodes where kind <> 'file' and length(id) % 2 = 0"
-
-
 @query("S15_supplement", """with base as (select id, kind from fx_nodes where kind <> 'method'), extra as (select id, 'supplement' as kind from fx_nodes where kind in ('method', 'function')),
     edges as (select id, source_id from fx_call_edges where start_line % 2 = 0 union all select id, source_id from fx_call_edges e where start_line % 2 <> 0 and source_id in (select id from extra) and target_id in (select id from extra))
     select 'node' as what, id, kind as detail from base union all select 'node', id, kind from extra where id not in (select id from base) union all select 'edge', id, source_id from edges""", *NE)
@@ -441,3 +433,31 @@ def _(g):
     nodes = workspace.merge_supplement(base, extra).select(F.lit("node").alias("what"), "id", F.col("kind").alias("detail"))
     edges = workspace.merge_supplement_edges(g.edges.filter("start_line % 2 = 0"), g.edges, extra)
     return nodes.unionByName(edges.select(F.lit("edge").alias("what"), "id", F.col("source_id").alias("detail")))
+
+
+# --- conditions, bodies, scenes ------------------------------------------------------------------------------
+
+
+@query(
+    "D7_condition_cases",
+    """with recursive walk(f, g, b, n, vals, way, target, result) as (select function_id, group_id, 1, n, cast([] as varchar[]), cast([] as bigint[]), cast(null as bigint), cast(null as varchar) from fx_conditions where member_index = 0 and n <= 6
+      union all select f, g, e.dst, n, list_append(vals, e.kind), list_append(way, e.edge_id), case when e.dst >= 100 then e.dst end, e.kind from walk w join fx_condition_edges e on e.function_id = w.f and e.src = w.b where w.target is null),
+    placed as (select *, row_number() over (partition by f, g order by len(way), way, target) as position, count(*) over (partition by f, g) as total from walk where target is not null)
+    select f as function_id, g as group_id, position, array_to_string(list_concat(vals, list_transform(range(n - len(vals)), lambda x: 'skipped')), ',') as vals, result, target, greatest(total - 32, 0) as omitted from placed where position <= 32""",
+    "fx_conditions",
+    "fx_condition_edges",
+)
+def _(g):
+    return dataflow.condition_cases(g["fx_conditions"], g["fx_condition_edges"]).withColumn("vals", F.array_join("values", ",")).drop("values")
+
+
+@query("D16_body_ancestors", "with recursive up(f, b, a, d) as (select function_id, block_id, cast(floor(block_id / 2) as bigint), 1 from fx_blocks where block_id > 1 union all select f, b, cast(floor(a / 2) as bigint), d + 1 from up where a > 1) select f as function_id, b as block_id, a as ancestor, d as depth from up", "fx_blocks")
+def _(g):
+    parent = F.when(F.col("block_id") > 1, F.floor(F.col("block_id") / 2))
+    return dataflow.body_ancestors(g["fx_blocks"].select("function_id", "block_id", parent.alias("parent_id")))
+
+
+@query("G9_scene", "select scene, expansion, nodes from (select *, row_number() over w as n, sum(nodes) over (partition by scene order by seen_at desc, expansion rows unbounded preceding) as total from (select user_id % 100 as scene, event_id as expansion, ts as seen_at, event_id % 97 + 1 as nodes from events) e window w as (partition by scene order by seen_at desc, expansion)) t where n = 1 or total <= 500")
+def _(g):
+    e = g["events"].select((F.col("user_id") % 100).alias("scene"), F.col("event_id").alias("expansion"), F.col("ts").alias("seen_at"), (F.col("event_id") % 97 + 1).alias("nodes"))
+    return selection.retained_scene(e)

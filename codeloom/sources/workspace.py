@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.selection import running_total
+
 # Fixed values.  S2: directories never scanned, besides the tool's own cache folder.
 EXCLUDED_DIRECTORIES = (".git", ".vscode", "node_modules", "dist", "build", "coverage", ".venv", "venv", "__pycache__", "target", "out")
 # S3: language of each extension.
@@ -131,9 +133,8 @@ def retained(snapshots: DataFrame, caps: dict[str, int] | int, byte_budget: int)
     cap = F.lit(caps) if isinstance(caps, int) else F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("scope"))
     latest = Window.partitionBy("scope").orderBy(F.desc("saved_at"), "cache_key")
     kept = snapshots.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= cap)
-    # The catalogue has a handful of rows for each scope after the caps.
-    all_ = Window.orderBy(F.desc("saved_at"), "scope", "cache_key").rowsBetween(Window.unboundedPreceding, 0)
-    return kept.withColumn("running", F.sum("bytes").over(all_)).filter(F.col("running") <= byte_budget).drop("n", "running")
+    running = running_total(kept, [F.desc("saved_at"), F.asc("scope"), F.asc("cache_key")], F.col("bytes"), "running")
+    return running.filter(F.col("running") <= byte_budget).drop("n", "running")
 
 
 def merge_supplement(base: DataFrame, supplement: DataFrame, key: str = "id") -> DataFrame:
