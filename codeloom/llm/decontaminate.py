@@ -412,6 +412,13 @@ def _verdict(base: DataFrame, matched: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that the benchmark contaminates; columns stay as they are, whatever their names."""
+    bad = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"))
+    return packed.join(bad, F.col("own").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+
+
 def digest_of_items(items: list[str]) -> str:
     """The digest of a list of item ids; for tests."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import checkpointed
 
@@ -99,22 +99,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; all columns stay as they are."""
-    norm = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), _SQL_DELETED, ""), 256)
-    dropped = exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha"), "keep_id")
+    """``docs`` without the rows that :func:`exact_dedup` drops; all columns stay as they are, whatever their names."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), F.sha2(F.regexp_replace(text, _SQL_DELETED, ""), 256).alias("sha"), F.length(text).alias("chars"))
+    dropped = exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("drop_id"), F.col("text_sha256").alias("drop_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeat"))
+    same = F.col("own").eqNullSafe(F.col("drop_id")) & (F.col("sha") == F.col("drop_sha"))
+    kept = packed.join(dropped.filter("NOT repeat"), same, "left_anti")
     # A row that repeats its keeper, identifier and all, goes by number instead of by name.
-    repeats = dropped.filter(F.col("_drop_id").eqNullSafe(F.col("keep_id"))).select("_drop_id", "_drop_sha").distinct()
-    others = dropped.filter(~F.col("_drop_id").eqNullSafe(F.col("keep_id"))).select("_drop_id", "_drop_sha")
-    marked = docs.withColumn("_sha", norm)
-    kept = marked.join(others, F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_sha") == F.col("_drop_sha")), "left_anti")
+    repeats = dropped.filter("repeat").select("drop_id", "drop_sha").distinct()
     if repeats.isEmpty():
-        return kept.drop("_sha")
-    longest = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.monotonically_increasing_id())
-    numbered = kept.withColumn("_row", longest)
-    again = repeats.withColumnRenamed("_drop_id", "_r").withColumnRenamed("_drop_sha", "_s")
-    both = numbered.join(again, F.col(id_col).eqNullSafe(F.col("_r")) & (F.col("_sha") == F.col("_s")), "left")
-    single = both.filter(F.col("_s").isNull())
-    from pyspark.sql import Window
-
-    many = both.filter(F.col("_s").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy(F.desc("_row")))).filter("_n = 1").drop("_n")
-    return single.unionByName(many).select(*docs.columns)
+        return kept.select("row.*")
+    both = kept.join(repeats, same, "left")
+    order = Window.partitionBy("own", "sha").orderBy(F.desc("chars"), F.monotonically_increasing_id())
+    one = both.filter("drop_sha IS NOT NULL").withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return both.filter("drop_sha IS NULL").select("row").unionByName(one.select("row")).select("row.*")

@@ -458,6 +458,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that :func:`near_duplicates` drops; columns stay as they are."""
-    dropped = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_drop"), "left_anti")
+    """``docs`` without the documents that :func:`near_duplicates` drops; columns stay as they are, whatever their names."""
+    dropped = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("drop_id")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"))
+    return packed.join(dropped, F.col("own") == F.col("drop_id"), "left_anti").select("row.*")

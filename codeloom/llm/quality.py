@@ -16,8 +16,8 @@ by one count per bucket and grade, and every step of the fit is a Spark job that
 over partitions; the driver only holds the weights (``MAX_FEATURES`` at most).  Scoring reads every whole text.
 
 Defined results: a null text is an empty text; labels without a document, or with a null grade, are left out;
-several labels of a document count as their mean grade, rounded down; without labels, or
-with one grade only, every document has the prior's scores; repeated rows give equal rows; an
+several labels of a document count as their mean grade, rounded down; without labels, with one
+grade only or without a telling feature, every document has the prior's scores and is selected; repeated rows give equal rows; an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -145,6 +145,10 @@ class Model:
         out[self.buckets] = self.weights
         return out
 
+    def selects(self, tail: np.ndarray, select_at: float) -> np.ndarray:
+        """What a tail probability selects; a model that has learnt nothing rejects nothing."""
+        return tail >= select_at if len(self.buckets) else np.ones(len(tail), dtype=bool)
+
     def grades(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and probability of the highest grade."""
         above = 1 - _sigmoid(self.thresholds[None, :] - score[:, None])
@@ -260,7 +264,7 @@ def score(docs: DataFrame, model: Model, select_at: float = SELECT_AT) -> DataFr
         for batch in batches:
             for first, n, row, bucket in features(batch["text"]):
                 expected, tail = own.grades(np.bincount(row, weights=weights[bucket], minlength=n))
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(first, n), pa.array(expected), pa.array(tail), pa.array(tail >= select_at)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(first, n), pa.array(expected), pa.array(tail), pa.array(own.selects(tail, select_at))], schema=schema)
 
     return docs.mapInArrow(read, "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
@@ -278,6 +282,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, select_at: float = SELECT_AT) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; rows are scored where they stand, without a shuffle."""
     model = fit(_texts(docs, id_col, text_col), labels, train_rows)
+    if not len(model.buckets):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

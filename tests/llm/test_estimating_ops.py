@@ -258,3 +258,25 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert left == set(range(160)) - {10, 151, 152}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "near dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Null, empty, blank and repeated rows, null identifiers, columns with the helpers' names, and empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b  c d e f g h"), (None, "x y z"), (None, None), (3, None), (4, ""), (5, " \n"), (6, "x" * 50_000)]
+    named = "doc_id long, text string, lang string, source string, n_chars long, row string, own int, drop_id int, bad_id int, sha string, nth int"
+    docs = spark.createDataFrame([(i, t, None, "s", None, "r", 0, 1, 2, "s", 3) for i, t in rows], named)
+    empty = lambda columns: spark.createDataFrame([], columns)
+    empty("doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty("item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert kept["exact dedup"] == sorted([(2, "a b  c d e f g h"), (None, "x y z"), (5, " \n"), (6, "x" * 50_000)], key=str)
+    assert kept["near dedup"] == sorted((r for r in rows if r[0] != 2), key=str)
+    assert kept["benchmark decontamination"] == sorted(rows, key=str)
+    pieces = corpus_pipeline.packing_stage(spark, docs, str(tmp_path))
+    assert pieces.filter("length = 1").count() == 3 and corpus_pipeline.packing_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
