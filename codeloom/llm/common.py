@@ -41,8 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def few_parts(df: DataFrame) -> DataFrame:
-    """The rows in four parts a core at most: a narrow table needs no more files than all cores can write at once."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """The rows of a narrow table in fewer files: four for each core, or a quarter of the session's shuffle partitions if that is more."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
