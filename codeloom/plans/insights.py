@@ -42,7 +42,14 @@ def _(g):
     return g["fx_files"].select("path", files.entry_score(F.col("path")).alias("score"))
 
 
-@query("K20_entry_files", f"select * from (select path, {_SCORE} as score from fx_files) t where score > 0 and path not in (select target from fx_imports)", "fx_files", "fx_imports")
+# Scored files that nothing imports; if there are none, the roots with most imports, where possible such of an application.
+_ENTRIES = f"""{_ROOTS}, scored as (select * from (select path, {_SCORE} as score from fx_files) t where score > 0 and path not in (select target from fx_imports)),
+  own as (select path from roots where not ({_NON_APPLICATION})), chosen as (select path from own union all select path from roots where not exists (select 1 from own)),
+  degree as (select source, count(*) as n from fx_imports group by 1), ordered as (select path, row_number() over (order by coalesce(n, 0) desc, path) as k from chosen left join degree on source = path),
+  entries as (select path, score from scored union all select path, 0 from ordered where k <= 24 and not exists (select 1 from scored))"""
+
+
+@query("K20_entry_files", f"with {_ENTRIES} select path, score from entries", "fx_files", "fx_imports")
 def _(g):
     return files.application_entries(g["fx_files"], g["fx_imports"])
 
@@ -54,9 +61,9 @@ def _(g):
 
 @query(
     "A32_import_summary",
-    f"""with {_ROOTS} select count(*) as import_edges, count(distinct source) as importer_files, count(distinct case when target in (select path from fx_files) then target end) as imported_files,
+    f"""with {_ENTRIES} select count(*) as import_edges, count(distinct source) as importer_files, count(distinct case when target in (select path from fx_files) then target end) as imported_files,
     count(*) filter (where target not in (select path from fx_files)) as external_imports, (select count(*) from fx_files) as file_nodes,
-    (select count(*) from fx_files where {_SCORE} > 0 and path not in (select target from fx_imports)) as application_entrypoints, (select count(*) from roots) as entry_roots from fx_imports""",
+    (select count(*) from entries) as application_entrypoints, (select count(*) from roots) as entry_roots from fx_imports""",
     "fx_files",
     "fx_imports",
 )
