@@ -357,13 +357,24 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select(*pairs.columns)
 
 
+def _in_buckets(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Members with their bucket's row (k, size, ...), those of buckets without one left out.
+
+    Buckets of at least a 2,000th of all members, 2,000 at most, are broadcast, so that no task gets a hot bucket.
+    """
+    hot_at = F.lit((buckets.agg(F.sum("size")).first()[0] or 0) // 2000 + 1)
+    hot, cold = F.broadcast(buckets.filter(F.col("size") >= hot_at)), buckets.filter(F.col("size") < hot_at)
+    rest = members.join(hot.select(F.col("k").alias("h")), F.col("bucket") == F.col("h"), "left_anti")
+    return members.join(hot, F.col("bucket") == F.col("k")).unionByName(rest.join(cold, F.col("bucket") == F.col("k"))).drop("size")
+
+
 def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components in large buckets, all members compared in blocks."""
     own = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
     tagged = members.join(own, F.col("id") == F.col("n"), "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
     per = tagged.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    split = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("size")).filter("parts > 1").select(F.col("bucket").alias("k"), F.col("most.c").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks"))
-    open_ = tagged.join(split, F.col("bucket") == F.col("k")).join(reps.select(F.col("id").alias("i"), F.col("n").alias("size"), "sketch"), F.col("id") == F.col("i")).join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
+    split = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("size")).filter("parts > 1").select(F.col("bucket").alias("k"), F.col("most.c").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks"), "size")
+    open_ = _in_buckets(tagged, checkpointed(split)).join(reps.select(F.col("id").alias("i"), F.col("n").alias("size"), "sketch"), F.col("id") == F.col("i")).join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     keep = ["bucket", "id", "c", "size", "sketch", "shingles"]
     # Every block of members outside the main component meets every block of all members.
