@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, quality, substring_dedup, warc
+from . import centroids, chat, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -65,6 +73,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_centroids": op13_centroids,
 }
 
 _OP6 = r"""
@@ -193,6 +203,67 @@ with recursive w as (
 select c.doc_id, coalesce(n, 0) as n_shingles, component_id, c.doc_id = component_id as kept from component c left join size on size.doc_id = c.doc_id
 """
 
+_OP12 = rf"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, r, sha256(length(r) || ':' || r || x)) as pos, sha256(length(r) || ':' || r || x) as s, len(regexp_extract_all(x, '{_SPACED}')) as words
+  from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null) u
+), crc as (
+  select conv_id, conv_id - conv_id % {prefix_trie.FAMILY} as family,
+    xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end), 4294967295::bigint) % {prefix_trie.HEAD} as h
+  from (select distinct conv_id from t) u
+), rebuilt as (
+  select crc.conv_id, pos, s, words from crc join t on t.conv_id = family and pos <= h
+  union all select crc.conv_id, pos + (select count(*) from t b where b.conv_id = family and b.pos <= h) - h, s, words from crc join t on t.conv_id = crc.conv_id and pos > h
+), conv as (
+  select crc.conv_id, coalesce(list(s order by pos) filter (where s is not null), []) as ss, coalesce(list(words order by pos) filter (where s is not null), []) as ws from crc left join rebuilt on rebuilt.conv_id = crc.conv_id group by 1
+), member as (
+  select conv_id, d as depth, list_slice(ss, 1, d) as p, case when d = 0 then 0 else ws[d] end as words, len(ss) = d as at_end from (select conv_id, ss, ws, unnest(range(0, len(ss) + 1)) as d from conv) u
+), node as (
+  select depth, p, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where at_end), '') as ends from member group by 1, 2
+), child as (
+  select depth - 1 as depth, list_slice(p, 1, depth - 1) as p, count(*) as n from node where depth > 0 group by 1, 2
+), full_node as (
+  select node.*, coalesce(child.n, 0) as n_children from node left join child on child.depth = node.depth and child.p = node.p
+), below as (
+  select up as depth, list_slice(p, 1, up) as p, cast(sum(case when n_children = 0 then 1 else 0 end) as bigint) as n_leaves, cast(sum((n_convs - 1) * words) as bigint) as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as up from full_node) u group by 1, 2
+)
+select f.conv_id, f.depth, above.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) as ends_sha256
+from full_node f join below on below.depth = f.depth and below.p = f.p left join node above on above.depth = f.depth - 1 and above.p = list_slice(f.p, 1, f.depth - 1)
+"""
+
+
+def _op13() -> str:
+    k, last = centroids.CLUSTERS, centroids.ROUNDS
+    steps = [
+        f"""c0 as (
+  select row_number() over (order by sha256('{centroids.SEED}:' || vec_id), v) - 1 as j, v as c from (select vec_id, v from kept order by sha256('{centroids.SEED}:' || vec_id), v limit {k}) u
+)"""
+    ]
+    for r in range(last + 1):
+        steps.append(
+            f"""a{r} as (
+  select n, vec_id, v, arg_min(j, d * {k} + j) as cluster, min(d) as distance from (select n, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from kept, c{r}) u group by 1, 2, 3
+)"""
+        )
+        if r < last:
+            steps.append(
+                f"""m{r} as (
+  select cluster, list(cast((s - ((s % cnt) + cnt) % cnt) / cnt as bigint) order by i) as c from (select cluster, i, sum(x)::bigint as s, count(*) as cnt from (select cluster, unnest(v) as x, unnest(range(len(v))) as i from a{r}) u group by 1, 2) w group by 1
+), c{r + 1} as (select j, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} on m{r}.cluster = j)"""
+            )
+    return f"""
+with kept as (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::bigint) as v from embeddings
+  where len(embedding) = {centroids.DIMENSIONS} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), {", ".join(steps)}
+select vec_id, cluster::int as cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+  sha256(list_aggregate(c, 'string_agg', ',')) as centroid_sha256
+from a{last} join c{last} on j = cluster
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": _OP2,
     "op3_decontaminate": _OP3,
@@ -201,4 +272,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": _OP7,
     "op9_warc": _OP9,
     "op10_minhash_near_dedup": _OP10,
+    "op12_prefix_trie": _OP12,
+    "op13_centroids": _op13(),
 }
