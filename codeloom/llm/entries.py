@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup, warc
+from . import centroids, chat, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, ngram_join, packing, prefix_trie, quality, substring_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_ngram_join": op11_ngram_join,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_centroids": op13_centroids,
 }
@@ -185,7 +190,7 @@ select w.doc_id, len(ws) as n_words, coalesce(n, 0) as n_base, first_word, last_
 from w left join base on base.doc_id = w.doc_id left join label on label.doc_id = w.doc_id left join best on best.doc_id = w.doc_id
 """
 
-_OP10 = f"""
+_NEAR = f"""
 with recursive w as (
   select doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') as ws from documents
 ), shingle as (
@@ -196,13 +201,15 @@ with recursive w as (
 ), common as (
   select a.doc_id as x, b.doc_id as y, count(*) as c from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
 ), link as (
-  select x, y from common join size p on p.doc_id = x join size q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+  select x, y from common join size p on p.doc_id = x join size q on q.doc_id = y where 100 * c >= %d * (p.n + q.n - c)
 ), reach(doc_id, r) as (
   select doc_id, doc_id from documents union select reach.doc_id, link.y from reach join link on link.x = reach.r
 ), component as (select doc_id, min(r) as component_id from reach group by 1)
-select c.doc_id, coalesce(n, 0) as n_shingles, component_id, c.doc_id = component_id as kept from component c left join size on size.doc_id = c.doc_id
 """
 
+_OP10 = _NEAR % near_dedup.PERCENT + "select c.doc_id, coalesce(n, 0) as n_shingles, component_id, c.doc_id = component_id as kept from component c left join size on size.doc_id = c.doc_id"
+_OP11 = _NEAR % ngram_join.PERCENT + "select c.doc_id, coalesce(n, 0) as n_shingles, component_id from component c left join size on size.doc_id = c.doc_id"
+
 _OP12 = rf"""
 with t as (
   select conv_id, row_number() over (partition by conv_id order by turn nulls first, r, sha256(length(r) || ':' || r || x)) as pos, sha256(length(r) || ':' || r || x) as s, len(regexp_extract_all(x, '{_SPACED}')) as words
@@ -272,6 +279,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": _OP7,
     "op9_warc": _OP9,
     "op10_minhash_near_dedup": _OP10,
+    "op11_ngram_join": _OP11,
     "op12_prefix_trie": _OP12,
     "op13_centroids": _op13(),
 }
