@@ -6,7 +6,10 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 #: Bytes of an Arrow batch between Spark and Python at most, unless the session says less.
@@ -64,6 +67,24 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def id_bitmap(wanted: DataFrame, id_col: str) -> tuple[Column, Broadcast]:
+    """(place of an identifier, broadcast bitmap): all identifiers of ``wanted`` are in it, and about one of 16 others, more beyond 2**24 of them; 32 MB at most."""
+    spark = wanted.sparkSession
+    bits = min(28, max(15, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << bits))
+    rows = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("bits")).collect()
+    table = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
+    for r in rows:
+        table[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return place, spark.sparkContext.broadcast(table)
+
+
+def maybe_in(table: np.ndarray, places: pa.Array) -> pa.Array:
+    """Whether the bitmap has each place."""
+    p = places.to_numpy(zero_copy_only=False)
+    return pa.array((table[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+
+
 def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot_share: int = 2000) -> DataFrame:
     """``rows`` left-joined with one ``groups`` row per ``key``, safe for a key that most rows have.
 

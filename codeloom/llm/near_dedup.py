@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, few_parts, left_join_groups, shared_dir, stored
+from .common import checkpointed, few_parts, id_bitmap, left_join_groups, maybe_in, shared_dir, stored
 from .components import contract
 from .words import SPACED, Words, mix, split_words
 
@@ -284,23 +284,16 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(judge, "a long, b long, j double")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles) of the documents in ``wanted`` (ids); only their texts are hashed.
 
     A bitmap of hashed ids, of 32 MB at most, sorts out most others before a join on the id.
     """
-    bits = min(28, max(15, (16 * count).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    rows = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("bits")).collect()
-    table = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
-    for r in rows:
-        table[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    maybe = docs.sparkSession.sparkContext.broadcast(table)
+    place, maybe = id_bitmap(wanted, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch["p"].to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((maybe.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(maybe_in(maybe.value, batch["p"]))
             for w in split_words(batch["text"], SPACED, lower=True):
                 h, cuts = shingle_sets(w)
                 data = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -443,7 +436,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = made.filter("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id")).distinct()
 
     wanted = checkpointed(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct())
-    sets = _sets_of(texts, wanted, wanted.count())
+    sets = _sets_of(texts, wanted)
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("j", (-F.col("a")).alias("o"))).alias("a")).select("a", "b")
     labels = checkpointed(contract(_verified(best, sets, percent)))
     rest = checkpointed(_apart(likely.select("a", "b"), labels).join(best, ["a", "b"], "left_anti"))

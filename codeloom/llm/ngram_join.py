@@ -4,12 +4,12 @@ Two sets of Jaccard similarity t or more share, under ANY order of all tokens, a
 n - ceil(t * n) + 1 of each.  So a pair is a candidate only if its prefixes meet under each of several orders.
 No pair of linked sets is lost, whatever the orders; they only differ in what they keep out.
 
-1. Sets are hashed once and kept.  Tokens that a task meets in several documents are counted, and the
+1. Tokens that a task meets in several documents are counted, and the
    most frequent of all are told to every task; the first two orders put these last, by level of
    frequency, and all three order the rest by different hashes.
 2. Prefix tokens under the first order are sorted; equal tokens are buckets.  Two members are a pair
    if their sizes, and what is left of both sets from the shared token on, allow the overlap.
-   A bucket of up to 8 gives all its pairs; a larger one gives each member's neighbours by the next token and the
+   A bucket of up to 8 gives all its pairs; a larger one gives each member's neighbours by size and place and the
    smallest member, so pairs stay linear in the rows.  A bucket may span range partitions.
 3. A pair goes on only if its prefixes under the other orders meet too.
 4. Each document's first pair is verified on full sets, then the pairs that still join components.
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, few_parts, left_join_groups, shared_dir, stored
+from .common import checkpointed, few_parts, id_bitmap, left_join_groups, maybe_in, shared_dir, stored
 from .components import contract
 from .near_dedup import _apart, _linked, _verified, shingle_sets
 from .words import SPACED, mix, split_words
@@ -58,8 +58,16 @@ _WORDS = 4  # of 64 parity bits
 # --- sets and orders -------------------------------------------------------------------------------------
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(id, n, key, tokens) of every row; key is a digest of the set, null for an empty one.  n = -1: tokens and, as key, how many documents of a task had them."""
+def _keyed_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes | None]]]:
+    """(first row, rows, tokens, cuts, key of each set) of some rows at a time; the key is a digest of the set, null for an empty one."""
+    for w in split_words(column, SPACED, lower=True):
+        h, cuts = shingle_sets(w)
+        keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield w.first_row, w.rows, h, cuts, keys
+
+
+def _drawn(docs: DataFrame) -> DataFrame:
+    """(id, n, key, tokens) of every row, tokens null.  n = -1: tokens and, as key, how many documents of a task had them."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,12 +80,9 @@ def _sets(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([n.tobytes()], pa.binary()), pa.array([token.tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
-            for w in split_words(batch["text"], SPACED, lower=True):
-                h, cuts = shingle_sets(w)
+            for first, rows, h, cuts, keys in _keyed_sets(batch["text"]):
                 held.append(h)
-                data = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in data]
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(w.first_row, w.rows), pa.array(np.diff(cuts).astype(np.int64)), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(first, rows), pa.array(np.diff(cuts).astype(np.int64)), pa.array(keys, pa.binary()), pa.nulls(rows, pa.binary())], schema=schema)
             if sum(map(len, held)) >= COUNT_ELEMENTS:
                 yield counted()
         if held:
@@ -102,13 +107,13 @@ class Frequent:
         return np.where(self.tokens[at] == h, self.levels[at], np.uint64(0))
 
 
-def _frequent(sets: DataFrame) -> Frequent:
+def _frequent(drawn: DataFrame) -> Frequent:
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tokens, counts in zip(batch["tokens"], batch["key"], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens.as_buffer(), dtype=np.int64)), pa.array(np.frombuffer(counts.as_buffer(), dtype=np.uint32).astype(np.int64))], names=["token", "c"])
 
-    each = sets.filter("n = -1").select("tokens", "key").mapInArrow(unpacked, "token long, c long")
+    each = drawn.filter("n = -1").select("tokens", "key").mapInArrow(unpacked, "token long, c long")
     top = each.groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()
     return Frequent(top["token"].to_numpy().view(np.uint64), top["c"].to_numpy())
 
@@ -162,30 +167,27 @@ def _unpack_others(data: bytes) -> list[np.ndarray]:
 # --- buckets of the first order ----------------------------------------------------------------------------
 
 
-def _prefixes(sets: DataFrame, known: Frequent, percent: int, fewest: int) -> DataFrame:
-    """(token, follow, id, place) of the first order's prefixes; place has size and position; a task sends equal sets once."""
-    shared = sets.sparkSession.sparkContext.broadcast(known)
+def _prefixes(docs: DataFrame, known: Frequent, percent: int, fewest: int) -> DataFrame:
+    """(token, place, id) of the first order's prefixes; place has size and position; a task sends equal sets once."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-            for key, tokens, i in zip(batch["key"].to_pylist(), batch["tokens"], batch["id"].to_pylist(), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                at = np.sort(first_order(np.frombuffer(tokens.as_buffer(), dtype=np.uint64), shared.value))
-                p = prefix(len(at), percent)
-                out.append((at[:p], at[1 : p + 1] if len(at) > p else np.append(at[1:p], at[p - 1]), i, len(at)))
-            if out:
-                many = np.array([len(x) for x, _, _, _ in out])
-                place = np.concatenate([np.arange(k) for k in many]) + (np.repeat(np.array([n for _, _, _, n in out], dtype=np.int64), many) << 32)
-                follow = (np.concatenate([y for _, y, _, _ in out]) >> np.uint64(20)).astype(np.uint32).view(np.int32)
-                ids = np.repeat(np.array([i for _, _, i, _ in out], dtype=np.int64), many)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _, _, _ in out]).view(np.int64)), pa.array(follow), pa.array(ids), pa.array(place)], names=["token", "follow", "id", "place"])
-
-    rows = sets.filter((F.col("n") >= fewest) & F.col("id").isNotNull()).select("id", "key", "tokens")
-    return rows.mapInArrow(read, "token long, follow int, id long, place long")
+            for first, rows, h, cuts, keys in _keyed_sets(batch["text"]):
+                x = first_order(h, shared.value)
+                out: list[tuple[np.ndarray, int, int]] = []
+                for i, key, lo, hi in zip(batch["id"].slice(first, rows).to_pylist(), keys, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if hi - lo >= fewest and key not in seen:
+                        seen.add(key)
+                        out.append((np.sort(x[lo:hi])[: prefix(hi - lo, percent)], i, hi - lo))
+                if out:
+                    many = np.array([len(t) for t, _, _ in out])
+                    place = np.concatenate([np.arange(k) for k in many]) + (np.repeat(np.array([n for _, _, n in out], dtype=np.int64), many) << 32)
+                    ids = np.repeat(np.array([i for _, i, _ in out], dtype=np.int64), many)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _, _ in out]).view(np.int64)), pa.array(place), pa.array(ids)], names=["token", "place", "id"])
+
+    return docs.filter("id IS NOT NULL").mapInArrow(read, "token long, place long, id long")
 
 
 def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,28 +253,34 @@ def _pairs(prefixes: DataFrame, percent: int) -> DataFrame:
         if len(rest[0]):
             yield from emit(*rest, first, True)
 
-    ordered = prefixes.repartitionByRange("token", "follow", "id").sortWithinPartitions("token", "follow", "id")
+    ordered = prefixes.repartitionByRange("token", "place", "id").sortWithinPartitions("token", "place", "id")
     return ordered.select("token", "id", "place").mapInArrow(pairs, "kind int, a long, b long, place long")
 
 
 # --- the other orders, and full sets -------------------------------------------------------------------------
 
 
-def _wanted_sets(sets: DataFrame, wanted: DataFrame, known: Frequent, percent: int) -> DataFrame:
-    """(id, n, others, parity, shingles) of the documents in ``wanted`` (ids)."""
-    shared = sets.sparkSession.sparkContext.broadcast(known)
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, known: Frequent, percent: int) -> DataFrame:
+    """(id, key, n, others, parity, shingles) of the documents in ``wanted`` (ids); only their texts are hashed.
+
+    A bitmap of hashed ids, of 32 MB at most, sorts out most others before a join on the id.
+    """
+    place, maybe = id_bitmap(wanted, "id")
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("others", pa.binary()), ("parity", pa.binary()), ("shingles", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            others, bits = [], []
-            for tokens in batch["shingles"]:
-                h = np.frombuffer(tokens.as_buffer(), dtype=np.uint64)
-                others.append(np.concatenate(other_prefixes(h, prefix(len(h), percent), shared.value)).tobytes())
-                bits.append(parity(h))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], pa.array(others, pa.binary()), pa.array(bits, pa.binary()), batch["shingles"]], names=["id", "n", "others", "parity", "shingles"])
+            batch = batch.filter(maybe_in(maybe.value, batch["p"]))
+            for first, rows, h, cuts, keys in _keyed_sets(batch["text"]):
+                sets = [h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                others = [np.concatenate(other_prefixes(x, prefix(len(x), percent), shared.value)).tobytes() if len(x) else b"" for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"].slice(first, rows), pa.array(keys, pa.binary()), pa.array(np.diff(cuts).astype(np.int64)), pa.array(others, pa.binary()), pa.array([parity(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema
+                )
 
-    rows = sets.filter("key IS NOT NULL AND n >= 0").select("id", "n", "key", F.col("tokens").alias("shingles"))
-    return stored(rows.join(wanted.withColumnRenamed("id", "w"), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id", "key"]).mapInArrow(read, "id long, n long, others binary, parity binary, shingles binary"), "sets")
+    own = docs.filter("id IS NOT NULL").select("id", "text", place.alias("p")).mapInArrow(read, "id long, key binary, n long, others binary, parity binary, shingles binary").filter("key IS NOT NULL")
+    return stored(own.join(wanted.withColumnRenamed("id", "w"), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id", "key"]), "sets")
 
 
 def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -382,9 +390,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"percent must be from 1 to 99, not {percent}")
     shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(_sets(texts), "sets")
-    known = _frequent(sets)
-    drawn = sets.filter("n >= 0").select("id", "n", "key")
+    read = stored(_drawn(texts), "drawn")
+    known = _frequent(read)
+    drawn = read.filter("n >= 0").select("id", "n", "key")
     valid = drawn.filter("key IS NOT NULL AND id IS NOT NULL")
     classes = checkpointed(valid.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
     total = drawn.count()
@@ -395,7 +403,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # A smaller set links with equal sets only.
     fewest = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
-    made = stored(few_parts(_pairs(_prefixes(sets, known, percent, fewest), percent)), "pairs")
+    made = stored(few_parts(_pairs(_prefixes(texts, known, percent, fewest), percent)), "pairs")
     to_rep = named.join(several, F.col("id") == F.col("twice"), "left_anti").select(F.col("id").alias("i"), F.col("rep").alias("r")).distinct()
     heads = made.filter("kind = 2").groupBy(F.col("a").alias("bucket")).agg(F.min("b").alias("least"))
     joints = made.filter("kind = 2").join(heads, F.col("a") == F.col("bucket")).select(F.col("least").alias("a"), "b")
@@ -409,7 +417,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = checkpointed(pairs)
     members = checkpointed(by_class(made.filter("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "place"), "id").distinct())
     wanted = checkpointed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct())
-    full = _wanted_sets(sets, wanted, known, percent)
+    full = _wanted_sets(texts, wanted, known, percent)
 
     likely = checkpointed(_meeting(pairs, full))
     shingles = full.select("id", "shingles")
