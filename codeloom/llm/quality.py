@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
-from .words import ALNUM, SPACED, mix, split_words
+from .words import ALNUM, SPACED, mix, split_words, string_buffers
 
 GRADES = 3
 TRAIN_ROWS = 20_000
@@ -86,8 +86,10 @@ def _marks(column: pa.Array, first: int, rows: int) -> tuple[np.ndarray, np.ndar
     out_row, out = [], []
     seen = 0
     for w in split_words(column.slice(first, rows), SPACED):
-        off = np.concatenate([w.start[w.first[:-1].clip(max=max(0, len(w.start) - 1))] if len(w.start) else np.zeros(w.rows, dtype=np.int64), [len(w.data)]])
-        count = lambda mask, w=w: np.add.reduceat(np.concatenate([mask.astype(np.int64), [0]]), np.minimum(off[:-1], len(w.data)).astype(np.int64)) if len(off) > 1 else np.zeros(0)
+        off, _ = string_buffers(column.slice(first + w.first_row, w.rows))
+        off = off - off[0]
+        # Differences of a running sum, as a row may be empty.
+        count = lambda mask, off=off: np.diff(np.concatenate([[0], np.cumsum(mask)])[off])
         d = w.data
         n_words = w.counts
         upper = count((d >= 65) & (d <= 90))
@@ -155,6 +157,22 @@ class Model:
         return above.sum(axis=1), above[:, -1]
 
 
+def gradient(g: np.ndarray, cuts: np.ndarray, x: np.ndarray, weights: np.ndarray, thresholds: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of the sum of -log P(grade), each grade weighing its ``size``, by the weights and then the thresholds; row r has features x[cuts[r]:cuts[r+1]]."""
+    d, total = len(weights), np.zeros(len(weights) + len(thresholds))
+    row = np.repeat(np.arange(len(g)), np.diff(cuts))
+    score = np.bincount(row, weights=weights[x], minlength=len(g))
+    below = np.hstack([np.zeros((len(g), 1)), _sigmoid(thresholds[None, :] - score[:, None]), np.ones((len(g), 1))])
+    hi, lo = below[np.arange(len(g)), g + 1], below[np.arange(len(g)), g]
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+    # d(-log p)/d(score) and d(-log p)/d(threshold)
+    total[:d] = np.bincount(x, weights=((dhi - dlo) / p * size[g])[row], minlength=d)[:d]
+    for k in range(len(thresholds)):
+        total[d + k] = (size[g] * (np.where(g == k, -dhi, 0) + np.where(g == k + 1, dlo, 0)) / p).sum()
+    return total
+
+
 def _training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
     """(grade, part, buckets): the features of the labelled sample."""
     known = labels.select(F.col("doc_id").cast("long").alias("l"), grade(F.col("quality"), F.col("toxic")).alias("g")).filter("l IS NOT NULL AND g IS NOT NULL").groupBy("l").agg(F.floor(F.avg("g")).cast("int").alias("g"))
@@ -223,27 +241,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     for _ in range(STEPS):
         now = spark.sparkContext.broadcast((weights, thresholds, balance))
 
-        def gradient(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+        def summed(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             w, t, of_grade = now.value
             total = np.zeros(d + GRADES - 1)
             for batch in batches:
                 g = batch["g"].to_numpy()
                 cuts = batch["x"].offsets.to_numpy()
                 x = batch["x"].flatten().to_numpy()
-                row = np.repeat(np.arange(len(g)), np.diff(cuts))
-                score = np.bincount(row, weights=w[x], minlength=len(g))
-                below = np.hstack([np.zeros((len(g), 1)), _sigmoid(t[None, :] - score[:, None]), np.ones((len(g), 1))])
-                hi, lo = below[np.arange(len(g)), g + 1], below[np.arange(len(g)), g]
-                p = np.maximum(hi - lo, 1e-12)
-                dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-                size = of_grade[g]
-                # d(-log p)/d(score) and d(-log p)/d(threshold)
-                total[:d] += np.bincount(x, weights=((dhi - dlo) / p * size)[row], minlength=d)[:d]
-                for k in range(GRADES - 1):
-                    total[d + k] += (size * (np.where(g == k, -dhi, 0) + np.where(g == k + 1, dlo, 0)) / p).sum()
+                total += gradient(g, cuts, x, w, t, of_grade)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        step = sum((np.frombuffer(r["sums"]) for r in kept.mapInArrow(gradient, "sums binary").collect()), np.zeros(d + GRADES - 1)) / n
+        step = sum((np.frombuffer(r["sums"]) for r in kept.mapInArrow(summed, "sums binary").collect()), np.zeros(d + GRADES - 1)) / n
         step[:d] += RIDGE * weights
         state += step**2
         move = 0.5 * step / np.sqrt(state + 1e-12)

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeloom.llm import components, line_dedup, near_dedup, quality
@@ -218,6 +219,43 @@ def rated(spark):
     return spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, g int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_marks_depend_on_their_own_text_only():
+    """Features of a text are the same alone, before and behind any other, and in any batch."""
+    texts = ["", "ABC DEF", " ", "abc | def!!", None, "", "!!! @@ ##", "\t\n", "Ünï CODE code code", "x", ""]
+    read = lambda rows: [sorted(b[r == i].tolist()) for _, n, r, b in quality.features(pa.array(rows, pa.string())) for i in range(n)]
+    alone = [read([t])[0] for t in texts]
+    rnd = random.Random(3)
+    for _ in range(20):
+        order = rnd.sample(range(len(texts)), len(texts))
+        assert read([texts[i] for i in order]) == [alone[i] for i in order]
+    assert alone[0] == alone[2] == alone[4] == alone[7]
+
+
+def logloss(weights, thresholds, rows, size, ridge, n):
+    """The weighted loss that fit() takes the gradient of, straight from its definition."""
+    total = 0.0
+    for g, x in rows:
+        at = weights[x].sum()
+        edges = [0.0, *(1 / (1 + np.exp(-(t - at))) for t in thresholds), 1.0]
+        total -= size[g] * np.log(max(edges[g + 1] - edges[g], 1e-12))
+    return total / n + ridge / 2 * (weights**2).sum()
+
+
+def test_quality_gradient():
+    """The gradient of a part against finite differences of the loss."""
+    rnd = np.random.default_rng(4)
+    d, rows = 6, [(int(g), rnd.choice(6, rnd.integers(0, 5), replace=False)) for g in rnd.integers(0, 3, 40)]
+    w, t, size = rnd.normal(0, 0.5, d), np.array([-0.4, 0.7]), np.array([1.5, 1.0, 0.7])
+    got = quality.gradient(np.array([g for g, _ in rows]), np.concatenate([[0], np.cumsum([len(x) for _, x in rows])]), np.concatenate([x for _, x in rows]).astype(int), w, t, size)
+    both = np.concatenate([w, t])
+    for k in range(d + 2):
+        up, down = both.copy(), both.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        want = (logloss(up[:d], up[d:], rows, size, 0, 1) - logloss(down[:d], down[d:], rows, size, 0, 1)) / 2e-5
+        assert abs(got[k] - want) < 1e-4 * max(1, abs(want)), k
+
+
 def test_quality_held_out(rated):
     docs, labels = rated
     rows = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
