@@ -174,12 +174,16 @@ with w as (
   select doc_id, label, i - 1 as word_at from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w) t, phrase where ws[i] = p[1] and list_slice(ws, i, i + len(p) - 1) = p
 ), base as (
   select doc_id, count(*) as n, min(word_at) as first_word, max(word_at) as last_word, string_agg(distinct label, ',' order by label) as labels from place group by 1
-), template(label, tw) as (
-  values {", ".join(f"('{label}', {words!r})" for _, label, words in licenses._templates(licenses.TEMPLATES))}
+), template(label, tw, n) as (
+  values {", ".join(f"('{label}', {words!r}, {n})" for (_, label, words), n in zip(licenses._templates(licenses.TEMPLATES), licenses._lengths(licenses.TEMPLATES), strict=True))}
+), line as (
+  select doc_id, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '\\n+')), '{_ALNUM}') as b from w
+), window_of as (
+  select doc_id, label, tw, list_slice(ws, i, i + 2 * n - 1) as b from (select doc_id, ws, label, tw, n, unnest(range(1, greatest(1, len(ws) - 2 * n + greatest(1, n // 2)) + 1, greatest(1, n // 2))) as i from w, template) t
 ), block as (
-  select doc_id, unnest(regexp_split_to_array({_LOWER}, '\\n+')) as b from w
+  select doc_id, label, tw, b from line, template where len(b) <= 2 * n union all select doc_id, label, tw, b from window_of
 ), share as (
-  select doc_id, label, len(list_intersect(list_distinct(regexp_extract_all(b, '{_ALNUM}')), tw)) / len(tw) as c from block, template
+  select doc_id, label, len(list_intersect(list_distinct(b), tw)) / len(tw) as c from block
 ), more as (
   select doc_id, label, max(c) as c from share where c >= {licenses.THRESHOLD} - 1e-9 group by 1, 2
 ), label as (

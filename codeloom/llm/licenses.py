@@ -3,9 +3,10 @@
 Base: the places where a license phrase's words stand consecutively.  They are found in the
 text of lower-cased words joined by single spaces, by byte search.
 
-Method: an exact set-similarity join between license templates and text blocks.  Blocks are the
-lines and, as statements are wrapped, windows across line breaks: for a template of n words, all
-windows of 2n words at steps of n/2, so n words and up to n/2 between them lie whole in one.  A block
+Method: an exact set-similarity join between license templates and text blocks.  Blocks are bounded,
+so that words far apart are no statement: for a template of n words, the lines of up to 2n words and, wherever
+lines are longer or statements wrapped, all windows of 2n words at steps of n/2 over the whole text, so that
+n words and up to n/2 between them lie whole in one.  A block
 matches a template when it holds at least ``threshold`` of the template's distinct words.  The
 words of all templates are ordered by how many documents hold them, rarest first.  A block that
 matches must hold a word of the template's prefix (its first ``size - need + 1`` words in that
@@ -105,7 +106,7 @@ def _base_columns(phrases: tuple[tuple[str, str], ...]) -> list[Column]:
 
 
 def _scanned(docs: DataFrame, known: list[tuple[int, str, list[str]]], phrases: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
-    """One pass over the texts: base columns, the template words held, and of documents that hold enough for some templates these, the lines, and the words if there are several lines."""
+    """One pass over the texts: base columns, the template words held, and of documents that hold enough for some templates these, the lines, and the words."""
     vocabulary = sorted({w for _, _, words in known for w in words})
     texts = docs.select("id", "key", "text", spaced_words(F.col("text")).alias("spaced"))
     held = F.array_intersect(F.split(F.col("spaced"), " "), F.array(*map(F.lit, vocabulary)))
@@ -115,12 +116,12 @@ def _scanned(docs: DataFrame, known: list[tuple[int, str, list[str]]], phrases:
     with_met = with_words.withColumn("met", F.when(F.size("held") >= least, F.array_compact(F.array(*enough))))
     some = F.coalesce(F.size("met") > 0, F.lit(False))
     blocks = F.when(some, F.array_distinct(F.split("text", r"\n+")))
-    words = F.when(some & F.contains("text", F.lit("\n")), F.split(F.trim("spaced"), " "))
+    words = F.when(some, F.split(F.trim("spaced"), " "))
     return stored(with_met.withColumns({"blocks": blocks, "words": words}).drop("text", "spaced"), "license-scan")
 
 
 def _windows(scanned: DataFrame, lengths: list[int]) -> DataFrame:
-    """(id, key, only, words): the windows of texts of several lines, each for the template ``only``."""
+    """(id, key, only, words): the windows of texts, each for the template ``only``."""
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("only") + 1)
     width, step = of([2 * n for n in lengths]), of([max(1, n // 2) for n in lengths])
     each = scanned.filter(F.col("words").isNotNull()).select("id", "key", F.explode("met").alias("only"), "words")
@@ -138,15 +139,16 @@ def template_matches(scanned: DataFrame, known: list[tuple[int, str, list[str]]]
     plans = [(n, label, sorted(words, key=order.__getitem__), _need(len(words), threshold)) for n, label, words in known]
     blocks = scanned.filter(F.col("blocks").isNotNull()).select("id", "key", F.explode("blocks").alias("block"))
     ranks = F.create_map(*[x for w, n in order.items() for x in (F.lit(w), F.lit(n))])
-    words = F.array_distinct(F.filter(F.split(spaced_words(F.col("block")), " "), lambda w: w != ""))
+    words = F.filter(F.split(spaced_words(F.col("block")), " "), lambda w: w != "")
     lines = blocks.select("id", "key", F.lit(None).cast("int").alias("only"), words.alias("words"))
-    blocks = lines.unionByName(_windows(scanned, lengths).withColumn("words", F.array_distinct("words"))).select("id", "key", "only", F.size("words").alias("size"), F.array_sort(F.filter(F.transform("words", lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())).alias("ranks"))
+    both_kinds = lines.unionByName(_windows(scanned, lengths)).withColumn("long", F.size("words")).filter(F.col("only").isNotNull() | (F.col("long") <= 2 * max(lengths)))
+    blocks = both_kinds.withColumn("words", F.array_distinct("words")).select("id", "key", "only", "long", F.size("words").alias("size"), F.array_sort(F.filter(F.transform("words", lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())).alias("ranks"))
     index = scanned.sparkSession.createDataFrame(
-        [(order[w], i, n, label, [order[x] for x in words], need) for n, label, words, need in plans for i, w in enumerate(words[: len(words) - need + 1])],
-        "word int, at int, template int, label string, template_ranks array<int>, need int",
+        [(order[w], i, n, label, [order[x] for x in words], need, 2 * lengths[n]) for n, label, words, need in plans for i, w in enumerate(words[: len(words) - need + 1])],
+        "word int, at int, template int, label string, template_ranks array<int>, need int, widest int",
     )
-    probes = blocks.select("id", "key", "only", "size", "ranks", F.posexplode("ranks").alias("position", "word"))
-    both = probes.join(F.broadcast(index), "word").filter("only IS NULL OR only = template")  # the prefixes of the templates
+    probes = blocks.select("id", "key", "only", "long", "size", "ranks", F.posexplode("ranks").alias("position", "word"))
+    both = probes.join(F.broadcast(index), "word").filter("CASE WHEN only IS NULL THEN long <= widest ELSE only = template END")  # the prefixes of the templates
     left = F.lit(1) + F.least(F.size("template_ranks") - F.col("at") - 1, F.size("ranks") - F.col("position") - 1)
     seen = F.size(F.array_intersect(F.slice("ranks", F.lit(1), F.col("position")), F.slice("template_ranks", F.lit(1), F.col("at"))))
     candidates = both.filter((F.col("size") >= F.col("need")) & (seen == 0) & (left >= F.col("need")))
