@@ -21,6 +21,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -62,7 +63,8 @@ class WordIds(dict):
             self.clear()
             self[""] = b""
         body = word[:-1]
-        if word[-1] in ".,;:!?" and body.isalpha():
+        # Some letters become a letter and a combining mark, which would join the punctuation.
+        if word[-1] in ".,;:!?" and body.isalpha() and unicodedata.normalize("NFC", body).lower().isalpha():
             ids = self[body] + self[word[-1]]
         elif word.isalpha() and max(word) < "İ" and word != (lower := word.lower()):
             ids = self[lower]

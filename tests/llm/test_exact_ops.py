@@ -221,6 +221,15 @@ def test_wrapped_license_statements(spark):
     assert got[200] == ("", 0.0)
 
 
+def test_scattered_words_are_no_license(spark):
+    """A template's words far apart on one line, however long, are prose; the statement inside a long line is found."""
+    prose = "the museum was released last year and visitors walk on below a glass roof; under heavy rain the old mit of felt and wool that every guest receives needs a small license"
+    spread = " ".join(f"{w} {words(120, k)}" for k, w in enumerate("released under the mit license".split()))
+    rows = [(1, prose), (2, spread), (3, f"{words(300, 8)} released under the mit license {words(300, 9)}"), (4, f"{words(200, 3)} Licensed under the GNU General Public License; this work is version 3 {words(100, 4)}")]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 3)) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("", 0.0), 2: ("", 0.0), 3: ("mit", 1.0), 4: ("gpl-3", 1.0)}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -250,11 +259,24 @@ def test_word_table_agrees_with_the_tokenizer():
 
     encode = Tokenizer.from_file(packing.default_tokenizer()).encode
     table = packing.WordIds(packing.default_tokenizer())
-    odd = ["don't", "It's,", "ÉCOLE.", "İstanbul.", "ΣΊΣΥΦΟΣ.", "a1b2,", "étude!", "<|endoftext|>", "漢字,", "x y", "…", "!!", "A.B.", "́a", "'s", "ß.", "ǅ."]
+    odd = ["İ:", "DENİZİ.", "ŞİRKETİ.", "क़.", "שׁ,", "don't", "It's,", "ÉCOLE.", "İstanbul.", "ΣΊΣΥΦΟΣ.", "a1b2,", "étude!", "<|endoftext|>", "漢字,", "x y", "…", "!!", "A.B.", "́a", "'s", "ß.", "ǅ."]
     for w in odd:
         assert table[w] == np.array(encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes(), w
 
 
+def test_word_table_agrees_on_random_words():
+    """Random words of many scripts, cases and marks, a punctuation mark often last."""
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(packing.default_tokenizer()).encode
+    table, rnd = packing.WordIds(packing.default_tokenizer()), random.Random(7)
+    blocks = [(0x21, 0x7F), (0xC0, 0x250), (0x130, 0x132), (0x300, 0x370), (0x370, 0x400), (0x400, 0x530), (0x590, 0x600), (0x900, 0x980), (0x1E00, 0x2000), (0x4E00, 0x4E80), (0xFB00, 0xFB50)]
+    for _ in range(20_000):
+        letters = rnd.choices(blocks, k=rnd.randint(1, 6))
+        word = "".join(c for lo, hi in letters if not (c := chr(rnd.randrange(lo, hi))).isspace()) + rnd.choice(["", *".,;:!?"])
+        assert not word or table[word] == np.array(encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes(), ascii(word)
+
+
 def test_minimum_slack_is_best_on_small_cases():
     def fewest(items: list[int], room: int) -> int:
         best = len(items)
