@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.selection import running_total
@@ -45,20 +49,26 @@ def excluded(path: Column, cache_folder: str | None = None) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, names)))
 
 
-def scan_workspace(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_CAP) -> DataFrame:
+def below(path: Column, root: str) -> Column:
+    """The part of a file's path below ``root``; a root without a scheme and leading slash is a local folder's path."""
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)
+    bare = bare if bare.startswith("/") else os.path.abspath(bare)
+    start = len(posixpath.normpath(bare).rstrip("/")) + 2
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "").substr(F.lit(start), F.length(path))
+
+
+def scan_workspace(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_CAP, cache_folder: str | None = None) -> DataFrame:
     """(path, language, size, mtime, content, content_hash, dirty_hash) of all source files below ``root``, by path.
 
-    Sizes and paths are filtered before contents are read.
+    Sizes and paths are filtered before contents are read; folders are excluded by their names below the root.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    known = files.filter((F.col("length") <= size_cap) & language_of(F.col("path")).isNotNull() & ~excluded(F.col("path")))
+    known = files.filter((F.col("length") <= size_cap) & language_of(F.col("path")).isNotNull() & ~excluded(below(F.col("path"), root), cache_folder))
     return known.select("path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("string").alias("dirty_hash")).orderBy("path")
 
 
 def matches_glob(path: Column, pattern: str) -> Column:
     """Whether a path relative to the workspace fits a glob with ``**``, ``*``, ``?`` and ``{a,b}``."""
-    import re
-
     out, depth = "", 0
     for part in re.findall(r"\*\*/?|\*|\?|\{|\}|,|[^*?{},]+", pattern):
         if part.startswith("**"):
@@ -91,12 +101,12 @@ def with_overlay(disk: DataFrame, overlay: DataFrame) -> DataFrame:
     return joined.select("path", "language", F.octet_length(text).cast("long").alias("size"), "mtime", text.alias("content"), F.sha2(text, 256).alias("content_hash"), F.sha2("edited", 256).alias("dirty_hash"))
 
 
-def package_roots(spark: SparkSession, root: str) -> DataFrame:
+def package_roots(spark: SparkSession, root: str, cache_folder: str | None = None) -> DataFrame:
     """Directories with manifests: their ecosystems and manifest names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.substring_index("path", "/", -1)
     table = F.create_map(*[F.lit(x) for pair in MANIFESTS.items() for x in pair])
-    found = files.filter(name.isin(*MANIFESTS) & ~excluded(F.col("path"))).select(F.regexp_replace("path", "/[^/]*$", "").alias("root"), name.alias("manifest"), F.element_at(table, name).alias("ecosystem"))
+    found = files.filter(name.isin(*MANIFESTS) & ~excluded(below(F.col("path"), root), cache_folder)).select(F.regexp_replace("path", "/[^/]*$", "").alias("root"), name.alias("manifest"), F.element_at(table, name).alias("ecosystem"))
     return found.groupBy("root").agg(F.array_sort(F.collect_set("ecosystem")).alias("ecosystems"), F.array_sort(F.collect_set("manifest")).alias("manifests"))
 
 

@@ -73,3 +73,17 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == n
+
+
+def test_scan_below_excluded_names(spark, tmp_path):
+    """A workspace below folders named like excluded ones is scanned; such folders inside it, and its cache, are not."""
+    root = tmp_path / "target" / "build" / "ws"
+    for folder in ("src", "out", "tool-cache", "pkg/dist"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "a.py").write_text("x = 1")
+        (root / folder / "package.json").write_text("{}")
+    for form in (str(root), f"{root}/", f"file:{root}", f"file://{root}"):
+        got = [r["path"].split("/ws/")[1] for r in workspace.scan_workspace(spark, form, cache_folder="tool-cache").collect()]
+        assert got == ["src/a.py"]
+        assert [r["root"].split("/ws/")[1] for r in workspace.package_roots(spark, form, "tool-cache").collect()] == ["src"]
+    assert {r["path"].split("/ws/")[1] for r in workspace.scan_workspace(spark, str(root)).collect()} == {"src/a.py", "tool-cache/a.py"}
