@@ -11,11 +11,11 @@ No pair of linked sets is lost, whatever the orders; they only differ in what th
    if their sizes, and what is left of both sets from the shared token on, allow the overlap.
    A bucket of up to 8 gives all its pairs; a larger one gives each member's neighbours by size and place and the
    smallest member, so pairs stay linear in the rows.  A bucket may span range partitions.
-3. A pair goes on only if its prefixes under the other orders meet too.
+3. A pair goes on only if its prefixes under the other orders meet too, and the difference of the sets may cover that of
+   their parities (2048 bits, each whether an even number of tokens fall on it).  Only now are full sets fetched.
 4. Each document's first pair is verified on full sets, then the pairs that still join components.
 5. Large buckets whose members are still in different components are compared in blocks: first narrow rows
-   (sizes, places and a 256-bit parity of the set, whose differing bits the sets' difference must cover)
-   tell the members that may have a partner in another component; then only these, with their sets.
+   (sizes, places and parities) tell the members that may have a partner in another component; then only these, with their sets.
    So no pair of linked sets goes unexamined unless its ends are already connected.
 
 Copies: a task sends each set once; the documents of equal sets are one class, and its smallest identifier stands for it.
@@ -29,7 +29,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ NARROW_BLOCK, BLOCK = 4096, 256
 #: Orders after the first, by the salt of their hash, and whether frequent tokens come last.
 _SALTS = ((np.uint64(0xA24BAED4963EE407), True), (np.uint64(0x9FB21C651E98DF25), False))
 _LEVEL_BITS = np.uint64(6)
-_WORDS = 4  # of 64 parity bits
+_WORDS = 32  # of 64 parity bits
 
 
 # --- sets and orders -------------------------------------------------------------------------------------
@@ -167,13 +167,18 @@ def _unpack_others(data: bytes) -> list[np.ndarray]:
 # --- buckets of the first order ----------------------------------------------------------------------------
 
 
-def _prefixes(docs: DataFrame, known: Frequent, percent: int, fewest: int) -> DataFrame:
-    """(token, place, id) of the first order's prefixes; place has size and position; a task sends equal sets once."""
+def _prefixes(docs: DataFrame, reps: DataFrame, known: Frequent, percent: int, fewest: int) -> DataFrame:
+    """(token, place, id) of the first order's prefixes; place has size and position.
+
+    Most documents that don't stand for their class (``reps``: id) are sorted out by a bitmap, and a task sends equal sets once.
+    """
+    spot, maybe = id_bitmap(reps, "id")
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
+            batch = batch.filter(maybe_in(maybe.value, batch["p"]))
             for first, rows, h, cuts, keys in _keyed_sets(batch["text"]):
                 x = first_order(h, shared.value)
                 out: list[tuple[np.ndarray, int, int]] = []
@@ -187,7 +192,7 @@ def _prefixes(docs: DataFrame, known: Frequent, percent: int, fewest: int) -> Da
                     ids = np.repeat(np.array([i for _, i, _ in out], dtype=np.int64), many)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _, _ in out]).view(np.int64)), pa.array(place), pa.array(ids)], names=["token", "place", "id"])
 
-    return docs.filter("id IS NOT NULL").mapInArrow(read, "token long, place long, id long")
+    return docs.filter("id IS NOT NULL").select("id", "text", spot.alias("p")).mapInArrow(read, "token long, place long, id long")
 
 
 def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,37 +265,50 @@ def _pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 # --- the other orders, and full sets -------------------------------------------------------------------------
 
 
-def _wanted_sets(docs: DataFrame, wanted: DataFrame, known: Frequent, percent: int) -> DataFrame:
-    """(id, key, n, others, parity, shingles) of the documents in ``wanted`` (ids); only their texts are hashed.
+def _wanted(docs: DataFrame, wanted: DataFrame, columns: dict[str, Callable[[np.ndarray], bytes]], kind: str) -> DataFrame:
+    """(id, key, n, columns) of the documents in ``wanted`` (ids), each column made from a set; only their texts are hashed.
 
     A bitmap of hashed ids, of 32 MB at most, sorts out most others before a join on the id.
     """
-    place, maybe = id_bitmap(wanted, "id")
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("others", pa.binary()), ("parity", pa.binary()), ("shingles", pa.binary())])
+    spot, maybe = id_bitmap(wanted, "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(maybe_in(maybe.value, batch["p"]))
             for first, rows, h, cuts, keys in _keyed_sets(batch["text"]):
                 sets = [h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                others = [np.concatenate(other_prefixes(x, prefix(len(x), percent), shared.value)).tobytes() if len(x) else b"" for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(first, rows), pa.array(keys, pa.binary()), pa.array(np.diff(cuts).astype(np.int64)), pa.array(others, pa.binary()), pa.array([parity(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema
-                )
+                own = [pa.array([make(x) if len(x) else b"" for x in sets], pa.binary()) for make in columns.values()]
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(first, rows), pa.array(keys, pa.binary()), pa.array(np.diff(cuts).astype(np.int64)), *own], names=["id", "key", "n", *columns])
+
+    rows = docs.filter("id IS NOT NULL").select("id", "text", spot.alias("p")).mapInArrow(read, "id long, key binary, n long" + "".join(f", {c} binary" for c in columns)).filter("key IS NOT NULL")
+    return stored(rows.join(wanted.withColumnRenamed("id", "w"), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id", "key"]), kind)
 
-    own = docs.filter("id IS NOT NULL").select("id", "text", place.alias("p")).mapInArrow(read, "id long, key binary, n long, others binary, parity binary, shingles binary").filter("key IS NOT NULL")
-    return stored(own.join(wanted.withColumnRenamed("id", "w"), F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id", "key"]), "sets")
 
+def _features(docs: DataFrame, wanted: DataFrame, known: Frequent, percent: int) -> DataFrame:
+    """(id, key, n, others, parity): what the filters look at."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    return _wanted(docs, wanted, {"others": lambda h: np.concatenate(other_prefixes(h, prefix(len(h), percent), shared.value)).tobytes(), "parity": parity}, "features")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, key, n, shingles)."""
+    return _wanted(docs, wanted, {"shingles": lambda h: h.tobytes()}, "sets")
 
-def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose prefixes meet under every further order."""
-    one, other = (sets.select(F.col("id").alias(f"i{k}"), F.col("others").alias(f"o{k}")) for k in "12")
-    both = pairs.join(one, F.col("a") == F.col("i1")).join(other, F.col("b") == F.col("i2")).select("a", "b", "o1", "o2")
+
+def _meeting(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes meet under every further order, and whose parities differ no more than linked sets may."""
+    one, other = (features.select(F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("others").alias(f"o{k}"), F.col("parity").alias(f"p{k}")) for k in "12")
+    both = pairs.join(one, F.col("a") == F.col("i1")).join(other, F.col("b") == F.col("i2")).select("a", "b", "n1", "n2", "o1", "o2", "p1", "p2")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [all(meets(x, y) for x, y in zip(_unpack_others(p.as_buffer()), _unpack_others(q.as_buffer()), strict=True)) for p, q in zip(batch["o1"], batch["o2"], strict=True)]
+            if not batch.num_rows:
+                continue
+            bits = [np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint64).reshape(-1, _WORDS) for c in ("p1", "p2")]
+            n1, n2 = (batch[c].to_numpy() for c in ("n1", "n2"))
+            keep = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= n1 + n2 - 2 * overlap(n1, n2, percent)
+            for k in np.flatnonzero(keep):
+                keep[k] = all(meets(x, y) for x, y in zip(*(_unpack_others(batch[c][int(k)].as_buffer()) for c in ("o1", "o2")), strict=True))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(judge, "a long, b long").distinct()
@@ -341,10 +359,10 @@ def _near(rest: list[list], every: list[list], percent: int) -> Iterator[tuple[i
             yield r, far
 
 
-def _whole_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _whole_buckets(docs: DataFrame, members: DataFrame, labels: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components in large buckets."""
     own = labels.select(F.col("node").alias("node"), F.col("component").alias("c"))
-    narrow_of = sets.select(F.col("id").alias("i"), "parity")
+    narrow_of = features.select(F.col("id").alias("i"), "parity")
     tagged = stored(few_parts(members.join(own, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("c", "id").alias("c"), "place").join(narrow_of, F.col("id") == F.col("i")).drop("i")), "members")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +374,9 @@ def _whole_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, dtype=np.int64)), pa.array(ids)], names=["b", "m"])
 
     left = checkpointed(_dealt(tagged, NARROW_BLOCK).mapInArrow(narrow, "b long, m long").distinct())
-    fat = tagged.join(left, (F.col("bucket") == F.col("b")) & (F.col("id") == F.col("m")), "left_semi").join(sets.select(F.col("id").alias("of"), "others", "shingles"), F.col("id") == F.col("of")).drop("of")
+    fat = tagged.join(left, (F.col("bucket") == F.col("b")) & (F.col("id") == F.col("m")), "left_semi")
+    of = _full_sets(docs, left.select(F.col("m").alias("id")).distinct()).select("id", "key", "shingles").join(features.select("id", "key", "others"), ["id", "key"]).select(F.col("id").alias("of"), "others", "shingles")
+    fat = fat.join(of, F.col("id") == F.col("of")).drop("of")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rest, every in _blocks(batches, ["id", "c", "place", "parity", "others", "shingles"]):
@@ -403,7 +423,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # A smaller set links with equal sets only.
     fewest = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
-    made = stored(few_parts(_pairs(_prefixes(texts, known, percent, fewest), percent)), "pairs")
+    made = stored(few_parts(_pairs(_prefixes(texts, classes.select(F.col("rep").alias("id")), known, percent, fewest), percent)), "pairs")
     to_rep = named.join(several, F.col("id") == F.col("twice"), "left_anti").select(F.col("id").alias("i"), F.col("rep").alias("r")).distinct()
     heads = made.filter("kind = 2").groupBy(F.col("a").alias("bucket")).agg(F.min("b").alias("least"))
     joints = made.filter("kind = 2").join(heads, F.col("a") == F.col("bucket")).select(F.col("least").alias("a"), "b")
@@ -417,15 +437,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = checkpointed(pairs)
     members = checkpointed(by_class(made.filter("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "place"), "id").distinct())
     wanted = checkpointed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct())
-    full = _wanted_sets(texts, wanted, known, percent)
+    features = _features(texts, wanted, known, percent)
 
-    likely = checkpointed(_meeting(pairs, full))
-    shingles = full.select("id", "shingles")
+    likely = checkpointed(_meeting(pairs, features, percent))
+    shingles = _full_sets(texts, likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()).select("id", "shingles")
     best = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     labels = checkpointed(contract(_verified(best, shingles, percent).unionByName(same)))
     rest = checkpointed(_apart(likely, labels).join(best, ["a", "b"], "left_anti"))
     labels = contract(_verified(rest, shingles, percent), labels)
-    labels = contract(_whole_buckets(members, labels, full, percent), labels)
+    labels = contract(_whole_buckets(texts, members, labels, features, percent), labels)
 
     final = classes.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rows", F.coalesce("component", "rep").alias("component"))
     by_key = left_join_groups(drawn.select("key", "id", "n"), final, "key", "rows", total)
