@@ -64,7 +64,7 @@ class WordIds(dict):
             self[""] = b""
         body = word[:-1]
         # Some letters become a letter and a combining mark, which would join the punctuation.
-        if word[-1] in ".,;:!?" and body.isalpha() and unicodedata.normalize("NFC", body).lower().isalpha():
+        if word[-1] in ".,;:!?" and body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha()):
             ids = self[body] + self[word[-1]]
         elif word.isalpha() and max(word) < "İ" and word != (lower := word.lower()):
             ids = self[lower]
