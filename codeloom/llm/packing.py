@@ -21,6 +21,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Packing of a few ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+
+
 class WordIds(dict):
     """Word -> its token ids as little-endian 32-bit bytes; encodes what it does not know.
 
@@ -66,10 +71,10 @@ class WordIds(dict):
         # Some letters become a letter and a combining mark, which would join the punctuation.
         if word[-1] in ".,;:!?" and body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha()):
             ids = self[body] + self[word[-1]]
-        elif word.isalpha() and max(word) < "İ" and word != (lower := word.lower()):
+        elif word.isalpha() and (word.isascii() or max(word) < "İ") and word != (lower := word.lower()):
             ids = self[lower]
         else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = _PACK[len(found)](*found) if len(found := self.encode(word, add_special_tokens=False).ids) < len(_PACK) else np.array(found, dtype="<u4").tobytes()
         self[word] = ids
         return ids
 
