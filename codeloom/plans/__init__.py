@@ -1,5 +1,5 @@
 """Registered queries; importing the package registers them all."""
 
-from . import insights, registry
+from . import insights, registry, resolution
 
-__all__ = ["insights", "registry"]
+__all__ = ["insights", "registry", "resolution"]

@@ -17,6 +17,10 @@ PATHS = (
     "svc/adapters/in/a@.py", "svc/adapters/out/o@.py", "application/u@.py", "persistence/r@.mts", "infra/repositories/r@.py", "config/c@.fsx", "middleware/m@.rb", "controllers/c@.kts", "core/c@.go", "lib/util_test.py", "core/spec.x@.php", "docs/d@.txt",
 )
 
+#: Shapes of source lines; @a and @b are names.
+SCRIPT_LINES = ("import @a from './m'", "const @a = 1", "function @a(@b)", "(@a, @b) => 0", "catch (@a)", "@a = 2", "@a == 2", "@a()", "// const @a", "let [ @a, @b ] = x", "class @a extends @b", "@a => @b", "constant @a", "x = '//' + @a", "var @a")
+PYTHON_LINES = ("import @a", "from m import @a, @b", "def @a(@b, x):", "async def f(@a):", "class @a(@b):", "for @a, @b in xs:", "with @a as @b:", "except E as @a:", "@a = 1", "@a == @b", "@a != @b", "@a: int", "@a(@b)", "@a, @b = f()", "return @a <= @b")
+
 RELATIONS: dict[str, str] = {
     "fx_lines": """
         select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as ord
@@ -69,6 +73,34 @@ RELATIONS: dict[str, str] = {
     "fx_condition_edges": """
         select function_id, block_id * 2 as edge_id, block_id as src, case when block_id < n then block_id + 1 else 100 end as dst, 'true' as kind from {fx_conditions}
         union all select function_id, block_id * 2 + 1, block_id, case when flag <> 'A' and block_id < n then block_id + 1 else 200 end, 'false' from {fx_conditions}""",
+    "fx_code": """
+        select *, cast(floor(l_orderkey / 64) as bigint) as k, concat('n', l_partkey % 997) as a, concat('n', l_suppkey % 97) as b from {fx_lines}""",
+    "fx_code_lines": f"""
+        select concat('c', k, case k % 2 when 0 then '.ts' else '.py' end) as path, case k % 2 when 0 then 'typescript' else 'python' end as language,
+          row_number() over (partition by k order by l_orderkey, ord) as line,
+          replace(replace(case k % 2 when 0 then split_part('{";".join(x.replace("'", "''") for x in SCRIPT_LINES)}', ';', cast(l_linenumber * 7 + l_partkey as int) % {len(SCRIPT_LINES)} + 1)
+            else split_part('{";".join(PYTHON_LINES)}', ';', cast(l_linenumber * 7 + l_partkey as int) % {len(PYTHON_LINES)} + 1) end, '@a', a), '@b', b) as code
+        from {{fx_code}}""",
+    "fx_named_imports": """
+        select concat('c', x.k, case x.k % 2 when 0 then '.ts' else '.py' end) as path, -cast(x.l_orderkey as int) as import_line, x.a as local_name, concat('c', y.k, case y.k % 2 when 0 then '.ts' else '.py' end) as target_path, y.a as imported_name
+        from {fx_code} x join {fx_code} y on y.l_orderkey = x.l_orderkey + 128 and y.ord = 3 where x.ord = 2""",
+    "fx_code_nodes": """
+        select concat('file:', path) as id, 'file' as kind, path as name, path as qualified_name, path as file_path, '' as parent_id from (select distinct path from {fx_code_lines}) t
+        union all select concat('fn:', l_orderkey, ':', ord), case when l_returnflag = 'A' then 'method' else 'function' end, a, case when l_linestatus = 'F' and l_discount > 0.08 then concat('C.', a) else a end, concat('c', k, case k % 2 when 0 then '.ts' else '.py' end),
+          case when l_tax < 0.07 then concat('file:c', k, case k % 2 when 0 then '.ts' else '.py' end) else 'cls' end from {fx_code} where ord = 3
+        union all select concat('caller:', l_orderkey), 'function', 'caller', 'caller', concat('c', k, case k % 2 when 0 then '.ts' else '.py' end), 'cls' from {fx_code} where ord = 2
+        union all select distinct concat('x:', a), 'external', a, case when a in ('n5', 'n6') then concat('q.', a) else a end, '', '' from {fx_code}""",
+    "fx_code_edges": """
+        select concat('ce:', l_orderkey) as id, 'calls' as kind, concat('caller:', l_orderkey) as source_id, concat('x:', a) as target_id, case when l_tax > 0.07 then 'exact' else 'unresolved' end as confidence,
+          concat('c', case when l_discount = 0.05 then k + 1 else k end, case k % 2 when 0 then '.ts' else '.py' end) as file_path from {fx_code} where ord = 2""",
+    "fx_scoped_symbols": """
+        select concat('y:', l_orderkey, ':', ord) as id, concat('d', l_orderkey % 4001) as file_path, split_part('function;method;class;constructor', ';', cast(l_suppkey % 4 as int) + 1) as kind, qualified_name, regexp_replace(qualified_name, '^.*[.]', '') as name, l_orderkey * 10 + ord as ord
+        from (select *, split_part('f;A.f;A.B.f;g;A.g;B.g;h;A.B.h;self.f;B.A.f;k;m', ';', cast(l_partkey % 12 as int) + 1) as qualified_name from {fx_lines}) t""",
+    "fx_scoped_calls": """
+        select concat('z:', l_orderkey, ':', ord) as call_id, concat('d', l_orderkey % 4001) as file_path, case l_orderkey % 4001 % 3 when 0 then 'python' when 1 then 'typescript' else 'javascript' end as language, concat('src:', l_orderkey % 4001, ':', l_suppkey % 5) as source_id,
+          split_part('A.B.f,A.f,f,A.B.h.x,,A.g,B', ',', cast(l_partkey % 7 as int) + 1) as scope, nullif(split_part(';;;this;self;cls;A;B;A.B', ';', cast(l_suppkey % 9 as int) + 1), '') as qualifier, split_part('f;g;h;k;m;zz', ';', cast(ord + l_quantity as int) % 6 + 1) as name
+        from {fx_lines}""",
+    "fx_lexical": "select distinct source_id, name from (select concat('src:', l_orderkey % 4001, ':', l_suppkey % 5) as source_id, split_part('f;g;h;k', ';', cast(l_partkey % 4 as int) + 1) as name from {fx_lines} where l_discount = 0.01) t",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path
