@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import name_segments, normalise_identifier, range_contains, range_overlaps
 
@@ -60,12 +60,40 @@ def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return joined.groupBy("point_id").agg(F.min_by("id", order).alias("range_id"))
 
 
-def entrypoint_flows(bindings: DataFrame, units: DataFrame) -> DataFrame:
-    """Handlers of entrypoint units; containment before overlap; several at the best rank are ambiguous, none is a gap."""
-    entry = units.filter(F.col("kind").isin("route", "operation")).select(F.col("id").alias("entry_id"), F.col("framework").alias("entry_framework"))
-    ranked = bindings.withColumn("rank", F.when(F.col("evidence") == "contains", 0).otherwise(1))
-    best = ranked.groupBy("unit_id").agg(F.min("rank").alias("best"))
-    kept = ranked.join(best.withColumnRenamed("unit_id", "u"), (F.col("unit_id") == F.col("u")) & (F.col("rank") == F.col("best")))
-    per = kept.groupBy("unit_id").agg(F.min("function_id").alias("handler_id"), F.count_distinct("function_id").alias("candidates"))
-    status = F.when(F.col("handler_id").isNull(), "handlerNotMapped").when(F.col("candidates") > 1, "ambiguous").otherwise("mapped")
-    return entry.join(per, F.col("entry_id") == F.col("unit_id"), "left").select("entry_id", "entry_framework", status.alias("status"), F.when(status == "mapped", F.col("handler_id")).alias("handler_id"))
+def matched_callsites(sites: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(function_id, site_id, edge_id, distance): each callsite's call edge, an edge serving one callsite only.
+
+    An edge fits a callsite of its function and file if their ranges overlap and its target is called what the callsite
+    calls.  Callsites choose in the order of their places, each the nearest edge left (by lines, then characters, then the edge's
+    place and id).  Fitting pairs come from an equi-join on function, file and name; only those of one function meet in a task.
+    ``sites`` has function_id, site_id, file_path, callee_name and the range; ``edges`` id, source_id, target_id, file_path and the range.
+    """
+    ends = ("start_line", "start_character", "end_line", "end_character")
+    names = nodes.select(F.col("id").alias("n"), F.explode(F.array_distinct(F.array("name", F.substring_index("qualified_name", ".", -1)))).alias("target_name"))
+    e = edges.join(names, F.col("target_id") == F.col("n")).select(F.col("id").alias("edge_id"), "source_id", F.translate("file_path", "\\", "/").alias("edge_path"), "target_name", *[F.col(c).alias(f"e_{c}") for c in ends])
+    place = lambda prefix, end: F.struct(F.col(f"{prefix}{end}_line"), F.col(f"{prefix}{end}_character"))
+    fits = (F.col("function_id") == F.col("source_id")) & (F.translate("file_path", "\\", "/") == F.col("edge_path")) & (F.col("callee_name") == F.col("target_name"))
+    fits = fits & (place("e_", "start") <= place("", "end")) & (place("", "start") <= place("e_", "end"))
+    distance = F.abs(F.col("e_start_line") - F.col("start_line")).cast("long") * 1_000_000 + F.abs(F.col("e_start_character") - F.col("start_character"))
+    pairs = sites.join(e, fits).select("function_id", "site_id", "start_line", "start_character", "edge_id", distance.alias("distance"), "e_start_line", "e_start_character")
+
+    def choose(pdf):
+        pdf = pdf.sort_values(["start_line", "start_character", "site_id", "distance", "e_start_line", "e_start_character", "edge_id"])
+        done, used, rows = set(), set(), []
+        for r in pdf.itertuples():
+            if r.site_id not in done and r.edge_id not in used:
+                done.add(r.site_id)
+                used.add(r.edge_id)
+                rows.append(r.Index)
+        return pdf.loc[rows, ["function_id", "site_id", "edge_id", "distance"]]
+
+    return pairs.groupBy("function_id").applyInPandas(choose, "function_id string, site_id string, edge_id string, distance long")
+
+
+def drill_targets(matched: DataFrame, edges: DataFrame, limit: int = 24) -> DataFrame:
+    """The targets of a function's matched callsites by number of callsites, itself left out, with what the limit omits."""
+    targets = edges.select(F.col("id").alias("e"), "target_id")
+    per = matched.join(targets, F.col("edge_id") == F.col("e")).filter("target_id <> function_id").groupBy("function_id", "target_id").agg(F.count(F.lit(1)).alias("callsites"))
+    own = Window.partitionBy("function_id")
+    ranked = per.withColumns({"position": F.row_number().over(own.orderBy(F.desc("callsites"), "target_id")), "total": F.count(F.lit(1)).over(own)})
+    return ranked.filter(F.col("position") <= limit).select("function_id", "target_id", "callsites", "position", F.greatest(F.col("total") - limit, F.lit(0)).alias("omitted"))

@@ -84,3 +84,28 @@ def allowed_edges(reached: DataFrame, edges: DataFrame, max_depth: int) -> DataF
     """G1: every edge that leaves a reached node above the depth limit, to visited and missing nodes too."""
     inner = reached.filter(F.col("depth") < max_depth).select("start", F.col("node").alias("n"))
     return edges.join(inner, F.col("source_id") == F.col("n")).drop("n")
+
+
+def symbol_flow(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, max_steps: int = 30) -> DataFrame:
+    """(start, steps, depth, duplicates, depth_limited, step_limited) of each start's calls, the start being the first step.
+
+    The walk goes on past its limit to count: calls met after the last step are ``step_limited``, whatever they reach;
+    calls met before it that reach a node already shown are ``duplicates``; calls of shown functions at the greatest depth are ``depth_limited``.
+    """
+    concrete = nodes.filter(F.col("kind").isin("function", "method", "constructor")).select(F.col("id").alias("node"))
+    calls = edges.filter(F.col("kind") == "calls")
+    reached = kept(ordered_bfs(starts, calls, "out", max_depth, max_steps - 1, expand=concrete))
+    adjacency = kept(_adjacency(calls, "out"))
+    going = reached.join(concrete.select(F.col("node").alias("c")), F.col("node") == F.col("c"), "left").filter("depth = 0 OR c IS NOT NULL")
+    met = going.select("start", F.col("node").alias("n"), "depth", "position").join(adjacency, F.col("n") == F.col("from_node")).select("start", "depth", F.struct("position", "ord").alias("at"), F.col("from_node"), "to_node")
+    # The last step, where the limit lets no more through, and the call that made it.
+    last = reached.filter(F.col("position") == max_steps - 1).select(F.col("start").alias("ls"), F.col("parent").alias("lp"), F.col("node").alias("ln"))
+    end = met.join(last, (F.col("start") == F.col("ls")) & (F.col("from_node") == F.col("lp")) & (F.col("to_node") == F.col("ln"))).select(F.col("start").alias("es"), F.col("at").alias("end")) if max_steps > 1 else None
+    within = met.filter(F.col("depth") < max_depth)
+    within = within.join(end, F.col("start") == F.col("es"), "left").select("start", "at", "end", F.coalesce(F.col("at") > F.col("end"), F.lit(False)).alias("late")) if end is not None else within.select("start", F.lit(True).alias("late"))
+    counted = within.groupBy("start").agg(F.count_if("late").alias("step_limited"), F.count_if(~F.col("late")).alias("seen"))
+    deep = met.filter(F.col("depth") == max_depth).groupBy("start").agg(F.count(F.lit(1)).alias("depth_limited"))
+    shown = reached.groupBy("start").agg(F.count(F.lit(1)).alias("steps"), F.max("depth").alias("depth"))
+    zero = F.lit(0).cast("long")
+    joined = shown.join(counted, "start", "left").join(deep, "start", "left")
+    return joined.select("start", "steps", "depth", (F.coalesce("seen", zero) - (F.col("steps") - 1)).alias("duplicates"), F.coalesce("depth_limited", zero).alias("depth_limited"), F.coalesce("step_limited", zero).alias("step_limited"))

@@ -101,6 +101,26 @@ RELATIONS: dict[str, str] = {
           split_part('A.B.f,A.f,f,A.B.h.x,,A.g,B', ',', cast(l_partkey % 7 as int) + 1) as scope, nullif(split_part(';;;this;self;cls;A;B;A.B', ';', cast(l_suppkey % 9 as int) + 1), '') as qualifier, split_part('f;g;h;k;m;zz', ';', cast(ord + l_quantity as int) % 6 + 1) as name
         from {fx_lines}""",
     "fx_lexical": "select distinct source_id, name from (select concat('src:', l_orderkey % 4001, ':', l_suppkey % 5) as source_id, split_part('f;g;h;k', ';', cast(l_partkey % 4 as int) + 1) as name from {fx_lines} where l_discount = 0.01) t",
+    "fx_sites": """
+        select concat('fn', cast(floor(l_orderkey / 16) as bigint)) as function_id, concat('site:', l_orderkey, ':', ord) as site_id, concat('p', cast(floor(l_orderkey / 16) as bigint) % 7) as file_path, split_part('f;g;h;k', ';', cast(l_partkey % 4 as int) + 1) as callee_name,
+          cast(l_suppkey % 12 as int) as start_line, cast(l_partkey % 9 as int) as start_character, cast(l_suppkey % 12 + ord % 3 as int) as end_line, 9 as end_character from {fx_lines} where ord % 2 = 1""",
+    "fx_site_targets": "select concat('t', k) as id, split_part('f;g;h;k;f;z', ';', k + 1) as name, split_part('f;A.g;h;B.k;A.h;B.C.f', ';', k + 1) as qualified_name from (select cast(p_partkey as int) as k from {part} where p_partkey between 0 and 5) t",
+    "fx_site_edges": """
+        select concat('edge:', l_orderkey, ':', ord) as id, concat('fn', cast(floor(l_orderkey / 16) as bigint)) as source_id, concat('t', l_suppkey % 7) as target_id, concat('p', cast(floor(l_orderkey / 16) as bigint) % 7) as file_path,
+          cast(l_partkey % 13 as int) as start_line, cast(l_suppkey % 10 as int) as start_character, cast(l_partkey % 13 as int) as end_line, cast(l_suppkey % 10 + 3 as int) as end_character from {fx_lines} where ord % 2 = 0""",
+    "fx_scopes": """
+        select *, cast(floor((block + 1) / 3) as bigint) as around, case when block = 1 then 0 else cast(floor((block + 1) / 3) as bigint) * 2 + slot end as container,
+          case when kind_of < 5 then split_part('condition;loop;switch;try;loop', ';', kind_of + 1) end as control, case when block_kind > 6 then 'statement' else split_part('return;throw;break;continue;break;statement;statement', ';', block_kind + 1) end as kind
+        from (select cast(floor(l_orderkey / 24) as bigint) as function_id, row_number() over (partition by cast(floor(l_orderkey / 24) as bigint) order by l_orderkey, ord) as block, cast(l_quantity as int) % 2 as slot, cast(l_partkey % 7 as int) as kind_of, cast(l_suppkey % 11 as int) as block_kind, l_suppkey % 3 as s3 from {fx_lines}) t""",
+    "fx_logic_blocks": "select function_id, block, container, block as ord, coalesce(control, kind) as kind from {fx_scopes}",
+    "fx_logic_containers": """
+        select function_id, cast(0 as bigint) as container, cast(null as bigint) as owner, 'root' as role from {fx_scopes} where block = 1
+        union all select distinct b.function_id, b.container, b.around, case when o.control = 'loop' and b.slot = 0 then 'loopBody' when o.control = 'try' and b.slot = 1 and o.s3 > 0 then 'finally' else 'branch' end
+        from {fx_scopes} b join {fx_scopes} o on o.function_id = b.function_id and o.block = b.around where b.block > 1""",
+    "fx_logic_controls": "select function_id, block, control as kind, case when block_kind = 10 then 'inferred' end as confidence, case when control = 'try' and s3 > 0 then block * 2 + 1 end as final, s3 = 0 as has_default from {fx_scopes} where control is not null",
+    "fx_logic_branches": """
+        select function_id, block, cast(slot2 as bigint) as ord, block * 2 + slot2 as container, case control when 'condition' then (case slot2 when 0 then 'true' else 'false' end) when 'loop' then (case slot2 when 0 then 'body' else 'exit' end) when 'switch' then 'case' else (case when slot2 = 0 then 'next' when s3 > 0 then 'finally' else 'exception' end) end as kind,
+          concat('branch ', slot2) as label from {fx_scopes}, (select 0 as slot2 union all select 1) t where control is not null and (slot2 = 0 or s3 > 0 or control in ('switch', 'try'))""",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path

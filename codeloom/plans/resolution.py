@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import call_resolution
-from .registry import query
+from pyspark.sql import functions as F
+
+from ..operators import binding, call_resolution, control, traverse
+from .registry import _SEEDS, _seeds, query
 
 _ID = "[A-Za-z_$][A-Za-z0-9_$]*"
 
@@ -85,3 +87,101 @@ def _resolved(g):
 @query("J17_J18_scoped_calls", _SCOPED + " select c.call_id, found as target_id, coalesce(how, 'unresolved') as confidence from fx_scoped_calls c left join best b on b.call_id = c.call_id", "fx_scoped_calls", "fx_scoped_symbols", "fx_lexical")
 def _(g):
     return _resolved(g)
+
+
+# --- callsites and their edges ---------------------------------------------------------------------------
+
+_MATCHED = """with recursive name_of as (select id, name as target_name from fx_site_targets union select id, regexp_replace(qualified_name, '^.*[.]', '') from fx_site_targets),
+  fit as (select s.function_id, s.site_id, s.start_line, s.start_character, e.id as edge_id, abs(e.start_line - s.start_line) * 1000000 + abs(e.start_character - s.start_character) as distance, e.start_line as el, e.start_character as ec
+    from fx_sites s join fx_site_edges e on e.source_id = s.function_id and e.file_path = s.file_path join name_of n on n.id = e.target_id and n.target_name = s.callee_name
+    where (e.start_line, e.start_character) <= (s.end_line, s.end_character) and (s.start_line, s.start_character) <= (e.end_line, e.end_character)),
+  choice as (select function_id, site_id, row_number() over (partition by function_id order by start_line, start_character, site_id) as k, list(edge_id order by distance, el, ec, edge_id) as edges from (select distinct * from fit) t group by function_id, site_id, start_line, start_character),
+  pick(function_id, k, used, site_id, edge_id) as (
+    select distinct function_id, cast(0 as bigint), cast([] as varchar[]), cast(null as varchar), cast(null as varchar) from choice
+    union all select c.function_id, c.k, list_append(p.used, list_filter(c.edges, lambda e: not list_contains(p.used, e))[1]), c.site_id, list_filter(c.edges, lambda e: not list_contains(p.used, e))[1]
+    from pick p join choice c on c.function_id = p.function_id and c.k = p.k + 1),
+  matched as (select p.function_id, p.site_id, p.edge_id, (select min(distance) from fit f where f.site_id = p.site_id and f.edge_id = p.edge_id)::bigint as distance from pick p where edge_id is not null)"""
+
+
+def _matched(g):
+    return binding.matched_callsites(g["fx_sites"], g["fx_site_edges"], g["fx_site_targets"])
+
+
+@query("J19_matched_callsites", _MATCHED + " select function_id, site_id, edge_id, distance from matched", "fx_sites", "fx_site_edges", "fx_site_targets")
+def _(g):
+    return _matched(g)
+
+
+@query("D15_J19_drill_targets", _MATCHED + """, per as (select function_id, target_id, count(*) as callsites from matched m join fx_site_edges e on e.id = m.edge_id where target_id <> function_id group by 1, 2),
+  r as (select *, row_number() over (partition by function_id order by callsites desc, target_id) as position, count(*) over (partition by function_id) as total from per)
+  select function_id, target_id, callsites, position, greatest(total - 3, 0) as omitted from r where position <= 3""", "fx_sites", "fx_site_edges", "fx_site_targets")
+def _(g):
+    return binding.drill_targets(_matched(g), g["fx_site_edges"], 3)
+
+
+# --- symbol flow with counters -----------------------------------------------------------------------------
+
+_STEPS = 5
+
+
+def _flow_sql(depth: int, steps: int) -> str:
+    text = _SEEDS + """, adj as (select source_id as f, target_id as t, min({'r': case confidence when 'exact' then 0 when 'resolved' then 1 when 'inferred' then 2 else 3 end, 'l': start_line, 'i': id}) as o from fx_call_edges group by 1, 2),
+  l0 as (select id as start, id as node, 0 as depth, cast(0 as bigint) as pos, cast(null as varchar) as parent from seeds), v0 as (select * from l0)"""
+    for d in range(1, depth + 1):
+        grow = "" if d == 1 else " and l.node in (select id from fx_parts)"
+        text += f"""
+  , n{d} as (select l.start, a.t as node, min({{'p': l.pos, 'o': a.o, 'f': a.f}}) as via from l{d - 1} l join adj a on a.f = l.node{grow} where not exists (select 1 from v{d - 1} v where v.start = l.start and v.node = a.t) group by 1, 2)
+  , l{d} as (select start, node, {d} as depth, pos, parent from (select n.start, node, via.f as parent, (select max(pos) from v{d - 1} v where v.start = n.start) + row_number() over (partition by n.start order by via.p, via.o, node) as pos from n{d} n) q where pos <= {steps - 1})
+  , v{d} as (select * from v{d - 1} union all select * from l{d})"""
+    return (
+        "with "
+        + text
+        + f""", met as (select v.start, v.depth, {{'p': v.pos, 'o': a.o}} as at, a.f, a.t from v{depth} v join adj a on a.f = v.node where v.depth = 0 or v.node in (select id from fx_parts)),
+  fin as (select m.start, m.at as fin_at from met m join v{depth} v on v.start = m.start and v.pos = {steps - 1} and v.parent = m.f and v.node = m.t),
+  cnt as (select m.start, count(*) filter (where m.depth < {depth} and fin_at is not null and m.at > fin_at) as step_limited, count(*) filter (where m.depth < {depth} and (fin_at is null or m.at <= fin_at)) as seen, count(*) filter (where m.depth = {depth}) as depth_limited from met m left join fin f on f.start = m.start group by 1)
+  select v.start, count(*) as steps, max(v.depth) as depth, coalesce(max(seen), 0) - (count(*) - 1) as duplicates, coalesce(max(depth_limited), 0) as depth_limited, coalesce(max(step_limited), 0) as step_limited from v{depth} v left join cnt c on c.start = v.start group by 1"""
+    )
+
+
+@query("G6_symbol_flow_counters", _flow_sql(3, _STEPS), "fx_call_edges", "fx_parts")
+def _(g):
+    return traverse.symbol_flow(_seeds(g), g.nodes, g.edges, 3, _STEPS)
+
+
+# --- structured control flow ---------------------------------------------------------------------------------
+
+_CONTROL = """with recursive held as (select *, row_number() over (partition by function_id, container order by ord, block) as k from fx_logic_blocks),
+  head as (select function_id, container, block from held where k = 1),
+  sib as (select a.function_id, a.block, b.block as nxt from held a join held b on b.function_id = a.function_id and b.container = a.container and b.k = a.k + 1),
+  up as (select b.function_id, b.block, c.owner, c.role, o.kind as okind, o.confidence as oconf, h.block as fin from fx_logic_blocks b left join fx_logic_containers c on c.function_id = b.function_id and c.container = b.container
+    left join fx_logic_controls o on o.function_id = b.function_id and o.block = c.owner left join head h on h.function_id = b.function_id and h.container = o.final and o.kind = 'try' and c.role <> 'finally'),
+  climb(function_id, block, spot, target, kind, confidence) as (
+    select function_id, block, block, cast(null as bigint), cast(null as varchar), cast(null as varchar) from fx_logic_blocks
+    union all select c.function_id, c.block, u.owner, case when s.nxt is not null then s.nxt when u.owner is null then -2 when u.role = 'loopBody' then u.owner when u.fin is not null then u.fin end,
+      case when s.nxt is not null or u.owner is null then 'next' when u.role = 'loopBody' then 'repeat' when u.fin is not null then 'next' end,
+      case when s.nxt is null and u.role = 'loopBody' then coalesce(u.oconf, 'exact') else 'exact' end
+    from climb c join up u on u.function_id = c.function_id and u.block = c.spot left join sib s on s.function_id = c.function_id and s.block = c.spot where c.target is null),
+  onward as (select function_id, block, target, kind, confidence from climb where target is not null),
+  loops(function_id, block, jump, spot, found) as (
+    select b.function_id, b.block, b.kind, u.owner, cast(null as bigint) from fx_logic_blocks b join up u on u.function_id = b.function_id and u.block = b.block where b.kind in ('break', 'continue')
+    union all select l.function_id, l.block, l.jump, u.owner, case when o.kind = 'loop' or l.jump = 'break' and o.kind = 'switch' then l.spot end from loops l join up u on u.function_id = l.function_id and u.block = l.spot
+      left join fx_logic_controls o on o.function_id = l.function_id and o.block = l.spot where l.found is null),
+  landed as (select l.function_id, l.block, case when l.jump = 'continue' then l.found else o.target end as target from loops l join onward o on o.function_id = l.function_id and o.block = l.found where l.found is not null),
+  ctl as (select c.*, o.target as onward, coalesce(c.confidence, 'exact') as sure from fx_logic_controls c join onward o on o.function_id = c.function_id and o.block = c.block),
+  edge as (
+    select f.function_id, -1 as source, coalesce(h.block, -2) as target, 'next' as kind, cast(null as varchar) as label, 'exact' as confidence from (select distinct function_id from fx_logic_blocks) f left join head h on h.function_id = f.function_id and h.container = 0
+    union all select c.function_id, c.block, coalesce(h.block, case when c.kind = 'try' then coalesce(hf.block, c.onward) else c.onward end), b.kind, b.label, case when h.block is not null and b.kind = 'exception' then 'inferred' else sure end
+      from ctl c join fx_logic_branches b on b.function_id = c.function_id and b.block = c.block left join head h on h.function_id = c.function_id and h.container = b.container left join head hf on hf.function_id = c.function_id and hf.container = c.final
+      where b.container is distinct from c.final and (h.block is not null or b.kind <> 'exception')
+    union all select function_id, block, onward, 'false', 'false', sure from ctl c where kind = 'condition' and not exists (select 1 from fx_logic_branches b where b.function_id = c.function_id and b.block = c.block and b.kind = 'false')
+    union all select function_id, block, onward, 'exit', 'exit loop', sure from ctl c where kind = 'loop' and not exists (select 1 from fx_logic_branches b where b.function_id = c.function_id and b.block = c.block and b.kind = 'exit')
+    union all select function_id, block, onward, 'exit', 'no case matched', sure from ctl c where kind = 'switch' and not has_default
+    union all select b.function_id, b.block, case when b.kind in ('return', 'throw') then -2 when b.kind in ('break', 'continue') then coalesce(l.target, -2) else o.target end, case when b.kind in ('return', 'throw', 'break', 'continue') then b.kind else o.kind end,
+      case when b.kind in ('return', 'throw', 'break', 'continue') then b.kind when o.kind = 'repeat' then 'repeat' end, case when b.kind in ('return', 'throw') then 'exact' when b.kind in ('break', 'continue') then (case when l.target is null then 'inferred' else 'exact' end) else o.confidence end
+      from fx_logic_blocks b join onward o on o.function_id = b.function_id and o.block = b.block left join landed l on l.function_id = b.function_id and l.block = b.block where not exists (select 1 from fx_logic_controls c where c.function_id = b.function_id and c.block = b.block))
+  select distinct function_id, cast(source as bigint) as source, cast(target as bigint) as target, kind, label, confidence from edge"""
+
+
+@query("D1_control_edges", _CONTROL, "fx_logic_blocks", "fx_logic_containers", "fx_logic_controls", "fx_logic_branches")
+def _(g):
+    return control.structured_control_edges(*(g[f"fx_logic_{n}"] for n in ("blocks", "containers", "controls", "branches")))

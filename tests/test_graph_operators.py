@@ -209,7 +209,6 @@ def test_binding(spark):
     functions = spark.createDataFrame([("f", "do_it", "mod.do_it", "/f", 2, 9), ("g", "x", "y", "/f", 9, 20), ("h", "x", "y", "/g", 2, 3)], "id string, name string, qualified_name string, file_path string, start_line int, end_line int")
     assert rows(binding.place_bindings(units, functions), "function_id", "evidence") == [("f", "contains"), ("g", "overlaps")]
     assert rows(binding.name_bindings(units, functions), "function_id", "evidence") == [("f", "name")]
-    assert rows(binding.entrypoint_flows(binding.place_bindings(units, functions), units), "status", "handler_id") == [("mapped", "f")]
 
 
 @pytest.mark.parametrize(
