@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import confidence_name, confidence_rank
+from .components import _spread
 from .lineage import kept
 
 
@@ -109,3 +110,73 @@ def symbol_flow(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth
     zero = F.lit(0).cast("long")
     joined = shown.join(counted, "start", "left").join(deep, "start", "left")
     return joined.select("start", "steps", "depth", (F.coalesce("seen", zero) - (F.col("steps") - 1)).alias("duplicates"), F.coalesce("depth_limited", zero).alias("depth_limited"), F.coalesce("step_limited", zero).alias("step_limited"))
+
+
+# --- a bounded view of a whole graph -------------------------------------------------------------------------
+
+#: Roots that a view starts from at most.
+VIEW_SEEDS = 24
+
+
+def view_seeds(candidates: DataFrame, edges: DataFrame, root: str | None = None) -> DataFrame:
+    """(id, place): the root asked for, else nodes that nothing enters, by number of edges out, then id."""
+    if root is not None:
+        own = candidates.filter(F.col("id") == root).select("id", F.lit(1).cast("long").alias("place"))
+        if not own.isEmpty():
+            return own
+    entered = edges.select(F.col("target_id").alias("t")).distinct()
+    out = edges.groupBy(F.col("source_id").alias("s")).agg(F.count(F.lit(1)).alias("degree"))
+    top = candidates.join(out, F.col("id") == F.col("s")).join(entered, F.col("id") == F.col("t"), "left_anti").orderBy(F.desc("degree"), "id").limit(VIEW_SEEDS)
+    return top.select("id", F.row_number().over(Window.orderBy(F.desc("degree"), "id")).cast("long").alias("place"))  # VIEW_SEEDS rows
+
+
+def _placed(rows: DataFrame, order: str, room: int, so_far: int) -> DataFrame:
+    """The first ``room`` rows in order, with their places; a bounded number of rows."""
+    return kept(rows.orderBy(order).limit(room).select("id", (F.row_number().over(Window.orderBy(order)) + so_far).cast("long").alias("place")))
+
+
+def _walk(start: DataFrame, near: DataFrame, budget: int) -> DataFrame:
+    """(id, place) of the first ``budget`` nodes of a breadth-first walk over ``near`` (here, there, step) from ``start`` (id, place)."""
+    selected = frontier = start
+    count = start.count()
+    while count < budget:
+        met = frontier.join(near, F.col("id") == F.col("here")).select(F.col("there").alias("id"), F.struct("place", "step").alias("via")).join(selected.select(F.col("id").alias("had")), F.col("id") == F.col("had"), "left_anti")
+        frontier = _placed(met.groupBy("id").agg(F.min("via").alias("via")), "via", budget - count, count)
+        new = frontier.count()
+        if not new:
+            break
+        count, selected = count + new, selected.unionByName(frontier)
+    return selected
+
+
+def bounded_view(candidates: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int) -> DataFrame:
+    """(id, place) of at most ``budget`` candidates: a walk from the seeds along edges either way, then, as long as there is room, from the first candidate left.
+
+    ``candidates`` has id and kind, whose order is by kind, then id; ``seeds`` id and place.  A node's neighbours follow in
+    the order edges out by target, then edges in by source.  A walk that has run dry has taken whole components, so what is left are whole
+    components too: those that fit are taken by the order of their first candidates without a walk, and only the one that does not
+    fit is walked through.  Places of nodes taken without a walk are null.
+    """
+    own = kept(candidates.select("id", F.struct("kind", "id").alias("order")))
+    ids = own.select(F.col("id").alias("c"))
+    inside = edges.join(ids, F.col("source_id") == F.col("c"), "left_semi").join(ids, F.col("target_id") == F.col("c"), "left_semi").select("source_id", "target_id")
+    way = lambda here, there, side: inside.select(F.col(here).alias("here"), F.col(there).alias("there"), F.struct(F.lit(side).alias("side"), F.col(there).alias("to")).alias("step"))
+    near = kept(way("source_id", "target_id", 0).unionByName(way("target_id", "source_id", 1)).groupBy("here", "there").agg(F.min("step").alias("step")))
+    first = seeds.join(ids, F.col("id") == F.col("c"), "left_semi")
+    selected = kept(_walk(_placed(first.select("id", "place"), "place", budget, 0), near, budget))
+    taken = selected.count()
+    if taken >= budget:
+        return selected
+    left = kept(own.join(selected.select(F.col("id").alias("had")), F.col("id") == F.col("had"), "left_anti"))
+    labels = _spread(left.select(F.col("id").alias("node"), F.col("order").alias("label")), near.select(F.col("here").alias("src"), F.col("there").alias("dst")))
+    # Each has a node at least, so that only as many components as there is room can matter.
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(budget - taken)
+    running = kept(sizes.withColumn("sum", F.sum("n").over(Window.orderBy("label"))))
+    whole = running.filter(F.col("sum") <= budget - taken)
+    filled = labels.join(whole.select(F.col("label").alias("l")), F.col("label") == F.col("l"), "left_semi").select(F.col("node").alias("id"), F.lit(None).cast("long").alias("place"))
+    result = selected.unionByName(filled)
+    room = budget - taken - (whole.agg(F.max("sum")).first()[0] or 0)
+    part = running.filter(F.col("sum") > budget - taken).orderBy("label").limit(1)
+    if room and not part.isEmpty():
+        result = result.unionByName(_walk(kept(part.select("label.id", F.lit(1).cast("long").alias("place"))), near, room).select("id", F.lit(None).cast("long").alias("place")))
+    return result

@@ -121,6 +121,15 @@ RELATIONS: dict[str, str] = {
     "fx_logic_branches": """
         select function_id, block, cast(slot2 as bigint) as ord, block * 2 + slot2 as container, case control when 'condition' then (case slot2 when 0 then 'true' else 'false' end) when 'loop' then (case slot2 when 0 then 'body' else 'exit' end) when 'switch' then 'case' else (case when slot2 = 0 then 'next' when s3 > 0 then 'finally' else 'exception' end) end as kind,
           concat('branch ', slot2) as label from {fx_scopes}, (select 0 as slot2 union all select 1) t where control is not null and (slot2 = 0 or s3 > 0 or control in ('switch', 'try'))""",
+    "fx_module_files": """
+        select concat(case when p_partkey % 29 = 0 then '/other/' else '/ws/' end, split_part('app;src;lib;Services;core;tools;packages;docs', ';', cast(p_partkey % 8 as int) + 1), case when p_partkey % 5 = 0 then '' else concat('/', replace(lower(p_brand), '#', '')) end, case when p_partkey % 3 = 0 then concat('/', split_part(lower(p_type), ' ', 1)) else '' end, '/m', p_partkey % 17, '.py') as file_path from {part}
+        union all select concat('/ws/top', p_partkey % 3, '.py') from {part}""",
+    "fx_packages": "select distinct concat('/ws/', split_part('src;core;tools;packages', ';', cast(s_suppkey % 4 as int) + 1), '/brand', s_suppkey % 40) as root_path, split_part('package.json;pyproject.toml;go.mod', ';', cast(s_suppkey % 3 as int) + 1) as manifest, split_part('npm;python;go', ';', cast(s_suppkey % 3 as int) + 1) as ecosystem from {supplier}",
+    "fx_explicit_roots": """
+        select concat('/', case when n_nationkey % 6 = 0 then 'else' else 'ws' end, '/', split_part('src;docs;lib', ';', cast(n_nationkey % 3 as int) + 1), '/brand', n_nationkey) as root_path, case when n_nationkey % 2 = 0 then n_name else ' ' end as name, split_part('workspacePackage;frameworkRoot;sourceArea', ';', cast(n_nationkey % 3 as int) + 1) as basis,
+          case when n_nationkey % 4 = 0 then 'inferred' end as confidence, case when n_nationkey % 5 = 0 then concat('chosen ', n_nationkey) end as label, case when n_nationkey % 3 = 1 then 'Next.js' else '' end as framework from {nation}""",
+    "fx_found_frameworks": "select split_part('React;Django;FastAPI', ';', cast(r_regionkey % 3 as int) + 1) as name, case when r_regionkey % 2 = 0 then concat('/ws/app/brand1', r_regionkey) end as root_path from {region}",
+    "fx_unit_roots": "select distinct split_part('FastAPI;Django;Express', ';', cast(c_custkey % 3 as int) + 1) as framework, split_part('route;model', ';', cast(c_custkey % 2 as int) + 1) as kind, concat('/ws/lib/brand', c_custkey % 60) as root_path from {customer}",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path

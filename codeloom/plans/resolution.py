@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import binding, call_resolution, control, traverse
+from ..functions import scalars
+from ..operators import binding, call_resolution, control, modules, ownership, traverse
 from .registry import _SEEDS, _seeds, query
 
 _ID = "[A-Za-z_$][A-Za-z0-9_$]*"
@@ -185,3 +186,52 @@ _CONTROL = """with recursive held as (select *, row_number() over (partition by
 @query("D1_control_edges", _CONTROL, "fx_logic_blocks", "fx_logic_containers", "fx_logic_controls", "fx_logic_branches")
 def _(g):
     return control.structured_control_edges(*(g[f"fx_logic_{n}"] for n in ("blocks", "containers", "controls", "branches")))
+
+
+# --- a bounded view ------------------------------------------------------------------------------------------
+
+VIEW_NODES = 200
+
+
+@query("G7_bounded_view")
+def _(g):
+    """Without SQL: a walk whose order depends on all before it; tested against a queue."""
+    callables = g.nodes.filter("kind IN ('function', 'method', 'constructor')").select("id", "kind")
+    return traverse.bounded_view(callables, g.edges, traverse.view_seeds(callables, g.edges), VIEW_NODES)
+
+
+# --- module boundaries from evidence ---------------------------------------------------------------------------
+
+_RANKS = "case basis when 'workspacePackage' then 0 when 'frameworkRoot' then 1 when 'sourceArea' then 2 else 3 end, case confidence when 'exact' then 0 when 'resolved' then 1 else 2 end"
+_AREAS = ", ".join(f"'{a}'" for a in scalars.TWO_SEGMENT_CONTAINERS)
+_FOUND = f"""with told as (
+  select root_path as key, cast(null as varchar) as name, 'workspacePackage' as basis, 'exact' as confidence, concat('manifest|Manifest root: ', manifest) as evidence, manifest, ecosystem, cast(null as varchar) as framework from fx_packages
+  union all select root_path, nullif(trim(name), ''), basis, coalesce(confidence, case when basis = 'workspacePackage' then 'exact' else 'resolved' end), concat('explicitRoot|', coalesce(label, concat('Explicit ', basis, ': ', root_path))), null, null, nullif(trim(framework), '') from fx_explicit_roots
+  union all select coalesce(root_path, '/ws'), null, 'frameworkRoot', 'resolved', concat('framework|', name, ' root: ', coalesce(root_path, '/ws')), null, null, name from fx_found_frameworks
+  union all select root_path, null, 'frameworkRoot', 'resolved', concat('frameworkUnit|', framework, ' ', kind, ' root: ', root_path), null, null, framework from fx_unit_roots
+  union all select '/ws', null, 'workspaceRoot', 'inferred', 'workspace|Analyzed workspace root', null, null, null),
+  inside as (select * from told where key = '/ws' or starts_with(key, '/ws/')),
+  file as (select distinct file_path, string_split(substr(file_path, 5), '/') as parts from fx_module_files where starts_with(file_path, '/ws/')),
+  homeless as (select * from file f where not exists (select 1 from inside i where i.key <> '/ws' and (starts_with(f.file_path, concat(i.key, '/')) or i.key = f.file_path))),
+  area as (select distinct case when lower(parts[1]) in ({_AREAS}) and len(parts) > 2 then concat(parts[1], '/', parts[2]) else parts[1] end as a from homeless where len(parts) > 1),
+  every as (select * from inside union all select concat('/ws/', a), null, 'sourceArea', 'inferred', concat('sourceArea|Inferred source area: ', a), null, null, null from area),
+  merged as (select key, min(name) as name, array_to_string(list_sort(list_distinct(list(evidence))), ';') as evidence, array_to_string(list_sort(list_distinct(list(manifest) filter (where manifest is not null))), ',') as manifests,
+    array_to_string(list_sort(list_distinct(list(ecosystem) filter (where ecosystem is not null))), ',') as ecosystems, array_to_string(list_sort(list_distinct(list(framework) filter (where framework is not null))), ',') as frameworks from every group by 1),
+  best as (select key, basis, confidence, row_number() over (partition by key order by {_RANKS}) as k from every)
+select m.key, coalesce(m.name, case when m.key = '/ws' then 'ws' else regexp_replace(m.key, '^.*/', '') end) as name, case when m.key = '/ws' then '.' else substr(m.key, 5) end as display_path, basis, confidence, evidence, coalesce(manifests, '') as manifests, coalesce(ecosystems, '') as ecosystems, coalesce(frameworks, '') as frameworks,
+  (select arg_max(p.key, length(p.key)) from merged p where starts_with(m.key, concat(p.key, '/'))) as parent
+from merged m join best b on b.key = m.key and b.k = 1"""
+
+
+def _modules(g):
+    return modules.module_boundaries(modules.boundary_evidence(g["fx_packages"], g["fx_explicit_roots"], g["fx_found_frameworks"], g["fx_unit_roots"], "/ws"), g["fx_module_files"], "/ws")
+
+
+@query("I5_module_boundaries", _FOUND, "fx_packages", "fx_explicit_roots", "fx_found_frameworks", "fx_unit_roots", "fx_module_files")
+def _(g):
+    return _modules(g)
+
+
+@query("I5_module_owners", f"with found as ({_FOUND}) select f.file_path as path, (select arg_max(key, length(key)) from found where starts_with(f.file_path, concat(key, '/')) or key = f.file_path) as module from (select distinct file_path from fx_module_files where starts_with(file_path, '/ws/')) f", "fx_packages", "fx_explicit_roots", "fx_found_frameworks", "fx_unit_roots", "fx_module_files")
+def _(g):
+    return ownership.owners(g["fx_module_files"], _modules(g).select(F.col("key").alias("root_key")))
