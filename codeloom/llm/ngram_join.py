@@ -12,7 +12,7 @@ No pair of linked sets is lost, whatever the orders; they only differ in what th
    A bucket of up to 8 gives all its pairs; a larger one gives each member's neighbours by size and place and the
    smallest member, so pairs stay linear in the rows.  A bucket may span range partitions.
 3. A pair goes on only if its prefixes under the other orders meet too, and the difference of the sets may cover that of
-   their parities (2048 bits, each whether an even number of tokens fall on it).  Only now are full sets fetched.
+   their parities (as many bits as tokens, each whether an odd number of tokens falls on it).  Only now are full sets fetched.
 4. Each document's first pair is verified on full sets, then the pairs that still join components.
 5. Large buckets whose members are still in different components are compared in blocks: first narrow rows
    (sizes, places and parities) tell the members that may have a partner in another component; then only these, with their sets.
@@ -52,7 +52,7 @@ NARROW_BLOCK, BLOCK = 4096, 256
 #: Orders after the first, by the salt of their hash, and whether frequent tokens come last.
 _SALTS = ((np.uint64(0xA24BAED4963EE407), True), (np.uint64(0x9FB21C651E98DF25), False))
 _LEVEL_BITS = np.uint64(6)
-_WORDS = 32  # of 64 parity bits
+_WORDS = 32  # of 64 parity bits at least
 
 
 # --- sets and orders -------------------------------------------------------------------------------------
@@ -149,8 +149,24 @@ def possible(na: np.ndarray, i: np.ndarray, nb: np.ndarray, j: np.ndarray, perce
 
 
 def parity(h: np.ndarray) -> bytes:
-    bits = np.bincount((h & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Which bits an odd number of tokens falls on; at least 2048 bits, and as many as there are tokens or more."""
+    bits = max(64 * _WORDS, 1 << (max(1, len(h)) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities (last axis) of fewer bits: tokens fall on the lower bits of where they fell."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two parities differ; no more than the tokens that only one of the sets has."""
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
 def meets(a: np.ndarray, b: np.ndarray) -> bool:
@@ -304,11 +320,12 @@ def _meeting(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint64).reshape(-1, _WORDS) for c in ("p1", "p2")]
             n1, n2 = (batch[c].to_numpy() for c in ("n1", "n2"))
-            keep = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= n1 + n2 - 2 * overlap(n1, n2, percent)
-            for k in np.flatnonzero(keep):
-                keep[k] = all(meets(x, y) for x, y in zip(*(_unpack_others(batch[c][int(k)].as_buffer()) for c in ("o1", "o2")), strict=True))
+            most = n1 + n2 - 2 * overlap(n1, n2, percent)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k in range(batch.num_rows):
+                p, q = (np.frombuffer(batch[c][k].as_buffer(), dtype=np.uint64) for c in ("p1", "p2"))
+                keep[k] = differing(p, q) <= most[k] and all(meets(x, y) for x, y in zip(*(_unpack_others(batch[c][k].as_buffer()) for c in ("o1", "o2")), strict=True))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(judge, "a long, b long").distinct()
@@ -317,18 +334,19 @@ def _meeting(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
 # --- large buckets -------------------------------------------------------------------------------------------
 
 
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Members (bucket, id, c, place, ...) of buckets with several components, so dealt that every block of those outside the main component meets every block of all.
-
-    Adds x, y and side; the sizes of buckets go through one row a bucket and component.
-    """
+def _open(rows: DataFrame, block: int) -> DataFrame:
+    """Members (bucket, id, c, ...) of buckets with several components, with the main one and numbers of blocks; the sizes of buckets go through one row a bucket and component."""
     per = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
     split = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("all")).filter("parts > 1")
     split = checkpointed(split.select(F.col("bucket").alias("k"), F.col("most.c").alias("main"), F.ceil((F.col("all") - F.col("most.m")) / block).cast("int").alias("rest_blocks"), F.ceil(F.col("all") / block).cast("int").alias("all_blocks")))
-    open_ = rows.join(split, F.col("bucket") == F.col("k"))
+    return stored(few_parts(rows.join(split, F.col("bucket") == F.col("k")).drop("k")), "open")
+
+
+def _dealt(open_: DataFrame, columns: list[str]) -> DataFrame:
+    """Open members so dealt that every block of those outside the main component meets every block of all."""
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    rest = open_.filter("c <> main").select(*rows.columns, deal(1, "rest_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"))
-    every = open_.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("x"), deal(2, "all_blocks").alias("y"), F.lit(1).alias("side"))
+    rest = open_.filter("c <> main").select("bucket", *columns, deal(1, "rest_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"))
+    every = open_.select("bucket", *columns, F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("x"), deal(2, "all_blocks").alias("y"), F.lit(1).alias("side"))
     return rest.unionByName(every).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side")
 
 
@@ -348,22 +366,36 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
 
 def _near(rest: list[list], every: list[list], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row (id, c, place, parity, ...) of ``rest``, the numbers of those of ``every`` in other components that may be linked to it."""
-    (ci, pi, si), (cj, pj, sj) = ((np.array([r[1] for r in h], dtype=np.int64), np.array([r[2] for r in h], dtype=np.int64), np.frombuffer(b"".join(r[3] for r in h), dtype=np.uint64).reshape(-1, _WORDS)) for h in (rest, every))
+    (ci, pi), (cj, pj) = ((np.array([r[1] for r in h], dtype=np.int64), np.array([r[2] for r in h], dtype=np.int64)) for h in (rest, every))
     (ni, i), (nj, j) = _places(pi), _places(pj)
+    wide = np.array([len(r[3]) // 8 for r in every])
+    bits = {int(w): np.frombuffer(b"".join(r[3] for r in every if len(r[3]) == 8 * w), dtype=np.uint64).reshape(-1, w) for w in np.unique(wide)}
+    place = np.zeros(len(every), dtype=np.int64)  # of each row among those of its width
+    for w in bits:
+        place[wide == w] = np.arange(len(bits[w]))
+    narrower: dict[tuple[int, int], np.ndarray] = {}
     for r in range(len(rest)):
         far = np.flatnonzero((cj != ci[r]) & possible(ni[r], i[r], nj, j, percent))
-        if len(far):
-            differ = np.bitwise_count(sj[far] ^ si[r]).sum(axis=1, dtype=np.int64)
-            far = far[differ <= ni[r] + nj[far] - 2 * overlap(ni[r], nj[far], percent)]
-        if len(far):
-            yield r, far
+        if not len(far):
+            continue
+        own, near = np.frombuffer(rest[r][3], dtype=np.uint64), []
+        for w in np.unique(wide[far]).tolist():
+            m = min(w, len(own))
+            if (w, m) not in narrower:
+                narrower[w, m] = folded(bits[w], m)
+            some = far[wide[far] == w]
+            differ = np.bitwise_count(narrower[w, m][place[some]] ^ folded(own, m)).sum(axis=1, dtype=np.int64)
+            near.append(some[differ <= ni[r] + nj[some] - 2 * overlap(ni[r], nj[some], percent)])
+        if sum(map(len, near)):
+            yield r, np.sort(np.concatenate(near))
 
 
 def _whole_buckets(docs: DataFrame, members: DataFrame, labels: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components in large buckets."""
     own = labels.select(F.col("node").alias("node"), F.col("component").alias("c"))
-    narrow_of = features.select(F.col("id").alias("i"), "parity")
-    tagged = stored(few_parts(members.join(own, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("c", "id").alias("c"), "place").join(narrow_of, F.col("id") == F.col("i")).drop("i")), "members")
+    tagged = members.join(own, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("c", "id").alias("c"), "place")
+    apart = _open(tagged, NARROW_BLOCK)
+    with_bits = apart.join(features.select(F.col("id").alias("i"), "parity"), F.col("id") == F.col("i"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rest, every in _blocks(batches, ["id", "c", "place", "parity"]):
@@ -373,10 +405,10 @@ def _whole_buckets(docs: DataFrame, members: DataFrame, labels: DataFrame, featu
             ids = np.unique([h[k][0] for h, some in ((rest, one), (every, other)) for k in np.flatnonzero(some)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, dtype=np.int64)), pa.array(ids)], names=["b", "m"])
 
-    left = checkpointed(_dealt(tagged, NARROW_BLOCK).mapInArrow(narrow, "b long, m long").distinct())
-    fat = tagged.join(left, (F.col("bucket") == F.col("b")) & (F.col("id") == F.col("m")), "left_semi")
-    of = _full_sets(docs, left.select(F.col("m").alias("id")).distinct()).select("id", "key", "shingles").join(features.select("id", "key", "others"), ["id", "key"]).select(F.col("id").alias("of"), "others", "shingles")
-    fat = fat.join(of, F.col("id") == F.col("of")).drop("of")
+    left = checkpointed(_dealt(with_bits, ["id", "c", "place", "parity"]).mapInArrow(narrow, "b long, m long").distinct())
+    survivors = _open(apart.drop("main", "rest_blocks", "all_blocks").join(left, (F.col("bucket") == F.col("b")) & (F.col("id") == F.col("m")), "left_semi"), BLOCK)
+    sets = _full_sets(docs, left.select(F.col("m").alias("id")).distinct()).select("id", "key", "shingles").join(features.select("id", "key", "others", "parity"), ["id", "key"])
+    fat = survivors.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rest, every in _blocks(batches, ["id", "c", "place", "parity", "others", "shingles"]):
@@ -398,7 +430,7 @@ def _whole_buckets(docs: DataFrame, members: DataFrame, labels: DataFrame, featu
                         links.append((rest[r][0], every[k][0]))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
-    return _dealt(fat, BLOCK).mapInArrow(compare, "a long, b long").distinct()
+    return _dealt(fat, ["id", "c", "place", "parity", "others", "shingles"]).mapInArrow(compare, "a long, b long").distinct()
 
 
 # --- the join --------------------------------------------------------------------------------------------------
