@@ -130,6 +130,20 @@ RELATIONS: dict[str, str] = {
           case when n_nationkey % 4 = 0 then 'inferred' end as confidence, case when n_nationkey % 5 = 0 then concat('chosen ', n_nationkey) end as label, case when n_nationkey % 3 = 1 then 'Next.js' else '' end as framework from {nation}""",
     "fx_found_frameworks": "select split_part('React;Django;FastAPI', ';', cast(r_regionkey % 3 as int) + 1) as name, case when r_regionkey % 2 = 0 then concat('/ws/app/brand1', r_regionkey) end as root_path from {region}",
     "fx_unit_roots": "select distinct split_part('FastAPI;Django;Express', ';', cast(c_custkey % 3 as int) + 1) as framework, split_part('route;model', ';', cast(c_custkey % 2 as int) + 1) as kind, concat('/ws/lib/brand', c_custkey % 60) as root_path from {customer}",
+    "fx_flow_rows": """
+        select *, cast(floor(l_orderkey / 4) as bigint) as flow, row_number() over (partition by cast(floor(l_orderkey / 4) as bigint) order by l_orderkey, ord) as k from {fx_lines}""",
+    "fx_flow_steps": """
+        select concat('flow', flow) as flow_id, concat('s', k) as step_id, case when k = 1 then (case when l_suppkey % 2 = 0 then 'route' else 'operation' end) when k = 2 or k = 3 and l_suppkey % 5 = 0 then 'handler' else 'call' end as kind, cast(case when k < 3 then k - 1 else floor(k / 3) + 1 end as bigint) as depth,
+          case when k > 2 then nullif(split_part('repository;model;external;sideEffect;;;;;;', ';', cast(l_partkey % 10 as int) + 1), '') end as role, split_part('concrete;concrete;concrete;external;concrete;unresolved;concrete', ';', cast(l_quantity as int) % 7 + 1) as resolution,
+          case when k = 1 or l_tax = 0.08 then null else concat('f', flow, ':', k) end as function_id,
+          case when k < 3 then null when l_suppkey % 13 = 0 then concat('f', flow, ':', k + 1) when k = 3 or l_partkey % 3 > 0 then concat('f', flow, ':', 2 + cast(floor((k - 3) / 2) as bigint)) else concat('f', flow, ':', k - 1) end as parent_function_id,
+          split_part('exact;resolved;inferred;unresolved', ';', cast(l_suppkey % 4 as int) + 1) as confidence, concat('/ws/p', l_partkey % 3) as file_path, case when l_discount > 0.01 then cast(l_partkey % 40 as int) end as start_line, cast(l_suppkey % 9 as int) as start_character, case when k = 1 then 'u1' end as unit_id, case when k > 2 then concat('e', k) end as edge_id
+        from {fx_flow_rows}""",
+    "fx_flow_assessed": """
+        select concat('f', flow, ':', k) as function_id, split_part('domain;application;dataAccess;unclassified;unclassified;unclassified', ';', cast(l_partkey % 6 as int) + 1) as layer, split_part('high;medium;low;unknown', ';', cast(l_suppkey % 4 as int) + 1) as sureness,
+          split_part('domainRuleCandidate;applicationWorkflowCandidate;notBusinessLogic;unknown;unknown;unknown', ';', case when flow % 3 > 0 then 3 + cast(l_partkey % 3 as int) else cast(l_partkey % 6 as int) end + 1) as business, l_suppkey % 7 = 0 as conflicted from {fx_flow_rows} where l_partkey % 4 > 0 and k > 1""",
+    "fx_reading_flows": """
+        select concat('flow', flow) as flow_id, concat('scope', flow % 40) as scope_id, l_partkey % 6 > 0 as mapped, split_part('exact;resolved;inferred;unresolved', ';', cast(l_suppkey % 4 as int) + 1) as confidence, l_partkey % 11 = 0 as depth_limit, l_suppkey % 17 = 0 as step_limit from {fx_flow_rows} where k = 1""",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path

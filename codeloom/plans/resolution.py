@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import binding, call_resolution, control, modules, ownership, traverse
+from ..operators import binding, call_resolution, control, modules, ownership, reading, traverse
 from .registry import _SEEDS, _seeds, query
 
 _ID = "[A-Za-z_$][A-Za-z0-9_$]*"
@@ -235,3 +235,70 @@ def _(g):
 @query("I5_module_owners", f"with found as ({_FOUND}) select f.file_path as path, (select arg_max(key, length(key)) from found where starts_with(f.file_path, concat(key, '/')) or key = f.file_path) as module from (select distinct file_path from fx_module_files where starts_with(file_path, '/ws/')) f", "fx_packages", "fx_explicit_roots", "fx_found_frameworks", "fx_unit_roots", "fx_module_files")
 def _(g):
     return ownership.owners(g["fx_module_files"], _modules(g).select(F.col("key").alias("root_key")))
+
+
+# --- reading paths ---------------------------------------------------------------------------------------------
+
+_SURE = "case {c} when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end"
+_PATHS = f"""with recursive raw as (select s.*, case when s.kind in ('route', 'operation') then 'entrypoint' when s.resolution = 'unresolved' then 'unclassified' when role = 'sideEffect' then 'infrastructure' when s.resolution = 'external' or role = 'external' then 'unclassified' else coalesce(a.layer, 'unclassified') end as layer,
+    case when s.kind in ('route', 'operation') then 'medium' when s.resolution = 'unresolved' then 'unknown' when role = 'sideEffect' then 'medium' when s.resolution = 'external' or role = 'external' then 'unknown' else coalesce(a.sureness, 'unknown') end as sureness,
+    case when s.kind in ('route', 'operation') then 'notBusinessLogic' when s.resolution = 'unresolved' then 'unknown' when role = 'sideEffect' then 'notBusinessLogic' when s.resolution = 'external' or role = 'external' then 'unknown' else coalesce(a.business, 'unknown') end as business,
+    case when s.kind in ('route', 'operation') or s.resolution in ('unresolved', 'external') or coalesce(role, '') in ('sideEffect', 'external') then false else coalesce(a.conflicted, false) end as conflicted
+    from fx_flow_steps s join fx_reading_flows f on f.flow_id = s.flow_id and f.mapped left join fx_flow_assessed a on a.function_id = s.function_id),
+  st as (select *, row_number() over (partition by flow_id order by depth, case when kind in ('route', 'operation') then 0 when kind = 'handler' then 1 else 2 end, file_path, start_line nulls last, start_character nulls last, coalesce(function_id, ''), coalesce(unit_id, ''), coalesce(edge_id, ''), step_id) as o from raw),
+  ent as (select flow_id, min(o) as o from st where kind in ('route', 'operation') group by 1),
+  han as (select flow_id, arg_min(function_id, o) as fn, min(o) as o from st where kind = 'handler' and resolution = 'concrete' and function_id is not null group by 1),
+  callee as (select flow_id, function_id, min(o) as o from st where kind = 'call' and function_id is not null group by 1, 2),
+  walk(flow_id, start, o, up, path, seen) as (
+    select s.flow_id, s.o, s.o, s.parent_function_id, [s.o], cast([] as varchar[]) from st s join han h on h.flow_id = s.flow_id where s.kind = 'call'
+    union all select w.flow_id, w.start, c.o, s.parent_function_id, list_prepend(c.o, w.path), list_append(w.seen, w.up) from walk w join han h on h.flow_id = w.flow_id join callee c on c.flow_id = w.flow_id and c.function_id = w.up join st s on s.flow_id = w.flow_id and s.o = c.o
+      where w.up <> h.fn and not list_contains(w.seen, w.up)),
+  chain as (select w.flow_id, w.start as o, w.path from walk w join han h on h.flow_id = w.flow_id and w.up = h.fn),
+  bnd as (select s.flow_id, s.o, c.path, case when role = 'repository' then 0 when role = 'model' then 1 when resolution = 'external' or role = 'external' then 2 when role = 'sideEffect' then 3 when resolution = 'unresolved' then 4
+      when function_id is not null and not exists (select 1 from st t where t.flow_id = s.flow_id and t.kind = 'call' and t.parent_function_id = s.function_id) then 5 end as b from st s join chain c on c.flow_id = s.flow_id and c.o = s.o where s.kind = 'call'),
+  biz as (select s.flow_id, s.o, s.function_id, c.path, row_number() over (partition by s.flow_id order by case business when 'domainRuleCandidate' then 0 else 1 end, {_SURE.format(c="sureness")}, depth, case confidence when 'exact' then 0 when 'resolved' then 1 when 'inferred' then 2 else 3 end, s.o) as n
+    from st s join chain c on c.flow_id = s.flow_id and c.o = s.o where s.kind = 'call' and resolution = 'concrete' and function_id is not null and business in ('domainRuleCandidate', 'applicationWorkflowCandidate')),
+  item as (select b.*, unnest(path) as x, unnest(range(1, len(path) + 1)) as i from bnd b where b.b is not null),
+  via as (select i.flow_id, i.o, i.b, i.path, row_number() over (partition by i.flow_id order by i.b, i.o) as n from item i join biz z on z.flow_id = i.flow_id and z.n = 1 join st s on s.flow_id = i.flow_id and s.o = i.x and s.function_id = z.function_id),
+  bridge as (select i.flow_id, i.o, i.b, i.path, arg_min(i.x, i.i) as br, arg_min(s.depth, i.i) as bd from item i join st s on s.flow_id = i.flow_id and s.o = i.x
+    where i.b in (0, 1, 3) and i.i < len(path) and s.resolution = 'concrete' and s.function_id is not null and coalesce(s.role, '') not in ('repository', 'model', 'external', 'sideEffect') and s.layer = 'unclassified' and s.business = 'unknown' and not s.conflicted group by 1, 2, 3, 4),
+  bridged as (select *, row_number() over (partition by flow_id order by b, bd, br, o) as n from bridge),
+  plain as (select *, row_number() over (partition by flow_id order by b, o) as n from bnd where b is not null),
+  pick as (select f.flow_id, e.o as eo, h.o as ho, z.o as zo, case when z.o is null then g.br end as br, case when z.o is not null then v.o when g.o is not null then g.o else p.o end as bo,
+      case when z.o is not null then coalesce(v.path, z.path) when g.o is not null then g.path else p.path end as path, case when z.o is not null then v.b when g.o is not null then g.b else p.b end as b
+    from (select distinct flow_id from st) f left join ent e on e.flow_id = f.flow_id left join han h on h.flow_id = f.flow_id left join biz z on z.flow_id = f.flow_id and z.n = 1 left join via v on v.flow_id = f.flow_id and v.n = 1
+      left join bridged g on g.flow_id = f.flow_id and g.n = 1 left join plain p on p.flow_id = f.flow_id and p.n = 1),
+  room as (select *, list_filter([eo, ho], lambda x: x is not null) as head, {reading.STEP_LIMIT} - len(list_filter([eo, ho], lambda x: x is not null)) as room, list_distinct(list_filter([1, list_position(path, coalesce(zo, br)), list_position(path, bo)], lambda x: x is not null and x > 0)) as must from pick),
+  cut as (select *, case when path is null or ho is null then [] when len(path) <= room then path when room = 1 then [coalesce(zo, br, bo, path[1])]
+      else list_transform(list_slice(list_sort(list_concat(must, list_slice(list_filter(range(1, len(path) + 1), lambda x: not list_contains(must, x)), 1, greatest(0, room - len(must))))), 1, room), lambda x: path[x]) end as tail from room),
+  seq as (select flow_id, list_concat(head, tail) as os, case when list_contains(tail, bo) then bo end as bo, case when list_contains(tail, br) then br end as br, ho, b from cut),
+  at_step as (select q.flow_id, s.*, j from (select flow_id, unnest(os) as x, unnest(range(1, len(os) + 1)) as j from seq) q join st s on s.flow_id = q.flow_id and s.o = q.x),
+  sum_of as (select flow_id, string_agg(step_id, ',' order by j) as steps, min(j) filter (where business = 'domainRuleCandidate') as dj, min(j) filter (where business = 'applicationWorkflowCandidate') as aj, count(*) as n, bool_or(layer in ('dataAccess', 'infrastructure')) as stored, min(j) filter (where kind = 'handler') as hj from at_step group by 1),
+  tot as (select flow_id, count(*) as n, count(*) filter (where kind = 'call' and resolution = 'unresolved') as u from st group by 1),
+  tgt as (select q.*, u.steps, u.n, u.stored, t.n as total, t.u, case when dj is not null then dj when aj is not null then aj when q.br is not null then list_position(q.os, q.br) else hj end as tj, case when dj is not null then 'domainCandidateReached' when aj is not null then 'applicationCandidateReached' when q.br is not null then 'workflowBridgeCandidateReached' else '' end as reach
+    from seq q join tot t on t.flow_id = q.flow_id left join sum_of u on u.flow_id = q.flow_id),
+  paths as (select g.flow_id, coalesce(g.steps, '') as steps, case when g.bo is not null then ['repository', 'model', 'externalCall', 'sideEffect', 'unresolvedCall', 'observedTerminal'][g.b + 1] end as boundary_kind, s.step_id as target, c.step_id as context,
+      case when reach <> '' then reach when f.depth_limit or f.step_limit then 'analysisLimited' else 'noCandidateObserved' end as business_reach, g.total - coalesce(g.n, 0) as omitted_steps, g.u as unresolved_calls, s.sureness as target_sureness, coalesce(s.depth, {reading.NO_DEPTH}) as target_depth, coalesce(g.stored, false) as stored,
+      f.scope_id, f.confidence as mapping, case when f.depth_limit or f.step_limit then 'limited' when g.u > 0 then 'unresolved' else 'mapped' end as trace_status
+    from tgt g join fx_reading_flows f on f.flow_id = g.flow_id left join at_step s on s.flow_id = g.flow_id and s.j = g.tj left join st c on c.flow_id = g.flow_id and c.o = g.br)"""
+_READING = ("fx_flow_steps", "fx_flow_assessed", "fx_reading_flows")
+
+
+def _paths(g):
+    return reading.reading_paths(reading.step_architecture(g["fx_flow_steps"], g["fx_flow_assessed"]), g["fx_reading_flows"])
+
+
+@query("I8_reading_paths", _PATHS + " select * from paths", *_READING)
+def _(g):
+    return _paths(g)
+
+
+_RANKED = """, parts as (select *, case trace_status when 'mapped' then 2 when 'unresolved' then 1 else 0 end as tr, stored::int as bd from paths),
+  ranked as (select *, row_number() over (partition by scope_id order by case when tr = 2 and stored then 3 when tr = 2 then 2 else bd end desc, case mapping when 'exact' then 4 when 'resolved' then 3 when 'inferred' then 2 when 'unresolved' then 1 else 0 end desc,
+    case business_reach when 'domainCandidateReached' then 4 when 'applicationCandidateReached' then 3 when 'workflowBridgeCandidateReached' then 2 when 'noCandidateObserved' then 1 else 0 end desc, case target_sureness when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end desc, tr desc, bd desc, unresolved_calls, target_depth, flow_id) as position from parts),
+  counts as (select scope_id, count(*) filter (where mapped) as mapped_flows, count(*) filter (where not mapped) as unmapped_entrypoints from fx_reading_flows group by 1)"""
+
+
+@query("K17_K18_I9_scope_paths", _PATHS + _RANKED + f" select r.scope_id, position, flow_id, steps, target, business_reach, trace_status, mapped_flows, greatest(0, mapped_flows - {reading.PATH_LIMIT}) as omitted_flows, unmapped_entrypoints from ranked r join counts c on c.scope_id = r.scope_id where position <= {reading.PATH_LIMIT}", *_READING)
+def _(g):
+    return reading.scope_paths(_paths(g), g["fx_reading_flows"])
