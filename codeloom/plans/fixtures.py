@@ -144,6 +144,23 @@ RELATIONS: dict[str, str] = {
           split_part('domainRuleCandidate;applicationWorkflowCandidate;notBusinessLogic;unknown;unknown;unknown', ';', case when flow % 3 > 0 then 3 + cast(l_partkey % 3 as int) else cast(l_partkey % 6 as int) end + 1) as business, l_suppkey % 7 = 0 as conflicted from {fx_flow_rows} where l_partkey % 4 > 0 and k > 1""",
     "fx_reading_flows": """
         select concat('flow', flow) as flow_id, concat('scope', flow % 40) as scope_id, l_partkey % 6 > 0 as mapped, split_part('exact;resolved;inferred;unresolved', ';', cast(l_suppkey % 4 as int) + 1) as confidence, l_partkey % 11 = 0 as depth_limit, l_suppkey % 17 = 0 as step_limit from {fx_flow_rows} where k = 1""",
+    "fx_manifest_files": """
+        select concat('/ws/g', s_suppkey % 9, '/s', s_suppkey, '/', name) as path, case name
+          when 'package.json' then concat(chr(123), '"name":"x","dependencies":', chr(123), '"', dep, '":"1","left-pad":"2"', chr(125), ',"devDependencies":', chr(123), '"', dev, '":"3"', chr(125), ',"scripts":', chr(123), '"build":"', lower(script), ' build && x-next","test":"echo NEXT.js"', chr(125), chr(125))
+          when 'composer.json' then concat(chr(123), '"require":', chr(123), '"php":"8","', php, '":"1"', chr(125), ',"require-dev":', chr(123), '"symfony/symfony":"2"', chr(125), chr(125))
+          when 'requirements.txt' then concat('# Flask', chr(10), '-r other.txt', chr(10), py, '[extra]>=3 # why', chr(10), 'git+https://x/fastapi', chr(10), 'Py_Other==1')
+          when 'pyproject.toml' then concat('[project]', chr(10), 'dependencies = ["', py, '>=1", "x"]', chr(10), '# "django"', chr(10), 'pytest = "*"', chr(10), 'note = 1')
+          when 'Cargo.toml' then concat('[package]', chr(10), 'axum = "no"', chr(10), '[', sec, ']', chr(10), '"', crate, '" = "1"', chr(10), 'serde = "1"', chr(10), '[features]', chr(10), 'rocket = []', chr(10), '[target.x.dependencies.tauri]')
+          when 'go.mod' then concat('module github.com/gin-gonic/gin', chr(10), 'require (', chr(10), '  ', gomod, '/v4 v1 // github.com/gofiber/fiber', chr(10), ')', chr(10), 'exclude github.com/gofiber/fiber v1', chr(10), 'require github.com/other/x v2')
+          when 'pom.xml' then concat('<a>', case when s_suppkey % 2 = 0 then 'org.springframework.boot' else 'spring-boot' end, '-x</a>', case when s_suppkey % 3 = 0 then 'spring-boot-starter-web' else '' end)
+          when 'Gemfile' then concat('# gem "rails"', chr(10), case when s_suppkey % 2 = 0 then concat('  gem ', chr(39), 'rails', chr(39), ', "7"') else 'gemspec "rails"' end)
+          when 'manage.py' then concat('import os', chr(10), case when s_suppkey % 5 > 0 then 'DJANGO_SETTINGS_MODULE' else '' end, chr(10), case when s_suppkey % 2 = 0 then 'from django.core.management import x' else 'execute_from_command_line()' end)
+          else 'nothing' end as content
+        from (select s_suppkey, split_part('package.json;composer.json;requirements.txt;pyproject.toml;Cargo.toml;go.mod;pom.xml;Gemfile;manage.py;notes.txt', ';', cast((s_suppkey + k) % 10 as int) + 1) as name, split_part('react;next;vue;@nestjs/core;vite;graphql;lodash', ';', cast(s_suppkey % 7 as int) + 1) as dep,
+          split_part('jest;vitest;eslint;express', ';', cast(s_suppkey % 4 as int) + 1) as dev, split_part('react-scripts;Next;ng;nest;vite', ';', cast(s_suppkey % 5 as int) + 1) as script, split_part('laravel/framework;symfony/framework-bundle;x/y', ';', cast(s_suppkey % 3 as int) + 1) as php,
+          split_part('Django;flask;fastapi;Strawberry_GraphQL;graphene;numpy', ';', cast(s_suppkey % 6 as int) + 1) as py, split_part('dependencies;dev-dependencies;build-dependencies;workspace.dependencies;lib', ';', cast(s_suppkey % 5 as int) + 1) as sec,
+          split_part('axum;actix-web;rocket;libc', ';', cast(s_suppkey % 4 as int) + 1) as crate, split_part('github.com/labstack/echo;github.com/labstack/echoes;github.com/gofiber/fiber', ';', cast(s_suppkey % 3 as int) + 1) as gomod from {supplier}, (select 0 as k union all select 3 union all select 7) t) u
+        union all select concat('/ws/g', s_suppkey % 9, '/requirements.txt'), 'django' from {supplier} where s_suppkey < 9""",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path

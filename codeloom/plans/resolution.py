@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import binding, call_resolution, control, modules, ownership, reading, traverse
+from ..operators import binding, call_resolution, control, detection, modules, ownership, reading, traverse
 from .registry import _SEEDS, _seeds, query
 
 _ID = "[A-Za-z_$][A-Za-z0-9_$]*"
@@ -302,3 +302,64 @@ _RANKED = """, parts as (select *, case trace_status when 'mapped' then 2 when '
 @query("K17_K18_I9_scope_paths", _PATHS + _RANKED + f" select r.scope_id, position, flow_id, steps, target, business_reach, trace_status, mapped_flows, greatest(0, mapped_flows - {reading.PATH_LIMIT}) as omitted_flows, unmapped_entrypoints from ranked r join counts c on c.scope_id = r.scope_id where position <= {reading.PATH_LIMIT}", *_READING)
 def _(g):
     return reading.scope_paths(_paths(g), g["fx_reading_flows"])
+
+
+# --- frameworks by manifests -------------------------------------------------------------------------------------
+
+_RULES = ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in detection.RULES)
+_QUOTES = "chr(39) || chr(34)"
+_DEPENDENCY = f"translate(lower(split_part(trim(trim({{x}}), {_QUOTES}), '[', 1)), '_', '-')"
+
+
+def _requirement(x: str) -> str:
+    bare = f"trim(split_part({x}, '#', 1))"
+    return f"case when regexp_matches({bare}, '^(-|https?://|git\\+)') then '' else {_DEPENDENCY.format(x=f"regexp_extract({bare}, '^([A-Za-z0-9_.-]*)', 1)")} end"
+
+
+#: Texts in double or single quotes; \x27 is the single quote.
+_QUOTED = "list_transform(regexp_extract_all(b, '\"[^\"]*\"|\\x27[^\\x27]*\\x27'), lambda q: trim(q[2:len(q) - 1]))"
+_FILES = ", ".join(f"'{n}'" for n in (*detection.PYTHON_MANIFESTS, *detection.JVM_MANIFESTS, *detection.OTHER_MANIFESTS))
+_TABLE = "^(?:(?:.*\\.)?(?:dev-)?dependencies|build-dependencies)"
+_DETECTED = f"""with rule(rule, token, framework, ecosystem, category) as (values {_RULES}),
+  man as (select regexp_replace(path, '/[^/]*$', '') as root, regexp_extract(path, '([^/]*)$', 1) as manifest, content from fx_manifest_files where regexp_extract(path, '([^/]*)$', 1) in ({_FILES})),
+  line as (select root, manifest, i, string_split(content, chr(10))[i] as line from (select *, unnest(range(1, len(string_split(content, chr(10))) + 1)) as i from man) t),
+  bare as (select *, trim(split_part(line, '#', 1)) as b from line),
+  cargo as (select *, last_value(case when regexp_matches(b, '^\\[.*\\]$') then b end ignore nulls) over (partition by root, manifest order by i) as h, regexp_matches(b, '^\\[.*\\]$') as is_header from bare where manifest = 'Cargo.toml'),
+  go as (select *, last_value(case when g in ('require (', ')') then g end ignore nulls) over (partition by root, manifest order by i) as m from (select *, trim(split_part(line, '//', 1)) as g from line where manifest = 'go.mod') t),
+  module as (select root, manifest, case when g in ('require (', ')', '') then '' when m = 'require (' then regexp_extract(g, '^(\\S+)', 1) else regexp_extract(g, '^require (\\S+)', 1) end as whole from go),
+  told as (
+    select root, manifest, 'package' as rule, unnest(json_keys(json_extract(content, '$.dependencies'))) as token, 'package.json dependency: ' as lead, cast(null as varchar) as shown from man where manifest = 'package.json'
+    union all select root, manifest, 'package', unnest(json_keys(json_extract(content, '$.devDependencies'))), 'package.json devDependency: ', null from man where manifest = 'package.json'
+    union all select root, manifest, 'script', unnest(list_distinct(regexp_extract_all(lower(json_extract(content, '$.scripts')::varchar), '[A-Za-z0-9_/@.:-]+'))), 'package.json script: ', null from man where manifest = 'package.json'
+    union all select root, manifest, 'composer', unnest(json_keys(json_extract(content, '$.require'))), 'composer.json require: ', null from man where manifest = 'composer.json'
+    union all select root, manifest, 'composer', unnest(json_keys(json_extract(content, '$."require-dev"'))), 'composer.json require-dev: ', null from man where manifest = 'composer.json'
+    union all select root, manifest, 'jvm', 'org.springframework.boot', manifest || ' plugin: ', null from man where manifest in ('build.gradle', 'build.gradle.kts', 'pom.xml') and contains(content, 'org.springframework.boot')
+    union all select root, manifest, 'jvm', 'spring-boot-starter', manifest || ' dependency: ', null from man where manifest in ('build.gradle', 'build.gradle.kts', 'pom.xml') and contains(content, 'spring-boot-starter')
+    union all select root, manifest, 'python', {_requirement("line")}, manifest || ' dependency: ', null from bare where manifest = 'requirements.txt'
+    union all select root, manifest, 'python', {_DEPENDENCY.format(x="split_part(b, '=', 1)")}, manifest || ' dependency: ', null from bare where manifest in ('pyproject.toml', 'setup.py', 'Pipfile') and contains(b, '=')
+    union all select root, manifest, 'python', {_requirement("q")}, manifest || ' dependency: ', null from (select *, unnest({_QUOTED}) as q from bare where manifest in ('pyproject.toml', 'setup.py', 'Pipfile')) t
+    union all select root, manifest, 'cargo', case when is_header then regexp_extract(trim(b, '[]'), '{_TABLE}\\.([^.]+)$', 1) when regexp_matches(trim(h, '[]'), '{_TABLE}$') and contains(b, '=') then trim(trim(split_part(b, '=', 1)), '"') else '' end, 'Cargo.toml dependency: ', null from cargo
+    union all select root, manifest, 'go', array_to_string(string_split(whole, '/')[1:k], '/'), 'go.mod require: ', whole from (select *, unnest(range(1, len(string_split(whole, '/')) + 1)) as k from module where whole <> '') t
+    union all select root, manifest, 'gem', {_QUOTED}[1], 'Gemfile gem: ', null from bare where manifest = 'Gemfile' and regexp_matches(b, '^gem\\s*["\\x27]')),
+  hit as (select t.root, r.*, lead || coalesce(shown, t.token) as label from told t join rule r on r.rule = t.rule and r.token = t.token),
+  detected as (select root, framework, min(ecosystem) as ecosystem, min(category) as category, case when bool_or(rule <> 'script') then 'high' else 'medium' end as confidence, array_to_string(list_sort(list_distinct(list(label))), '; ') as evidence from hit group by 1, 2)"""
+
+
+def _detected(g):
+    return detection.detected_frameworks(detection.manifests(g["fx_manifest_files"]))
+
+
+@query("X1_X2_detected_frameworks", _DETECTED + " select * from detected", "fx_manifest_files")
+def _(g):
+    return _detected(g)
+
+
+_CONCRETE = """, concrete as (select regexp_replace(path, '/[^/]*$', '') as root, concat('manage.py Django entrypoint: ', path) as evidence from fx_manifest_files
+    where regexp_matches(path, '(^|/)manage.py$') and contains(content, 'DJANGO_SETTINGS_MODULE') and (contains(content, 'django.core.management') or contains(content, 'execute_from_command_line'))),
+  every as (select root, framework, evidence from detected union all select root, 'Django', evidence from concrete)
+  select root, framework, array_to_string(list_sort(list_distinct(list(evidence))), '; ') as evidence from every e where not (framework = 'Django' and exists (select 1 from concrete c where starts_with(c.root, concat(e.root, '/')))) group by 1, 2"""
+
+
+@query("X3_A21_concrete_roots", _DETECTED + _CONCRETE, "fx_manifest_files")
+def _(g):
+    return detection.with_concrete_roots(_detected(g), detection.django_roots(g["fx_manifest_files"]))
