@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import binding, call_resolution, control, detection, modules, ownership, reading, traverse
+from ..operators.lineage import shared_dir
+from ..streaming import snapshots
 from .registry import _SEEDS, _seeds, query
 
 _ID = "[A-Za-z_$][A-Za-z0-9_$]*"
@@ -363,3 +367,18 @@ _CONCRETE = """, concrete as (select regexp_replace(path, '/[^/]*$', '') as root
 @query("X3_A21_concrete_roots", _DETECTED + _CONCRETE, "fx_manifest_files")
 def _(g):
     return detection.with_concrete_roots(_detected(g), detection.django_roots(g["fx_manifest_files"]))
+
+
+# --- keyed state over a stream -----------------------------------------------------------------------------------
+
+
+@query("ST_newest_snapshots", "select path, max(version) as version, arg_max(content_hash, {'v': version, 'h': content_hash}) as content_hash from (select concat('/f', user_id % 997) as path, event_id * 7919 % 10007 as version, md5(concat(event_type, user_id)) as content_hash from events) t group by 1")
+def _(g):
+    """The events table as a stream of snapshots whose versions come out of order, followed to its end in keyed state."""
+    spark = g.spark
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(g["events"].schema).option("maxFilesPerTrigger", 2).parquet(f"{g.sf_dir}/[e]vents.parquet")  # a pattern, as the table may be one file
+    version = (F.col("event_id") * 7919 % 10007).cast("long")
+    told = events.select(F.concat(F.lit("/f"), F.col("user_id") % 997).alias("path"), version.alias("version"), F.md5(F.concat("event_type", F.col("user_id").cast("string"))).alias("content_hash"))
+    snapshots.follow_snapshots(told, f"{home}/out", f"{home}/checkpoint").awaitTermination()
+    return snapshots.current(spark, f"{home}/out")

@@ -87,3 +87,27 @@ def test_scan_below_excluded_names(spark, tmp_path):
         assert got == ["src/a.py"]
         assert [r["root"].split("/ws/")[1] for r in workspace.package_roots(spark, form, "tool-cache").collect()] == ["src"]
     assert {r["path"].split("/ws/")[1] for r in workspace.scan_workspace(spark, str(root)).collect()} == {"src/a.py", "tool-cache/a.py"}
+
+
+def test_newest_snapshots_in_keyed_state(spark, tmp_path):
+    """Late, repeated and out-of-order batches leave what the whole table says; every change tells what it retires."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"/p{rnd.randint(0, 9)}", rnd.randint(0, 30), f"h{rnd.randint(0, 3)}") for _ in range(120)]
+    batches = [rows[:40], rows[40:80], rows[:40], [], rows[80:], rows[20:60]]
+    schema = "path string, version long, content_hash string"
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{source}/b{n}")
+        stream = spark.readStream.schema(schema).parquet(f"{source}/b*")
+        query = snapshots.follow_snapshots(stream, out, checkpoint)  # each time from where the last one ended
+        query.awaitTermination()
+        seen = [r for b in batches[: n + 1] for r in b]
+        want = snapshots.newest(spark.createDataFrame(seen, schema)).collect()
+        assert sorted(snapshots.current(spark, out).collect()) == sorted(want)
+    changes = spark.read.parquet(f"{out}/batch=*").collect()
+    made = {(r["path"], r["version"], r["content_hash"]) for r in changes}
+    assert len(made) == len(changes)
+    for r in changes:
+        assert r["retired_version"] is None or ((r["path"], r["retired_version"], r["retired_hash"]) in made and (r["retired_version"], r["retired_hash"]) < (r["version"], r["content_hash"]))
