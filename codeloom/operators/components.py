@@ -7,8 +7,12 @@ longest path of the condensation, and always end: labels only fall, and a conden
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from .grouped import LARGEST, by_group, larger_groups
 from .lineage import kept
 
 #: Steps along edges in one job.
@@ -119,13 +123,54 @@ def longest_path_ranks(edges: DataFrame) -> DataFrame:
     return members.join(ranks, F.col("component") == F.col("r")).select("node", "component", "rank")
 
 
-def forward_ranks(blocks: DataFrame, edges: DataFrame, back_kinds: tuple[str, ...] = ("repeat",)) -> DataFrame:
+def forward_ranks(blocks: DataFrame, edges: DataFrame, back_kinds: tuple[str, ...] = ("repeat",), most: int = LARGEST) -> DataFrame:
     """C4: (function_id, block_id, rank) of the blocks of all functions at once, edges backwards left out.
 
-    A block that is still in a forward cycle comes after all others of its function, in source order.
+    A block that is still in a forward cycle, or behind one, comes after all others of its function, in source order.
+    Functions are worked out one by one after a single shuffle; those of more than ``most`` blocks or edges by rounds of joins.
     """
-    forward = kept(edges.filter(~F.col("kind").isin(*back_kinds) & (F.col("src") != F.col("dst"))).select("function_id", "src", "dst").distinct())
+    forward = edges.filter(~F.col("kind").isin(*back_kinds) & (F.col("src") != F.col("dst"))).select("function_id", "src", "dst").distinct()
     nodes = blocks.select("function_id", F.col("block_id").alias("node")).distinct()
+    large = kept(larger_groups([nodes, forward], "function_id", most))
+    own = lambda df: df.join(large.withColumnRenamed("function_id", "big"), F.col("function_id") == F.col("big"), "left_anti")
+
+    def ranked(function: object, ids: list, sources: list, targets: list) -> Iterator[tuple]:
+        rank, open_ = _layered(ids, list(zip(sources, targets, strict=True)))
+        top = max(rank.values(), default=0)
+        yield from ((function, n, r) for n, r in rank.items())
+        yield from ((function, n, top + k) for k, n in enumerate(sorted(open_), 1))
+
+    schema = StructType([nodes.schema["function_id"], StructField("block_id", nodes.schema["node"].dataType), StructField("rank", IntegerType())])
+    small = by_group("function_id", {"nodes": own(nodes), "edges": own(forward)}, ranked, schema)
+    if large.isEmpty():
+        return small
+    of = lambda df: df.join(large, "function_id", "left_semi")
+    return small.unionByName(_forward_ranks_by_rounds(of(nodes), of(forward)))
+
+
+def _layered(ids: list, pairs: list[tuple]) -> tuple[dict, set]:
+    """(longest-path rank of each node, nodes in a cycle or behind one)."""
+    known, after, waits = set(ids), {}, dict.fromkeys(ids, 0)
+    for a, b in pairs:
+        if a in known and b in known:
+            after.setdefault(a, []).append(b)
+            waits[b] += 1
+    rank, ready = {}, [n for n in ids if not waits[n]]
+    least = dict.fromkeys(ids, 0)
+    while ready:
+        n = ready.pop()
+        rank[n] = least[n]
+        for m in after.get(n, ()):
+            least[m] = max(least[m], rank[n] + 1)
+            waits[m] -= 1
+            if not waits[m]:
+                ready.append(m)
+    return rank, known - rank.keys()
+
+
+def _forward_ranks_by_rounds(nodes: DataFrame, forward: DataFrame) -> DataFrame:
+    """As :func:`forward_ranks`, without a bound on a function's blocks."""
+    forward = kept(forward)
     largest = nodes.groupBy("function_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     # Blocks that cannot be settled: of a cycle or behind one; what is left of the edges after peeling.
     rest, size = forward, -1
@@ -146,12 +191,40 @@ def forward_ranks(blocks: DataFrame, edges: DataFrame, back_kinds: tuple[str, ..
     return ranks.select("function_id", F.col("node").alias("block_id"), F.when(F.col("late"), top + late).otherwise(F.col("rank")).cast("int").alias("rank"))
 
 
-def rank_order(ranks: DataFrame, edges: DataFrame, scene: str = "scene") -> DataFrame:
+def rank_order(ranks: DataFrame, edges: DataFrame, scene: str = "scene", most: int = LARGEST) -> DataFrame:
     """(scene, node, rank, position): the order of drawing in each scene.
 
     Ranks are placed one after the other, inside a rank by the mean position of the predecessors, those
-    without any last, then by name.  A scene is a bounded view (some hundred nodes), so it is ordered in a window.
+    without any last, then by name.  Scenes are worked out one by one after a single shuffle; those of more than ``most`` nodes or edges by a round for each rank.
     """
+    own, ways = ranks.select(scene, "node", "rank"), edges.select(scene, "src", "dst")
+    large = kept(larger_groups([own, ways], scene, most))
+    less = lambda df: df.join(large.withColumnRenamed(scene, "big"), F.col(scene) == F.col("big"), "left_anti")
+
+    def ordered(key: object, nodes: list, levels: list, sources: list, targets: list) -> Iterator[tuple]:
+        before: dict = {}
+        for a, b in zip(sources, targets, strict=True):
+            before.setdefault(b, []).append(a)
+        by_level: dict[int, list] = {}
+        for n, r in zip(nodes, levels, strict=True):
+            by_level.setdefault(r, []).append(n)
+        place: dict = {}
+        for r in sorted(by_level):
+            at = {n: [place[a] for a in before.get(n, ()) if a in place] for n in by_level[r]}
+            for n in sorted(by_level[r], key=lambda n: (not at[n], sum(at[n]) / len(at[n]) if at[n] else 0.0, n)):
+                yield key, n, r, len(place)
+                place[n] = len(place)
+
+    schema = StructType([own.schema[scene], own.schema["node"], own.schema["rank"], StructField("position", LongType())])
+    small = by_group(scene, {"nodes": less(own), "edges": less(ways)}, ordered, schema)
+    if large.isEmpty():
+        return small
+    of = lambda df: df.join(large, scene, "left_semi")
+    return small.unionByName(_rank_order_by_rounds(of(own), of(ways), scene))
+
+
+def _rank_order_by_rounds(ranks: DataFrame, edges: DataFrame, scene: str) -> DataFrame:
+    """As :func:`rank_order`, without a bound on a scene's nodes."""
     ranks = kept(ranks.select(scene, "node", "rank"))
     last = ranks.agg(F.max("rank")).first()[0]
     own = Window.partitionBy(scene)
