@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import CALLABLE_KINDS, confidence_name, confidence_rank
 from . import index, traverse
+from .selection import smallest_values
 
 #: The confidence that a binding by place counts for.
 PLACE_RANKS = {"contains": 0, "overlaps": 2}
@@ -150,3 +151,58 @@ def risk_radar(analysis: DataFrame, entrypoints: DataFrame, unresolved: DataFram
     chosen = numbered.orderBy(F.when(F.col("n") == 1, kind_order).otherwise(len(RISK_KINDS) + 1), *order[:2], "kind", "id").limit(limit)
     total = all_.agg(F.count(F.lit(1)).alias("candidates"))
     return chosen.crossJoin(F.broadcast(total)).select(*columns, F.greatest(F.col("candidates") - limit, F.lit(0)).alias("omitted"))  # one row
+
+
+# --- what a project's brief counts -----------------------------------------------------------------------------
+
+#: Groups shown, and entry points named for each.
+GROUP_LIMIT, GROUP_EXAMPLES = 3, 3
+# The roots of GraphQL operations that have a name of their own.
+GRAPHQL_ROOTS = ("Query", "Mutation", "Subscription")
+
+
+def operation_type() -> Column:
+    """Query, Mutation, Subscription or Other of an operation by the root of its qualified name; null for routes."""
+    root = F.split_part("qualified_name", F.lit("."), F.lit(1))
+    return F.when(F.col("entry_kind") == "operation", F.when(root.isin(*GRAPHQL_ROOTS), root).otherwise("Other"))
+
+
+def entrypoint_groups(flows: DataFrame, limit: int = GROUP_LIMIT, examples: int = GROUP_EXAMPLES) -> DataFrame:
+    """The largest groups of entry points by framework, root, kind and operation, with what the limit leaves out.
+
+    ``flows`` has entry_id, framework, root_path, entry_kind, qualified_name and status.  Ties go by framework, root, kind and operation.
+    """
+    keys = ["framework", "root_path", "entry_kind", "operation"]
+    own = flows.withColumn("operation", F.coalesce(operation_type(), F.lit("http")))
+    named = smallest_values(own, keys, "entry_id", examples, "examples").drop("n")
+    groups = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("entrypoints"), F.count_if(F.col("status") == "mapped").alias("mapped"), F.count_if(F.col("status").isin("ambiguous", "handlerNotMapped")).alias("gaps"))
+    totals = groups.agg(F.count(F.lit(1)).alias("all_groups"), F.sum("entrypoints").alias("all_entrypoints"))
+    top = groups.orderBy(F.desc("entrypoints"), *keys).limit(limit)
+    shown = top.agg(F.count(F.lit(1)).alias("shown_groups"), F.sum("entrypoints").alias("shown_entrypoints"))
+    counted = top.crossJoin(totals).crossJoin(shown)  # one row each
+    return counted.join(named, keys).select(*keys, "entrypoints", "mapped", "gaps", F.array_join("examples", ",").alias("examples"), (F.col("all_groups") - F.col("shown_groups")).alias("omitted_groups"), (F.col("all_entrypoints") - F.col("shown_entrypoints")).alias("omitted_entrypoints"))
+
+
+def analysis_coverage(diagnostics: DataFrame, nodes: DataFrame, edges: DataFrame, flows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One row of counters of what limits the analysis: diagnostics, calls, entry points, walks cut short."""
+    severity = F.col("severity")
+    told = diagnostics.agg(F.count_if(severity == "error").alias("errors"), F.count_if(severity == "warning").alias("warnings"), F.count_if(~severity.isin("error", "warning")).alias("infos"))
+    known = nodes.select(F.col("id").alias("n")).distinct()
+    calls = edges.filter("kind = 'calls'").join(known, F.col("target_id") == F.col("n"), "left")
+    called = calls.agg(F.count_if((F.col("confidence") == "unresolved") | F.col("n").isNull()).alias("unresolved_calls"), F.count_if(F.col("confidence") == "inferred").alias("inferred_calls"))
+    entered = flows.agg(F.count_if(F.col("status") == "ambiguous").alias("ambiguous_entrypoints"), F.count_if(F.col("status") == "handlerNotMapped").alias("handlers_not_mapped"))
+    cut = gaps.agg((F.count_if("step_gap") + F.count_if("depth_gap")).alias("traversal_limits"))
+    return told.crossJoin(called).crossJoin(entered).crossJoin(cut)  # one row each
+
+
+def execution_counts(flows: DataFrame, scope: str) -> DataFrame:
+    """Entry points of each scope: mapped, with a gap, over HTTP, and of each kind of GraphQL operation."""
+    kind = operation_type()
+    of = {"graphql_queries": "Query", "graphql_mutations": "Mutation", "graphql_subscriptions": "Subscription", "graphql_others": "Other"}
+    return flows.groupBy(scope).agg(
+        F.count(F.lit(1)).alias("entrypoints"),
+        F.count_if(F.col("status") == "mapped").alias("mapped"),
+        F.count_if(F.col("status").isin("ambiguous", "handlerNotMapped")).alias("gaps"),
+        F.count_if(F.col("entry_kind") == "route").alias("http_routes"),
+        *[F.count_if(F.coalesce(kind, F.lit("")) == value).alias(name) for name, value in of.items()],
+    )

@@ -161,6 +161,12 @@ RELATIONS: dict[str, str] = {
           split_part('Django;flask;fastapi;Strawberry_GraphQL;graphene;numpy', ';', cast(s_suppkey % 6 as int) + 1) as py, split_part('dependencies;dev-dependencies;build-dependencies;workspace.dependencies;lib', ';', cast(s_suppkey % 5 as int) + 1) as sec,
           split_part('axum;actix-web;rocket;libc', ';', cast(s_suppkey % 4 as int) + 1) as crate, split_part('github.com/labstack/echo;github.com/labstack/echoes;github.com/gofiber/fiber', ';', cast(s_suppkey % 3 as int) + 1) as gomod from {supplier}, (select 0 as k union all select 3 union all select 7) t) u
         union all select concat('/ws/g', s_suppkey % 9, '/requirements.txt'), 'django' from {supplier} where s_suppkey < 9""",
+    "fx_brief_flows": """
+        select concat('entry:', c_custkey) as entry_id, split_part('FastAPI;Django;Express', ';', cast(c_custkey % 3 as int) + 1) as framework, concat('/ws/r', c_custkey % 4) as root_path, case when c_custkey % 5 < 2 then 'route' else 'operation' end as entry_kind,
+          concat(split_part('Query;Mutation;Subscription;query;Type', ';', cast(c_custkey % 7 as int) % 5 + 1), '.f', c_custkey) as qualified_name, split_part('mapped;ambiguous;handlerNotMapped;mapped', ';', cast(c_nationkey % 4 as int) + 1) as status, concat('scope', c_custkey % 6) as scope_id from {customer}""",
+    "fx_summary_blocks": "select function_id, block, case when kind = 'statement' then split_part('call;effect;mutation;statement', ';', cast(block % 4 as int) + 1) else kind end as kind, cast(block % 3 as int) as value_changes from {fx_logic_blocks}",
+    "fx_choice_blocks": "select function_id, block_id, case when block_id = 1 then 'entry' else 'block' end as kind from {fx_conditions} union all select distinct function_id, cast(100 as int), 'block' from {fx_conditions} union all select distinct function_id, cast(200 as int), 'block' from {fx_conditions}",
+    "fx_choices": "select function_id, block_id, block_id * 2 + case when flag = 'R' then 1 when function_id % 5 = 0 then 7 else 0 end as edge_id from {fx_conditions} where flag <> 'A' or function_id % 3 = 0",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import binding, call_resolution, control, detection, modules, ownership, reading, traverse
+from ..operators import binding, call_resolution, control, dataflow, detection, flows, modules, ownership, reading, traverse
 from ..operators.lineage import shared_dir
 from ..streaming import snapshots
-from .registry import _SEEDS, _seeds, query
+from .insights import _flows
+from .registry import _SEEDS, ORACLE_SQL, _seeds, query
 
 _ID = "[A-Za-z_$][A-Za-z0-9_$]*"
 
@@ -382,3 +383,93 @@ def _(g):
     told = events.select(F.concat(F.lit("/f"), F.col("user_id") % 997).alias("path"), version.alias("version"), F.md5(F.concat("event_type", F.col("user_id").cast("string"))).alias("content_hash"))
     snapshots.follow_snapshots(told, f"{home}/out", f"{home}/checkpoint").awaitTermination()
     return snapshots.current(spark, f"{home}/out")
+
+
+# --- counters of briefs, hops and choices -----------------------------------------------------------------------
+
+_OPERATION = "case when entry_kind = 'operation' then (case when split_part(qualified_name, '.', 1) in ('Query', 'Mutation', 'Subscription') then split_part(qualified_name, '.', 1) else 'Other' end) end"
+
+
+@query(
+    "A22_entrypoint_group_view",
+    f"""with own as (select *, coalesce({_OPERATION}, 'http') as operation from fx_brief_flows), g as (select framework, root_path, entry_kind, operation, count(*) as entrypoints, count(*) filter (where status = 'mapped') as mapped, count(*) filter (where status in ('ambiguous', 'handlerNotMapped')) as gaps,
+      array_to_string(list_slice(list_sort(list_distinct(list(entry_id))), 1, 3), ',') as examples from own group by 1, 2, 3, 4), r as (select *, row_number() over (order by entrypoints desc, framework, root_path, entry_kind, operation) as k from g)
+    select framework, root_path, entry_kind, operation, entrypoints, mapped, gaps, examples, (select count(*) from r where k > 3) as omitted_groups, (select cast(coalesce(sum(entrypoints), 0) as bigint) from r where k > 3) as omitted_entrypoints from r where k <= 3""",
+    "fx_brief_flows",
+)
+def _(g):
+    return flows.entrypoint_groups(g["fx_brief_flows"])
+
+
+@query(
+    "A29_scope_execution_counts",
+    f"""with own as (select *, coalesce({_OPERATION}, '') as op from fx_brief_flows) select scope_id, count(*) as entrypoints, count(*) filter (where status = 'mapped') as mapped, count(*) filter (where status in ('ambiguous', 'handlerNotMapped')) as gaps, count(*) filter (where entry_kind = 'route') as http_routes,
+      count(*) filter (where op = 'Query') as graphql_queries, count(*) filter (where op = 'Mutation') as graphql_mutations, count(*) filter (where op = 'Subscription') as graphql_subscriptions, count(*) filter (where op = 'Other') as graphql_others from own group by 1""",
+    "fx_brief_flows",
+)
+def _(g):
+    return flows.execution_counts(g["fx_brief_flows"], "scope_id")
+
+
+@query(
+    "A33_logic_summary",
+    """select function_id, count(*) as blocks, count(*) filter (where kind in ('condition', 'switch')) as branches, count(*) filter (where kind = 'loop') as loops, count(*) filter (where kind in ('call', 'effect')) as calls, count(*) filter (where kind = 'effect') as effects,
+      count(*) filter (where kind = 'mutation') as mutations, cast(sum(value_changes) as bigint) as value_changes, count(*) filter (where kind in ('return', 'throw')) as exits from fx_summary_blocks group by 1""",
+    "fx_summary_blocks",
+)
+def _(g):
+    return dataflow.logic_summary(g["fx_summary_blocks"])
+
+
+_REACHING = """with recursive walk(f, b, rd, cur, d) as (select function_id, binding, block_id, block_id, 0 from fx_blocks where access = 'read'
+      union select w.f, w.b, w.rd, e.src, w.d + 1 from walk w join fx_block_edges e on e.function_id = w.f and e.dst = w.cur where w.d < 5 and (w.d = 0 or not exists (select 1 from fx_blocks x where x.function_id = w.f and x.block_id = w.cur and x.binding = w.b and x.access = 'define'))),
+    flow as (select distinct f, b, cur as def, rd from walk join fx_blocks x on x.function_id = f and x.block_id = cur and x.binding = b and x.access = 'define' where d > 0)"""
+
+
+@query(
+    "D5_value_hops",
+    _REACHING
+    + """, related as (select f, b, def as n from flow union select f, b, rd from flow), self as (select f, b, rd from flow where def = rd),
+    back(f, b, rd, cur) as (select distinct t.f, t.b, t.rd, e.src from (select distinct f, b, rd from flow) t join fx_block_edges e on e.function_id = t.f and e.dst = t.rd where e.src <> t.rd
+      union select w.f, w.b, w.rd, e.src from back w join fx_block_edges e on e.function_id = w.f and e.dst = w.cur where e.src <> w.rd and not exists (select 1 from related r where r.f = w.f and r.b = w.b and r.n = w.cur)),
+    near as (select w.* from back w join related r on r.f = w.f and r.b = w.b and r.n = w.cur where not exists (select 1 from self s where s.f = w.f and s.b = w.b and s.rd = w.rd))
+    select f as function_id, b as binding, cur as source, rd as target from near union select f, b, rd, rd from self
+    union select f, b, def, rd from flow t where not exists (select 1 from near n where n.f = t.f and n.b = t.b and n.rd = t.rd) and not exists (select 1 from self s where s.f = t.f and s.b = t.b and s.rd = t.rd)""",
+    "fx_blocks",
+    "fx_block_edges",
+)
+def _(g):
+    return dataflow.value_hops(dataflow.reaching_definitions(g["fx_blocks"], g["fx_block_edges"], 5), g["fx_block_edges"])
+
+
+@query(
+    "D6_branch_choices",
+    """with recursive way as (select e.*, c.edge_id is null or c.edge_id = e.edge_id as taken from fx_condition_edges e left join (select c.* from fx_choices c join fx_condition_edges x on x.function_id = c.function_id and x.edge_id = c.edge_id and x.src = c.block_id and x.kind in ('true', 'false', 'case')) c
+        on c.function_id = e.function_id and c.block_id = e.src where exists (select 1 from fx_choice_blocks b where b.function_id = e.function_id and b.block_id = e.src) and exists (select 1 from fx_choice_blocks b where b.function_id = e.function_id and b.block_id = e.dst)),
+      free as (select function_id, block_id, kind from fx_choice_blocks b where not exists (select 1 from way w where w.function_id = b.function_id and w.dst = b.block_id)),
+      root as (select function_id, block_id from free where kind = 'entry' union select function_id, block_id from free f where not exists (select 1 from free x where x.function_id = f.function_id and x.kind = 'entry')
+        union select function_id, min(block_id) from fx_choice_blocks b where not exists (select 1 from free x where x.function_id = b.function_id) group by 1),
+      walk(f, b) as (select * from root union select w.f, e.dst from walk w join way e on e.function_id = w.f and e.src = w.b and e.taken)
+    select f as function_id, b as block_id, (select count(*) from way e where e.function_id = f and e.src = b and e.taken) as active_edges from walk""",
+    "fx_choice_blocks",
+    "fx_condition_edges",
+    "fx_choices",
+)
+def _(g):
+    return dataflow.chosen_blocks(g["fx_choice_blocks"], g["fx_condition_edges"], g["fx_choices"])
+
+
+@query(
+    "A24_analysis_coverage",
+    f"""select errors, warnings, infos, unresolved_calls, inferred_calls, ambiguous_entrypoints, handlers_not_mapped, traversal_limits from
+      (select count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity not in ('error', 'warning')) as infos from fx_diagnostics) d,
+      (select count(*) filter (where confidence = 'unresolved' or n.id is null) as unresolved_calls, count(*) filter (where confidence = 'inferred') as inferred_calls from fx_call_edges e left join (select distinct id from fx_nodes) n on n.id = e.target_id) c,
+      (select count(*) filter (where status = 'ambiguous') as ambiguous_entrypoints, count(*) filter (where status = 'handlerNotMapped') as handlers_not_mapped from ({ORACLE_SQL["J12_J13_I3_entrypoint_flows"]}) f) e,
+      (select count(*) filter (where step_gap) + count(*) filter (where depth_gap) as traversal_limits from ({ORACLE_SQL["I3_W5_flow_gaps"]}) g) t""",
+    "fx_diagnostics",
+    "fx_nodes",
+    "fx_call_edges",
+)
+def _(g):
+    found = _flows(g)
+    return flows.analysis_coverage(g["fx_diagnostics"], g.nodes, g.edges, found, flows.flow_steps(found, g.nodes, g.edges, 3, 8)[1])
