@@ -165,9 +165,10 @@ _ROUTE_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("m", pa.in
 def _packed_removals(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray, dests: int) -> Iterator[tuple[int, int, bytes]]:
     """(dest, n, data): removed windows, packed by the part of the documents that they belong to.
 
-    A few rows for each part instead of one for each document keep this linear in the tasks.
+    A few rows for each part instead of one for each document keep this linear in the tasks.  Parts go by identifier
+    and text, so that the many documents of one identifier, or of none, are in many parts.
     """
-    dest = (mix(ids.view(np.uint64)) % np.uint64(dests)).astype(np.int32)
+    dest = (mix(ids.view(np.uint64) + mix(prints.astype(np.int64).view(np.uint64))) % np.uint64(dests)).astype(np.int32)
     order = np.lexsort((pos, prints, ids, dest))
     ids, prints, pos, dest = ids[order], prints[order], pos[order].astype("<i4"), dest[order]
     cuts = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1], [True]])) if len(dest) else np.zeros(1, dtype=int)

@@ -256,6 +256,50 @@ def test_quality_gradient():
         assert abs(got[k] - want) < 1e-4 * max(1, abs(want)), k
 
 
+def test_fit_agrees_with_a_plain_optimiser(spark):
+    """The fit on Spark reaches the loss that plain gradient steps on the same design reach."""
+    rnd = random.Random(8)
+    telling = {0: ["vile", "awful", "hate"], 1: ["click", "buy", "now"], 2: ["river", "meadow", "stone"]}
+    rows, labels = [], []
+    for n in range(240):
+        g = n % 3
+        rows.append((n, " ".join(rnd.choice(telling[g if rnd.random() < 0.8 else rnd.randrange(3)]) for _ in range(8))))
+        labels.append((n, int(g == 2), int(g == 0)))
+    docs, rated = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, rated)
+    place = {b: k for k, b in enumerate(model.buckets.tolist())}
+    column = pa.array([t for _, t in rows])
+    design: list[list[int]] = [[] for _ in rows]
+    for first, _, r, b in quality.features(column):
+        for row, bucket in zip(r.tolist(), b.tolist(), strict=True):
+            if bucket in place:
+                design[first + row].append(place[bucket])
+    g, size = np.array([n % 3 for n in range(240)]), np.ones(3)
+    cuts, x = np.concatenate([[0], np.cumsum([len(d) for d in design])]), np.concatenate([np.array(d, dtype=int) for d in design])
+    data = [(n % 3, np.array(d, dtype=int)) for n, d in enumerate(design)]
+    w, t = np.zeros(len(place)), np.array([-0.7, 0.7])
+    for _ in range(3000):
+        step = quality.gradient(g, cuts, x, w, t, size) / len(rows)
+        w, t = w - 0.5 * (step[: len(w)] + quality.RIDGE * w), t - 0.5 * step[len(w) :]
+    reached, best = (logloss(a, b, data, size, quality.RIDGE, len(rows)) for a, b in ((model.weights, model.thresholds), (w, t)))
+    assert best <= reached < best + 0.02 * abs(best) + 0.005
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_quality_held_out_shares(spark):
+    """On the labels left out of a fit: few toxic and junk documents pass, nearly all good ones do."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
+    told = labels.filter(held).withColumn("g", quality.grade(F.col("quality"), F.col("toxic"))).select("doc_id", "g")
+    texts = docs.join(told, F.col("id") == F.col("doc_id")).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    passed = quality.score(texts, quality.fit(docs, labels.filter(~held))).join(told, "doc_id").groupBy("g").agg(F.avg(F.col("selected").cast("double")).alias("share")).collect()
+    share = {r["g"]: r["share"] for r in passed}
+    assert share[0] <= 0.02 and share[1] <= 0.15 and share[2] >= 0.95, share
+
+
 def test_quality_held_out(rated):
     docs, labels = rated
     rows = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
