@@ -113,7 +113,7 @@ def test_removals_of_documents_without_identifier_are_spread(spark):
     ids, prints = np.full(4000, (1 << 63) - 1), np.arange(4000, dtype=np.int64) * 7919 % (1 << 31)
     parts = [n for _, n, _ in substring_dedup._packed_removals(ids, prints, np.zeros(4000, dtype=np.int32), 16)]
     assert len(parts) == 16 and sum(parts) == 4000 and max(parts) < 400
-    rows = [(0, passage)] + [(None, f"{words(3, n)} {passage} {words(2, n + 1)}") for n in range(300)] + [(5, f"{passage} {words(4, 1000 + n)}") for n in range(50)]
+    rows = [(0, passage)] + [(None, f"{words(3, n)} none{n} {passage} none{n} x") for n in range(300)] + [(5, f"{passage} five{n} a b c") for n in range(50)]
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert len(got) == len(rows) and [r["n_removed"] for r in got if r["doc_id"] == 0] == [0]
     assert {r["n_removed"] for r in got if r["doc_id"] != 0} == {15}
