@@ -60,6 +60,17 @@ def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return joined.groupBy("point_id").agg(F.min_by("id", order).alias("range_id"))
 
 
+def innermost_blocks(points: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The smallest block of a function around each range; ties go to the deeper block, then to the one that comes first.  Entry and exit blocks do not count.
+
+    ``points`` has function_id, point_id and the range's first and last offset; ``blocks`` function_id, block_id, kind, depth, ord, first and last.
+    """
+    inside = (F.col("function_id") == F.col("bf")) & (F.col("b_first") <= F.col("first")) & (F.col("last") <= F.col("b_last"))
+    own = blocks.filter(~F.col("kind").isin("entry", "exit")).select(F.col("function_id").alias("bf"), "block_id", "depth", "ord", F.col("first").alias("b_first"), F.col("last").alias("b_last"))
+    order = F.struct(F.col("b_last") - F.col("b_first"), -F.col("depth"), F.col("ord"))
+    return points.join(own, inside).groupBy("point_id").agg(F.min_by("block_id", order).alias("block_id"))
+
+
 def matched_callsites(sites: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(function_id, site_id, edge_id, distance): each callsite's call edge, an edge serving one callsite only.
 

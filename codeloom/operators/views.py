@@ -70,3 +70,39 @@ def nearest_uses(blocks: DataFrame) -> DataFrame:
     """For every read, the nearest earlier access of the same binding in its function."""
     own = Window.partitionBy("function_id", "binding").orderBy("block_id")
     return blocks.withColumn("nearest", F.lag("block_id").over(own)).filter("access = 'read' AND nearest IS NOT NULL").select("function_id", "binding", F.col("block_id").alias("read"), "nearest")
+
+
+# --- projections of a whole graph ------------------------------------------------------------------------------
+
+# Kinds of nodes and edges of each mode; files are nodes of every mode, ``contains`` edges of all but the file mode.
+VIEW_NODES = {"call": ("function", "method", "constructor"), "class": ("class", "interface", "enum", "method", "constructor", "property"), "file": ()}
+VIEW_EDGES = {"call": ("calls", "contains"), "class": ("extends", "implements", "overrides", "instantiates", "contains"), "file": ("imports", "exports")}
+
+
+def view_projection(nodes: DataFrame, edges: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a view of calls, classes or files; an edge needs both ends.  The file view has the external targets of its imports too."""
+    shown = nodes.filter(F.col("kind").isin("file", *VIEW_NODES[mode]))
+    kinds = edges.filter(F.col("kind").isin(*VIEW_EDGES[mode]))
+    if mode == "file":
+        own = shown.select(F.col("id").alias("s"))
+        reached = kinds.join(own, F.col("source_id") == F.col("s"), "left_semi").select(F.col("target_id").alias("t")).distinct()
+        shown = shown.unionByName(nodes.filter("kind = 'external'").join(reached, F.col("id") == F.col("t"), "left_semi"))
+    return subgraph(shown, kinds)
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes, and the edges with both ends among them."""
+    ids = nodes.select(F.col("id").alias("n")).distinct()
+    return nodes, edges.join(ids, F.col("source_id") == F.col("n"), "left_semi").join(ids, F.col("target_id") == F.col("n"), "left_semi")
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The counters that a smaller graph has of its own, one row."""
+    kinds = nodes.agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "external").alias("externals"))
+    return kinds.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each
+
+
+def first_locations(rows: DataFrame, key: str) -> DataFrame:
+    """(key, file_path, start_line, start_character): the first place of each key by path, then range; a missing range comes last."""
+    place = F.struct("file_path", F.col("start_line").isNull().alias("missing"), "start_line", "start_character", "end_line", "end_character")
+    return rows.groupBy(key).agg(F.min(place).alias("at")).select(key, "at.file_path", "at.start_line", "at.start_character")

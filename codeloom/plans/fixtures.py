@@ -167,6 +167,15 @@ RELATIONS: dict[str, str] = {
     "fx_summary_blocks": "select function_id, block, case when kind = 'statement' then split_part('call;effect;mutation;statement', ';', cast(block % 4 as int) + 1) else kind end as kind, cast(block % 3 as int) as value_changes from {fx_logic_blocks}",
     "fx_choice_blocks": "select function_id, block_id, case when block_id = 1 then 'entry' else 'block' end as kind from {fx_conditions} union all select distinct function_id, cast(100 as int), 'block' from {fx_conditions} union all select distinct function_id, cast(200 as int), 'block' from {fx_conditions}",
     "fx_choices": "select function_id, block_id, block_id * 2 + case when flag = 'R' then 1 when function_id % 5 = 0 then 7 else 0 end as edge_id from {fx_conditions} where flag <> 'A' or function_id % 3 = 0",
+    "fx_view_edges": """
+        select id, kind, source_id, target_id from {fx_edges} where kind not in ('imports', 'exports')
+        union all select concat('v:', e.id), e.kind, concat('file:', s.file_path), case when t.id is null then e.target_id else concat('file:', t.file_path) end from {fx_edges} e join {fx_parts} s on s.id = e.source_id left join {fx_parts} t on t.id = e.target_id where e.kind in ('imports', 'exports')
+        union all select concat('c:', id), 'contains', concat('file:', file_path), id from {fx_parts}""",
+    "fx_places": """
+        select target_id, case when start_line % 7 = 0 then '' else concat('/ws/p', start_line % 5) end as file_path, case when start_line % 3 > 0 then start_line end as start_line, case when start_line % 3 > 0 then start_line % 11 end as start_character, case when start_line % 3 > 0 then start_line + 1 end as end_line, 0 as end_character from {fx_call_edges}""",
+    "fx_spans": """
+        select function_id, block as block_id, case when block = 1 then 'entry' else kind end as kind, cast(floor(block / 4) as int) as depth, block as ord, block % 40 as first, block % 40 + 3 + block % 9 as last from {fx_logic_blocks}""",
+    "fx_points": "select function_id, concat(function_id, ':', block) as point_id, block % 37 + 2 as first, block % 37 + 2 + block % 3 as last from {fx_logic_blocks}",
     "fx_diagnostics": """
         select event_id as id, split_part('parser.failure;file.skipped;analysis.slow;Syntax.Error;excluded.dir', ';', cast(event_id % 5 as int) + 1) as code, split_part('cannot Parse it;was excluded by a rule;took long;fine', ';', cast(event_id % 4 as int) + 1) as message,
           split_part('error;warning;information', ';', cast(event_id % 3 as int) + 1) as severity, case when user_id % 4 = 0 then '' else concat('/ws/f', user_id % 50, '.py') end as file_path

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import binding, call_resolution, control, dataflow, detection, flows, modules, ownership, reading, traverse
+from ..operators import binding, call_resolution, control, dataflow, detection, flows, modules, ownership, reading, traverse, views
 from ..operators.lineage import shared_dir
 from ..streaming import snapshots
 from .insights import _flows
@@ -473,3 +473,35 @@ def _(g):
 def _(g):
     found = _flows(g)
     return flows.analysis_coverage(g["fx_diagnostics"], g.nodes, g.edges, found, flows.flow_steps(found, g.nodes, g.edges, 3, 8)[1])
+
+
+# --- views, places, blocks -----------------------------------------------------------------------------------------
+
+_VIEWS = "with shown as (" + " union all ".join(
+    f"select '{mode}' as mode, id from fx_nodes where kind in ({', '.join(repr(k) for k in ('file', *kinds))})" for mode, kinds in views.VIEW_NODES.items()
+) + " union all select distinct 'file', n.id from fx_nodes n join fx_view_edges e on e.target_id = n.id join fx_nodes s on s.id = e.source_id and s.kind = 'file' where n.kind = 'external' and e.kind in ('imports', 'exports')), kinds(mode, kind) as (values " + ", ".join(f"('{mode}', '{k}')" for mode, kinds in views.VIEW_EDGES.items() for k in kinds) + "), kept as (select k.mode, e.id from fx_view_edges e join kinds k on k.kind = e.kind where exists (select 1 from shown s where s.mode = k.mode and s.id = e.source_id) and exists (select 1 from shown s where s.mode = k.mode and s.id = e.target_id))"
+
+
+@query("P9_view_projections", _VIEWS + " select mode, 'node' as what, id from shown union all select mode, 'edge', id from kept", "fx_nodes", "fx_view_edges")
+def _(g):
+    out = None
+    for mode in views.VIEW_NODES:
+        for what, rows in zip(("node", "edge"), views.view_projection(g.nodes, g["fx_view_edges"], mode), strict=True):
+            part = rows.select(F.lit(mode).alias("mode"), F.lit(what).alias("what"), "id")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("G3_call_view_counts", "with n as (select * from fx_nodes where kind in ('file', 'function', 'method', 'constructor')), e as (select * from fx_view_edges where kind in ('calls', 'contains') and source_id in (select id from n) and target_id in (select id from n)) select count(*) as symbols, count(*) filter (where kind = 'file') as files, count(*) filter (where kind = 'external') as externals, (select count(*) from e) as edges from n", "fx_nodes", "fx_view_edges")
+def _(g):
+    return views.graph_counts(*views.view_projection(g.nodes, g["fx_view_edges"], "call"))
+
+
+@query("A28_first_places", "select target_id, file_path, start_line, start_character from (select *, row_number() over (partition by target_id order by file_path, start_line is null, start_line, start_character, end_line, end_character) as k from fx_places) t where k = 1", "fx_places")
+def _(g):
+    return views.first_locations(g["fx_places"], "target_id")
+
+
+@query("J20_innermost_blocks", "select point_id, block_id from (select p.point_id, b.block_id, row_number() over (partition by p.point_id order by b.last - b.first, b.depth desc, b.ord) as k from fx_points p join fx_spans b on b.function_id = p.function_id and b.kind not in ('entry', 'exit') and b.first <= p.first and p.last <= b.last) t where k = 1", "fx_points", "fx_spans")
+def _(g):
+    return binding.innermost_blocks(g["fx_points"], g["fx_spans"])

@@ -139,3 +139,13 @@ def test_lines_that_may_bind(spark):
     for r in call_resolution.possible_bindings(df).collect():
         got.setdefault(r["line"], set()).add(r["name"])
     assert got == {0: {"x", "y", "z"}, 1: {"go", "p", "q"}, 2: {"row"}, 3: {"a", "as", "b"}, 7: {"err"}, 8: {"async", "def", "f", "a", "b", "int"}, 9: {"fh", "lk"}, 11: {"total"}, 12: {"name"}}
+
+
+def test_body_ancestors(spark):
+    """Chains, a cycle and a block around itself; by function and by rounds."""
+    rows = [(1, b, b - 1 if b else None) for b in range(70)] + [(2, 0, 1), (2, 1, 2), (2, 2, 0), (2, 3, 2), (3, 5, 5)]
+    blocks = spark.createDataFrame(rows, "function_id long, block_id long, parent_id long")
+    want = [(1, b, a, b - a) for b in range(70) for a in range(b)]
+    want += [(2, b, a, d) for b, chain in ((0, [1, 2]), (1, [2, 0]), (2, [0, 1]), (3, [2, 0, 1])) for d, a in enumerate(chain, 1)]
+    assert everything(dataflow.body_ancestors(blocks)) == sorted(want, key=str)
+    assert everything(dataflow.body_ancestors(blocks, most=0)) == sorted(want, key=str)
