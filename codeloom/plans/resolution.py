@@ -10,6 +10,7 @@ from ..functions import scalars
 from ..operators import binding, call_resolution, control, dataflow, detection, flows, modules, ownership, reading, traverse, views
 from ..operators.lineage import shared_dir
 from ..streaming import snapshots
+from .fixtures import oracle
 from .insights import _flows
 from .registry import _SEEDS, ORACLE_SQL, _seeds, query
 
@@ -505,3 +506,33 @@ def _(g):
 @query("J20_innermost_blocks", "select point_id, block_id from (select p.point_id, b.block_id, row_number() over (partition by p.point_id order by b.last - b.first, b.depth desc, b.ord) as k from fx_points p join fx_spans b on b.function_id = p.function_id and b.kind not in ('entry', 'exit') and b.first <= p.first and p.last <= b.last) t where k = 1", "fx_points", "fx_spans")
 def _(g):
     return binding.innermost_blocks(g["fx_points"], g["fx_spans"])
+
+
+# --- SQL of earlier queries whose order follows from the levels before ------------------------------------------------
+
+
+def _impact_sql(depth: int, steps: int) -> str:
+    text = _SEEDS + """, adj as (select target_id as f, source_id as t, min({'r': case confidence when 'exact' then 0 when 'resolved' then 1 when 'inferred' then 2 else 3 end, 'l': start_line, 'i': id}) as o from fx_call_edges group by 1, 2),
+  v0 as (select id as start, id as node, 0 as depth, cast(0 as bigint) as pos, 0 as r from seeds)"""
+    for d in range(1, depth + 1):
+        text += f"""
+  , n{d} as (select v.start, a.t as node, min({{'p': v.pos, 'o': a.o, 'f': a.f, 'r': v.r}}) as via from v{d - 1} v join adj a on a.f = v.node where v.depth = {d - 1} and not exists (select 1 from v{d - 1} x where x.start = v.start and x.node = a.t) group by 1, 2)
+  , v{d} as (select * from v{d - 1} union all select * from (select n.start, node, {d}, (select max(pos) from v{d - 1} x where x.start = n.start) + row_number() over (partition by n.start order by via.p, via.o, node) as pos, greatest(via.r, via.o.r) from n{d} n) q where pos <= {steps})"""
+    return f"with {text} select start as target_id, node as caller_id, depth, ['exact', 'resolved', 'inferred', 'unresolved'][r + 1] as confidence, pos as position from v{depth} where depth > 0"
+
+
+ORACLE_SQL["G4_impact_limited"] = oracle("fx_call_edges", "fx_parts", query=_impact_sql(4, 5))
+
+
+def _order_sql(ranks: int) -> str:
+    """The order of drawing, a rank after the other; an order of the fixture has no more than ``ranks`` line items."""
+    text = f"""with ranked as (select function_id as scene, block_id as node, "rank" from ({ORACLE_SQL["C4_forward_ranks"]}) c), way as (select function_id as scene, src, dst from fx_block_edges where kind = 'next'),
+  p0 as (select scene, node, "rank", row_number() over (partition by scene order by node) - 1 as position from ranked where "rank" = 0)"""
+    for r in range(1, ranks + 1):
+        text += f"""
+  , c{r} as (select k.scene, k.node, (select avg(p.position) from way w join p{r - 1} p on p.scene = w.scene and p.node = w.src where w.scene = k.scene and w.dst = k.node) as centre from ranked k where k."rank" = {r})
+  , p{r} as (select * from p{r - 1} union all select c.scene, c.node, {r}, (select count(*) from p{r - 1} p where p.scene = c.scene) + row_number() over (partition by c.scene order by centre nulls last, node) - 1 from c{r} c)"""
+    return text + f" select scene, node, \"rank\", position from p{ranks}"
+
+
+ORACLE_SQL["C3_A35_rank_order"] = oracle("fx_blocks", "fx_block_edges", query=_order_sql(24))
