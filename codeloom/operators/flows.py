@@ -108,7 +108,7 @@ def analysis_risk(diagnostics: DataFrame, gaps: DataFrame) -> DataFrame:
     told = diagnostics.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.min(F.when(F.col("severity").isin("error", "warning") & (F.col("file_path") != ""), F.col("file_path"))).alias("location"))
     cut = gaps.filter("step_gap OR depth_gap").agg(F.count(F.lit(1)).alias("limits"), F.count_distinct("entry_id").alias("affected"))
     evidence = F.col("errors") + F.col("warnings") + F.col("limits")
-    row = told.crossJoin(cut).select(F.lit(RISK_KINDS[0]).alias("kind"), F.lit("analysis-coverage").alias("id"), "affected", evidence.alias("evidence"), F.lit(None).cast("string").alias("confidence"), "location")  # one row each
+    row = told.crossJoin(cut).select(F.lit(RISK_KINDS[0]).alias("kind"), F.lit("analysis-coverage").alias("id"), "affected", evidence.alias("evidence"), F.lit(None).cast("string").alias("confidence"), "location", "errors", "warnings", "limits")  # one row each
     return row.filter("evidence > 0")
 
 
@@ -128,6 +128,18 @@ def entrypoint_risks(flows: DataFrame, roots: DataFrame) -> DataFrame:
     ).select("framework", "root", "ambiguous", "not_mapped", "evidence", "affected", "confidence", F.col("first.entry_path").alias("location"), F.col("first.entry_line").alias("line"))
 
 
+#: Identities of evidence that a risk names.
+EVIDENCE_IDS = 3
+
+
+def with_sources(risks: DataFrame, steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """:func:`unresolved_risks` with the calling function's name and place, and its first edges as evidence."""
+    missing = steps.filter("resolution = 'unresolved'").select("source_id", "edge_id").distinct()
+    ids = smallest_values(missing, ["source_id"], "edge_id", EVIDENCE_IDS, "ids").select(F.col("source_id").alias("e"), F.array_join("ids", ",").alias("evidence_ids"))
+    named = nodes.select(F.col("id").alias("f"), F.col("name").alias("source_name"), F.col("file_path").alias("location"), F.col("start_line").alias("line"))
+    return risks.join(named, F.col("source_id") == F.col("f"), "left").join(ids, F.col("source_id") == F.col("e"), "left").drop("f", "e")
+
+
 def unresolved_risks(steps: DataFrame) -> DataFrame:
     """Unresolved calls in flows per calling function; an edge counts once however many flows run over it."""
     missing = steps.filter("resolution = 'unresolved'")
@@ -137,11 +149,15 @@ def unresolved_risks(steps: DataFrame) -> DataFrame:
 def risk_radar(analysis: DataFrame, entrypoints: DataFrame, unresolved: DataFrame, limit: int = RISK_LIMIT) -> DataFrame:
     """The best risk of each kind first, the other places by reach, evidence, kind and id.
 
-    Every row carries the number of candidates that the limit leaves out.
+    Every row carries the number of candidates that the limit leaves out, and of its own evidence what the given risks have:
+    where it stands, the function's name, identities, and the counters behind the sum.
     """
-    columns = ["kind", "id", "affected", "evidence", "confidence"]
-    by_entry = entrypoints.select(F.lit(RISK_KINDS[1]).alias("kind"), F.concat_ws(":", "framework", "root").alias("id"), "affected", "evidence", "confidence")
-    by_source = unresolved.select(F.lit(RISK_KINDS[2]).alias("kind"), F.col("source_id").alias("id"), "affected", "evidence", "confidence")
+    details = {"location": "string", "line": "int", "source_name": "string", "evidence_ids": "string", "errors": "long", "warnings": "long", "limits": "long", "ambiguous": "long", "not_mapped": "long"}
+    columns = ["kind", "id", "affected", "evidence", "confidence", *details]
+    told = lambda df: df.select(*df.columns, *[F.lit(None).cast(t).alias(c) for c, t in details.items() if c not in df.columns])
+    analysis, entrypoints, unresolved = told(analysis), told(entrypoints), told(unresolved)
+    by_entry = entrypoints.select(F.lit(RISK_KINDS[1]).alias("kind"), F.concat_ws(":", "framework", "root").alias("id"), "affected", "evidence", "confidence", *details)
+    by_source = unresolved.select(F.lit(RISK_KINDS[2]).alias("kind"), F.col("source_id").alias("id"), "affected", "evidence", "confidence", *details)
     all_ = analysis.select(*columns).unionByName(by_entry).unionByName(by_source)
     order = [F.desc("affected"), F.desc("evidence"), F.asc("id")]
     # No more than ``limit`` rows of a kind can be chosen; Spark cuts them before the shuffle.

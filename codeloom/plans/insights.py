@@ -306,7 +306,7 @@ def _(g):
     flow = _flows(g)
     steps, gaps = flows.flow_steps(flow, g.nodes, g.edges)
     by_entry = flows.entrypoint_risks(flow, _owner(g).withColumnRenamed("module", "root"))
-    return flows.risk_radar(flows.analysis_risk(g["fx_diagnostics"], gaps), by_entry, flows.unresolved_risks(steps))
+    return flows.risk_radar(flows.analysis_risk(g["fx_diagnostics"], gaps), by_entry, flows.with_sources(flows.unresolved_risks(steps), steps, g.nodes))
 
 
 # --- layers --------------------------------------------------------------------------------------------
