@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
+
+from .grouped import by_group
 
 #: Steps of a path, and paths of a scope, at most.
 STEP_LIMIT, PATH_LIMIT = 5, 3
@@ -15,6 +20,8 @@ BUSINESS = ("domainRuleCandidate", "applicationWorkflowCandidate")
 SURENESS = ("high", "medium", "low")
 EDGE_SURENESS = ("exact", "resolved", "inferred")
 NO_DEPTH = 1 << 30
+_STEP = ("place", "step_id", "kind", "depth", "role", "resolution", "function_id", "parent_function_id", "confidence", "layer", "sureness", "business", "conflicted")
+Step = namedtuple("Step", _STEP)
 _PATH = "flow_id string, steps string, boundary_kind string, target string, context string, business_reach string, omitted_steps long, unresolved_calls long, target_sureness string, target_depth long, stored boolean"
 
 
@@ -44,10 +51,11 @@ def step_architecture(steps: DataFrame, assessments: DataFrame) -> DataFrame:
 class Flow:
     """The steps of one flow, in their order, and the chains of calls from its handler."""
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.steps = list(rows.itertuples())
+    def __init__(self, steps: list[Step]) -> None:
+        self.steps = steps
         self.calls = [s for s in self.steps if s.kind == "call"]
         self.parents = {s.parent_function_id for s in self.calls}
+        self.chains: dict[int, list[tuple] | None] = {}
         self.call_of: dict[str, tuple] = {}
         for s in self.calls:
             if s.function_id is not None:
@@ -70,6 +78,11 @@ class Flow:
 
     def chain(self, s: tuple) -> list[tuple] | None:
         """The calls from the handler to a step; none if they break off or go round."""
+        if s.place not in self.chains:
+            self.chains[s.place] = self._chain(s)
+        return self.chains[s.place]
+
+    def _chain(self, s: tuple) -> list[tuple] | None:
         back, seen = [], set()
         while s is not None:
             back.append(s)
@@ -146,17 +159,16 @@ def reading_paths(steps: DataFrame, flows: DataFrame) -> DataFrame:
     own = flows.filter("mapped").select("flow_id")
     placed = steps.join(own, "flow_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("flow_id").orderBy(*order)))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("place").astype(object).where(pdf.sort_values("place").notna(), None)
-        flow = Flow(rows)
+    def pick(flow_id: object, *columns: list) -> Iterator[tuple]:
+        flow = Flow(sorted(map(Step._make, zip(*columns, strict=True)), key=lambda s: s.place))
         chosen, boundary, bridge = flow.path()
         first = lambda test: next((s for s in chosen if test(s)), None)
         by = [(first(lambda s, b=b: s.business == b), r) for b, r in zip(BUSINESS, ("domainCandidateReached", "applicationCandidateReached"), strict=True)]
         by += [(bridge if bridge is not None and bridge in chosen else None, "workflowBridgeCandidateReached"), (first(lambda s: s.kind == "handler"), "")]
         target, reach = next(((s, r) for s, r in by if s is not None), (None, ""))
         boundary = boundary if boundary is not None and boundary in chosen else None
-        row = (
-            pdf["flow_id"].iloc[0],
+        yield (
+            flow_id,
             ",".join(s.step_id for s in chosen),
             flow.boundary(boundary) if boundary is not None else None,
             target.step_id if target is not None else None,
@@ -168,9 +180,8 @@ def reading_paths(steps: DataFrame, flows: DataFrame) -> DataFrame:
             target.depth if target is not None else NO_DEPTH,
             any(s.layer in ("dataAccess", "infrastructure") for s in chosen),
         )
-        return pd.DataFrame([row], columns=[c.split()[0] for c in _PATH.split(", ")])
 
-    made = placed.groupBy("flow_id").applyInPandas(pick, _PATH)
+    made = by_group("flow_id", {"steps": placed.select("flow_id", *_STEP)}, pick, StructType.fromDDL(_PATH))
     limited = F.col("depth_limit") | F.col("step_limit")
     status = F.when(limited, "limited").when(F.col("unresolved_calls") > 0, "unresolved").otherwise("mapped")
     reach = F.when(F.col("business_reach") != "", F.col("business_reach")).when(limited, "analysisLimited").otherwise("noCandidateObserved")
