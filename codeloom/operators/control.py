@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from .grouped import by_group
 
 #: Names of the first and last block of every function in the edges.
 ENTRY, EXIT = -1, -2
 _EDGES = "function_id long, source long, target long, kind string, label string, confidence string"
 _ROW = "function_id long, what string, block long, container long, ord long, kind string, owner long, role string, confidence string, final long, has_default boolean, label string"
+_FIELDS = [c.split()[0] for c in _ROW.split(", ")]
+Row = namedtuple("Row", _FIELDS[1:])
 
 
 class Scopes:
     """One function: its containers hold blocks in order, and each but the root belongs to a block."""
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        of = {what: part for what, part in rows.groupby("what")}
-        none = rows.iloc[:0]
-        blocks = of.get("block", none).sort_values(["ord", "block"])
-        self.blocks = {int(r.block): r for r in blocks.itertuples()}
+    def __init__(self, rows: list[Row]) -> None:
+        of: dict[str, list[Row]] = {"block": [], "container": [], "control": [], "branch": []}
+        for r in rows:
+            of[r.what].append(r)
+        last = lambda *at: [(x is None, x) for x in at]
+        blocks = sorted(of["block"], key=lambda r: last(r.ord, r.block))
+        self.blocks = {r.block: r for r in blocks}
         self.held: dict[int, list[int]] = {}
-        for r in blocks.itertuples():
-            self.held.setdefault(int(r.container), []).append(int(r.block))
+        for r in blocks:
+            self.held.setdefault(r.container, []).append(r.block)
         self.after = {a: b for held in self.held.values() for a, b in zip(held, held[1:], strict=False)}
-        self.containers = {int(r.container): r for r in of.get("container", none).itertuples()}
-        self.controls = {int(r.block): r for r in of.get("control", none).itertuples()}
+        self.containers = {r.container: r for r in of["container"]}
+        self.controls = {r.block: r for r in of["control"]}
         self.branches: dict[int, list] = {}
-        for r in of.get("branch", none).sort_values(["block", "ord"]).itertuples():
-            self.branches.setdefault(int(r.block), []).append(r)
+        for r in sorted(of["branch"], key=lambda r: last(r.block, r.ord)):
+            self.branches.setdefault(r.block, []).append(r)
         self.nexts: dict[int, tuple[int, str, str]] = {}
 
-    def first(self, container: float | None) -> int | None:
-        held = None if pd.isna(container) else self.held.get(int(container))
+    def first(self, container: int | None) -> int | None:
+        held = None if container is None else self.held.get(container)
         return held[0] if held else None
 
     def owner(self, block: int) -> tuple[int | None, str]:
         """The block around, and the role of the container between."""
-        c = self.containers.get(int(self.blocks[block].container))
-        if c is None or pd.isna(c.owner) or int(c.owner) not in self.blocks:
+        c = self.containers.get(self.blocks[block].container)
+        if c is None or c.owner is None or c.owner not in self.blocks:
             return None, ""
-        return int(c.owner), c.role
+        return c.owner, c.role
 
     def onward(self, block: int) -> tuple[int, str, str]:
         """(target, kind, confidence) behind a block: its next sibling, else what its surroundings say, outward."""
@@ -99,7 +106,7 @@ class Scopes:
         final, kinds = self.first(control.final), set()
         for b in self.branches.get(block, []):
             kinds.add(b.kind)
-            if b.container == control.final:  # follows the other branches, and is no choice
+            if b.container is not None and b.container == control.final:  # follows the other branches, and is no choice
                 continue
             first = self.first(b.container)
             if first is not None:
@@ -129,10 +136,10 @@ def structured_control_edges(blocks: DataFrame, containers: DataFrame, controls:
     for df, what in ((containers, "container"), (controls, "control"), (branches, "branch")):
         rows = rows.unionByName(tall(df, what))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        roots = pdf[(pdf["what"] == "container") & pdf["owner"].isna()]["container"]
-        scopes = Scopes(pdf)
-        made = {(e[0], e[1], e[2], e[3] or ""): e for e in reversed(list(scopes.edges(int(roots.min()) if len(roots) else 0)))}
-        return pd.DataFrame([(pdf["function_id"].iloc[0], *e) for e in made.values()], columns=[c.split()[0] for c in _EDGES.split(", ")])
+    def one(function: object, *columns: list) -> Iterator[tuple]:
+        held = list(map(Row._make, zip(*columns, strict=True)))
+        roots = [r.container for r in held if r.what == "container" and r.owner is None]
+        made = {(e[0], e[1], e[2], e[3] or ""): e for e in reversed(list(Scopes(held).edges(min(roots, default=0))))}
+        yield from ((function, *e) for e in made.values())
 
-    return rows.groupBy("function_id").applyInPandas(one, _EDGES)
+    return by_group("function_id", {"rows": rows.select(*_FIELDS)}, one, StructType.fromDDL(_EDGES))
