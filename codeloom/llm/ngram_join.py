@@ -11,8 +11,8 @@ No pair of linked sets is lost, whatever the orders; they only differ in what th
    if their sizes, and what is left of both sets from the shared token on, allow the overlap.
    A bucket of up to 8 gives all its pairs; a larger one gives each member's neighbours by size and place and the
    smallest member, so pairs stay linear in the rows.  A bucket may span range partitions.
-3. A pair goes on only if its prefixes under the other orders meet too, and the difference of the sets may cover that of
-   their parities (as many bits as tokens, each whether an odd number of tokens falls on it).  Only now are full sets fetched.
+3. A pair goes on only if the difference of the sets may cover that of their parities (as many bits as tokens, each whether
+   an odd number of tokens falls on it), and its prefixes under the other orders meet too.  Only now are full sets fetched.
 4. Each document's first pair is verified on full sets, then the pairs that still join components.
 5. Large buckets whose members are still in different components are compared in blocks: first narrow rows
    (sizes, places and parities) tell the members that may have a partner in another component; then only these, with their sets.
@@ -311,12 +311,30 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _wanted(docs, wanted, {"shingles": lambda h: h.tobytes()}, "sets")
 
 
+def _both(pairs: DataFrame, features: DataFrame, column: str) -> DataFrame:
+    """(a, b, n1, n2, x1, x2): each pair with a feature of its ends; only the features of ends that occur are dealt."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    own = _those_of(features, ends).select("id", "n", column)
+    one, other = (own.select(F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col(column).alias(f"x{k}")) for k in "12")
+    return pairs.join(one, F.col("a") == F.col("i1")).join(other, F.col("b") == F.col("i2")).select("a", "b", "n1", "n2", "x1", "x2")
+
+
+def _those_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``, and few others: a bitmap of at most 32 MB keeps most others out of a shuffle."""
+    spot, maybe = id_bitmap(ids, "id")
+    columns = rows.columns
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(maybe_in(maybe.value, batch["_spot"])).select(columns)
+
+    return rows.withColumn("_spot", spot).mapInArrow(some, rows.schema)
+
+
 def _meeting(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes meet under every further order, and whose parities differ no more than linked sets may."""
-    one, other = (features.select(F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("others").alias(f"o{k}"), F.col("parity").alias(f"p{k}")) for k in "12")
-    both = pairs.join(one, F.col("a") == F.col("i1")).join(other, F.col("b") == F.col("i2")).select("a", "b", "n1", "n2", "o1", "o2", "p1", "p2")
+    """The pairs whose parities differ no more than linked sets may, and whose prefixes meet under every further order; the wider prefixes travel only for what the parities let pass."""
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -324,11 +342,17 @@ def _meeting(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
             most = n1 + n2 - 2 * overlap(n1, n2, percent)
             keep = np.zeros(batch.num_rows, dtype=bool)
             for k in range(batch.num_rows):
-                p, q = (np.frombuffer(batch[c][k].as_buffer(), dtype=np.uint64) for c in ("p1", "p2"))
-                keep[k] = differing(p, q) <= most[k] and all(meets(x, y) for x, y in zip(*(_unpack_others(batch[c][k].as_buffer()) for c in ("o1", "o2")), strict=True))
+                p, q = (np.frombuffer(batch[c][k].as_buffer(), dtype=np.uint64) for c in ("x1", "x2"))
+                keep[k] = differing(p, q) <= most[k]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(judge, "a long, b long").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [all(meets(x, y) for x, y in zip(*(_unpack_others(batch[c][k].as_buffer()) for c in ("x1", "x2")), strict=True)) for k in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = checkpointed(_both(pairs, features, "parity").mapInArrow(alike, "a long, b long").distinct())
+    return _both(near, features, "others").mapInArrow(meet, "a long, b long").distinct()
 
 
 # --- large buckets -------------------------------------------------------------------------------------------
@@ -343,25 +367,34 @@ def _open(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _dealt(open_: DataFrame, columns: list[str]) -> DataFrame:
-    """Open members so dealt that every block of those outside the main component meets every block of all."""
+    """Open members so dealt that every block of those outside the main component meets every block of all.
+
+    A bucket of one block goes once: its side 0 also stands on side 1.
+    """
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    rest = open_.filter("c <> main").select("bucket", *columns, deal(1, "rest_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"))
-    every = open_.select("bucket", *columns, F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("x"), deal(2, "all_blocks").alias("y"), F.lit(1).alias("side"))
-    return rest.unionByName(every).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side")
+    single = F.col("all_blocks") == 1
+    whole = open_.filter(single).select("bucket", *columns, F.lit(0).alias("x"), F.lit(-1).alias("y"), F.when(F.col("c") != F.col("main"), 0).otherwise(1).alias("side"))
+    rest = open_.filter(~single & (F.col("c") != F.col("main"))).select("bucket", *columns, deal(1, "rest_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), F.lit(0).alias("side"))
+    every = open_.filter(~single).select("bucket", *columns, F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("x"), deal(2, "all_blocks").alias("y"), F.lit(1).alias("side"))
+    return whole.unionByName(rest).unionByName(every).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[list], list[list]]]:
     """(bucket, rows of side 0, rows of side 1) of every block with both sides."""
     at, held = None, ([], [])
+
+    def sides() -> tuple[list[list], list[list]]:
+        return held[0], held[0] + held[1] if at[2] == -1 else held[1]
+
     for batch in batches:
         for bucket, x, y, side, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "x", "y", "side", *columns)), strict=True):
             if at != (bucket, x, y):
-                if held[0] and held[1]:
-                    yield at[0], *held
+                if at is not None and all(sides()):
+                    yield at[0], *sides()
                 at, held = (bucket, x, y), ([], [])
             held[side].append(row)
-    if held[0] and held[1]:
-        yield at[0], *held
+    if at is not None and all(sides()):
+        yield at[0], *sides()
 
 
 def _near(rest: list[list], every: list[list], percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -407,7 +440,8 @@ def _whole_buckets(docs: DataFrame, members: DataFrame, labels: DataFrame, featu
 
     left = checkpointed(_dealt(with_bits, ["id", "c", "place", "parity"]).mapInArrow(narrow, "b long, m long").distinct())
     survivors = _open(apart.drop("main", "rest_blocks", "all_blocks").join(left, (F.col("bucket") == F.col("b")) & (F.col("id") == F.col("m")), "left_semi"), BLOCK)
-    sets = _full_sets(docs, left.select(F.col("m").alias("id")).distinct()).select("id", "key", "shingles").join(features.select("id", "key", "others", "parity"), ["id", "key"])
+    some = left.select(F.col("m").alias("id")).distinct()
+    sets = _full_sets(docs, some).select("id", "key", "shingles").join(_those_of(features.select("id", "key", "others", "parity"), some), ["id", "key"])
     fat = survivors.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,21 @@ def test_ngram_join(spark, seed, small, narrow, block, percent, monkeypatch):
     assert got == join_by_hand(docs, percent)
 
 
+def test_members_of_one_block_are_dealt_once(spark):
+    """op11, round 3: only buckets of several blocks are copied, and every member outside the main component still meets all."""
+    rows = [("one", i, i % 4, 0, 1, 1) for i in range(12)] + [("two", i, i % 4, 0, 2, 3) for i in range(24)]
+    dealt = ngram_join._dealt(spark.createDataFrame(rows, "bucket string, id long, c long, main long, rest_blocks int, all_blocks int"), ["id", "c"])
+    assert dealt.filter("bucket = 'one'").count() == 12 and dealt.filter("bucket = 'two'").count() == 18 * 3 + 24 * 2
+    met = {(bucket, a[0], b[0]) for bucket, rest, every in ngram_join._blocks(iter(dealt.coalesce(1).sortWithinPartitions("bucket", "x", "y", "side").toArrow().to_batches()), ["id", "c"]) for a in rest for b in every}
+    assert met == {(r[0], r[1], q[1]) for r in rows for q in rows if r[0] == q[0] and r[2] != 0}
+
+
+def test_features_travel_for_wanted_ends_only(spark):
+    rows = spark.createDataFrame([(i, i * 2) for i in range(2000)], "id long, n long")
+    got = {r["id"] for r in ngram_join._those_of(rows, spark.createDataFrame([(k,) for k in range(0, 2000, 400)], "id long")).collect()}
+    assert {0, 400, 800, 1200, 1600} <= got and len(got) < 500
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     with pytest.raises(ValueError, match="percent"):
