@@ -55,6 +55,8 @@ SMALL_BUCKET = 8
 BLOCK = 256
 #: Sets are drawn so many at once at most, and about so many elements of them.
 SETS_ROWS, SETS_ELEMENTS = 8192, 400_000
+#: Members of buckets that a task counts at once.
+COUNT_ROWS = 1_000_000
 #: Standard errors of the estimate below the threshold at which a pair is let go.
 SLACK = 4.5
 _GAP = np.uint64(0x9E3779B97F4A7C15)
@@ -350,13 +352,44 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select(*pairs.columns)
 
 
+def _component_counts(members: DataFrame, own: DataFrame) -> DataFrame:
+    """(bucket, c, n): members of each bucket and component (``own``: n, c) that a task met, to be summed.
+
+    A member's component is looked up once, however many buckets it is in.
+    """
+    by_id = members.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            all_ = np.concatenate(held, axis=1)
+            held.clear()
+            (bucket, c), n = np.unique(all_[:2], axis=1, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c), pa.array(np.bincount(n.reshape(-1), weights=all_[2]).astype(np.int64))], names=["bucket", "c", "n"])
+
+        for batch in batches:
+            buckets = batch["buckets"]
+            bucket = buckets.flatten().to_numpy(zero_copy_only=False)
+            c = np.repeat(batch["c"].to_numpy(zero_copy_only=False), buckets.value_lengths().to_numpy(zero_copy_only=False))
+            held.append(np.stack([bucket, c, np.ones(len(bucket), dtype=np.int64)]))
+            if sum(h.shape[1] for h in held) >= COUNT_ROWS:
+                yield summed()
+        if held:
+            yield summed()
+
+    return by_id.join(own, F.col("id") == F.col("n"), "left").select(F.coalesce("c", "id").alias("c"), "buckets").mapInArrow(counted, "bucket long, c long, n long")
+
+
 def _whole_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components in large buckets, all members compared in blocks."""
     own = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
-    tagged = members.join(own, F.col("id") == F.col("n"), "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
-    per = tagged.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    per = _component_counts(members, own).groupBy("bucket", "c").agg(F.sum("n").alias("n"))
     split = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("size")).filter("parts > 1").select(F.col("bucket").alias("k"), F.col("most.c").alias("main"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks"))
-    open_ = tagged.join(split, F.col("bucket") == F.col("k")).join(reps.select(F.col("id").alias("i"), F.col("n").alias("size"), "sketch"), F.col("id") == F.col("i")).join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
+    # Only members of buckets with several components get their component, row by row.
+    apart = members.join(checkpointed(split), F.col("bucket") == F.col("k"))
+    tagged = apart.join(own, F.col("id") == F.col("n"), "left").withColumn("c", F.coalesce("c", "id")).drop("n")
+    open_ = tagged.join(reps.select(F.col("id").alias("i"), F.col("n").alias("size"), "sketch"), F.col("id") == F.col("i")).join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     keep = ["bucket", "id", "c", "size", "sketch", "shingles"]
     # Every block of members outside the main component meets every block of all members.
@@ -433,7 +466,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     raw = made.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(joints)
     pairs = raw.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     likely = checkpointed(_estimated(pairs, reps, percent))
-    members = made.filter("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id")).distinct()
+    members = checkpointed(made.filter("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id")).distinct())
 
     wanted = checkpointed(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct())
     sets = _sets_of(texts, wanted)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import components, line_dedup, near_dedup, quality
 
@@ -146,6 +148,18 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_members_of_many_buckets_meet_their_component_once(spark, monkeypatch):
+    """Pipeline, round 3: a row a member joins the labels, however many buckets it is in; counts of buckets and components stay right."""
+    monkeypatch.setattr(near_dedup, "COUNT_ROWS", 64)
+    rows = [(bucket, i) for bucket in range(20) for i in range(60) if (bucket + i) % 3]
+    members, own = spark.createDataFrame(rows, "bucket long, id long"), spark.createDataFrame([(i, i % 2) for i in range(40)], "n long, c long")
+    want = Counter((bucket, i % 2 if i < 40 else i) for bucket, i in rows)
+    made = near_dedup._component_counts(members, own)
+    assert {(r["bucket"], r["c"]): r["n"] for r in made.groupBy("bucket", "c").agg(F.sum("n").alias("n")).collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join LeftOuter") < plan.index("collect_set")
+
+
 def test_pipeline_drops_near_copies_from_80_percent(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(21)
