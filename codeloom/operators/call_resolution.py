@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _ID = r"([A-Za-z_$][A-Za-z0-9_$]*)"
+#: What a pattern's \\s stands for.
+SPACES = " \t\n\x0b\f\r"
 #: Kinds of symbols that calls may name.
 CALLABLE_KINDS = ("function", "method", "constructor")
 
@@ -12,8 +14,12 @@ CALLABLE_KINDS = ("function", "method", "constructor")
 # --- names that a source line may bind --------------------------------------------------------------------
 
 
+def _none() -> Column:
+    return F.expr("CAST(array() AS array<string>)")
+
+
 def _identifiers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_ID), F.lit(1))
+    return F.when(text != "", F.regexp_extract_all(text, F.lit(_ID), F.lit(1))).otherwise(_none())
 
 
 def _one(text: Column) -> Column:
@@ -28,31 +34,33 @@ def _found(text: Column, pattern: str) -> Column:
 
 def _after(text: Column, word: str) -> Column:
     """The text behind the first whole word."""
-    return _found(text, rf"(?:^|[^A-Za-z0-9]){word}(?![A-Za-z0-9_])\s*(.*)$")
+    return _where(text, word, _found(text, rf"(?:^|[^A-Za-z0-9]){word}(?![A-Za-z0-9_])\s*(.*)$"))
 
 
 def _brackets(text: Column) -> Column:
-    return _found(text, r"^[^(]*\(([^)]*)\)")
+    return _where(text, "(", _found(text, r"^[^(]*\(([^)]*)\)"))
 
 
 def _union(*parts: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
-def _none() -> Column:
-    return F.expr("CAST(array() AS array<string>)")
+def _where(text: Column, sign: str, found: Column) -> Column:
+    """``found`` of texts that hold ``sign``, without which it is empty: most lines are spared the pattern."""
+    return F.when(text.contains(sign), found).otherwise("")
 
 
 def _javascript(lines: DataFrame) -> DataFrame:
     """(path, line, names) that a line of JavaScript or TypeScript may declare, assign or take as parameters."""
     outside = r"""^((?:[^'"`/]|'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)|`(?:\\.|[^`\\])*(?:`|$)|/(?!/))*+)//.*$"""
-    code = lines.withColumn("code", F.regexp_replace(F.regexp_replace("code", outside, "$1"), r"^\s+|\s+$", ""))
+    bare = F.when(F.col("code").contains("//"), F.regexp_replace("code", outside, "$1")).otherwise(F.col("code"))
+    code = lines.withColumn("code", F.btrim(bare, F.lit(SPACES)))
     # Columns of their own, so that each is worked out once.
     parts = code.withColumns(
         {
             **{w: _after(F.col("code"), w) for w in ("const", "let", "var", "function", "class")},
             "brackets": _brackets(F.col("code")),
-            "before_arrow": F.regexp_replace(_found(F.col("code"), r"^(.*?)=>"), r"\s+$", ""),
+            "before_arrow": _where(F.col("code"), "=>", F.regexp_replace(_found(F.col("code"), r"^(.*?)=>"), r"\s+$", "")),
         }
     ).withColumn("parameters", F.when(F.col("before_arrow").rlike(r"^[^(]*\([^)]*\)"), _brackets(F.col("before_arrow"))).otherwise(F.col("before_arrow")))
     bound = [
@@ -60,7 +68,7 @@ def _javascript(lines: DataFrame) -> DataFrame:
         *[_one(F.col(w)) for w in ("function", "class")],
         F.when(F.col("code").contains("function") | F.col("code").startswith("catch"), _identifiers(F.col("brackets"))).otherwise(_none()),
         _identifiers(F.col("parameters")),
-        _identifiers(_found(F.col("code"), r"^([A-Za-z_$][A-Za-z0-9_$]*)\s*=(?!=)")),
+        _identifiers(_where(F.col("code"), "=", _found(F.col("code"), r"^([A-Za-z_$][A-Za-z0-9_$]*)\s*=(?!=)"))),
     ]
     imported = _identifiers(F.split_part(F.regexp_replace("code", "^import ", ""), F.lit(" from "), F.lit(1)))
     return parts.select("path", "line", F.when(F.col("code").startswith("import "), imported).otherwise(_union(*bound)).alias("names"))
@@ -68,18 +76,18 @@ def _javascript(lines: DataFrame) -> DataFrame:
 
 def _python(lines: DataFrame) -> DataFrame:
     """(path, line, names) that a line of Python code, without comments and strings, may bind."""
-    code = lines.withColumn("code", F.regexp_replace("code", r"^\s+|\s+$", ""))
+    code = lines.withColumn("code", F.btrim("code", F.lit(SPACES)))
     declaration = F.regexp_replace("code", "^async ", "")
-    parts = code.withColumns({"defined": _found(declaration, r"^def (.*)$"), "classed": _found(declaration, r"^class (.*)$"), "pieces": F.split("code", " as ")})
+    parts = code.withColumns({"defined": _where(declaration, "def ", _found(declaration, r"^def (.*)$")), "classed": _where(declaration, "class ", _found(declaration, r"^class (.*)$")), "pieces": F.split("code", " as ")})
     aliases = F.filter(F.transform(F.slice("pieces", F.lit(2), F.size("pieces")), lambda p: F.regexp_extract(p, _ID, 1)), lambda x: x != "")
     bound = [
         _one(F.col("defined")),
         _identifiers(_brackets(F.col("defined"))),
         _one(F.col("classed")),
-        _identifiers(F.split_part(_found(F.col("code"), r"^for (.*)$"), F.lit(" in "), F.lit(1))),
+        _identifiers(F.split_part(_where(F.col("code"), "for ", _found(F.col("code"), r"^for (.*)$")), F.lit(" in "), F.lit(1))),
         F.when(F.col("code").rlike("^(with|except) "), aliases).otherwise(_none()),
-        _identifiers(_found(F.col("code"), r"^(.*?)(?<![=!<>])=(?!=)")),
-        _identifiers(_found(F.col("code"), r"^([A-Za-z_$][A-Za-z0-9_$]*)\s*:")),
+        _identifiers(_where(F.col("code"), "=", _found(F.col("code"), r"^(.*?)(?<![=!<>])=(?!=)"))),
+        _identifiers(_where(F.col("code"), ":", _found(F.col("code"), r"^([A-Za-z_$][A-Za-z0-9_$]*)\s*:"))),
     ]
     return parts.select("path", "line", F.when(F.col("code").rlike("^(import|from) "), _identifiers(F.col("code"))).otherwise(_union(*bound)).alias("names"))
 
