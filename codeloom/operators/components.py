@@ -1,15 +1,16 @@
 """Strongly connected components, their condensation and its ranks, by rounds of joins.
 
-Every round runs ``HOPS`` steps in one job before it cuts the lineage, so a round costs one job
-however many rows it moves.  Rounds follow the longest shortest way inside a component, or the
-longest path of the condensation, and always end: labels only fall, and a condensation has no cycle.
+Nodes with at most one edge in or one edge out are taken out first, many in a round, and their neighbours
+joined instead, so trees and chains shrink by a constant share a round, however long they are.  What is left of a graph where every node
+has several edges in and out goes by rounds of ``HOPS`` steps in one job, as many as its longest shortest way asks for.
+Rounds always end: a round takes out a node or the steps take over, labels only fall, and a condensation has no cycle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .grouped import LARGEST, by_group, larger_groups
@@ -17,16 +18,64 @@ from .lineage import kept
 
 #: Steps along edges in one job.
 HOPS = 4
-#: Rounds that peel off nodes without an edge in or out before each colouring; the colouring ends whatever they leave.
-TRIMS = 4
+#: Share of the edges that a round of taking out nodes has to spare, or steps along the edges take over.
+SPARED = 0.1
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges without some of the nodes that nothing enters or leaves, which are components by themselves."""
-    for _ in range(TRIMS):
-        entered, left = edges.select(F.col("dst").alias("n")).distinct(), edges.select(F.col("src").alias("n")).distinct()
-        edges = edges.join(entered, F.col("src") == F.col("n"), "left_semi").join(left, F.col("dst") == F.col("n"), "left_semi")
-    return kept(edges)
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of every node, ids from 1, and the distinct edges between ids."""
+    edges = kept(edges.select("src", "dst").distinct())
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).filter("node IS NOT NULL").distinct()
+    ids = kept(nodes.select("node", (F.monotonically_increasing_id() + 1).alias("id")))
+    one, other = (ids.select(F.col("node").alias(f"n{k}"), F.col("id").alias(f"i{k}")) for k in "12")
+    return ids, kept(edges.join(one, F.col("src") == F.col("n1")).join(other, F.col("dst") == F.col("n2")).select(F.col("i1").alias("src"), F.col("i2").alias("dst")))
+
+
+def _split(edges: DataFrame, turn: int) -> DataFrame:
+    """Edges (src, dst, w) with the nodes that this round takes out: ``side`` is 1 where src is one, 2 where dst is one, else 0.
+
+    A node may go that has at most one edge in or one out; of two neighbours that may, one goes: the one with a
+    single edge, else by a hash.  Rows with a src below 0 are no edges; they tell what a node starts from.
+    """
+    true = F.col("src") > 0
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), true.cast("int").alias("o")), F.struct(F.col("dst").alias("node"), true.cast("int").alias("i"), F.lit(0).alias("o")))).alias("e"))
+    degrees = ends.select("e.*").filter("node > 0").groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    last = F.when(F.col("i") + F.col("o") > 1, F.lit(1 << 62)).otherwise(F.lit(0))
+    may = degrees.filter("i <= 1 OR o <= 1").select("node", (F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 2) + last).alias("turn"))
+    one, other = (may.select(F.col("node").alias(f"n{k}"), F.col("turn").alias(f"t{k}")) for k in "12")
+    both = edges.filter(true).join(one, F.col("src") == F.col("n1")).join(other, F.col("dst") == F.col("n2"))
+    waits = both.select(F.when(F.struct("t1", "n1") < F.struct("t2", "n2"), F.col("n2")).otherwise(F.col("n1")).alias("w")).distinct()
+    goes = may.join(waits, F.col("node") == F.col("w"), "left_anti")
+    one, other = (goes.select(F.col("node").alias(f"n{k}")) for k in "12")
+    side = F.when(F.col("n1").isNotNull(), 1).when(F.col("n2").isNotNull(), 2).otherwise(0)
+    return kept(edges.join(one, F.col("src") == F.col("n1"), "left").join(other, F.col("dst") == F.col("n2"), "left").select("src", "dst", "w", side.alias("side")))
+
+
+def _through(split: DataFrame) -> DataFrame:
+    """(node, src, dst, w): the ways through the nodes that go; no more than their edges, as one side has one at most."""
+    into = split.filter("side = 2").select(F.col("dst").alias("node"), "src", F.col("w").alias("w1"))
+    out = split.filter("side = 1").select(F.col("src").alias("n"), "dst", F.col("w").alias("w2"))
+    return into.join(out, F.col("node") == F.col("n")).select("node", "src", "dst", (F.col("w1") + F.col("w2")).alias("w"))
+
+
+def _without(split: DataFrame) -> DataFrame:
+    """The edges without the nodes that go: the longest of each pair."""
+    source = F.when(F.col("src") < 0, -F.col("dst")).otherwise(F.col("src"))
+    longer = _through(split).filter("src <> dst").select(source.alias("src"), "dst", "w")
+    return kept(split.filter("side = 0").select("src", "dst", "w").unionByName(longer).groupBy("src", "dst").agg(F.max("w").alias("w")))
+
+
+def _shrunk(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The rounds that take out nodes, first to last, and the edges that are left."""
+    rounds, size = [], edges.count()
+    while size:
+        split = _split(edges, len(rounds))
+        edges, before = _without(split), size
+        rounds.append(split)
+        size = edges.count()
+        if size > (1 - SPARED) * before:
+            break
+    return rounds, edges
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -42,37 +91,80 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes in a strongly connected component of two or more; component is the smallest member.
+def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of some whole components, and the edges between the nodes of the others.
 
-    ``edges`` has src and dst; repeated edges and self-loops change nothing.  Nodes are coloured with
-    the smallest node that reaches them; inside a colour, the nodes that reach the colour's own node are
-    its component.  What is left goes another round.
+    Nodes are coloured with the smallest node that reaches them; inside a colour, the nodes that reach the colour's own node are
+    its component.
+    """
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    colours = _spread(nodes.select("node", F.col("node").alias("label")), edges)
+    one, other = colours.select(F.col("node").alias("a"), F.col("label").alias("la")), colours.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    same = edges.join(one, F.col("src") == F.col("a")).join(other, F.col("dst") == F.col("b")).filter("la = lb")
+    # Backwards inside a colour: 0 spreads from the colour's own node.
+    back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    marks = _spread(colours.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label")), kept(back))
+    found = kept(colours.join(marks.filter("label = 0").select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi"))
+    gone = found.select(F.col("node").alias("g"))
+    # Edges between colours are in no component.
+    rest = same.select("src", "dst", "w").join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti")
+    return found, kept(rest)
+
+
+def _strong(edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes in a component of two or more; edges between ids, of which the label is any member.
+
+    A node that was taken out is of the component of the nodes before and behind it when these share one, else by itself.
     """
-    edges = kept(edges.select("src", "dst").filter("src <> dst").distinct())
-    parts = []
+    edges = edges.filter("src <> dst").select("src", "dst", F.lit(1).alias("w"))
+    rounds, labels = [], edges.select(F.col("src").alias("node"), F.col("dst").alias("label")).limit(0)
     while True:
-        edges = _trim(edges)
+        more, edges = _shrunk(edges)
+        rounds += more
         if edges.isEmpty():
             break
-        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-        colours = _spread(nodes.select("node", F.col("node").alias("label")), edges)
-        one, other = colours.select(F.col("node").alias("a"), F.col("label").alias("la")), colours.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        same = edges.join(one, F.col("src") == F.col("a")).join(other, F.col("dst") == F.col("b")).filter("la = lb")
-        # Backwards inside a colour: 0 spreads from the colour's own node.
-        back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        marks = _spread(colours.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label")), kept(back))
-        found = kept(colours.join(marks.filter("label = 0").select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi").select("node", F.col("label").alias("component")))
-        parts.append(found)
-        gone = found.select(F.col("node").alias("g"))
-        edges = edges.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti")
-    if not parts:
-        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    many = out.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component").alias("c"))
-    return out.join(many, F.col("component") == F.col("c"), "left_semi")
+        found, edges = _coloured(edges)
+        labels = labels.unionByName(found)
+    labels = kept(labels)
+    for split in reversed(rounds):
+        one, other = (labels.select(F.col("node").alias(f"n{k}"), F.col("label").alias(f"l{k}")) for k in "12")
+        of = F.coalesce("l1", "src")
+        ways = _through(split).join(one, F.col("src") == F.col("n1"), "left").join(other, F.col("dst") == F.col("n2"), "left")
+        labels = kept(labels.unionByName(ways.filter(of == F.coalesce("l2", "dst")).groupBy("node").agg(F.min(of).alias("label"))))
+    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
+    many = labels.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return kept(labels.join(many, F.col("label") == F.col("l"), "left_semi"))
+
+
+def _named(strong: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, id, component, first, size) of nodes in components of two or more: the smallest member by name, its id and the number of members."""
+    members = strong.withColumnRenamed("node", "n").join(ids, F.col("n") == F.col("id")).select("node", "id", "label")
+    least = members.groupBy(F.col("label").alias("l")).agg(F.min(F.struct("node", "id")).alias("least"), F.count(F.lit(1)).alias("size"))
+    return kept(members.join(least, F.col("label") == F.col("l")).select("node", "id", F.col("least.node").alias("component"), F.col("least.id").alias("first"), "size"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes in a strongly connected component of two or more; component is the smallest member.
+
+    ``edges`` has src and dst; repeated edges and self-loops change nothing.
+    """
+    ids, ways = _numbered(edges.filter("src <> dst"))
+    return _named(_strong(ways), ids).select("node", "component")
+
+
+def _condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id, component, first, size, cyclic) of every node, and the distinct edges between the components' first ids."""
+    ids, ways = _numbered(edges)
+    strong = _named(_strong(ways), ids).select(F.col("id").alias("s"), "component", "first", "size")
+    loops = ways.filter("src = dst").select(F.col("src").alias("l"))
+    labelled = ids.join(strong, F.col("id") == F.col("s"), "left").join(loops, F.col("id") == F.col("l"), "left")
+    members = kept(
+        labelled.select("node", "id", F.coalesce("component", "node").alias("component"), F.coalesce("first", "id").alias("first"), F.coalesce("size", F.lit(1).cast("long")).alias("size"), (F.col("size").isNotNull() | F.col("l").isNotNull()).alias("cyclic"))
+    )
+    one, other = (strong.select(F.col("s").alias(f"s{k}"), F.col("first").alias(f"f{k}")) for k in "12")
+    ends: tuple[Column, Column] = F.coalesce("f1", "src"), F.coalesce("f2", "dst")
+    between = ways.join(one, F.col("src") == F.col("s1"), "left").join(other, F.col("dst") == F.col("s2"), "left").filter(ends[0] != ends[1])
+    return members, between.select(ends[0].alias("src"), ends[1].alias("dst")).distinct()
 
 
 def condensation(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,17 +172,35 @@ def condensation(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A component is cyclic when it has several nodes or a self-loop.
     """
-    edges = kept(edges.select("src", "dst").distinct())
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    strong = kept(strong_components(edges))
-    loops = edges.filter("src = dst").select(F.col("src").alias("l"))
-    labelled = nodes.join(strong.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left").join(loops, F.col("node") == F.col("l"), "left")
-    members = labelled.select("node", F.coalesce("component", "node").alias("component"), F.col("l").isNotNull().alias("loop"))
-    sizes = members.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("size"), F.max("loop").alias("loop"))
-    members = kept(members.drop("loop").join(sizes, F.col("component") == F.col("c")).select("node", "component", "size", ((F.col("size") > 1) | F.col("loop")).alias("cyclic")))
-    one, other = (members.select(F.col("node").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in "12")
-    between = edges.join(one, F.col("src") == F.col("n1")).join(other, F.col("dst") == F.col("n2")).filter("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst")).distinct()
-    return members, kept(between)
+    members, between = _condensed(edges)
+    one, other = (members.filter("id = first").select(F.col("id").alias(f"i{k}"), F.col("component").alias(f"c{k}")) for k in "12")
+    named = between.join(one, F.col("src") == F.col("i1")).join(other, F.col("dst") == F.col("i2")).select(F.col("c1").alias("src"), F.col("c2").alias("dst"))
+    return members.select("node", "component", "size", "cyclic"), named
+
+
+def _longest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, rank): longest-path ranks of acyclic edges (src, dst) between ids.
+
+    A node that goes leaves the longest ways through it; its own rank follows from the nodes before it, once those have theirs.
+    """
+    start = nodes.select((-F.col("node")).alias("src"), F.col("node").alias("dst"), F.lit(0).alias("w"))
+    rounds, rest = _shrunk(kept(start.unionByName(edges.select("src", "dst", F.lit(1).alias("w")))))
+    ranks = kept(rest.filter("src < 0").select(F.col("dst").alias("node"), F.col("w").alias("rank")))
+    rest = rest.filter("src > 0")
+    while not ranks.isEmpty():
+        now = ranks.select("node", "rank", F.col("rank").alias("was"))
+        for _ in range(HOPS):
+            pushed = rest.join(now, F.col("src") == F.col("node")).groupBy("dst").agg(F.max(F.col("rank") + F.col("w")).alias("least"))
+            now = now.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("rank", "least").alias("rank"), "was")
+        now = kept(now)
+        ranks = now.select("node", "rank")
+        if now.filter("rank > was").isEmpty():
+            break
+    for split in reversed(rounds):
+        known = ranks.select(F.col("node").alias("n"), "rank")
+        own = split.filter("side = 2").join(known, F.col("src") == F.col("n"), "left").groupBy(F.col("dst").alias("node")).agg(F.max(F.coalesce("rank", F.lit(0)) + F.col("w")).alias("rank"))
+        ranks = kept(ranks.unionByName(own))
+    return ranks
 
 
 def _ranks(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...], most: int | None = None) -> DataFrame:
@@ -117,10 +227,9 @@ def longest_path_ranks(edges: DataFrame) -> DataFrame:
 
     Cycles count as one component each, so every graph has ranks and the rounds end.
     """
-    members, between = condensation(edges)
-    components = members.select(F.col("component").alias("node")).distinct()
-    ranks = _ranks(components, between, ()).select(F.col("node").alias("r"), "rank")
-    return members.join(ranks, F.col("component") == F.col("r")).select("node", "component", "rank")
+    members, between = _condensed(edges)
+    ranks = _longest(members.filter("id = first").select(F.col("id").alias("node")), between).select(F.col("node").alias("r"), "rank")
+    return members.join(ranks, F.col("first") == F.col("r")).select("node", "component", "rank")
 
 
 def forward_ranks(blocks: DataFrame, edges: DataFrame, back_kinds: tuple[str, ...] = ("repeat",), most: int = LARGEST) -> DataFrame:
