@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import binding, call_resolution, control, dataflow, detection, flows, modules, ownership, reading, traverse, views
-from ..operators.lineage import shared_dir
+from ..operators.lineage import kept, shared_dir
 from ..streaming import snapshots
 from .fixtures import oracle
 from .insights import _flows
@@ -440,7 +440,8 @@ _REACHING = """with recursive walk(f, b, rd, cur, d) as (select function_id, bin
     "fx_block_edges",
 )
 def _(g):
-    return dataflow.value_hops(dataflow.reaching_definitions(g["fx_blocks"], g["fx_block_edges"], 5), g["fx_block_edges"])
+    edges = kept(g["fx_block_edges"])
+    return dataflow.value_hops(dataflow.reaching_definitions(g["fx_blocks"], edges, 5), edges)
 
 
 @query(
