@@ -238,8 +238,9 @@ def forward_ranks(blocks: DataFrame, edges: DataFrame, back_kinds: tuple[str, ..
     A block that is still in a forward cycle, or behind one, comes after all others of its function, in source order.
     Functions are worked out one by one after a single shuffle; those of more than ``most`` blocks or edges by rounds of joins.
     """
-    forward = edges.filter(~F.col("kind").isin(*back_kinds) & (F.col("src") != F.col("dst"))).select("function_id", "src", "dst").distinct()
-    nodes = blocks.select("function_id", F.col("block_id").alias("node")).distinct()
+    # Counted and collected: two uses of what may be long to work out.
+    forward = kept(edges.filter(~F.col("kind").isin(*back_kinds) & (F.col("src") != F.col("dst"))).select("function_id", "src", "dst").distinct())
+    nodes = kept(blocks.select("function_id", F.col("block_id").alias("node")).distinct())
     large = kept(larger_groups([nodes, forward], "function_id", most))
     own = lambda df: df.join(large.withColumnRenamed("function_id", "big"), F.col("function_id") == F.col("big"), "left_anti")
 
@@ -306,7 +307,7 @@ def rank_order(ranks: DataFrame, edges: DataFrame, scene: str = "scene", most: i
     Ranks are placed one after the other, inside a rank by the mean position of the predecessors, those
     without any last, then by name.  Scenes are worked out one by one after a single shuffle; those of more than ``most`` nodes or edges by a round for each rank.
     """
-    own, ways = ranks.select(scene, "node", "rank"), edges.select(scene, "src", "dst")
+    own, ways = kept(ranks.select(scene, "node", "rank")), kept(edges.select(scene, "src", "dst"))
     large = kept(larger_groups([own, ways], scene, most))
     less = lambda df: df.join(large.withColumnRenamed(scene, "big"), F.col(scene) == F.col("big"), "left_anti")
 
