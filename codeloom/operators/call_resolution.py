@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .lineage import kept
+
 _ID = r"([A-Za-z_$][A-Za-z0-9_$]*)"
 #: What a pattern's \\s stands for.
 SPACES = " \t\n\x0b\f\r"
@@ -96,20 +98,30 @@ def possible_bindings(lines: DataFrame) -> DataFrame:
     """(path, line, name), one row for each name that a line of source may bind.  ``lines`` has path, language, line and code."""
     own = lines.select("path", "language", "line", "code")
     both = _javascript(own.filter(F.col("language").isin("javascript", "typescript"))).unionByName(_python(own.filter("language = 'python'")))
-    return both.select("path", "line", F.explode("names").alias("name"))
+    # Other than explode, of which Spark infers a filter that spells the whole pattern out again, and in code too long to compile.
+    return both.select("path", "line", F.explode_outer("names").alias("name")).filter("name IS NOT NULL")
 
 
 # --- imported calls -----------------------------------------------------------------------------------------
 
 
-def unshadowed_imports(imports: DataFrame, lines: DataFrame) -> DataFrame:
-    """Named imports that are the only ones of their local name in a file and that no other line may bind.
+def single_imports(imports: DataFrame) -> DataFrame:
+    """Named imports that are the only ones of their local name in a file.
+
+    ``imports`` has path, import_line, local_name, target_path and imported_name.
+    """
+    return imports.groupBy("path", "local_name").agg(F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("import_line", "target_path", "imported_name")]).filter("many = 1").drop("many")
+
+
+def unshadowed(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows (path, local_name, import_line, ...) whose name no other line of the file may bind.
 
-    ``imports`` has path, import_line, local_name, target_path and imported_name.  Only names that are imported meet the lines' names.
+    Of the lines' names only those that rows ask for meet them; ``rows`` are used twice.
     """
-    single = imports.groupBy("path", "local_name").agg(F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("import_line", "target_path", "imported_name")]).filter("many = 1").drop("many")
+    asked = rows.select(F.col("path").alias("asked_path"), F.col("local_name").alias("asked_name")).distinct()
     bound = possible_bindings(lines).select(F.col("path").alias("p"), F.col("line").alias("l"), "name")
-    return single.join(bound, (F.col("path") == F.col("p")) & (F.col("local_name") == F.col("name")) & (F.col("import_line") != F.col("l")), "left_anti")
+    met = bound.join(asked, (F.col("p") == F.col("asked_path")) & (F.col("name") == F.col("asked_name")), "left_semi")
+    return rows.join(met, (F.col("path") == F.col("p")) & (F.col("local_name") == F.col("name")) & (F.col("import_line") != F.col("l")), "left_anti")
 
 
 def top_level_callables(nodes: DataFrame) -> DataFrame:
@@ -126,15 +138,18 @@ def resolve_imported_calls(edges: DataFrame, nodes: DataFrame, imports: DataFram
     """
     open_ = edges.filter("kind = 'calls' AND confidence = 'unresolved'").select("id", "source_id", F.col("target_id").alias("external"), F.col("file_path").alias("edge_path"))
     bare = nodes.filter((F.col("kind") == "external") & (F.col("name") == F.col("qualified_name")) & F.col("name").rlike(f"^{_ID}$")).select(F.col("id").alias("x"), F.col("name").alias("called"))
+    # Few names are bare and few calls are left after each step, which files tell to what follows.
+    named = open_.join(kept(bare, clear=True), F.col("external") == F.col("x")).select("id", "source_id", "edge_path", "called")
+    through = kept(named.join(single_imports(imports), (F.col("edge_path") == F.col("path")) & (F.col("called") == F.col("local_name"))).drop("edge_path", "called"), clear=True)
+    aimed = through.join(top_level_callables(nodes), (F.col("target_path") == F.col("file_path")) & (F.col("imported_name") == F.col("name"))).select("id", "source_id", "path", "local_name", "import_line", "target_id")
     sources = nodes.select(F.col("id").alias("s"), F.col("file_path").alias("source_path"))
-    named = open_.join(bare, F.col("external") == F.col("x")).join(sources, (F.col("source_id") == F.col("s")) & (F.col("edge_path") == F.col("source_path"))).select("id", "edge_path", "called")
-    through = named.join(unshadowed_imports(imports, lines), (F.col("edge_path") == F.col("path")) & (F.col("called") == F.col("local_name"))).select("id", "target_path", "imported_name")
-    return through.join(top_level_callables(nodes), (F.col("target_path") == F.col("file_path")) & (F.col("imported_name") == F.col("name"))).select("id", "target_id")
+    own = kept(aimed.join(sources, (F.col("source_id") == F.col("s")) & (F.col("path") == F.col("source_path"))).select("id", "path", "local_name", "import_line", "target_id"), clear=True)
+    return unshadowed(own, lines).select("id", "target_id")
 
 
 def with_resolved_calls(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     """The edges, those of ``resolved`` pointing to what was found."""
-    found = resolved.select(F.col("id").alias("r"), F.col("target_id").alias("found"))
+    found = kept(resolved.select(F.col("id").alias("r"), F.col("target_id").alias("found")), clear=True)
     joined = edges.join(found, F.col("id") == F.col("r"), "left")
     return joined.select(*[F.coalesce("found", c).alias(c) if c == "target_id" else F.when(F.col("found").isNotNull(), F.lit("resolved")).otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in edges.columns])
 

@@ -68,6 +68,7 @@ _IMPORTED = f"""with {_BOUND}, single as (select path, local_name, min(import_li
 
 @query("J15_imported_calls", _IMPORTED + " select e.id, e.kind, e.source_id, coalesce(f.target_id, e.target_id) as target_id, case when f.id is null then e.confidence else 'resolved' end as confidence, e.file_path from fx_code_edges e left join found f on f.id = e.id", "fx_code_edges", "fx_code_nodes", "fx_named_imports", "fx_code_lines")
 def _(g):
+    g.keep("fx_code", "l_orderkey", "ord", "k", "a", "b", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
     edges = g["fx_code_edges"]
     return call_resolution.with_resolved_calls(edges, call_resolution.resolve_imported_calls(edges, g["fx_code_nodes"], g["fx_named_imports"], g["fx_code_lines"]))
 
